@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.keys import exact_seconds, whole_number
 from quernstone.llm import sql
+from quernstone.llm.bpe import token_ids
+from quernstone.llm.mixing import mix_sources
 from quernstone.llm.nearest import nearest_in_time
 from quernstone.llm.sampling import sample_by_targets
+from quernstone.llm.spans import shared_spans
 from quernstone.llm.splits import grouped_splits
 from quernstone.llm.terms import term_frequencies
 from quernstone.llm.topn import top_per_group
@@ -94,5 +97,39 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_top(spark, sf_dir).select("pred_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p2_sample, p2_report, p3_found, p3_terms, p5_found, p5_pairs, p6_found, p6_top)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in the mixed corpus."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and real share of every source."""
+    return _mix(spark, sf_dir)[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their target."""
+    return _mix(spark, sf_dir)[1].where("exhausted").select("source")
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document stands verbatim in another one, in spans of at least 200 code points."""
+    return shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share such a span."""
+    return p9_spans(spark, sf_dir).where("shared_chars > 0").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p2_sample, p2_report, p3_found, p3_terms, p5_found, p5_pairs, p6_found, p6_top, p7_ids, p8_found, p8_mix, p8_report, p9_found, p9_spans)}
 SQL = sql.SQL
