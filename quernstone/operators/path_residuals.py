@@ -101,12 +101,13 @@ def chord_gap(t: np.ndarray, v: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def path_gap(t: np.ndarray, v: np.ndarray, sigma: float, length: int, at: np.ndarray, reach: int = 4) -> np.ndarray:
+def path_gap(t: np.ndarray, v: np.ndarray, sigma: float, length: int, at: np.ndarray, times: float, reach: int = 4) -> np.ndarray:
     """Least distance of the runs starting at ``at`` from the path that the readings around them follow.
 
     ``reach`` readings on both sides of a run carry the path: a Theil-Sen line picks the sound ones, a parabola
-    through those is the robust local trend. NaN where a side has fewer than three readings or where the readings
-    around the run do not follow one path (a step, a gap with a turn in it).
+    through those is the robust local trend. NaN where a side has fewer than three readings, where the readings
+    around the run do not follow one path (a step, a gap with a turn in it), or where the reading right before or after
+    the run is off the path by ``times`` sigma as well (the run is then part of a longer one).
     """
     n = len(v)
     out = np.full(len(at), np.nan)
@@ -137,6 +138,7 @@ def path_gap(t: np.ndarray, v: np.ndarray, sigma: float, length: int, at: np.nda
     good = there & (res <= 5 * sigma)
     follows = (good[:, :reach].sum(1) >= 2) & (good[:, reach:].sum(1) >= 2)
     follows &= good.sum(1) >= np.maximum(5, there.sum(1) - 3)
+    follows &= (res[:, reach - 1] <= times * sigma) & (res[:, reach] <= times * sigma)
     run = at[:, None] + np.arange(length)[None, :]
     tr = t[run] - mid[:, None]
     rem = v[run] - base[:, None] - (coef[:, :1] + coef[:, 1:2] * tr + coef[:, 2:] * tr * tr)
@@ -144,18 +146,16 @@ def path_gap(t: np.ndarray, v: np.ndarray, sigma: float, length: int, at: np.nda
     return out
 
 
-def season_of(t: np.ndarray, v: np.ndarray, phase: np.ndarray, period: int) -> np.ndarray:
-    """Seasonal part: for each phase the median distance of its readings from the chord of their neighbours."""
-    if period < 2 or len(v) < 2 * period:
+def season_of(v: np.ndarray, phase: np.ndarray, period: int) -> np.ndarray:
+    """Seasonal part: for each phase the median distance of its readings from the moving average over one period."""
+    if period < 2 or len(v) < 2 * period + 1:
         return np.zeros(len(v))
-    trend = v.copy()
-    trend[1:-1] = v[:-2] + (v[2:] - v[:-2]) * ((t[1:-1] - t[:-2]) / np.maximum(t[2:] - t[:-2], 1e-9))
-    out = np.zeros(len(v))
-    for p in range(period):
-        own = phase == p
-        if own.any():
-            out[own] = np.median((v - trend)[own])
-    return out - out.mean()
+    taps = np.ones(period) if period % 2 else np.concatenate(([0.5], np.ones(period - 1), [0.5]))
+    inner = np.convolve(v, taps / period, mode="valid")
+    lead = len(taps) // 2
+    off, of_phase = v[lead : lead + len(inner)] - inner, phase[lead : lead + len(inner)]
+    by_phase = np.array([np.median(off[of_phase == p]) if (of_phase == p).any() else 0.0 for p in range(period)])
+    return (by_phase - by_phase.mean())[phase]
 
 
 def spikes(t: np.ndarray, v: np.ndarray, sigma: float, times: float, longest: int, share: float, alpha: float) -> np.ndarray:
@@ -175,7 +175,7 @@ def spikes(t: np.ndarray, v: np.ndarray, sigma: float, times: float, longest: in
         for length in range(1, longest + 1):
             at = np.flatnonzero(np.nan_to_num(chord_gap(tl, vl, length)) > times / 2 * sigma)
             if len(at):
-                far = path_gap(tl, vl, sigma, length, at) / sigma
+                far = path_gap(tl, vl, sigma, length, at, times) / sigma
                 for a, f in zip(at[far > times], far[far > times]):
                     runs.append((a, length))
                     score[a : a + length] = np.maximum(score[a : a + length], f)

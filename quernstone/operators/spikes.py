@@ -126,7 +126,7 @@ def implausible_readings(
             at = np.flatnonzero(~still & np.isfinite(v))
             sigma = float(g[f"_s{n}"].iloc[0]) if len(g) and pd.notna(g[f"_s{n}"].iloc[0]) else 0.0
             if len(at) and sigma > 0:
-                v = v[at] - pr.season_of(t[at], v[at], g["_i"].to_numpy()[at] % max(period, 1), period)
+                v = v[at] - pr.season_of(v[at], g["_i"].to_numpy()[at] % max(period, 1), period)
                 off[at] |= pr.spikes(t[at], v, sigma, times, longest, share, alpha)
         parts = [pd.DataFrame({"_id": g["_id"].to_numpy()[core & m], "_src": g["_src"].to_numpy()[core & m], "_why": w}) for m, w in ((off, 1), (still, 2))]
         return pd.concat(parts, ignore_index=True).astype({"_why": "int32"})

@@ -28,7 +28,7 @@ def f02_label_roi(spark: SparkSession, sf: str) -> DataFrame:
     return df.where(F.col("loc_x").between(*ROI["x"]) & F.col("loc_y").between(*ROI["y"]) & F.col("loc_z").between(*ROI["z"])).select("gt_id")
 
 
-@query(f"WITH {GT} SELECT gt_id, round(degrees(atan2(-loc_x, loc_z)), 6) AS az FROM gt WHERE degrees(atan2(-loc_x, loc_z)) BETWEEN -20 AND 20")
+@query(f"WITH {GT} SELECT gt_id, round(degrees(atan2(-loc_x, loc_z)), 6) + 0.0 AS az FROM gt WHERE degrees(atan2(-loc_x, loc_z)) BETWEEN -20 AND 20")
 def f03_azimuth_fov(spark: SparkSession, sf: str) -> DataFrame:
     """Labels whose centre lies in the azimuth field of view (z is forward, x to the right)."""
     az = g.azimuth(F.col("loc_z"), -F.col("loc_x"))
@@ -83,8 +83,8 @@ def f13_explicit_list(spark: SparkSession, sf: str) -> DataFrame:
     return want.join(have, "seq", "left").select("pos", "seq", F.col("_have").isNull().alias("missing"))
 
 
-@query(f"""WITH {GT} SELECT gt_id, round(loc_z + 2.5, 6) AS x, round(-loc_x + 0.3, 6) AS y, round(-loc_y + 0.7, 6) AS z, round(l, 6) AS xl, round(w, 6) AS yl, round(h, 6) AS zl,
-round(rot_y - floor(rot_y / (2*pi()) + 0.5) * 2*pi(), 6) AS yaw FROM gt""")
+@query(f"""WITH {GT} SELECT gt_id, round(loc_z + 2.5, 6) + 0.0 AS x, round(-loc_x + 0.3, 6) + 0.0 AS y, round(-loc_y + 0.7, 6) + 0.0 AS z, round(l, 6) + 0.0 AS xl, round(w, 6) + 0.0 AS yl, round(h, 6) + 0.0 AS zl,
+round(rot_y - floor(rot_y / (2*pi()) + 0.5) * 2*pi(), 6) + 0.0 AS yaw FROM gt""")
 def m01_m22_sensor_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """KITTI rows as sensor-frame boxes after calibration, yaw wrapped into one turn."""
     df = d.gt(spark, sf)
@@ -96,8 +96,8 @@ def m01_m22_sensor_boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"WITH {GT}, k AS (SELECT unnest(range(8)) AS k), s AS (SELECT k, 1 - 2*(k & 1) AS sx, 1 - 2*((k >> 1) & 1) AS sy, 1 - 2*((k >> 2) & 1) AS sz FROM k)"
-    " SELECT gt_id, CAST(k AS INT) AS k, round(loc_z + sx*l/2*cos(rot_y) - sy*w/2*sin(rot_y), 6) AS x, round(-loc_x + sx*l/2*sin(rot_y) + sy*w/2*cos(rot_y), 6) AS y,"
-    " round(-loc_y + sz*h/2, 6) AS z FROM gt CROSS JOIN s"
+    " SELECT gt_id, CAST(k AS INT) AS k, round(loc_z + sx*l/2*cos(rot_y) - sy*w/2*sin(rot_y), 6) + 0.0 AS x, round(-loc_x + sx*l/2*sin(rot_y) + sy*w/2*cos(rot_y), 6) + 0.0 AS y,"
+    " round(-loc_y + sz*h/2, 6) + 0.0 AS z FROM gt CROSS JOIN s"
 )
 def m15_corners(spark: SparkSession, sf: str) -> DataFrame:
     """The eight corners of every label."""
@@ -110,7 +110,7 @@ _CAM = [[1000.0, 0.0, 640.0, 5.0], [0.0, 1000.0, 360.0, -3.0], [0.0, 0.0, 1.0, 0
 
 
 @query(f"""WITH {GT}, q AS (SELECT gt_id, 1000*loc_x + 640*loc_z + 5 AS u, 1000*loc_y + 360*loc_z - 3 AS v, loc_z + 0.2 AS dep FROM gt)
-SELECT gt_id, round(u/dep, 6) AS px, round(v/dep, 6) AS py, round(dep, 6) AS dep FROM q
+SELECT gt_id, round(u/dep, 6) + 0.0 AS px, round(v/dep, 6) + 0.0 AS py, round(dep, 6) + 0.0 AS dep FROM q
 WHERE dep > 0 AND u/dep BETWEEN 0 AND 1279 AND v/dep BETWEEN 0 AND 719""")
 def m18_f21_projected_centres(spark: SparkSession, sf: str) -> DataFrame:
     """Label centres on the camera image, those in front of it and inside it."""
@@ -119,8 +119,8 @@ def m18_f21_projected_centres(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {GT}, e AS (SELECT gt_id, sqrt(4.5*4.5 + 1.9*1.9) AS dg, * EXCLUDE (gt_id) FROM gt WHERE l > 0 AND w > 0 AND h > 0)
-SELECT gt_id, round(loc_z/dg, 6) AS xt, round(-loc_x/dg, 6) AS yt, round((-loc_y + 1)/1.6, 6) AS zt, round(ln(l/4.5), 6) AS lt, round(ln(w/1.9), 6) AS wt,
-round(ln(h/1.6), 6) AS ht, round(rot_y, 6) AS rt, true AS round_trip FROM e""")
+SELECT gt_id, round(loc_z/dg, 6) + 0.0 AS xt, round(-loc_x/dg, 6) + 0.0 AS yt, round((-loc_y + 1)/1.6, 6) + 0.0 AS zt, round(ln(l/4.5), 6) + 0.0 AS lt, round(ln(w/1.9), 6) + 0.0 AS wt,
+round(ln(h/1.6), 6) + 0.0 AS ht, round(rot_y, 6) + 0.0 AS rt, true AS round_trip FROM e""")
 def m25_residual_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Box residuals against one anchor, and whether decoding gives the box back."""
     c, lit = F.col, F.lit
@@ -160,7 +160,7 @@ def condition_parts(cond) -> list:
     ]
 
 
-@query(f"""WITH {GT} SELECT cls, count(*) AS n, round(avg(l), 6) AS mean_l, round(avg(w), 6) AS mean_w, round(avg(h), 6) AS mean_h, min(loc_x) AS min_x, max(loc_x) AS max_x,
+@query(f"""WITH {GT} SELECT cls, count(*) AS n, round(avg(l), 6) + 0.0 AS mean_l, round(avg(w), 6) + 0.0 AS mean_w, round(avg(h), 6) + 0.0 AS mean_h, min(loc_x) AS min_x, max(loc_x) AS max_x,
 min(loc_y) AS min_y, max(loc_y) AS max_y, min(loc_z) AS min_z, max(loc_z) AS max_z FROM gt WHERE cls IS NOT NULL GROUP BY cls""")
 def a01_a02_class_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Count, mean size and extremes of every class."""
@@ -210,7 +210,7 @@ c AS (SELECT *, k + max(greatest(0, CAST(ceil((k * num_gt / 20.0 - 3) / 2) AS BI
 p AS (SELECT cond, cls, i FROM c WHERE i < num_tp - 1 UNION SELECT cond, cls, num_tp - 1 FROM c),
 q AS (SELECT p.cond, p.cls, p.i, (SELECT arg_min(w.ctp / (w.ctp + w.cfp), w.ctp) FROM w WHERE w.cond = p.cond AND w.cls = p.cls AND w.tp > 0 AND w.ctp > p.i) AS prec FROM p),
 e AS (SELECT cond, cls, i, max(prec) OVER (PARTITION BY cond, cls ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS prec FROM q)
-SELECT n.cond, n.cls, num_gt, num_tp, num_fp, round(coalesce((SELECT sum(prec) FROM e WHERE e.cond = n.cond AND e.cls = n.cls), 0) / 41 * 100, 6) AS ap FROM n WHERE num_gt > 0""")
+SELECT n.cond, n.cls, num_gt, num_tp, num_fp, round(coalesce((SELECT sum(prec) FROM e WHERE e.cond = n.cond AND e.cls = n.cls), 0) / 41 * 100, 6) + 0.0 AS ap FROM n WHERE num_gt > 0""")
 def a08_a09_average_precision(spark: SparkSession, sf: str) -> DataFrame:
     """41-point interpolated average precision per condition and class, from the track match rows."""
     rows = match_rows_by_track(d.gt(spark, sf), d.preds(spark, sf)).where("cls IS NOT NULL")
@@ -221,8 +221,8 @@ def a08_a09_average_precision(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_ROWS}, a AS (SELECT gt_id, seq, cls, bool_or(hit) AS m FROM m WHERE cond = 'original' GROUP BY ALL),
 x AS (SELECT b.cond, b.cls, CASE WHEN a.m AND b.hit THEN 's' WHEN a.m THEN 'm' WHEN b.hit THEN 'r' ELSE 'b' END AS t FROM a JOIN m b ON b.gt_id = a.gt_id WHERE b.cond <> 'original'),
 n AS (SELECT cond, cls, count(*) AS total, count(*) FILTER (t='s') AS stable, count(*) FILTER (t='m') AS induced_miss, count(*) FILTER (t='r') AS induced_recovery, count(*) FILTER (t='b') AS baseline_failure FROM x GROUP BY ALL)
-SELECT *, round(CASE WHEN stable + induced_miss > 0 THEN induced_miss / (stable + induced_miss) END, 6) AS miss_rate, round(CASE WHEN baseline_failure + induced_recovery > 0 THEN induced_recovery / (baseline_failure + induced_recovery) END, 6) AS recovery_rate,
-round((induced_miss + induced_recovery) / total, 6) AS churn, round(CASE WHEN stable + induced_miss > 0 THEN (stable + induced_recovery) / (stable + induced_miss) END, 6) AS net_retention FROM n""")
+SELECT *, round(CASE WHEN stable + induced_miss > 0 THEN induced_miss / (stable + induced_miss) END, 6) + 0.0 AS miss_rate, round(CASE WHEN baseline_failure + induced_recovery > 0 THEN induced_recovery / (baseline_failure + induced_recovery) END, 6) + 0.0 AS recovery_rate,
+round((induced_miss + induced_recovery) / total, 6) + 0.0 AS churn, round(CASE WHEN stable + induced_miss > 0 THEN (stable + induced_recovery) / (stable + induced_miss) END, 6) + 0.0 AS net_retention FROM n""")
 def j03_x03_a05_a06_transitions(spark: SparkSession, sf: str) -> DataFrame:
     """What became of every clean detection under each condition: counts, rates, churn and net retention."""
     rows = match_rows_by_track(d.gt(spark, sf), d.preds(spark, sf)).where("is_tp OR is_fn")
@@ -234,7 +234,7 @@ def j03_x03_a05_a06_transitions(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_ROWS}, r AS (SELECT cond, cls, count(*) FILTER (is_tp) / count(*) FILTER (is_tp OR is_fn) AS recall FROM rows_ WHERE cls IS NOT NULL GROUP BY ALL HAVING count(*) FILTER (is_tp OR is_fn) > 0),
 o AS (SELECT cls, recall AS base FROM r WHERE cond = 'original'),
 b AS (SELECT r.cls, CASE WHEN regexp_matches(cond, '_(low|medium|high)$') THEN regexp_replace(cond, '_(low|medium|high)$', '') ELSE cond END AS effect, CASE WHEN base > 0 THEN recall / base END AS rb FROM r JOIN o USING (cls) WHERE cond <> 'original')
-SELECT cls, effect, count(rb) AS n, round(avg(rb), 6) AS mean_rb, round(min(rb), 6) AS min_rb, round(max(rb), 6) AS max_rb, round(CASE WHEN count(rb) >= 2 THEN avg(rb) - stddev_samp(rb) END, 6) AS cri FROM b GROUP BY ALL""")
+SELECT cls, effect, count(rb) AS n, round(avg(rb), 6) + 0.0 AS mean_rb, round(min(rb), 6) + 0.0 AS min_rb, round(max(rb), 6) + 0.0 AS max_rb, round(CASE WHEN count(rb) >= 2 THEN avg(rb) - stddev_samp(rb) END, 6) + 0.0 AS cri FROM b GROUP BY ALL""")
 def a16_a17_robustness(spark: SparkSession, sf: str) -> DataFrame:
     """Recall kept under each effect against the clean condition; mean less sample deviation over severities."""
     rows = match_rows_by_track(d.gt(spark, sf), d.preds(spark, sf)).where("cls IS NOT NULL")
@@ -291,7 +291,7 @@ FROM (SELECT *, CASE WHEN t THEN w ELSE l END AS dx, CASE WHEN t THEN l ELSE w E
 @query(f"""WITH {GT}, {PR}, a AS ({_AL.format(id='gt_id', extra='', tab='gt')}), b AS ({_AL.format(id='pred_id', extra='cond,', tab="(SELECT * FROM pr WHERE cond = 'original')")}),
 j AS (SELECT gt_id, pred_id, greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.z1,b.z1)-greatest(a.z0,b.z0),0)*greatest(least(a.y1,b.y1)-greatest(a.y0,b.y0),0) AS i,
  (a.x1-a.x0)*(a.z1-a.z0)*(a.y1-a.y0) AS va, (b.x1-b.x0)*(b.z1-b.z0)*(b.y1-b.y0) AS vb FROM a JOIN b ON a.seq = b.seq AND a.frame = b.frame AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.z0 <= b.z1 AND b.z0 <= a.z1),
-k AS (SELECT gt_id, pred_id, round(i/(va+vb-i), 6) AS iou FROM j WHERE i/(va+vb-i) > 0.01),
+k AS (SELECT gt_id, pred_id, round(i/(va+vb-i), 6) + 0.0 AS iou FROM j WHERE i/(va+vb-i) > 0.01),
 r AS (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY iou DESC, pred_id) AS n FROM k)
 SELECT gt.gt_id, r.pred_id, r.iou FROM gt LEFT JOIN r ON r.gt_id = gt.gt_id AND n = 1""")
 def j17_g06_best_aligned(spark: SparkSession, sf: str) -> DataFrame:

@@ -79,7 +79,7 @@ def j21_r09_ball_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {PT}, {_BALL}, r AS (SELECT *, row_number() OVER (PARTITION BY ok, ln, pk, sk, frame ORDER BY d2, bok, bln, bpk, bsk) AS k FROM j WHERE d2 <= 36)
-SELECT ok, ln, pk, sk, bok, bln, bpk, bsk, CAST(k AS INT) AS k, round(d2, 6) AS d2 FROM r WHERE k <= 3""")
+SELECT ok, ln, pk, sk, bok, bln, bpk, bsk, CAST(k AS INT) AS k, round(d2, 6) + 0.0 AS d2 FROM r WHERE k <= 3""")
 def j23_three_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The three nearest points within 6 m of every first-line point; ties by key."""
     p = d.points(spark, sf)
@@ -103,7 +103,7 @@ def _inside(spark: SparkSession, sf: str) -> DataFrame:
     return near.where(g.in_box(c("x"), c("y"), c("z"), c("cx"), c("cy"), c("cz"), F.lit(6.0), F.lit(4.0), F.lit(4.0), c("yaw")))
 
 
-@query(f"""WITH {PT}, {_BOXES}, {_IN} SELECT bok, bln, bpk, bsk, count(*) AS n, round(CAST(sum(CAST(power AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean_power, max(power) AS max_power FROM i GROUP BY ALL""")
+@query(f"""WITH {PT}, {_BOXES}, {_IN} SELECT bok, bln, bpk, bsk, count(*) AS n, round(CAST(sum(CAST(power AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) + 0.0 AS mean_power, max(power) AS max_power FROM i GROUP BY ALL""")
 def j18_a31_a32_points_in_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Points inside rotated boxes: number, mean and maximum power of every box."""
     mean = F.sum(F.col("power").cast("decimal(18,2)")).cast("double") / F.count("*")

@@ -33,7 +33,7 @@ def f01_point_roi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {PT}, v AS (SELECT *, sqrt(x*x + y*y + z*z) AS rng FROM pt WHERE x > 0 AND x < 72 AND y > -16 AND y < 16 AND z > -2 AND z < 6 AND degrees(atan2(y, x)) BETWEEN -50 AND 50),
 b AS (SELECT *, CAST(floor(rng / 10) AS BIGINT) AS bin FROM v), q AS (SELECT bin, quantile_cont(power, 0.9) AS q FROM b GROUP BY bin)
-SELECT bin, flag, count(*) AS n, round(CAST(sum(CAST(power AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean_power, max(power) AS max_power FROM b JOIN q USING (bin) WHERE power > q GROUP BY ALL""")
+SELECT bin, flag, count(*) AS n, round(CAST(sum(CAST(power AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) + 0.0 AS mean_power, max(power) AS max_power FROM b JOIN q USING (bin) WHERE power > q GROUP BY ALL""")
 def range_bin_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: points in ROI and field of view, the strongest tenth of each range bin, by bin and class."""
     p = d.points(spark, sf).where("x > 0 AND x < 72 AND y > -16 AND y < 16 AND z > -2 AND z < 6")
@@ -61,7 +61,7 @@ def f09_axis_roi(spark: SparkSession, sf: str) -> DataFrame:
     return p.crossJoin(F.broadcast(ends)).where("ri BETWEEN lo AND hi").groupBy("ri").agg(F.count("*").alias("n"))  # ends: one row
 
 
-@query(f"""WITH {PT} SELECT ok, ln, pk, sk, round(sqrt(x*x + y*y + z*z), 6) AS rng, round(atan2(y, x), 6) AS az, round(asin(z / sqrt(x*x + y*y + z*z)), 6) AS el,
+@query(f"""WITH {PT} SELECT ok, ln, pk, sk, round(sqrt(x*x + y*y + z*z), 6) + 0.0 AS rng, round(atan2(y, x), 6) + 0.0 AS az, round(asin(z / sqrt(x*x + y*y + z*z)), 6) + 0.0 AS el,
 CAST(greatest(0, least(106, round_even((degrees(atan2(y, x)) + 53) / 1.0, 0))) AS INT) AS az_index FROM pt""")
 def m04_m05_polar(spark: SparkSession, sf: str) -> DataFrame:
     """Polar coordinates of every point and its azimuth cell."""
@@ -69,8 +69,8 @@ def m04_m05_polar(spark: SparkSession, sf: str) -> DataFrame:
     return d.points(spark, sf).select("ok", "ln", "pk", "sk", _r(rng).alias("rng"), _r(az).alias("az"), _r(el).alias("el"), g.quantized(F.degrees(az), -53, 1.0, 107).alias("az_index"))
 
 
-@query(f"""WITH {CE} SELECT di, ri, ai, ei, round((0.46*ri + 1) * cos(-radians(ei*2 - 7)) * cos(-radians(ai*6 - 48)), 6) AS x, round((0.46*ri + 1) * cos(-radians(ei*2 - 7)) * sin(-radians(ai*6 - 48)), 6) AS y,
-round((0.46*ri + 1) * sin(-radians(ei*2 - 7)), 6) AS z, round(10 * log10(p), 6) AS db, round(p * power(0.46*ri + 1, 2.2) / 2e6, 4) AS compensated FROM ce""")
+@query(f"""WITH {CE} SELECT di, ri, ai, ei, round((0.46*ri + 1) * cos(-radians(ei*2 - 7)) * cos(-radians(ai*6 - 48)), 6) + 0.0 AS x, round((0.46*ri + 1) * cos(-radians(ei*2 - 7)) * sin(-radians(ai*6 - 48)), 6) + 0.0 AS y,
+round((0.46*ri + 1) * sin(-radians(ei*2 - 7)), 6) + 0.0 AS z, round(10 * log10(p), 6) + 0.0 AS db, round(p * power(0.46*ri + 1, 2.2) / 2e6, 4) + 0.0 AS compensated FROM ce""")
 def m03_m11_m13_cells_in_space(spark: SparkSession, sf: str) -> DataFrame:
     """Cell centres in metres, power in decibels and range-compensated power."""
     rng = F.lit(0.46) * F.col("ri") + 1
@@ -87,7 +87,7 @@ def m07_m08_m10_voxel_indices(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("frame", "up", "down", "pixel").agg(F.count("*").alias("n"))
 
 
-_DOP = f"""SELECT ri, ai, ei, round(avg(p), 6) AS mean_power, round(sum(p * (di * 0.5 - 1.75)) / sum(p), 6) AS expected, max_by(di, (p, -di)) AS strongest,
+_DOP = f"""SELECT ri, ai, ei, round(avg(p), 6) + 0.0 AS mean_power, round(sum(p * (di * 0.5 - 1.75)) / sum(p), 6) + 0.0 AS expected, max_by(di, (p, -di)) AS strongest,
 CAST(floor(sum(p * di) / sum(p)) AS INT) AS expected_index FROM ce WHERE di > 0 GROUP BY ALL"""
 
 
@@ -101,7 +101,7 @@ def a21_a24_doppler(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"WITH {CE} SELECT ri, ai, round(avg(nullif(CASE WHEN di = 3 THEN -1 ELSE p END, -1)), 6) AS mean_power, count(*) AS cells FROM ce GROUP BY ALL")
+@query(f"WITH {CE} SELECT ri, ai, round(avg(nullif(CASE WHEN di = 3 THEN -1 ELSE p END, -1)), 6) + 0.0 AS mean_power, count(*) AS cells FROM ce GROUP BY ALL")
 def a25_r11_bev_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Range-azimuth mean over known cells; -1 is unknown."""
     p = F.when(F.col("di") == 3, -1.0).otherwise(F.col("p"))
@@ -132,7 +132,7 @@ def _refl(c: str, s: int) -> str:
 
 @query(f"""WITH {_RA}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da)), m AS (SELECT ra.ri, ra.ai, sum(t.p) / {_N} AS mean FROM ra CROSS JOIN o
 JOIN ra t ON t.ri = {_refl('ra.ri + dr', 32)} AND t.ai = {_refl('ra.ai + da', 16)} GROUP BY ALL)
-SELECT ra.ri, ra.ai, round(mean, 6) AS mean, p > mean * {_ALPHA} AS detected FROM ra JOIN m ON m.ri = ra.ri AND m.ai = ra.ai""")
+SELECT ra.ri, ra.ai, round(mean, 6) + 0.0 AS mean, p > mean * {_ALPHA} AS detected FROM ra JOIN m ON m.ri = ra.ri AND m.ai = ra.ai""")
 def r01_ca_cfar_mirror(spark: SparkSession, sf: str) -> DataFrame:
     """Cell-averaging CFAR on the range-azimuth map, edges mirrored."""
     ra = d.cells(spark, sf).groupBy("ri", "ai").agg(F.avg("p").alias("p"))
@@ -141,7 +141,7 @@ def r01_ca_cfar_mirror(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_RA}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da)), m AS (SELECT ra.ri, ra.ai, sum(coalesce(t.p, 0)) / {_N} AS mean FROM ra CROSS JOIN o
 LEFT JOIN ra t ON t.ri = ra.ri + dr AND t.ai = ra.ai + da GROUP BY ALL)
-SELECT ra.ri, ra.ai, round(mean, 6) AS mean, p > mean * {_ALPHA} AS detected FROM ra JOIN m ON m.ri = ra.ri AND m.ai = ra.ai""")
+SELECT ra.ri, ra.ai, round(mean, 6) + 0.0 AS mean, p > mean * {_ALPHA} AS detected FROM ra JOIN m ON m.ri = ra.ri AND m.ai = ra.ai""")
 def r02_ca_cfar_zero(spark: SparkSession, sf: str) -> DataFrame:
     """The same with zeros beyond the edges."""
     ra = d.cells(spark, sf).groupBy("ri", "ai").agg(F.avg("p").alias("p"))
@@ -149,7 +149,7 @@ def r02_ca_cfar_zero(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_RA}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da)), m AS (SELECT ra.ri, ra.ai, quantile_cont(t.p, 0.75) AS level FROM ra CROSS JOIN o JOIN ra t ON t.ri = ra.ri + dr AND t.ai = ra.ai + da GROUP BY ALL)
-SELECT ra.ri, ra.ai, round(level, 6) AS level, coalesce(ra.ri BETWEEN 3 AND 28 AND ra.ai BETWEEN 3 AND 12 AND p > level * 1.05, false) AS detected FROM ra LEFT JOIN m ON m.ri = ra.ri AND m.ai = ra.ai""")
+SELECT ra.ri, ra.ai, round(level, 6) + 0.0 AS level, coalesce(ra.ri BETWEEN 3 AND 28 AND ra.ai BETWEEN 3 AND 12 AND p > level * 1.05, false) AS detected FROM ra LEFT JOIN m ON m.ri = ra.ri AND m.ai = ra.ai""")
 def r03_os_cfar(spark: SparkSession, sf: str) -> DataFrame:
     """Ordered-statistic CFAR on the range-azimuth map."""
     ra = d.cells(spark, sf).groupBy("ri", "ai").agg(F.avg("p").alias("p"))
@@ -157,7 +157,7 @@ def r03_os_cfar(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {CE}, q AS (SELECT ri, sum(p) AS p FROM ce GROUP BY ri), m AS (SELECT ri, p, (coalesce(lag(p, 2) OVER w, 0) + coalesce(lag(p, 3) OVER w, 0) + coalesce(lead(p, 2) OVER w, 0) + coalesce(lead(p, 3) OVER w, 0)) / 4 AS mean FROM q WINDOW w AS (ORDER BY ri))
-SELECT ri, round(mean, 4) AS mean, p > mean * 1.1 AS detected FROM m""")
+SELECT ri, round(mean, 4) + 0.0 AS mean, p > mean * 1.1 AS detected FROM m""")
 def r05_w14_range_cfar(spark: SparkSession, sf: str) -> DataFrame:
     """One-dimensional CFAR along range: two training cells behind one guard cell on both sides, zeros beyond the ends."""
     line = d.cells(spark, sf).groupBy("ri").agg(F.sum("p").alias("p"))
@@ -166,7 +166,7 @@ def r05_w14_range_cfar(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_RA}, m AS (SELECT a.ri, a.ai, max(b.p) AS top FROM ra a JOIN ra b ON abs(a.ri - b.ri) <= 1 AND abs(a.ai - b.ai) <= 1 GROUP BY ALL)
-SELECT ra.ri, ra.ai, round(p, 6) AS p FROM ra JOIN m ON m.ri = ra.ri AND m.ai = ra.ai WHERE p = top""")
+SELECT ra.ri, ra.ai, round(p, 6) + 0.0 AS p FROM ra JOIN m ON m.ri = ra.ri AND m.ai = ra.ai WHERE p = top""")
 def w13_local_maxima(spark: SparkSession, sf: str) -> DataFrame:
     """Cells that are the maximum of their 3 by 3 neighbourhood."""
     ra = d.cells(spark, sf).groupBy("ri", "ai").agg(F.avg("p").alias("p"))
@@ -175,7 +175,7 @@ def w13_local_maxima(spark: SparkSession, sf: str) -> DataFrame:
     return ra.join(top, ["ri", "ai"]).where("p = top").select("ri", "ai", _r("p").alias("p"))
 
 
-@query(f"WITH {PT} SELECT pk % 16 AS ai, ln AS ei, round(min(sqrt(x*x + y*y + z*z)), 6) AS first_return, round(max(sqrt(x*x + y*y + z*z)), 6) AS last_return FROM pt GROUP BY ALL")
+@query(f"WITH {PT} SELECT pk % 16 AS ai, ln AS ei, round(min(sqrt(x*x + y*y + z*z)), 6) + 0.0 AS first_return, round(max(sqrt(x*x + y*y + z*z)), 6) + 0.0 AS last_return FROM pt GROUP BY ALL")
 def w09_r10_first_returns(spark: SparkSession, sf: str) -> DataFrame:
     """First and last return along every ray."""
     rng, _, _ = g.xyz_to_polar(F.col("x"), F.col("y"), F.col("z"))
@@ -194,7 +194,7 @@ _ORD = "ok, ln, pk, sk, power"
 
 
 @query(f"""WITH {PT}, r AS (SELECT *, {_VOX}, row_number() OVER (PARTITION BY frame, floor(x / 10), floor((y + 16) / 8) ORDER BY {_ORD}) AS k FROM pt)
-SELECT frame, vx, vy, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(power), 4) AS power, max(power) AS max_power FROM r WHERE k <= 4 GROUP BY ALL""")
+SELECT frame, vx, vy, count(*) AS n, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(power), 4) + 0.0 AS power, max(power) AS max_power FROM r WHERE k <= 4 GROUP BY ALL""")
 def a26_a28_voxel_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Mean and maximum of the first four points of every voxel, in the order of the points' keys."""
     p = d.points(spark, sf).withColumn("vx", F.floor(F.col("x") / 10)).withColumn("vy", F.floor((F.col("y") + 16) / 8))
@@ -227,7 +227,7 @@ def a43_depth_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_RA}, w AS (SELECT i, (i * 7 % 300) / 10.0::DOUBLE AS x, (i * 11 % 140) / 10.0::DOUBLE AS y FROM (SELECT DISTINCT CAST(pk % 997 AS INT) AS i FROM (SELECT l_partkey AS pk FROM lineitem))),
 c AS (SELECT i, x, y, CAST(floor(x) AS INT) + dx AS ri, CAST(floor(y) AS INT) + dy AS ai, abs(1 - dx - (x - floor(x))) * abs(1 - dy - (y - floor(y))) AS wt FROM w, (VALUES (0,0),(0,1),(1,0),(1,1)) v(dx, dy))
-SELECT c.i, round(sum(wt * coalesce(ra.p, 0)), 4) AS p FROM c LEFT JOIN ra ON ra.ri = c.ri AND ra.ai = c.ai GROUP BY c.i""")
+SELECT c.i, round(sum(wt * coalesce(ra.p, 0)), 4) + 0.0 AS p FROM c LEFT JOIN ra ON ra.ri = c.ri AND ra.ai = c.ai GROUP BY c.i""")
 def g12_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     """Bilinear samples of the range-azimuth map."""
     ra = d.cells(spark, sf).groupBy(F.col("ri").alias("i"), F.col("ai").alias("j")).agg(F.avg("p").alias("p"))
@@ -236,9 +236,9 @@ def g12_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     return bilinear(ra, at, "x", "y", "p", "k").select(F.col("k").alias("i"), F.round("p", 4).alias("p"))
 
 
-@query(f"""WITH {PT} SELECT ok, ln, pk, sk, round(power * exp(-0.02 * greatest(sqrt(x*x + y*y + z*z) - 10, 0)), 4) AS attenuated, greatest(2000, least(50000, power)) AS saturated,
+@query(f"""WITH {PT} SELECT ok, ln, pk, sk, round(power * exp(-0.02 * greatest(sqrt(x*x + y*y + z*z) - 10, 0)), 4) + 0.0 AS attenuated, greatest(2000, least(50000, power)) AS saturated,
 NOT (degrees(atan2(y, x)) BETWEEN -20 AND 20) AS seen, NOT (sqrt(x*x + y*y + z*z) BETWEEN 20 AND 40) AS in_range, (ok * 8 + ln) % 3 = 0 AS strided,
-round(cos(0.05) * (x + 0.3) - sin(0.05) * (y - 0.2), 6) AS drift_x, round(sin(0.05) * (x + 0.3) + cos(0.05) * (y - 0.2), 6) AS drift_y FROM pt""")
+round(cos(0.05) * (x + 0.3) - sin(0.05) * (y - 0.2), 6) + 0.0 AS drift_x, round(sin(0.05) * (x + 0.3) + cos(0.05) * (y - 0.2), 6) + 0.0 AS drift_y FROM pt""")
 def n18_n28_corruptions(spark: SparkSession, sf: str) -> DataFrame:
     """Deterministic corruptions of points: attenuation, saturation, occlusion, range drop-out, stride, calibration drift."""
     p = d.points(spark, sf)

@@ -112,7 +112,7 @@ def _odometry(spark: SparkSession, sf: str) -> DataFrame:
     return df.where("seq IS NOT NULL AND t BETWEEN 1514764800000000 AND 4102444800000000 AND abs(x) < 50000 AND abs(y) < 50000 AND NOT isnan(x) AND NOT isnan(y)")
 
 
-@query(f"""WITH {_ODO} SELECT odo_id, round(avg(x) OVER w, 6) AS mean_x, round(avg(y) OVER w, 6) AS mean_y FROM ok
+@query(f"""WITH {_ODO} SELECT odo_id, round(avg(x) OVER w, 6) + 0.0 AS mean_x, round(avg(y) OVER w, 6) + 0.0 AS mean_y FROM ok
 WINDOW w AS (PARTITION BY seq ORDER BY t, odo_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def w08_moving_average(spark: SparkSession, sf: str) -> DataFrame:
     """Centred moving average of the path, shorter at the ends."""
@@ -121,7 +121,7 @@ def w08_moving_average(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_ODO}, s AS (SELECT seq, t, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS step FROM ok WINDOW w AS (PARTITION BY seq ORDER BY t, odo_id))
-SELECT seq, count(*) AS readings, round(sum(step), 3) AS length, max(t) - min(t) AS micros FROM s GROUP BY seq""")
+SELECT seq, count(*) AS readings, round(sum(step), 3) + 0.0 AS length, max(t) - min(t) AS micros FROM s GROUP BY seq""")
 def q06_path_length(spark: SparkSession, sf: str) -> DataFrame:
     """Readings, length and duration of every sequence's path."""
     w = Window.partitionBy("seq").orderBy("t", "odo_id")
@@ -184,7 +184,7 @@ def d16_sequence_road(spark: SparkSession, sf: str) -> DataFrame:
     return n.groupBy("seq").agg(F.min(F.struct((-F.col("n")).alias("m"), "road")).alias("b")).select("seq", F.col("b.road"), (-F.col("b.m")).alias("n"))
 
 
-@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL""")
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean_value FROM events GROUP BY ALL""")
 def q10_tumbling_hours(spark: SparkSession, sf: str) -> DataFrame:
     """Events per hour and type; streaming twin: quernstone.streaming.windows.tumbling_counts."""
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -195,7 +195,7 @@ def q10_tumbling_hours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, min(ts) AS started, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+SELECT user_id, min(ts) AS started, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM s GROUP BY user_id, k""")
 def q10_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of every user: events less than six hours apart."""
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
