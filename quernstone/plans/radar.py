@@ -225,14 +225,14 @@ def a43_depth_map(spark: SparkSession, sf: str) -> DataFrame:
     return d.points(spark, sf).groupBy("frame", (F.col("pk") % 64).alias("u"), ((F.col("z") + 2) * 4).cast("bigint").alias("v")).agg(F.max_by("x", order).alias("depth"))
 
 
-@query(f"""WITH {_RA}, w AS (SELECT i, (i * 7 % 300) / 10.0::DOUBLE AS x, (i * 11 % 140) / 10.0::DOUBLE AS y FROM (SELECT DISTINCT CAST(pk % 997 AS INT) AS i FROM (SELECT l_partkey AS pk FROM lineitem))),
+@query(f"""WITH {_RA}, w AS (SELECT i, (i * 7 % 300) / 10.37::DOUBLE AS x, (i * 11 % 140) / 10.37::DOUBLE AS y FROM (SELECT DISTINCT CAST(pk % 997 AS INT) AS i FROM (SELECT l_partkey AS pk FROM lineitem))),
 c AS (SELECT i, x, y, CAST(floor(x) AS INT) + dx AS ri, CAST(floor(y) AS INT) + dy AS ai, abs(1 - dx - (x - floor(x))) * abs(1 - dy - (y - floor(y))) AS wt FROM w, (VALUES (0,0),(0,1),(1,0),(1,1)) v(dx, dy))
 SELECT c.i, round(sum(wt * coalesce(ra.p, 0)), 4) + 0.0 AS p FROM c LEFT JOIN ra ON ra.ri = c.ri AND ra.ai = c.ai GROUP BY c.i""")
 def g12_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     """Bilinear samples of the range-azimuth map."""
     ra = d.cells(spark, sf).groupBy(F.col("ri").alias("i"), F.col("ai").alias("j")).agg(F.avg("p").alias("p"))
     at = table(spark, sf, "lineitem").select((F.col("l_partkey") % 997).cast("int").alias("k")).distinct()
-    at = at.select("k", ((F.col("k") * 7 % 300) / 10.0).alias("x"), ((F.col("k") * 11 % 140) / 10.0).alias("y"))
+    at = at.select("k", ((F.col("k") * 7 % 300) / 10.37).alias("x"), ((F.col("k") * 11 % 140) / 10.37).alias("y"))
     return bilinear(ra, at, "x", "y", "p", "k").select(F.col("k").alias("i"), F.round("p", 4).alias("p"))
 
 
