@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.bpe import RANKS, token_counts
 from quernstone.llm.sampling import slot_of
-from quernstone.session import write_stage
+from quernstone.session import cut_lineage, write_stage
 
 
 def share_out(children: DataFrame, parent: list[str], budget: str, weight: str, cap: str, out: str) -> DataFrame:
@@ -77,7 +77,8 @@ def mix_sources(
     counted = token_counts(listed.where("_id IS NOT NULL"), "_text", "_n", ranks)
     sized = write_stage(counted.dropDuplicates(["_id"]).withColumn("_leaf", F.concat_ws("\t", "_dom", "_lang", "_src")), "mix")
 
-    leaves = sized.groupBy("_leaf", "_dom", "_lang", "_src").agg(F.sum("_n").cast("double").alias("_tokens"))
+    # leaves and budgets are small summaries used several times: computed once, each from files afterwards
+    leaves = cut_lineage(sized.groupBy("_leaf", "_dom", "_lang", "_src").agg(F.sum("_n").cast("double").alias("_tokens")))
     per_source = leaves.groupBy("_src").agg(F.sum("_tokens").alias("_have"))
     total = leaves.agg(F.coalesce(F.sum("_tokens"), F.lit(0.0)).alias("_total"))  # one row
     tree = (
@@ -106,7 +107,7 @@ def mix_sources(
         F.floor(F.col("_budget") / F.col("_tokens") + 1e-9).cast("int").alias("_full"),
         (F.col("_budget") - F.floor(F.col("_budget") / F.col("_tokens") + 1e-9) * F.col("_tokens")).alias("_rest"),
     )
-    budgets = budgets.withColumn("_rest", F.greatest(F.floor(F.col("_rest") + 1e-6), F.lit(0)).cast("bigint"))
+    budgets = cut_lineage(budgets.withColumn("_rest", F.greatest(F.floor(F.col("_rest") + 1e-6), F.lit(0)).cast("bigint")))
     order = F.xxhash64(F.lit(seed), "_full", "_id")
     placed = sized.join(budgets, "_leaf").withColumn("_p", order).withColumn("_s", slot_of(F.col("_p"), slots))
     sums = placed.groupBy("_leaf", "_s").agg(F.sum("_n").alias("_sn"), F.first("_rest").alias("_rest"))
@@ -118,7 +119,7 @@ def mix_sources(
     easy = both.where(~ends_here).withColumn("_more", (F.col("_left") > 0).cast("int"))
     edge = both.where(ends_here).withColumn("_more", (F.sum("_n").over(inside) <= F.col("_left")).cast("int"))
     used = easy.unionByName(edge).withColumn("_more", F.when(F.col("_n") > 0, F.col("_more")).otherwise(0))
-    mix = used.withColumn("repeats", F.col("_full") + F.col("_more")).where("repeats > 0")
+    mix = write_stage(used.withColumn("repeats", F.col("_full") + F.col("_more")).where("repeats > 0").select("_id", "_src", "_n", "repeats"), "mix-used")
 
     taken = mix.groupBy("_src").agg(F.sum(F.col("_n") * F.col("repeats")).alias("_taken"))
     all_taken = taken.agg(F.coalesce(F.sum("_taken"), F.lit(0)).alias("_all"))  # one row
