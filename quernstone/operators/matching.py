@@ -40,15 +40,17 @@ def bev_candidates(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float
 def greedy_pairs(pairs: DataFrame, group: Sequence[str], claimant: str, target: str, priority: Sequence[Column], preference: Sequence[Column]) -> DataFrame:
     """One-to-one matches among candidate pairs: claimants in ``priority`` order take their best free target.
 
-    A claimant ranks its targets by ``preference``. With G targets in a group, a target is surely taken after G
-    claimants that could have it, so only the first G claimants of each target are kept (exactly, by rank); a group
-    is then at most G * G pairs however many claimants it has. The pass itself is a stream over sorted partitions:
-    the state is the set of taken ids of the current group. Returns the rows of ``pairs`` that matched.
+    A claimant ranks its targets by ``preference``. In a group of C claimants and T targets a target is surely taken
+    after T claimants that could have it, and a claimant never looks past its C best targets, so only those pairs are kept
+    (exactly, by rank): a group has at most min(C, T) squared pairs however lopsided it is. The pass itself is a stream over
+    sorted partitions: the state is the set of taken ids of the current group. Returns the rows of ``pairs`` that matched.
     """
     g = list(group)
-    per_group = pairs.groupBy(*g).agg(F.countDistinct(target).alias("_targets"))
+    per_group = pairs.groupBy(*g).agg(F.countDistinct(target).alias("_targets"), F.countDistinct(claimant).alias("_claimants"))
     nth = F.dense_rank().over(Window.partitionBy(*g, target).orderBy(*priority, F.col(claimant)))
-    kept = pairs.withColumn("_nth", nth).join(per_group, g).where(F.col("_nth") <= F.col("_targets")).drop("_nth", "_targets")
+    choice = F.dense_rank().over(Window.partitionBy(*g, claimant).orderBy(*preference, F.col(target)))
+    kept = pairs.withColumn("_nth", nth).withColumn("_choice", choice).join(per_group, g)
+    kept = kept.where((F.col("_nth") <= F.col("_targets")) & (F.col("_choice") <= F.col("_claimants"))).drop("_nth", "_choice", "_targets", "_claimants")
     ordered = kept.withColumn("_g", F.xxhash64(*g)).repartition(*g).sortWithinPartitions(*g, *priority, F.col(claimant), *preference, F.col(target))
     columns = ordered.columns
 

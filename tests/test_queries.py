@@ -1,9 +1,8 @@
 import pytest
 
-from quernstone.plans import boxes, matching, radar, series
+from __spark_entry__ import CATALOGUES
 from tests.oracle import DATA, connection, same
 
-CATALOGUES = (boxes.query, matching.query, radar.query, series.query)
 WITH_SQL = sorted(k for c in CATALOGUES for k in c.sql)
 ALL = {k: q for c in CATALOGUES for k, q in c.queries.items()}
 SQL = {k: s for c in CATALOGUES for k, s in c.sql.items()}
