@@ -113,11 +113,12 @@ def mix_sources(
     sums = placed.groupBy("_leaf", "_s").agg(F.sum("_n").alias("_sn"), F.first("_rest").alias("_rest"))
     upto = Window.partitionBy("_leaf").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     left = sums.select("_leaf", "_s", "_sn", (F.col("_rest") - F.coalesce(F.sum("_sn").over(upto), F.lit(0))).alias("_left"))
-    both = placed.join(left, ["_leaf", "_s"])
+    # one row per leaf: the slot in which its budget ends and what is left of the budget there
+    ends = cut_lineage(left.where("_sn > _left").groupBy("_leaf").agg(F.min(F.struct("_s", "_left")).alias("_end")))
+    both = placed.join(ends, "_leaf", "left").withColumn("_at_end", F.coalesce(F.col("_s") == F.col("_end._s"), F.lit(False)))
     inside = Window.partitionBy("_leaf", "_s").orderBy("_p", "_id").rowsBetween(Window.unboundedPreceding, 0)
-    ends_here = (F.col("_left") > 0) & (F.col("_sn") > F.col("_left"))
-    easy = both.where(~ends_here).withColumn("_more", (F.col("_left") > 0).cast("int"))
-    edge = both.where(ends_here).withColumn("_more", (F.sum("_n").over(inside) <= F.col("_left")).cast("int"))
+    easy = both.where("NOT _at_end").withColumn("_more", F.coalesce(F.col("_s") < F.col("_end._s"), F.lit(True)).cast("int"))
+    edge = both.where("_at_end").withColumn("_more", (F.sum("_n").over(inside) <= F.col("_end._left")).cast("int"))
     used = easy.unionByName(edge).withColumn("_more", F.when(F.col("_n") > 0, F.col("_more")).otherwise(0))
     mix = write_stage(used.withColumn("repeats", F.col("_full") + F.col("_more")).where("repeats > 0").select("_id", "_src", "_n", "repeats"), "mix-used")
 
