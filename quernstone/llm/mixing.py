@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.bpe import RANKS, token_counts
 from quernstone.llm.sampling import slot_of
-from quernstone.session import cut_lineage, write_stage
+from quernstone.session import write_stage
 
 
 def share_out(children: DataFrame, parent: list[str], budget: str, weight: str, cap: str, out: str) -> DataFrame:
@@ -77,8 +77,8 @@ def mix_sources(
     counted = token_counts(listed.where("_id IS NOT NULL"), "_text", "_n", ranks)
     sized = write_stage(counted.dropDuplicates(["_id"]).withColumn("_leaf", F.concat_ws("\t", "_dom", "_lang", "_src")), "mix")
 
-    # leaves and budgets are small summaries used several times: computed once, each from files afterwards
-    leaves = cut_lineage(sized.groupBy("_leaf", "_dom", "_lang", "_src").agg(F.sum("_n").cast("double").alias("_tokens")))
+    # leaves, budgets and ends are small summaries: written once, so that later plans know how small they are
+    leaves = write_stage(sized.groupBy("_leaf", "_dom", "_lang", "_src").agg(F.sum("_n").cast("double").alias("_tokens")), "mix-leaves")
     per_source = leaves.groupBy("_src").agg(F.sum("_tokens").alias("_have"))
     total = leaves.agg(F.coalesce(F.sum("_tokens"), F.lit(0.0)).alias("_total"))  # one row
     tree = (
@@ -107,14 +107,14 @@ def mix_sources(
         F.floor(F.col("_budget") / F.col("_tokens") + 1e-9).cast("int").alias("_full"),
         (F.col("_budget") - F.floor(F.col("_budget") / F.col("_tokens") + 1e-9) * F.col("_tokens")).alias("_rest"),
     )
-    budgets = cut_lineage(budgets.withColumn("_rest", F.greatest(F.floor(F.col("_rest") + 1e-6), F.lit(0)).cast("bigint")))
+    budgets = write_stage(budgets.withColumn("_rest", F.greatest(F.floor(F.col("_rest") + 1e-6), F.lit(0)).cast("bigint")), "mix-budgets")
     order = F.xxhash64(F.lit(seed), "_full", "_id")
     placed = sized.join(budgets, "_leaf").withColumn("_p", order).withColumn("_s", slot_of(F.col("_p"), slots))
     sums = placed.groupBy("_leaf", "_s").agg(F.sum("_n").alias("_sn"), F.first("_rest").alias("_rest"))
     upto = Window.partitionBy("_leaf").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     left = sums.select("_leaf", "_s", "_sn", (F.col("_rest") - F.coalesce(F.sum("_sn").over(upto), F.lit(0))).alias("_left"))
     # one row per leaf: the slot in which its budget ends and what is left of the budget there
-    ends = cut_lineage(left.where("_sn > _left").groupBy("_leaf").agg(F.min(F.struct("_s", "_left")).alias("_end")))
+    ends = write_stage(left.where("_sn > _left").groupBy("_leaf").agg(F.min(F.struct("_s", "_left")).alias("_end")), "mix-ends")
     both = placed.join(ends, "_leaf", "left").withColumn("_at_end", F.coalesce(F.col("_s") == F.col("_end._s"), F.lit(False)))
     inside = Window.partitionBy("_leaf", "_s").orderBy("_p", "_id").rowsBetween(Window.unboundedPreceding, 0)
     easy = both.where("NOT _at_end").withColumn("_more", F.coalesce(F.col("_s") < F.col("_end._s"), F.lit(True)).cast("int"))
