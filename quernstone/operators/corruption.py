@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.operators.blocks import numbered
+
 
 def uniform(seed: int, effect: str, *keys: Column) -> Column:
     """A draw in [0, 1) that depends only on seed, effect and keys: the same in any partitioning and any process."""
@@ -46,12 +48,16 @@ def calibration_drift(x: Column, y: Column, dx: float, dy: float, yaw: float) ->
     return math.cos(yaw) * u - math.sin(yaw) * v, math.sin(yaw) * u + math.cos(yaw) * v
 
 
-def partial_loss(df: DataFrame, by: Sequence[str], share: float, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
-    """Set ``columns`` of exactly floor(n * share) rows of every group to 0 and mark them ``lost``; all rows stay."""
-    k = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    n = F.count("*").over(Window.partitionBy(*by))
-    df = df.withColumn("lost", k <= F.floor(n * share))
-    return df.withColumns({c: F.when(F.col("lost"), F.lit(0.0)).otherwise(F.col(c)) for c in columns})
+def partial_loss(df: DataFrame, by: Sequence[str], share: float, draw: Column, ties: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Set ``columns`` of exactly floor(n * share) rows of every group to 0 and mark them ``lost``; all rows stay.
+
+    The rows of the least ``draw`` (a whole number, ties broken by ``ties``) are lost. Places are counted bucket by
+    bucket of the draw, so a group of any size is many tasks.
+    """
+    n = df.groupBy(*by).agg(F.count("*").alias("_all"))
+    drawn = numbered(df.withColumn("_draw", draw), list(by), ["_draw", *ties], "_draw div 100000", "_k").join(n, list(by))
+    drawn = drawn.withColumn("lost", F.col("_k") < F.floor(F.col("_all") * share)).drop("_draw", "_k", "_all")
+    return drawn.withColumns({c: F.when(F.col("lost"), F.lit(0.0)).otherwise(F.col(c)) for c in columns})
 
 
 def gaussian_noise(df: DataFrame, keys: Sequence[str], columns: dict[str, float], seed: int) -> DataFrame:

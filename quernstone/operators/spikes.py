@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.keys import whole_number
 from quernstone.operators import path_residuals as pr
+from quernstone.operators.blocks import blocked, numbered
 from quernstone.session import write_stage
 
 #: 2018-01-01 and 2101-01-01 in UTC microseconds; fixed values of the problem statement.
@@ -75,39 +76,17 @@ def implausible_readings(
     base = base.withColumn("_range", out_of_range)
     ranged = base.where("_range").select("_id", "_src", F.lit(0).alias("_why"))
 
-    minute = F.floor(F.col("_t") / 60_000_000)
-    timed = base.where(timed_ok & F.col("_src").isNotNull()).select(
-        "_id", "_src", "_t", minute.alias("_m"), *[F.when(sane(n), F.col(n)).alias(n) for n in names]
-    )
-    sizes = timed.groupBy("_src", "_m").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_src").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_src", "_m", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_src", "_m").orderBy("_t", "_id")) - 1
-    at = F.col("_i") % block
-    own = F.floor(F.col("_i") / block)
-    blocks = write_stage(
-        timed.withColumn("_p", place)
-        .join(starts, ["_src", "_m"])
-        .withColumn("_i", F.col("_start") + F.col("_p"))
-        .withColumn(
-            "_blocks",
-            F.concat(
-                F.array(own),
-                F.when((at < halo) & (own > 0), F.array(own - 1)).otherwise(F.array().cast("array<bigint>")),
-                F.when(at >= block - halo, F.array(own + 1)).otherwise(F.array().cast("array<bigint>")),
-            ),
-        )
-        .select("_id", "_src", "_t", "_i", (own).alias("_own"), *names, F.explode("_blocks").alias("_b")),
-        "spikes",
-    )
+    timed = base.where(timed_ok & F.col("_src").isNotNull()).select("_id", "_src", "_t", *[F.when(sane(n), F.col(n)).alias(n) for n in names])
+    placed = numbered(timed, ["_src"], ["_t", "_id"], "_t div 60000000")
+    blocks = write_stage(blocked(placed, "_i", block, halo), "spikes")
 
     order = Window.partitionBy("_src", "_b").orderBy("_i")
     t0, t1 = F.lag("_t").over(order), F.lead("_t").over(order)
     part = F.try_divide(F.col("_t") - t0, t1 - t0)
     bends = [F.abs(F.col(n) - F.lag(n).over(order) - part * (F.lead(n).over(order) - F.lag(n).over(order))).alias(n) for n in names]
     scatter = (
-        blocks.select("_src", "_b", "_own", *bends)
-        .where("_b = _own")
+        blocks.select("_src", "_core", *bends)
+        .where("_core")
         .groupBy("_src")
         # median |bend| of normal noise s is 0.6745 * sqrt(1.5) * s
         .agg(*[(F.percentile_approx(F.when(F.col(n) > 0, F.col(n)), 0.5, 10_000) / (0.6745 * 1.5**0.5)).alias(f"_s{n}") for n in names])
@@ -115,7 +94,7 @@ def implausible_readings(
 
     def look(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_i", kind="stable")
-        core = (g["_b"] == g["_own"]).to_numpy()
+        core = g["_core"].to_numpy()
         t = (g["_t"].to_numpy() - g["_t"].iloc[0]) / 1e6
         values = [g[n].to_numpy(dtype=float) for n in names]
         still = np.zeros(len(g), dtype=bool)

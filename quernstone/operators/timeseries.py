@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.operators.blocks import carried, numbered
 
-def quarter_split(df: DataFrame, group: str, order: str) -> DataFrame:
+
+def quarter_split(df: DataFrame, group: str, order: str, bucket: str) -> DataFrame:
     """Add ``split``: the first and third quarter of every group are ``train``, the others ``test`` (quarters cut by whole division)."""
-    i = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    df = df.withColumn("_i", i).withColumn("_n", F.count("*").over(Window.partitionBy(group)))
+    n = df.groupBy(group).agg(F.count("*").alias("_n"))
+    df = numbered(df, [group], [order], bucket).join(n, group)
     third = (F.col("_i") >= F.expr("_n div 2")) & (F.col("_i") < F.expr("(3 * _n) div 4"))
     return df.withColumn("split", F.when((F.col("_i") < F.expr("_n div 4")) | third, "train").otherwise("test")).drop("_i", "_n")
 
@@ -24,30 +26,27 @@ def linear_clock_join(left: DataFrame, right: DataFrame, group: str, left_index:
     return keyed.join(r, (F.col(group) == F.col("_g")) & (F.col("_at") == F.col(right_index)), "left").drop("_g", "_at")
 
 
-def nearest_any(left: DataFrame, right: DataFrame, group: str, time: str, ident: str) -> DataFrame:
+def nearest_any(left: DataFrame, right: DataFrame, group: str, time: str, ident: str, bucket: str) -> DataFrame:
     """(group, time, ident, gap) of every distinct left instant: the right row nearest in time, no tolerance.
 
-    Both sides are unioned by instant and the last right row at or before, and the first at or after, are carried over by
-    ordered windows. Equal distance: smaller id. Groups without right rows are left out; unset times and groups too.
+    Both sides are unioned by instant; the last right row at or before and the first at or after each instant are
+    carried over, bucket by bucket. Equal distance: smaller id. Groups without right rows are left out; unset times and
+    groups too.
     """
     known = F.col(group).isNotNull() & F.col(time).isNotNull()
     a = left.where(known).select(group, time).distinct().select(group, time, F.lit(None).cast("bigint").alias("_id"))
     b = right.where(known).groupBy(group, time).agg(F.min(ident).alias("_id"))
     mark = F.when(F.col("_id").isNotNull(), F.struct(F.col(time).alias("t"), F.col("_id").alias("id")))
-    # order: at one instant the right row stands both before and after the left row, so rows of an instant share a frame
-    w = Window.partitionBy(group).orderBy(time)
-    before = F.last(mark, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    both = a.unionByName(b).select(group, time, F.col("_id"), before.alias("_b"), after.alias("_a")).where("_id IS NULL")
+    both = carried(a.unionByName(b), [group], [time], bucket, mark, "_before")
+    both = carried(both, [group], [time], bucket, mark, "_after", backward=True).where("_id IS NULL")
 
-    def candidate(c: str):
+    def candidate(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(time) - F.col(f"{c}.t")).alias("gap"), F.col(f"{c}.id").alias("id")))
 
-    best = F.least(candidate("_b"), candidate("_a"))
-    return both.withColumn("_m", best).where("_m IS NOT NULL").select(group, time, F.col("_m.id").alias(ident), F.col("_m.gap").alias("gap"))
+    best = both.withColumn("_best", F.least(candidate("_before"), candidate("_after"))).where("_best IS NOT NULL")
+    return best.select(group, time, F.col("_best.id").alias(ident), F.col("_best.gap").alias("gap"))
 
 
-def hold_last(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+def hold_last(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str, bucket: str) -> DataFrame:
     """Add ``out``: the value, or the last one known before it in its group; null if there is none yet."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    return carried(df, group, order, bucket, F.col(value), out)

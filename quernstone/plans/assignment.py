@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
+from quernstone.operators.blocks import running_sums
 from quernstone.operators.matching import bev, bev_candidates, greedy_pairs
 from quernstone.operators.spatial import overlapping_pairs, within_radius
 from quernstone.plans import domain as d
@@ -228,8 +229,9 @@ FROM gt WHERE seq IS NOT NULL AND frame IS NOT NULL GROUP BY seq, frame""")  # f
 def a36_ragged_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Ragged batches of a sequence: boxes per frame, start offset and padded size."""
     n = d.gt(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL").groupBy("seq", "frame").agg(F.count("*").alias("boxes"))
-    before = Window.partitionBy("seq").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    return n.select("seq", "frame", "boxes", F.max("boxes").over(Window.partitionBy("seq")).alias("padded"), F.coalesce(F.sum("boxes").over(before), F.lit(0)).alias("start"))
+    widest = n.groupBy("seq").agg(F.max("boxes").alias("padded"))
+    upto = running_sums(n, ["seq"], ["frame"], "frame div 4096", {"upto": "boxes"})
+    return upto.join(widest, "seq").select("seq", "frame", "boxes", "padded", (F.col("upto") - F.col("boxes")).alias("start"))
 
 
 @query(f"""WITH {GT}, e AS (SELECT gt_id, unnest([0, 1, 2]) AS level, h * 25 AS height, CASE WHEN ambiguous THEN 1 ELSE 0 END AS occluded, (gt_id % 10) / 20.0::DOUBLE AS truncated FROM gt)

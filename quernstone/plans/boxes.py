@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
+from quernstone.operators.blocks import numbered
 from quernstone.operators.evaluation import average_precision, match_rows_by_track, transition_rates
 from quernstone.operators.spatial import overlapping_pairs
 from quernstone.plans import domain as d
@@ -308,8 +309,8 @@ def j17_g06_best_aligned(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {GT} SELECT gt_id, seq, frame, CAST(row_number() OVER (PARTITION BY seq, frame ORDER BY line_idx, gt_id) - 1 AS INT) AS idx FROM gt WHERE seq IS NOT NULL AND frame IS NOT NULL")
 def w01_object_index(spark: SparkSession, sf: str) -> DataFrame:
     """Index of every label within its frame, by line number."""
-    w = Window.partitionBy("seq", "frame").orderBy("line_idx", "gt_id")
-    return d.gt(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL").select("gt_id", "seq", "frame", (F.row_number().over(w) - 1).alias("idx"))
+    df = d.gt(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL")
+    return numbered(df, ["seq", "frame"], ["line_idx", "gt_id"], "coalesce(line_idx div 256, -1)", "idx").select("gt_id", "seq", "frame", F.col("idx").cast("int").alias("idx"))
 
 
 @query(f"""WITH {PR} SELECT seq, frame, CASE WHEN bool_or(cond = 'original') THEN 'original' ELSE min(cond) END AS chosen FROM pr

@@ -256,5 +256,5 @@ SELECT frame, n, count(*) FILTER (k <= CAST(floor(n * 0.3) AS BIGINT)) AS zeroed
 def n08_partial_loss(spark: SparkSession, sf: str) -> DataFrame:
     """Exactly the floor of 0.3 n points of every frame set to zero, rows kept, chosen by a reproducible order."""
     draw = (F.col("ok") * 7919 + F.col("ln") * 104729 + F.col("pk") * 1299709) % 1000003
-    lost = n.partial_loss(d.points(spark, sf), ["frame"], 0.3, [draw, *map(F.col, ("ok", "ln", "pk", "sk", "power"))], ["power"])
+    lost = n.partial_loss(d.points(spark, sf), ["frame"], 0.3, draw, ["ok", "ln", "pk", "sk", "power"], ["power"])
     return lost.groupBy("frame").agg(F.count("*").alias("n"), F.count_if("lost").alias("zeroed"), _total("power").alias("power"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from quernstone.functions.keys import set_clock, whole_number
+from quernstone.operators.blocks import bounded_window
 from quernstone.operators.timeseries import hold_last, linear_clock_join, nearest_any, quarter_split
 from quernstone.plans import domain as d
 from quernstone.plans.domain import FR, TG, Catalogue, _n
 from quernstone.session import table
 
 query = Catalogue()
+#: Buckets along the order of frames, odometry readings and instants (see operators.blocks).
+_FRAMES, _MINUTES = "frame div 4096", "t div 60000000"
 
 
 def _r(c, n: int = 6):
@@ -29,7 +32,7 @@ def _one_per_frame(spark: SparkSession, sf: str) -> DataFrame:
 SELECT seq, frame, CASE WHEN i < n // 4 THEN 'train' WHEN i < n // 2 THEN 'test' WHEN i < (3 * n) // 4 THEN 'train' ELSE 'test' END AS split FROM r""")
 def w07_quarter_split(spark: SparkSession, sf: str) -> DataFrame:
     """Train and test by consecutive quarters of every sequence."""
-    return quarter_split(_one_per_frame(spark, sf), "seq", "frame").select("seq", "frame", "split")
+    return quarter_split(_one_per_frame(spark, sf), "seq", "frame", _FRAMES).select("seq", "frame", "split")
 
 
 @query(f"""WITH {FR}, {_FIRST}, r AS (SELECT seq, frame, row_number() OVER (PARTITION BY seq ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY seq) AS n FROM f1),
@@ -37,7 +40,7 @@ s AS (SELECT seq, frame, CASE WHEN i < n // 4 OR (i >= n // 2 AND i < (3 * n) //
 SELECT split, count(*) AS frames, count(DISTINCT s.seq) AS seqs FROM s GROUP BY split""")
 def f07_split_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Frames and sequences of each split."""
-    s = quarter_split(_one_per_frame(spark, sf), "seq", "frame")
+    s = quarter_split(_one_per_frame(spark, sf), "seq", "frame", _FRAMES)
     return s.groupBy("split").agg(F.count("*").alias("frames"), F.countDistinct("seq").alias("seqs"))
 
 
@@ -46,21 +49,21 @@ k AS (SELECT seq, frame, list(frame) OVER (PARTITION BY seq, run ORDER BY frame
 SELECT seq, frame, nxt[1] AS next1, nxt[2] AS next2, nxt[3] AS next3 FROM k WHERE len(nxt) = 3""")
 def w05_following_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Each frame with the three that follow it, within unbroken runs of frame numbers."""
-    w = Window.partitionBy("seq").orderBy("frame")
-    runs = _one_per_frame(spark, sf).select("seq", "frame", (F.col("frame") - F.row_number().over(w)).alias("run"))
-    in_run = Window.partitionBy("seq", "run").orderBy("frame")
-    out = runs.select("seq", "frame", *[F.lead("frame", i).over(in_run).alias(f"next{i}") for i in (1, 2, 3)])
-    return out.where("next3 IS NOT NULL")
+    f = _one_per_frame(spark, sf).select("seq", "frame")
+    # every frame tells the three before it; one that hears of itself and three others has an unbroken run ahead
+    told = f.select("seq", F.explode(F.sequence(F.col("frame") - 3, F.col("frame"))).alias("frame"), F.col("frame").alias("by"))
+    full = told.groupBy("seq", "frame").agg(F.count("*").alias("n"), F.bool_or(F.col("by") == F.col("frame")).alias("own")).where("n = 4 AND own")
+    return full.select("seq", "frame", *[(F.col("frame") + i).alias(f"next{i}") for i in (1, 2, 3)])
 
 
 @query(f"""WITH {FR}, {_FIRST} SELECT seq, frame, lag(frame, 1) OVER w AS prev1, lag(frame, 2) OVER w AS prev2, CAST(least(2, row_number() OVER w - 1) AS INT) AS depth
 FROM f1 WINDOW w AS (PARTITION BY seq ORDER BY frame)""")
 def w06_past_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Each frame with the two before it and how many there are."""
-    w = Window.partitionBy("seq").orderBy("frame")
-    return _one_per_frame(spark, sf).select(
-        "seq", "frame", F.lag("frame", 1).over(w).alias("prev1"), F.lag("frame", 2).over(w).alias("prev2"), F.least(F.lit(2), F.row_number().over(w) - 1).alias("depth")
-    )
+    looks = {"prev1": lambda w: F.lag("frame", 1).over(w), "prev2": lambda w: F.lag("frame", 2).over(w)}
+    f = bounded_window(_one_per_frame(spark, sf).select("seq", "frame"), ["seq"], ["frame"], _FRAMES, 2, looks)
+    depth = F.col("prev1").isNotNull().cast("int") + F.col("prev2").isNotNull().cast("int")
+    return f.select("seq", "frame", "prev1", "prev2", depth.alias("depth"))
 
 
 @query(f"""WITH {FR}, {_FIRST}, k AS (SELECT DISTINCT seq, rdr FROM f1 WHERE rdr IS NOT NULL), l AS (SELECT seq, ldr64, min(frame) AS frame FROM f1 WHERE ldr64 IS NOT NULL GROUP BY ALL),
@@ -97,7 +100,7 @@ def j09_nearest_clock(spark: SparkSession, sf: str) -> DataFrame:
         micros = F.round(set_clock(F.col(time)) * 1_000_000).cast("bigint")
         return table(spark, sf, name).withColumn("k", whole_number(F.col("seq"))).withColumn("t", micros)
 
-    return nearest_any(side("lidar_frames", "timestamp_pc").select("k", "t"), side("camera_frames", "timestamp_img").select("k", "t", "image_id"), "k", "t", "image_id").select(
+    return nearest_any(side("lidar_frames", "timestamp_pc").select("k", "t"), side("camera_frames", "timestamp_img").select("k", "t", "image_id"), "k", "t", "image_id", _MINUTES).select(
         F.col("k").alias("seq"), "t", "image_id", "gap"
     )
 
@@ -116,17 +119,18 @@ def _odometry(spark: SparkSession, sf: str) -> DataFrame:
 WINDOW w AS (PARTITION BY seq ORDER BY t, odo_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def w08_moving_average(spark: SparkSession, sf: str) -> DataFrame:
     """Centred moving average of the path, shorter at the ends."""
-    w = Window.partitionBy("seq").orderBy("t", "odo_id").rowsBetween(-2, 2)
-    return _odometry(spark, sf).select("odo_id", _r(F.avg("x").over(w)).alias("mean_x"), _r(F.avg("y").over(w)).alias("mean_y"))
+    means = {f"mean_{a}": lambda w, a=a: _r(F.avg(a).over(w.rowsBetween(-2, 2))) for a in "xy"}
+    return bounded_window(_odometry(spark, sf), ["seq"], ["t", "odo_id"], _MINUTES, 2, means).select("odo_id", "mean_x", "mean_y")
 
 
 @query(f"""WITH {_ODO}, s AS (SELECT seq, t, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS step FROM ok WINDOW w AS (PARTITION BY seq ORDER BY t, odo_id))
 SELECT seq, count(*) AS readings, round(sum(step), 3) + 0.0 AS length, max(t) - min(t) AS micros FROM s GROUP BY seq""")
 def q06_path_length(spark: SparkSession, sf: str) -> DataFrame:
     """Readings, length and duration of every sequence's path."""
-    w = Window.partitionBy("seq").orderBy("t", "odo_id")
-    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
-    return _odometry(spark, sf).withColumn("step", step).groupBy("seq").agg(
+    def step(w: WindowSpec) -> Column:
+        return F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
+
+    return bounded_window(_odometry(spark, sf), ["seq"], ["t", "odo_id"], _MINUTES, 1, {"step": step}).groupBy("seq").agg(
         F.count("*").alias("readings"), F.round(F.sum("step"), 3).alias("length"), (F.max("t") - F.min("t")).alias("micros")
     )
 
@@ -136,7 +140,7 @@ SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY
 def q01_q02_last_frame_hold(spark: SparkSession, sf: str) -> DataFrame:
     """Blacked-out readings under the policies hold-last, zero and empty."""
     e = table(spark, sf, "events").withColumn("v", F.when(F.col("event_id") % 5 != 0, F.col("value")))
-    return hold_last(e, ["user_id"], ["ts", "event_id"], "v", "held").select("event_id", "held", F.coalesce("v", F.lit(0.0)).alias("zeroed"), F.col("v").isNull().alias("blacked_out"))
+    return hold_last(e, ["user_id"], ["ts", "event_id"], "v", "held", "date_trunc('DAY', ts)").select("event_id", "held", F.coalesce("v", F.lit(0.0)).alias("zeroed"), F.col("v").isNull().alias("blacked_out"))
 
 
 @query(f"""WITH {FR}, {_FIRST} SELECT seq, frame, frame % 10 = 9 AS every_tenth, frame IN (0, 7, 13) AS listed,

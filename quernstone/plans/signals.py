@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
+from quernstone.operators.blocks import bounded_window, numbered, running_sums
 from quernstone.operators.radar import above_quantile, ca_cfar
 from quernstone.operators.ranking import global_rank
 from quernstone.operators.spatial import within_radius
 from quernstone.plans import domain as d
 from quernstone.plans.domain import CE, PT, Catalogue
-from quernstone.plans.series import _ODO, _odometry
+from quernstone.plans.series import _MINUTES, _ODO, _odometry
 from quernstone.session import table
 
 query = Catalogue()
@@ -142,8 +143,7 @@ def a42_object_slices(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {PT} SELECT {_K}, CAST(row_number() OVER (PARTITION BY frame, flag ORDER BY {_K}) - 1 AS INT) AS idx FROM pt""")
 def w10_in_group_index(spark: SparkSession, sf: str) -> DataFrame:
     """Index of every point within its frame and class, by key."""
-    w = Window.partitionBy("frame", "flag").orderBy(*_KEY)
-    return d.points(spark, sf).select(*_KEY, (F.row_number().over(w) - 1).alias("idx"))
+    return numbered(d.points(spark, sf), ["frame", "flag"], _KEY, "ok", "idx").select(*_KEY, F.col("idx").cast("int").alias("idx"))
 
 
 @query(f"""WITH {_ODO}, s AS (SELECT odo_id, seq, t, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, ((odo_id * 37) % 11 - 5) / 1000.0::DOUBLE AS turn FROM ok WINDOW w AS (PARTITION BY seq ORDER BY t, odo_id)),
@@ -152,14 +152,13 @@ SELECT odo_id, round(yaw, 6) + 0.0 AS yaw, round(sum(coalesce(dx, 0) * cos(yaw)
 FROM h WINDOW w AS (PARTITION BY seq ORDER BY t, odo_id ROWS UNBOUNDED PRECEDING)""")
 def w11_q06_planar_poses(spark: SparkSession, sf: str) -> DataFrame:
     """Planar poses composed along every sequence: turns add up, steps are turned into the world and add up."""
-    c = F.col
-    w = Window.partitionBy("seq").orderBy("t", "odo_id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    s = _odometry(spark, sf).withColumn("dx", F.coalesce(c("x") - F.lag("x").over(w), F.lit(0.0))).withColumn("dy", F.coalesce(c("y") - F.lag("y").over(w), F.lit(0.0)))
-    s = s.withColumn("yaw", F.sum((c("odo_id") * 37 % 11 - 5) / 1000.0).over(upto))
-    gx, gy = g.rotated(c("dx"), c("dy"), c("yaw"))
-    s = s.withColumn("sx", gx).withColumn("sy", gy)
-    return s.select("odo_id", _r("yaw").alias("yaw"), F.round(F.sum("sx").over(upto), 4).alias("gx"), F.round(F.sum("sy").over(upto), 4).alias("gy"))
+    c, order = F.col, ["t", "odo_id"]
+    steps = {f"d{a}": lambda w, a=a: F.coalesce(c(a) - F.lag(a).over(w), F.lit(0.0)) for a in "xy"}
+    s = bounded_window(_odometry(spark, sf), ["seq"], order, _MINUTES, 1, steps).withColumn("turn", (c("odo_id") * 37 % 11 - 5) / 1000.0)
+    s = running_sums(s, ["seq"], order, _MINUTES, {"yaw": "turn"})
+    sx, sy = g.rotated(c("dx"), c("dy"), c("yaw"))
+    s = running_sums(s.withColumn("sx", sx).withColumn("sy", sy), ["seq"], order, _MINUTES, {"gx": "sx", "gy": "sy"})
+    return s.select("odo_id", _r("yaw").alias("yaw"), F.round("gx", 4).alias("gx"), F.round("gy", 4).alias("gy"))
 
 
 @query(f"""WITH {_ODO}, p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag((odo_id * 7 % 628) / 100.0::DOUBLE) OVER w AS pa, (odo_id * 7 % 628) / 100.0::DOUBLE AS a FROM ok WINDOW w AS (PARTITION BY seq ORDER BY t, odo_id))
@@ -167,9 +166,9 @@ SELECT odo_id, round(cos((a - pa) / 2), 6) + 0.0 AS qw, round(sin((a - pa) / 2),
 def m27_relative_poses(spark: SparkSession, sf: str) -> DataFrame:
     """Relative pose between neighbouring readings: quaternion about the vertical axis and translation."""
     c = F.col
-    w = Window.partitionBy("seq").orderBy("t", "odo_id")
-    a = c("odo_id") * 7 % 628 / 100.0
-    p = _odometry(spark, sf).withColumn("a", a).withColumn("px", F.lag("x").over(w)).withColumn("py", F.lag("y").over(w)).withColumn("pa", F.lag("a").over(w)).where("px IS NOT NULL")
+    before = {f"p{k}": lambda w, k=k: F.lag(k).over(w) for k in "xya"}
+    p = _odometry(spark, sf).withColumn("a", c("odo_id") * 7 % 628 / 100.0)
+    p = bounded_window(p, ["seq"], ["t", "odo_id"], _MINUTES, 1, before).where("px IS NOT NULL")
     tx, ty = g.rotated(c("x") - c("px"), c("y") - c("py"), -c("pa"))
     half = (c("a") - c("pa")) / 2
     return p.select("odo_id", _r(F.cos(half)).alias("qw"), _r(F.sin(half)).alias("qz"), _r(tx).alias("tx"), _r(ty).alias("ty"))

@@ -3,9 +3,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quernstone.operators import corruption, kernels
+from quernstone.operators import blocks, corruption, kernels
 from quernstone.operators.components import connected_components, star_edges
 from quernstone.operators.evaluation import average_precision
 from quernstone.operators.matching import greedy_pairs, suppressed
@@ -22,6 +23,23 @@ def test_global_rank(spark):
     assert global_rank(df.where("v < 0"), [F.asc("v")], "k").count() == 0
 
 
+def test_blocked_windows_equal_plain_ones(spark):
+    rng = random.Random(11)
+    rows = [(rng.randrange(3), i * 3 + rng.randrange(3), i, float(rng.randrange(9)) if rng.random() < 0.4 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, t int, id int, v double").repartition(6)
+    w = Window.partitionBy("g").orderBy("t", "id")
+    plain = df.select(
+        "id", (F.row_number().over(w) - 1).alias("n"), F.lag("id", 2).over(w).alias("lag"), F.last("v", ignorenulls=True).over(w).alias("last"),
+        F.first("v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("next"), F.coalesce(F.sum("v").over(w), F.lit(0.0)).alias("sum"),
+    )
+    cut = blocks.numbered(df, ["g"], ["t", "id"], "t div 100", "n")
+    cut = blocks.bounded_window(cut, ["g"], ["t", "id"], "t div 70", 2, {"lag": lambda w: F.lag("id", 2).over(w)}, block=17)
+    cut = blocks.carried(cut, ["g"], ["t", "id"], "t div 50", F.col("v"), "last")
+    cut = blocks.carried(cut, ["g"], ["t", "id"], "t div 50", F.col("v"), "next", backward=True)
+    cut = blocks.running_sums(cut, ["g"], ["t", "id"], "t div 40", {"sum": "v"})
+    assert sorted(map(tuple, cut.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
 def _union_find(pairs):
     root = {}
 
@@ -185,12 +203,12 @@ def test_corruptions_do_not_depend_on_partitions(spark):
     df = spark.range(300).select(F.col("id"), (F.col("id") % 5).alias("frame"), F.lit(1.0).alias("x"), F.lit(2.0).alias("power"))
     steps = [
         ("gaussian_noise", {"keys": ["id"], "columns": {"x": 0.5}, "seed": 3}),
-        ("partial_loss", {"by": ["frame"], "share": 0.3, "order": [F.xxhash64("id")], "columns": ["power"]}),
+        ("partial_loss", {"by": ["frame"], "share": 0.3, "draw": F.pmod(F.xxhash64("id"), F.lit(1_000_003)), "ties": ["id"], "columns": ["power"]}),
         ("dropout", {"keys": ["id"], "rate": 0.2, "seed": 3}),
     ]
     one, many = ({tuple(r) for r in corruption.corrupt(df.repartition(p), steps).collect()} for p in (1, 16))
     assert one == many and 180 < len(one) < 300
-    lost = corruption.partial_loss(df, ["frame"], 0.3, [F.col("id")], ["power"]).groupBy("frame").agg(F.count_if(F.col("power") == 0).alias("n"))
+    lost = corruption.partial_loss(df, ["frame"], 0.3, F.col("id"), ["id"], ["power"]).groupBy("frame").agg(F.count_if(F.col("power") == 0).alias("n"))
     assert {r.n for r in lost.collect()} == {18}
 
 
