@@ -9,8 +9,8 @@ import numpy as np
 
 def normal_quantile(p: float) -> float:
     """Standard normal quantile by bisection on ``erf``."""
-    lo, hi = -40.0, 40.0
-    for _ in range(200):
+    lo, hi = -12.0, 12.0
+    for _ in range(60):
         mid = (lo + hi) / 2
         if 0.5 * math.erfc(-mid / math.sqrt(2)) < p:
             lo = mid
@@ -43,10 +43,14 @@ def esd_outliers(score: np.ndarray, share: float, alpha: float) -> np.ndarray:
         return out
     tries = max(1, min(int(n * share), n - 3))
     order = known[np.argsort(-score[known], kind="stable")][:tries]
-    i = np.arange(1, tries + 1)
-    p = 1 - alpha / (2 * (n - i + 1))
-    t = t_quantile(p, n - i - 1)
-    limit = (n - i) * t / np.sqrt((n - i - 1 + t**2) * (n - i + 1))
+
+    def critical(i: np.ndarray) -> np.ndarray:
+        t = t_quantile(1 - alpha / (2 * (n - i + 1)), n - i - 1)
+        return (n - i) * t / np.sqrt((n - i - 1 + t**2) * (n - i + 1))
+
+    # the critical values fall with i: only scores above the last one can exceed theirs
+    order = order[score[order] > critical(np.array([tries]))[0]]
+    limit = critical(np.arange(1, len(order) + 1))
     over = np.flatnonzero(score[order] > limit)
     if len(over):
         out[order[: over[-1] + 1]] = True
