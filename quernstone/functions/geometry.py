@@ -5,6 +5,8 @@ Conventions: x forward, y left, z up, yaw about z; a KITTI row is (h, w, l, x, y
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,3 +125,42 @@ def residual_decoded(t: dict[str, Column], a: dict[str, Column]) -> list[Column]
     diagonal = F.sqrt(a["l"] * a["l"] + a["w"] * a["w"])
     return [t["x"] * diagonal + a["x"], t["y"] * diagonal + a["y"], t["z"] * a["h"] + a["z"],
             F.exp(t["l"]) * a["l"], F.exp(t["w"]) * a["w"], F.exp(t["h"]) * a["h"], t["r"] + a["r"]]
+
+
+def extrinsic(yaw: float, pitch: float, roll: float, x: float, y: float, z: float) -> list[list[float]]:
+    """3x4 matrix of rotations about the fixed axes z, y, x (degrees, in that order) and a translation."""
+    (cz, sz), (cy, sy), (cx, sx) = ((math.cos(math.radians(a)), math.sin(math.radians(a))) for a in (yaw, pitch, roll))
+    return [
+        [cy * cz, -cy * sz, sy, x],
+        [cx * sz + sx * sy * cz, cx * cz - sx * sy * sz, -sx * cy, y],
+        [sx * sz - cx * sy * cz, sx * cz + cx * sy * sz, cx * cy, z],
+    ]
+
+
+def angles_of(m: list[list[float]]) -> tuple[float, float, float]:
+    """Yaw, pitch and roll in degrees of an :func:`extrinsic` matrix."""
+    return tuple(math.degrees(a) for a in (math.atan2(-m[0][1], m[0][0]), math.asin(max(-1.0, min(1.0, m[0][2]))), math.atan2(-m[1][2], m[2][2])))
+
+
+def camera_matrix(fx: float, fy: float, px: float, py: float, ext: list[list[float]]) -> list[list[float]]:
+    """Intrinsics times an extrinsic matrix, for :func:`projected`."""
+    return [[fx * a + px * c for a, c in zip(ext[0], ext[2])], [fy * b + py * c for b, c in zip(ext[1], ext[2])], list(ext[2])]
+
+
+def image_transformed(u: Column, v: Column, scale: float, crop: tuple[float, float], width: float, flip: bool, degrees: float, centre: tuple[float, float]) -> tuple[Column, Column]:
+    """A pixel after resize, crop, optional mirror and rotation about a centre."""
+    u, v = u * scale - crop[0], v * scale - crop[1]
+    u = width - u if flip else u
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    du, dv = u - centre[0], v - centre[1]
+    return c * du + s * dv + centre[0], c * dv - s * du + centre[1]
+
+
+def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
+    """Whether a point lies in a polygon: an odd number of edges crosses the ray to the right."""
+    crossings = F.lit(0)
+    for (x1, y1), (x2, y2) in zip(polygon, polygon[1:] + polygon[:1]):
+        if y1 != y2:
+            spans = (y > min(y1, y2)) & (y <= max(y1, y2))
+            crossings = crossings + (spans & (x <= (y - y1) * (x2 - x1) / (y2 - y1) + x1)).cast("int")
+    return crossings % 2 == 1

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.functions.geometry import iou, overlap
 from quernstone.operators import kernels
-from quernstone.operators.spatial import overlapping_pairs
+from quernstone.operators.spatial import overlapping_pairs, within_radius
 
 
 @F.pandas_udf(T.DoubleType())
@@ -69,8 +70,10 @@ def greedy_pairs(pairs: DataFrame, group: Sequence[str], claimant: str, target:
     return ordered.select(*columns).mapInPandas(take, ordered.schema).drop("_g")
 
 
-def suppressed(boxes: DataFrame, keys: Sequence[str], ident: str, score: str, threshold: float, most: int) -> DataFrame:
-    """Rotated non-maximum suppression: the ids that stay, best score first, ties by id.
+def suppressed(boxes: DataFrame, keys: Sequence[str], ident: str, score: str, threshold: float, most: int, by: str = "rotated") -> DataFrame:
+    """Non-maximum suppression: the ids that stay, best score first, ties by id.
+
+    ``by``: "rotated" or "aligned" overlap above ``threshold``, or "circle" (squared centre distance of at most it).
 
     As in detection heads, only the ``most`` best boxes of a group enter (the feature's own top-k, applied before the
     shuffle), which bounds every group. Overlapping pairs come from the grid join; one ordered pass per group
@@ -81,7 +84,20 @@ def suppressed(boxes: DataFrame, keys: Sequence[str], ident: str, score: str, th
     top = boxes.where(F.col(score).isNotNull()).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= most)
     a = bev(top, "a", ident, k, [F.col("_rank").alias("_ra")]).withColumnRenamed(ident, "_ia")
     b = bev(top, "b", ident, k, [F.col("_rank").alias("_rb")]).withColumnRenamed(ident, "_ib")
-    clash = bev_candidates(a, b, k).where((F.col("_ra") < F.col("_rb")) & (F.col("iou") > threshold))
+    c = F.col
+    if by == "circle":
+        pairs = within_radius(a, b, k, ["ax", "az"], ["bx", "bz"], threshold**0.5, closed=True)
+    elif by == "aligned":
+        sides = [(c(f"{p}x") - c(f"{p}w") / 2, c(f"{p}x") + c(f"{p}w") / 2, c(f"{p}z") - c(f"{p}l") / 2, c(f"{p}z") + c(f"{p}l") / 2) for p in "ab"]
+        (ax0, ax1, az0, az1), (bx0, bx1, bz0, bz1) = sides
+        near = overlapping_pairs(a, b, k, ["ax0", "ax1", "az0", "az1"], ["bx0", "bx1", "bz0", "bz1"], 8.0)
+        both = overlap(ax0, ax1, bx0, bx1) * overlap(az0, az1, bz0, bz1)
+        pairs = near.where(iou(both, c("al") * c("aw"), c("bl") * c("bw")) > threshold)
+    elif by == "rotated":
+        pairs = bev_candidates(a, b, k).where(c("iou") > threshold)
+    else:
+        raise ValueError(f"unknown suppression {by!r}")
+    clash = pairs.where(c("_ra") < c("_rb"))
     worse = clash.groupBy(*k, F.col("_ib").alias(ident)).agg(F.collect_list("_ra").alias("_over"))  # at most `most` ranks
     rows = top.select(*k, ident, "_rank").join(worse, [*k, ident], "left").repartition(*k).sortWithinPartitions(*k, "_rank")
 
@@ -114,3 +130,22 @@ def farthest_sample(points: DataFrame, keys: Sequence[str], ident: Sequence[str]
         return g.loc[at, [*keys, *ident]].assign(place=np.arange(len(at)))
 
     return points.groupBy(*keys).applyInPandas(pick, T.StructType([*out.fields, T.StructField("place", T.LongType())]))
+
+
+def cheapest_pairs(pairs: DataFrame, group: Sequence[str], row: str, column: str, cost: str, missing: float) -> DataFrame:
+    """Optimal one-to-one assignment per group from candidate pairs; absent pairs cost ``missing`` and are not returned.
+
+    The augmenting-path solver needs a whole cost matrix, so groups must be bounded by the caller (proposals are: a
+    head passes on a fixed number of them).
+    """
+    g = list(group)
+
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = np.unique(p[row]), np.unique(p[column])
+        matrix = np.full((len(rows), max(len(rows), len(cols))), missing)
+        i, j = np.searchsorted(rows, p[row]), np.searchsorted(cols, p[column])
+        matrix[i, j] = p[cost]
+        chosen = kernels.cheapest_assignment(matrix)
+        return p[(chosen[i] == j) & (matrix[i, j] < missing)]
+
+    return pairs.groupBy(*g).applyInPandas(solve, pairs.schema)

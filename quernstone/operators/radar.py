@@ -74,16 +74,20 @@ def os_cfar(cells: DataFrame, axes: Sequence[str], sizes: Sequence[int], power:
     return cells.join(level, list(axes), "left").withColumn("detected", F.coalesce(inner & (F.col(power) > F.col("level") * factor), F.lit(False)))
 
 
-def bilinear(cells: DataFrame, at: DataFrame, x: str, y: str, value: str, ident: str) -> DataFrame:
-    """(ident, value) at positions given in cell units, from the four cells around; absent cells count as 0."""
-    fx, fy = F.col(x) - F.floor(x), F.col(y) - F.floor(y)
-    corners = F.array(
-        *[
-            F.struct((F.floor(x) + i).cast("int").alias("i"), (F.floor(y) + j).cast("int").alias("j"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w"))
-            for i in (0, 1)
-            for j in (0, 1)
-        ]
-    )
-    want = at.select(ident, F.explode(corners).alias("_c")).select(ident, F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"), "_c.w")
-    have = cells.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col(value).alias("_v"))
-    return want.join(have, ["_i", "_j"], "left").groupBy(ident).agg(F.sum(F.col("w") * F.coalesce("_v", F.lit(0.0))).alias(value))
+def interpolated(cells: DataFrame, at: DataFrame, index: Sequence[str], position: Sequence[str], value: str, ident: str) -> DataFrame:
+    """(ident, value) at positions in cell units: bilinear, trilinear and so on from the 2**n cells around.
+
+    ``index`` are the integer axes of ``cells``, ``position`` the matching columns of ``at``. Every position asks its
+    corner cells by equality, weights are summed; absent cells count as 0.
+    """
+    corners = []
+    for bits in product((0, 1), repeat=len(position)):
+        w = F.lit(1.0)
+        for b, p in zip(bits, position):
+            part = F.col(p) - F.floor(p)
+            w = w * (part if b else 1 - part)
+        corners.append(F.struct(*[(F.floor(p) + b).cast("int").alias(f"_{i}") for i, (b, p) in enumerate(zip(bits, position))], w.alias("_w")))
+    want = at.select(ident, F.explode(F.array(*corners)).alias("_c")).select(ident, "_c.*")
+    have = cells.select(*[F.col(c).cast("int").alias(f"_{i}") for i, c in enumerate(index)], F.col(value).alias("_v"))
+    keys = [f"_{i}" for i in range(len(index))]
+    return want.join(have, keys, "left").groupBy(ident).agg(F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))).alias(value))

@@ -203,15 +203,22 @@ rows_ AS (SELECT cond, cls, seq, coalesce(score, 0) AS score, hit AS is_tp, fals
  UNION ALL SELECT pr.cond, pr.cls, pr.seq, coalesce(pr.score, 0), false, true, false FROM pr WHERE cond IS NOT NULL AND seq IS NOT NULL AND frame IS NOT NULL AND is_fp)"""
 
 
-@query(f"""WITH {_ROWS}, n AS (SELECT cond, cls, count(*) FILTER (is_tp OR is_fn) AS num_gt, count(*) FILTER (is_tp) AS num_tp, count(*) FILTER (is_fp) AS num_fp FROM rows_ WHERE cls IS NOT NULL GROUP BY ALL),
-u AS (SELECT cond, cls, score, count(*) FILTER (is_tp) AS tp, count(*) FILTER (is_fp) AS fp FROM rows_ WHERE cls IS NOT NULL AND NOT is_fn GROUP BY ALL),
-w AS (SELECT *, sum(tp) OVER o AS ctp, sum(fp) OVER o AS cfp FROM u WINDOW o AS (PARTITION BY cond, cls ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
-k AS (SELECT cond, cls, num_gt, num_tp, unnest(range(0, 41)) AS k FROM n WHERE num_gt > 0 AND num_tp > 0),
-c AS (SELECT *, k + max(greatest(0, CAST(ceil((k * num_gt / 20.0 - 3) / 2) AS BIGINT)) - k) OVER (PARTITION BY cond, cls ORDER BY k) AS i FROM k),
-p AS (SELECT cond, cls, i FROM c WHERE i < num_tp - 1 UNION SELECT cond, cls, num_tp - 1 FROM c),
-q AS (SELECT p.cond, p.cls, p.i, (SELECT arg_min(w.ctp / (w.ctp + w.cfp), w.ctp) FROM w WHERE w.cond = p.cond AND w.cls = p.cls AND w.tp > 0 AND w.ctp > p.i) AS prec FROM p),
-e AS (SELECT cond, cls, i, max(prec) OVER (PARTITION BY cond, cls ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS prec FROM q)
-SELECT n.cond, n.cls, num_gt, num_tp, num_fp, round(coalesce((SELECT sum(prec) FROM e WHERE e.cond = n.cond AND e.cls = n.cls), 0) / 41 * 100, 6) + 0.0 AS ap FROM n WHERE num_gt > 0""")
+def _ap_sql(rows: str, key: str, every: int = 1) -> str:
+    """SQL of :func:`average_precision` over a CTE named rows_ with the columns ``key`` and cls."""
+    part = f"PARTITION BY {key}, cls"
+    return f"""{rows}, n AS (SELECT {key}, cls, count(*) FILTER (is_tp OR is_fn) AS num_gt, count(*) FILTER (is_tp) AS num_tp, count(*) FILTER (is_fp) AS num_fp FROM rows_ WHERE cls IS NOT NULL GROUP BY ALL),
+u AS (SELECT {key}, cls, score, count(*) FILTER (is_tp) AS tp, count(*) FILTER (is_fp) AS fp FROM rows_ WHERE cls IS NOT NULL AND NOT is_fn GROUP BY ALL),
+w AS (SELECT *, sum(tp) OVER o AS ctp, sum(fp) OVER o AS cfp FROM u WINDOW o AS ({part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT {key}, cls, num_gt, num_tp, unnest(range(0, 41)) AS k FROM n WHERE num_gt > 0 AND num_tp > 0),
+c AS (SELECT *, k + max(greatest(0, CAST(ceil((k * num_gt / 20.0 - 3) / 2) AS BIGINT)) - k) OVER ({part} ORDER BY k) AS i FROM k),
+p AS (SELECT {key}, cls, i FROM c WHERE i < num_tp - 1 UNION SELECT {key}, cls, num_tp - 1 FROM c),
+q AS (SELECT p.{key}, p.cls, p.i, arg_min(w.ctp / (w.ctp + w.cfp), w.ctp) AS prec FROM p JOIN w ON w.{key} = p.{key} AND w.cls = p.cls AND w.tp > 0 AND w.ctp > p.i GROUP BY ALL),
+e AS (SELECT {key}, cls, i, row_number() OVER ({part} ORDER BY i) - 1 AS j, max(prec) OVER ({part} ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS prec FROM q),
+s AS (SELECT {key}, cls, sum(prec) FILTER (j % {every} = 0) AS total FROM e GROUP BY ALL),
+ap_ AS (SELECT n.{key}, n.cls, num_gt, num_tp, num_fp, coalesce(total, 0) / {40 // every + 1} * 100 AS ap FROM n LEFT JOIN s ON s.{key} = n.{key} AND s.cls = n.cls WHERE num_gt > 0)"""
+
+
+@query(f"WITH {_ap_sql(_ROWS, 'cond')} SELECT cond, cls, num_gt, num_tp, num_fp, round(ap, 6) + 0.0 AS ap FROM ap_")
 def a08_a09_average_precision(spark: SparkSession, sf: str) -> DataFrame:
     """41-point interpolated average precision per condition and class, from the track match rows."""
     rows = match_rows_by_track(d.gt(spark, sf), d.preds(spark, sf)).where("cls IS NOT NULL")
@@ -219,6 +226,39 @@ def a08_a09_average_precision(spark: SparkSession, sf: str) -> DataFrame:
     return ap.select("cond", "cls", "num_gt", "num_tp", "num_fp", _r("ap").alias("ap"))
 
 
+@query(f"WITH {_ap_sql(_ROWS, 'cond', 4)} SELECT cond, cls, round(ap, 6) + 0.0 AS ap11 FROM ap_")
+def a12_eleven_points(spark: SparkSession, sf: str) -> DataFrame:
+    """The older 11-point average precision: every fourth of the 41 samples."""
+    rows = match_rows_by_track(d.gt(spark, sf), d.preds(spark, sf)).where("cls IS NOT NULL")
+    return average_precision(rows, ["cond", "cls"], every=4).select("cond", "cls", _r("ap").alias("ap11"))
+
+
+@query(f"""WITH {_ap_sql(_ROWS, 'cond')}, o AS (SELECT cls, ap AS base FROM ap_ WHERE cond = 'original' AND ap > 0), r AS (SELECT ap_.cls, regexp_replace(cond, '_(low|medium|high)$', '') AS effect, ap / base AS rb FROM ap_ JOIN o USING (cls) WHERE cond <> 'original')
+SELECT cls, effect, count(*) AS n, round(avg(rb), 6) + 0.0 AS mean_rb, round(CASE WHEN count(*) >= 2 THEN avg(rb) - stddev_samp(rb) END, 6) + 0.0 AS cri FROM r GROUP BY ALL""")
+def x07_j07_precision_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Average precision kept under each effect against the clean condition, per class, and its stability."""
+    ap = average_precision(match_rows_by_track(d.gt(spark, sf), d.preds(spark, sf)).where("cls IS NOT NULL"), ["cond", "cls"])
+    base = ap.where("cond = 'original' AND ap > 0").select("cls", F.col("ap").alias("base"))
+    rb = ap.where("cond <> 'original'").join(base, "cls").select("cls", F.regexp_replace("cond", "_(low|medium|high)$", "").alias("effect"), (F.col("ap") / F.col("base")).alias("rb"))
+    return rb.groupBy("cls", "effect").agg(
+        F.count("*").alias("n"), _r(F.avg("rb")).alias("mean_rb"), _r(F.when(F.count("*") >= 2, F.avg("rb") - F.stddev_samp("rb"))).alias("cri")
+    )
+
+
+_FAN = _ROWS.replace("rows_ AS (", "all_ AS (") + f""", {d.TG}, t1 AS (SELECT seq, min(road) AS road, min(weather) AS weather FROM tg WHERE seq IS NOT NULL GROUP BY seq),
+rows_ AS (SELECT unnest(['all', 'road:' || road, 'weather:' || weather]) AS scene, cls, score, is_tp, is_fp, is_fn FROM all_ LEFT JOIN t1 ON t1.seq = all_.seq WHERE cond = 'original')"""
+
+
+@query(f"WITH {_ap_sql(_FAN, 'scene')} SELECT scene, cls, num_gt, round(ap, 6) + 0.0 AS ap FROM ap_ WHERE scene IS NOT NULL")
+def x09_conditional_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Average precision of the clean run over all sequences and by the road and weather of the sequence."""
+    tags = d.tags(spark, sf).where("seq IS NOT NULL").groupBy("seq").agg(F.min("road").alias("road"), F.min("weather").alias("weather"))
+    rows = match_rows_by_track(d.gt(spark, sf), d.preds(spark, sf)).where("cls IS NOT NULL AND cond = 'original'").join(tags, "seq", "left")
+    scenes = F.array(F.lit("all"), F.concat(F.lit("road:"), "road"), F.concat(F.lit("weather:"), "weather"))
+    rows = rows.withColumn("scene", F.explode(scenes)).where("scene IS NOT NULL")
+    return average_precision(rows, ["scene", "cls"]).select("scene", "cls", "num_gt", _r("ap").alias("ap"))
+
+
 @query(f"""WITH {_ROWS}, a AS (SELECT gt_id, seq, cls, bool_or(hit) AS m FROM m WHERE cond = 'original' GROUP BY ALL),
 x AS (SELECT b.cond, b.cls, CASE WHEN a.m AND b.hit THEN 's' WHEN a.m THEN 'm' WHEN b.hit THEN 'r' ELSE 'b' END AS t FROM a JOIN m b ON b.gt_id = a.gt_id WHERE b.cond <> 'original'),
 n AS (SELECT cond, cls, count(*) AS total, count(*) FILTER (t='s') AS stable, count(*) FILTER (t='m') AS induced_miss, count(*) FILTER (t='r') AS induced_recovery, count(*) FILTER (t='b') AS baseline_failure FROM x GROUP BY ALL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
 from quernstone.operators import corruption as n
-from quernstone.operators.radar import above_quantile, bilinear, ca_cfar, offsets_around, os_cfar
+from quernstone.operators.radar import above_quantile, ca_cfar, interpolated, offsets_around, os_cfar
 from quernstone.plans import domain as d
 from quernstone.plans.domain import CE, PT, Catalogue
 from quernstone.session import table
@@ -233,7 +233,7 @@ def g12_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     ra = d.cells(spark, sf).groupBy(F.col("ri").alias("i"), F.col("ai").alias("j")).agg(F.avg("p").alias("p"))
     at = table(spark, sf, "lineitem").select((F.col("l_partkey") % 997).cast("int").alias("k")).distinct()
     at = at.select("k", ((F.col("k") * 7 % 300) / 10.37).alias("x"), ((F.col("k") * 11 % 140) / 10.37).alias("y"))
-    return bilinear(ra, at, "x", "y", "p", "k").select(F.col("k").alias("i"), F.round("p", 4).alias("p"))
+    return interpolated(ra, at, ["i", "j"], ["x", "y"], "p", "k").select(F.col("k").alias("i"), F.round("p", 4).alias("p"))
 
 
 @query(f"""WITH {PT} SELECT ok, ln, pk, sk, round(power * exp(-0.02 * greatest(sqrt(x*x + y*y + z*z) - 10, 0)), 4) + 0.0 AS attenuated, greatest(2000, least(50000, power)) AS saturated,
