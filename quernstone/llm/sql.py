@@ -64,6 +64,14 @@ r AS (SELECT pred_id, row_number() OVER (PARTITION BY s, f, c ORDER BY score DES
       FROM p WHERE s IS NOT NULL AND f IS NOT NULL AND c IS NOT NULL)
 """
 
+_SPANS = """
+WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, i, substring(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, n - 198)) AS i FROM t WHERE n >= 200)),
+m AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w SEMI JOIN m ON m.s = w.s),
+c AS (SELECT doc_id, CAST(sum(least(200, i - coalesce(p, i - 200))) AS INTEGER) AS chars, CAST(count(*) FILTER (p IS NULL OR i > p + 200) AS INTEGER) AS spans FROM h GROUP BY doc_id)
+"""
+
 SQL = {
     "p1_found": _P1,
     "p2_found": _USABLE + "SELECT road_type, climate FROM rep WHERE usable < quota",
@@ -74,4 +82,6 @@ SQL = {
     "p5_pairs": _PAIRS + "SELECT l.scan_id, l.e AS entity_no, j.image_id, j.gap / 1000000 AS gap FROM l LEFT JOIN j ON j.scan_id = l.scan_id AND k = 1",
     "p6_found": _TOP + "SELECT pred_id FROM r WHERE place <= 3",
     "p6_top": _TOP + "SELECT pred_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3",
+    "p9_found": _SPANS + "SELECT doc_id FROM c",
+    "p9_spans": _SPANS + "SELECT t.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_chars, coalesce(chars, 0) AS shared_chars, CAST(coalesce(chars * 1000 // n, 0) AS INTEGER) AS shared_permille, coalesce(spans, 0) AS n_spans FROM t LEFT JOIN c ON c.doc_id = t.doc_id",
 }
