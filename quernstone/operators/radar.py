@@ -17,7 +17,7 @@ def above_quantile(df: DataFrame, by: Sequence[str], value: str, top: float) ->
     """
     q = F.percentile(value, F.lit(1 - top)).alias("_q")
     if not by:
-        return df.crossJoin(F.broadcast(df.agg(q))).where(F.col(value) > F.col("_q")).drop("_q")  # one row
+        return df.where(F.col(value) > df.agg(q).scalar())
     return df.join(df.groupBy(*by).agg(q), list(by)).where(F.col(value) > F.col("_q")).drop("_q")
 
 

@@ -103,7 +103,7 @@ def a20_recall_by_threshold(spark: SparkSession, sf: str) -> DataFrame:
     best = _roi_pairs(spark, sf).groupBy("gt_id").agg(F.max("iou").alias("iou"))
     t = F.explode(F.array(*[F.lit(v) for v in (0.1, 0.3, 0.5, 0.7)]))
     hits = best.withColumn("threshold", t).groupBy("threshold").agg(F.count_if(F.col("iou") > F.col("threshold")).alias("recalled"))
-    return hits.crossJoin(F.broadcast(d.gt(spark, sf).agg(F.count("*").alias("labels")))).select("threshold", "labels", "recalled")  # one row
+    return hits.select("threshold", d.gt(spark, sf).agg(F.count("*")).scalar().alias("labels"), "recalled")
 
 
 @query(f"""WITH {GT}, {PR}, {_ROI}, n AS (SELECT CAST(t AS DOUBLE) AS t, (SELECT count(*) FROM k WHERE iou > t) / (SELECT count(*) FROM gt) AS share FROM (SELECT unnest(range(50, 100, 5)) / 100 AS t))
@@ -113,7 +113,7 @@ def a13_mean_over_levels(spark: SparkSession, sf: str) -> DataFrame:
     levels = F.array(*[F.lit(v / 100) for v in range(50, 100, 5)])
     per_pair = F.size(F.filter(levels, lambda t: F.col("iou") > t))
     hits = _roi_pairs(spark, sf).agg(F.coalesce(F.sum(per_pair), F.lit(0)).alias("hits"))
-    return hits.crossJoin(F.broadcast(d.gt(spark, sf).agg(F.count("*").alias("n")))).select(_r(F.col("hits") / 10 / F.col("n")).alias("mean_share"))  # one row each
+    return hits.select(_r(F.try_divide(F.col("hits") / 10, d.gt(spark, sf).agg(F.count("*")).scalar())).alias("mean_share"))
 
 
 @query(f"""WITH {GT}, {PR}, {_ROI}, e AS (SELECT j.*, va + vb - i AS u FROM j), f AS (SELECT a.pred_id, b.gt_id, (greatest(a.x1,b.x1)-least(a.x0,b.x0))*(greatest(a.z1,b.z1)-least(a.z0,b.z0))*(greatest(a.y1,b.y1)-least(a.y0,b.y0)) AS hull,
@@ -198,9 +198,9 @@ def a19_condition_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Detections, mean score and change against the clean run per condition, with the most frequent class."""
     p = d.preds(spark, sf).where("cond IS NOT NULL")
     k = p.groupBy("cond").agg(F.count("*").alias("n"), _r(F.avg("score")).alias("mean_score"))
-    base = k.where("cond = 'original'").select(F.col("n").alias("base"))
+    base = k.where("cond = 'original'").agg(F.max("n")).scalar()
     top = p.where("cls IS NOT NULL").groupBy("cond", "cls").agg(F.count("*").alias("m")).groupBy("cond").agg(F.max_by("cls", F.struct("m", "cls")).alias("top_class"))
-    return k.join(top, "cond").crossJoin(F.broadcast(base)).select("cond", "n", "mean_score", (F.col("n") - F.col("base")).alias("delta"), "top_class")  # base: one row
+    return k.join(top, "cond").select("cond", "n", "mean_score", (F.col("n") - base).alias("delta"), "top_class")
 
 
 @query(f"""WITH {GT}, {PR} SELECT 'gt' AS kind, seq, frame, cls, gt_id AS id, NULL::DOUBLE AS score FROM gt UNION ALL BY NAME SELECT 'pred' AS kind, seq, frame, cls, pred_id AS id, score FROM pr WHERE cond = 'original'""")

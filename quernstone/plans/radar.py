@@ -57,8 +57,8 @@ def f09_axis_roi(spark: SparkSession, sf: str) -> DataFrame:
     """Cells between the axis indices nearest to two bounds, both included; ties to the lower index."""
     p = d.points(spark, sf).withColumn("ri", F.col("pk") % 32)
     axis = p.select("ri").distinct().withColumn("v", F.col("ri") * 0.46 + 0.1)
-    ends = axis.agg(*[F.min_by("ri", F.struct(F.abs(F.col("v") - b), F.col("ri"))).alias(n) for n, b in (("lo", 3.0), ("hi", 9.0))])
-    return p.crossJoin(F.broadcast(ends)).where("ri BETWEEN lo AND hi").groupBy("ri").agg(F.count("*").alias("n"))  # ends: one row
+    lo, hi = (axis.agg(F.min_by("ri", F.struct(F.abs(F.col("v") - b), F.col("ri")))).scalar() for b in (3.0, 9.0))
+    return p.where(F.col("ri").between(lo, hi)).groupBy("ri").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {PT} SELECT ok, ln, pk, sk, round(sqrt(x*x + y*y + z*z), 6) + 0.0 AS rng, round(atan2(y, x), 6) + 0.0 AS az, round(asin(z / sqrt(x*x + y*y + z*z)), 6) + 0.0 AS el,
