@@ -80,12 +80,12 @@ def mix_sources(
     # leaves, budgets and ends are small summaries: written once, so that later plans know how small they are
     leaves = write_stage(sized.groupBy("_leaf", "_dom", "_lang", "_src").agg(F.sum("_n").cast("double").alias("_tokens")), "mix-leaves")
     per_source = leaves.groupBy("_src").agg(F.sum("_tokens").alias("_have"))
-    total = leaves.agg(F.coalesce(F.sum("_tokens"), F.lit(0.0)).alias("_total"))  # one row
+    total = leaves.agg(F.coalesce(F.sum("_tokens"), F.lit(0.0)))
     tree = (
         leaves.where("_tokens > 0")
         .join(per_source, "_src")
         .join(goals, "_src")
-        .crossJoin(F.broadcast(total))
+        .withColumn("_total", total.scalar())
         .withColumn("_w", F.col("weight_permille") * F.col("_tokens") / F.col("_have"))
         .withColumn("_cap", F.col("max_repeats") * F.col("_tokens"))
         .where("_w > 0 AND _cap > 0")
@@ -123,12 +123,12 @@ def mix_sources(
     mix = write_stage(used.withColumn("repeats", F.col("_full") + F.col("_more")).where("repeats > 0").select("_id", "_src", "_n", "repeats"), "mix-used")
 
     taken = mix.groupBy("_src").agg(F.sum(F.col("_n") * F.col("repeats")).alias("_taken"))
-    all_taken = taken.agg(F.coalesce(F.sum("_taken"), F.lit(0)).alias("_all"))  # one row
+    all_taken = taken.agg(F.coalesce(F.sum("_taken"), F.lit(0)))
     report = (
         goals.join(per_source, "_src", "left")
         .join(taken, "_src", "left")
-        .crossJoin(F.broadcast(total))
-        .crossJoin(F.broadcast(all_taken))
+        .withColumn("_total", total.scalar())
+        .withColumn("_all", all_taken.scalar())
         .select(
             F.col("_src").alias("source"),
             "weight_permille",

@@ -67,11 +67,11 @@ def sample_by_targets(
         "sample",
     )
     counts = usable.groupBy(*fields, "_s").agg(F.count("*").alias("_n"))  # at most categories * slots rows
-    n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all")).select(F.expr(f"_all div {fraction}").alias("_total"))
+    n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all")).select(F.expr(f"_all div {fraction}"))
     have = counts.groupBy(*fields).agg(F.sum("_n").alias("usable"))
     quota = F.greatest(F.col("min_rows").cast("bigint"), F.expr("(share_permille * _total) div 1000"))
     report = (
-        goals.crossJoin(F.broadcast(n))  # n is one row
+        goals.withColumn("_total", n.scalar())
         .join(have, fields, "left")
         .withColumn("usable", F.coalesce("usable", F.lit(0)).cast("bigint"))
         .withColumn("quota", quota)

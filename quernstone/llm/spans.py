@@ -64,6 +64,13 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def _pieces(texts: list[str], width: int, most: int) -> Iterator[tuple[int, int, str]]:
+    """(text number, start, piece): texts whole, or in overlapping pieces of ``most`` windows, each window in one piece."""
+    for i, t in enumerate(texts):
+        for start in range(0, len(t) - width + 1, most):
+            yield i, start, t if len(t) <= most else t[start : start + most + width - 1]
+
+
 def super_kmers(texts: list[str], width: int, least: int, longest: int) -> tuple[np.ndarray, ...]:
     """Cut all windows of ``width`` code points into runs sharing a minimiser.
 
@@ -171,19 +178,21 @@ def shared_spans(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= 1_000_000):
-                    chars += len(texts[end])
-                    end += 1
-                row, first, run, mini, h1, h2 = super_kmers(texts[at:end], width, least, longest)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).take(pa.array(row + at)) for i in (0, 1)), *map(pa.array, (mini, h1, h2, run.astype(np.int32), first.astype(np.int32)))],
-                    ["_id", "_v", *key, "_at"],
-                )
-                at = end
+            held, chars = [], 0
+            for piece in _pieces(batch.column(2).to_pylist(), width, 1_000_000):
+                held.append(piece)
+                chars += len(piece[2])
+                if chars >= 1_000_000:
+                    yield packed_strings(batch, held)
+                    held, chars = [], 0
+            if held:
+                yield packed_strings(batch, held)
+
+    def packed_strings(batch: pa.RecordBatch, pieces: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        piece, first, run, mini, h1, h2 = super_kmers([t for _, _, t in pieces], width, least, longest)
+        row, base = (np.array([p[i] for p in pieces])[piece] for i in (0, 1))
+        ids = [batch.column(i).take(pa.array(row)) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*ids, *map(pa.array, (mini, h1, h2, run.astype(np.int32), (base + first).astype(np.int32)))], ["_id", "_v", *key, "_at"])
 
     # _v tells apart the texts of an id that stands in several rows
     long_enough = src.where(F.char_length("_text") >= width).select("_id", F.xxhash64("_text").alias("_v"), "_text")

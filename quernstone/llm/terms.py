@@ -39,7 +39,7 @@ def term_frequencies(
     word = F.shiftright("_rec", 6).alias("_word")
     bit = F.expr("shiftleft(1L, cast(_rec & 63 as int))")
     all_records = base.where("_rec IS NOT NULL").groupBy(word).agg(F.bit_or(bit).alias("_bits")).agg(
-        F.coalesce(F.sum(F.bit_count("_bits")), F.lit(0)).alias("_all")
+        F.coalesce(F.sum(F.bit_count("_bits")), F.lit(0))
     )
     pairs = F.explode(
         F.array(*[F.struct(F.lit(f).alias("field_name"), F.lower(trimmed(F.col(f"_f{i}"))).alias("term")) for i, f in enumerate(fields)])
@@ -54,12 +54,11 @@ def term_frequencies(
     return (
         words.groupBy("field_name", "term")
         .agg(F.sum("_n").alias("n_rows"), F.coalesce(F.sum(F.bit_count("_bits")), F.lit(0)).alias("n_records"))
-        .crossJoin(F.broadcast(all_records))  # one row
         .select(
             "field_name",
             "term",
             "n_rows",
             "n_records",
-            F.when(F.col("n_rows") < least_rows, "rare").when(F.col("n_records") * 10 > F.col("_all") * most_tenths, "common").alias("mark"),
+            F.when(F.col("n_rows") < least_rows, "rare").when(F.col("n_records") * 10 > all_records.scalar() * most_tenths, "common").alias("mark"),
         )
     )

@@ -174,3 +174,11 @@ def test_every_window_is_in_one_run():
         own = sorted((f, n) for r, f, n in zip(row, first, run) if r == i)
         assert [f for f, _ in own] == list(np.cumsum([0] + [n for _, n in own])[:-1]) and sum(n for _, n in own) == len(t) - 39
     assert run.max() <= 16 and len(set(mini)) > 1
+
+
+def test_long_texts_are_cut_into_pieces_that_share_no_window():
+    text = "".join(random.Random(3).choice("ab") for _ in range(1000))
+    pieces = list(spans._pieces(["x" * 30, text, "short"], 20, 64))
+    starts = [s + k for i, s, p in pieces if i == 1 for k in range(len(p) - 19)]
+    assert starts == list(range(981)) and all(text[s : s + len(p)] == p for i, s, p in pieces if i == 1)
+    assert [p for i, _, p in pieces if i != 1] == ["x" * 30]
