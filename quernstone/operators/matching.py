@@ -149,3 +149,31 @@ def cheapest_pairs(pairs: DataFrame, group: Sequence[str], row: str, column: str
         return p[(chosen[i] == j) & (matrix[i, j] < missing)]
 
     return pairs.groupBy(*g).applyInPandas(solve, pairs.schema)
+
+
+def chained(boxes: DataFrame, keys: Sequence[str], order: Sequence[str], threshold: float) -> DataFrame:
+    """Boxes (x0, x1, y0, y1) that continue their object: overlap of more than ``threshold`` with the last one kept.
+
+    The first box of every object starts its chain. A stream over sorted partitions whose state is one box per object.
+    """
+    k = list(keys)
+    rows = boxes.repartition(*k).sortWithinPartitions(*k, *order)
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for batch in batches:
+            keep = np.zeros(len(batch), dtype=bool)
+            for i, row in enumerate(zip(*[batch[c] for c in k], batch["x0"], batch["x1"], batch["y0"], batch["y1"])):
+                box = row[-4:]
+                if row[:-4] != key:
+                    key, last = row[:-4], None
+                if last is not None:
+                    w, h = min(box[1], last[1]) - max(box[0], last[0]), min(box[3], last[3]) - max(box[2], last[2])
+                    common = max(w, 0.0) * max(h, 0.0)
+                    union = (box[1] - box[0]) * (box[3] - box[2]) + (last[1] - last[0]) * (last[3] - last[2]) - common
+                    if not (union > 0 and common / union > threshold):
+                        continue
+                keep[i], last = True, box
+            yield batch[keep]
+
+    return rows.mapInPandas(follow, rows.schema)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
-from quernstone.operators.matching import cheapest_pairs, suppressed
+from quernstone.operators.blocks import numbered
+from quernstone.operators.matching import chained, cheapest_pairs, suppressed
 from quernstone.operators.radar import interpolated
 from quernstone.operators.spatial import within_radius
 from quernstone.plans import domain as d
@@ -164,3 +165,29 @@ def j27_cheapest_assignment(spark: SparkSession, sf: str) -> DataFrame:
     near = within_radius(gt.select(*keys, "gt_id", F.col("loc_x").alias("ax"), F.col("loc_z").alias("az")), top.select(*keys, "pred_id", F.col("loc_x").alias("bx"), F.col("loc_z").alias("bz")), keys, ["ax", "az"], ["bx", "bz"], 10.0)
     near = near.select(*keys, "gt_id", "pred_id", F.sqrt("d2").alias("cost"))
     return cheapest_pairs(near, keys, "gt_id", "pred_id", "cost", 1000.0).select("gt_id", "pred_id", _r("cost").alias("cost"))
+
+
+@query()
+def w12_q07_object_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of a track that overlap the last one kept of it in the BEV plane."""
+    c = F.col
+    gt = d.gt(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL AND trk_id IS NOT NULL")
+    boxes = gt.select(
+        "seq", "trk_id", "frame", "gt_id", (c("loc_x") - c("l") / 2).alias("x0"), (c("loc_x") + c("l") / 2).alias("x1"), (c("loc_z") - c("l") / 2).alias("y0"), (c("loc_z") + c("l") / 2).alias("y1")
+    )
+    return chained(boxes, ["seq", "trk_id"], ["frame", "gt_id"], 0.01).select("gt_id", "seq", "trk_id", "frame")
+
+
+@query(f"""WITH {d.FR}, f AS (SELECT DISTINCT seq, frame FROM fr), r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY frame) AS k FROM f) SELECT seq, frame FROM r WHERE k <= 10""")
+def t02_first_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten frames of every sequence."""
+    f = d.frames(spark, sf).select("seq", "frame").distinct()
+    return f.withColumn("k", F.row_number().over(Window.partitionBy("seq").orderBy("frame"))).where("k <= 10").drop("k")
+
+
+@query(f"WITH {PT} SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY (ok * 7919 + ln * 104729 + pk * 1299709) % 1000003, {_K}) AS INT) AS place, ok, ln, pk, sk FROM pt")
+def t21_shuffled_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of every frame in a reproducible shuffled order."""
+    draw = (F.col("ok") * 7919 + F.col("ln") * 104729 + F.col("pk") * 1299709) % 1000003
+    p = numbered(d.points(spark, sf).withColumn("draw", draw), ["frame"], ["draw", *_KEY], "draw div 100000")
+    return p.select("frame", (F.col("_i") + 1).cast("int").alias("place"), "ok", "ln", "pk", "sk")

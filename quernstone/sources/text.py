@@ -165,3 +165,27 @@ def result_blocks(lines: DataFrame, file: str = "path", index: str = "line_idx",
 def latest_run(runs: DataFrame, keys: list[str], by: str) -> DataFrame:
     """The newest run of every key: ``by`` is its modification time or its name."""
     return runs.groupBy(*keys).agg(F.max_by("path", F.struct(by, "path")).alias("path"))
+
+
+def poses(spark: SparkSession, path: str) -> DataFrame:
+    """Pose files: 12 numbers a line are the rows of a 3x4 matrix, 7 a quaternion (w, x, y, z) and a translation."""
+    seq, _ = path_ids(F.col("path"))
+    v = F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.try_cast("double"))
+    return file_lines(spark, path).select(
+        seq.alias("seq"), F.col("line_idx").alias("frame"), F.when(F.size(v) == 12, v).alias("matrix"), F.when(F.size(v) == 7, v).alias("relative"), F.size(v).isin(7, 12).alias("good")
+    )
+
+
+def local_odometry(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files "timestamp,local_x,local_y,local_z" with a header; the sequence is in the file name (seq_<n>_local)."""
+    df = spark.read.schema("timestamp bigint, local_x double, local_y double, local_z double").option("header", True).csv(path)
+    return df.select(F.regexp_extract(F.col("_metadata.file_name"), r"seq_(\d+)_local", 1).try_cast("bigint").alias("seq"), *df.columns)
+
+
+def dump_meta(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Sensor dump lines "<sensor>: changed=<True|False> params=<dict>": sensor, flag and the dict as a map of texts."""
+    body = F.regexp_extract(line, r"params=(\{.*\})", 1)
+    as_json = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "'", '"'), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    return lines.select(
+        F.regexp_extract(line, r"^\s*([\w-]+):", 1).alias("sensor"), (F.regexp_extract(line, r"changed=(\w+)", 1) == "True").alias("changed"), F.from_json(as_json, "map<string,string>").alias("params")
+    )

@@ -106,3 +106,37 @@ def test_windows_in_a_stream(spark, tmp_path):
     assert [r.n for r in _drain(windows.tumbling_counts(s, "ts", "k"), "tumbling", "complete").collect()] == [4]
     assert sorted(r.n for r in _drain(windows.session_counts(s, "ts", "k", "10 minutes"), "sessions", "complete").collect()) == [1, 1, 2]
     assert sum(r.n for r in _drain(windows.sliding_counts(s, "ts", "k", "1 hour", "30 minutes"), "sliding", "complete").collect()) == 8
+
+
+def test_poses_odometry_and_dumps(spark, tmp_path):
+    put(tmp_path, "p/4/odom/rel.txt", "1 0 0 0 1 2 3\n" + " ".join(["0"] * 12) + "\n1 2\n")
+    got = text.poses(spark, str(tmp_path / "p/*/odom/*.txt")).orderBy("frame").collect()
+    assert [(r.seq, r.good, r.relative is not None, r.matrix is not None) for r in got] == [("4", True, True, False), ("4", True, False, True), ("4", False, False, False)]
+    put(tmp_path, "o/seq_12_local.csv", "timestamp,local_x,local_y,local_z\n5,1.5,2,3\n")
+    assert tuple(text.local_odometry(spark, str(tmp_path / "o/*.csv")).first()) == (12, 5, 1.5, 2.0, 3.0)
+    lines = spark.createDataFrame([("camera: changed=True params={'sigma': 0.5, 'on': True}",), ("lidar: changed=False params={}",)], "line string")
+    got = {r.sensor: (r.changed, r.params) for r in text.dump_meta(lines).collect()}
+    assert got == {"camera": (True, {"sigma": "0.5", "on": "true"}), "lidar": (False, {})}
+
+
+def test_arrays_as_cells(spark, tmp_path):
+    import numpy as np
+
+    from quernstone.sources.arrays import axis_table, npy_cells
+
+    a = np.arange(24, dtype=np.float32).reshape(2, 3, 4)
+    a[0, 0, 1] = -1
+    np.save(tmp_path / "cube.npy", a)
+    got = {(r.z, r.y, r.x): r.value for r in npy_cells(spark, str(tmp_path / "*.npy"), ["z", "y", "x"], missing=-1.0).collect()}
+    assert len(got) == 23 and got[1, 2, 3] == 23.0 and (0, 0, 1) not in got
+    with pytest.raises(Exception, match="axes"):
+        npy_cells(spark, str(tmp_path / "*.npy"), ["y", "x"]).count()
+    assert axis_table(spark, "az", [0, 180], degrees=True).collect()[1].az == pytest.approx(3.14159265)
+
+
+def test_chains_follow_the_last_kept_box(spark):
+    from quernstone.operators.matching import chained
+
+    rows = [(1, i, x, x + 4.0, 0.0, 2.0) for i, x in enumerate((0.0, 1.0, 50.0, 2.0, 90.0))] + [(2, 0, 7.0, 8.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, t int, x0 double, x1 double, y0 double, y1 double")
+    assert sorted((r.k, r.t) for r in chained(df, ["k"], ["t"], 0.01).collect()) == [(1, 0), (1, 1), (1, 3), (2, 0)]
