@@ -63,7 +63,7 @@ def f06_frames_with_objects(spark: SparkSession, sf: str) -> DataFrame:
     return fr.join(d.gt(spark, sf), ["seq", "frame"], "left_semi")
 
 
-@query(f"""WITH {PR} SELECT cond, sum(CAST(score > 0.3 AS INT)) AS above, sum(CAST(score >= 0.3 AS INT)) AS at_least, count(score) AS scored
+@query(f"""WITH {PR} SELECT cond, count(*) FILTER (score > 0.3) AS above, count(*) FILTER (score >= 0.3) AS at_least, count(score) AS scored
 FROM pr WHERE cond IS NOT NULL GROUP BY cond""")
 def f14_f15_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Detections kept by the strict and by the inclusive confidence filter."""
@@ -76,7 +76,7 @@ def f14_f15_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {PR}, want AS (SELECT * FROM (VALUES (3, 21), (1, 112), (2, 999999)) v(pos, seq)),
-s AS (SELECT DISTINCT seq FROM pr) SELECT w.pos, w.seq, s.seq IS NULL AS missing FROM want w LEFT JOIN s ON s.seq = w.seq""")
+s AS (SELECT DISTINCT seq FROM pr) SELECT w.pos, CAST(w.seq AS BIGINT) AS seq, s.seq IS NULL AS missing FROM want w LEFT JOIN s ON s.seq = w.seq""")
 def f13_explicit_list(spark: SparkSession, sf: str) -> DataFrame:
     """An explicit list of sequences in its order, with those that are missing."""
     want = spark.createDataFrame([(3, 21), (1, 112), (2, 999999)], "pos int, seq bigint")

@@ -43,8 +43,8 @@ def m19_m20_f20_points_on_image(spark: SparkSession, sf: str) -> DataFrame:
 _C5, _S5 = repr(0.9961946980917455), repr(0.08715574274765817)
 
 
-@query(f"""WITH {PT}, a AS (SELECT {_K}, 704 - (pk % 1280 * 0.55 - 0) AS u, sk % 720 * 0.55 - 140 AS v FROM pt)
-SELECT {_K}, round({_C5}*(u - 352) + {_S5}*(v - 128) + 352, 6) + 0.0 AS u, round({_C5}*(v - 128) - {_S5}*(u - 352) + 128, 6) + 0.0 AS v FROM a""")
+@query(f"""WITH {PT}, a AS (SELECT {_K}, 704 - (pk % 1280) * 0.55::DOUBLE AS u, (sk % 720) * 0.55::DOUBLE - 140 AS v FROM pt)
+SELECT {_K}, round({_C5}::DOUBLE*(u - 352) + {_S5}::DOUBLE*(v - 128) + 352, 6) + 0.0 AS u, round({_C5}::DOUBLE*(v - 128) - {_S5}::DOUBLE*(u - 352) + 128, 6) + 0.0 AS v FROM a""")
 def m21_image_transform(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels after resize, crop, mirror and a rotation of five degrees."""
     u, v = g.image_transformed((F.col("pk") % 1280).cast("double"), (F.col("sk") % 720).cast("double"), 0.55, (0.0, 140.0), 704.0, True, 5.0, (352.0, 128.0))

@@ -30,8 +30,8 @@ def _money(c: str):
     return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
 
 
-@query(f"""WITH {PT} SELECT {_K}, round((CAST(floor(x / 0.4) AS BIGINT) + 0.5) * 0.4, 6) + 0.0 AS cx, round(power / 1e5, 9) AS normal, round(power * (20 - 2 * abs(z)), 4) + 0.0 AS weighted,
-round(x * cos(0.3) - y * sin(0.3), 6) + 0.0 AS rx, round(x * sin(0.3) + y * cos(0.3), 6) + 0.0 AS ry, round(0.1 + (pk % 64) * 0.25 + 0.125, 6) + 0.0 AS metre FROM pt""")
+@query(f"""WITH {PT} SELECT {_K}, round((CAST(floor(x / 0.4) AS BIGINT) + 0.5) * 0.4::DOUBLE, 6) + 0.0 AS cx, round(power / 1e5, 9) AS normal, round(power * (20 - 2 * abs(z)), 4) + 0.0 AS weighted,
+round(x * cos(0.3) - y * sin(0.3), 6) + 0.0 AS rx, round(x * sin(0.3) + y * cos(0.3), 6) + 0.0 AS ry, round(0.1::DOUBLE + (pk % 64) * 0.25::DOUBLE + 0.125, 6) + 0.0 AS metre FROM pt""")
 def m06_m09_m12_m14_m16_projections(spark: SparkSession, sf: str) -> DataFrame:
     """Voxel centres, normalised and height-weighted power, rotated points and positions of half-shifted indices."""
     c = F.col
@@ -98,7 +98,7 @@ def r09_radius_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return near.groupBy("frame", *_KEY).agg(F.count("*").alias("n")).groupBy("frame").agg(F.count("*").alias("points"), F.count_if(c("n") >= 3).alias("kept"))
 
 
-@query(f"""WITH {CE}, q AS (SELECT quantile_cont(p / 1e6, 0.9) AS q FROM ce) SELECT di, ri, ai, ei, round(1 + 0.46 * ri + 0.23, 6) AS rng, round(p / 1e6, 9) AS power FROM ce, q WHERE p / 1e6 > q""")
+@query(f"""WITH {CE}, q AS (SELECT quantile_cont(p / 1e6, 0.9) AS q FROM ce) SELECT di, ri, ai, ei, round(1 + 0.46::DOUBLE * ri + 0.23, 6) AS rng, round(p / 1e6, 9) AS power FROM ce, q WHERE p / 1e6 > q""")
 def r07_sparse_cube(spark: SparkSession, sf: str) -> DataFrame:
     """Sparse cube: power normalised, the strongest tenth kept, indices to metres at half cells."""
     cells = d.cells(spark, sf).withColumn("power", F.col("p") / 1e6)
