@@ -34,18 +34,22 @@ def top_per_group(
     other columns are never read.
     """
     g = [f"_g{i}" for i in range(len(group))]
-    base = rows if keep is None else rows.where(keep)
-    base = base.select(
-        *[c.alias(k) for c, k in zip(group, g)], (score.cast("double") + F.lit(0.0)).alias("_s"), tie.alias("_tie"), F.col(id_col).alias("_id")
-    ).where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in [*g, "_s", "_id"]]) & ~F.isnan("_s"))
-    cuts = base.agg(F.percentile_approx("_s", [1 - s for s in sorted(shares)], 1000)).first()[0] or []
+    value = score.cast("double")
+    usable = rows if keep is None else rows.where(keep)
+    usable = usable.where(reduce(lambda x, y: x & y, [c.isNotNull() for c in [*group, value, F.col(id_col)]]) & ~F.isnan(value))
+
+    def band(upper: float, lower: float) -> DataFrame:
+        below = value <= upper if upper == float("inf") else value < upper
+        columns = [*[c.alias(k) for c, k in zip(group, g)], (value + F.lit(0.0)).alias("_s"), tie.alias("_tie"), F.col(id_col).alias("_id")]
+        return usable.where(below & (value >= lower)).select(*columns)
+
+    cuts = usable.agg(F.percentile_approx(value, [1 - s for s in sorted(shares)], 1000)).first()[0] or []
     edges = [float("inf"), *sorted({float(c) for c in cuts}, reverse=True), float("-inf")]
 
     best = Window.partitionBy(*g).orderBy(F.desc("_s"), F.asc_nulls_last("_tie"), F.asc("_id"))
     taken: DataFrame | None = None
     for upper, lower in zip(edges, edges[1:]):
-        band = base.where((F.col("_s") <= upper) & (F.col("_s") >= lower)) if upper == float("inf") else base.where((F.col("_s") < upper) & (F.col("_s") >= lower))
-        ranked = band.withColumn("_k", F.dense_rank().over(best)).where(F.col("_k") <= n).select(*g, "_k", "_id").distinct()
+        ranked = band(upper, lower).withColumn("_k", F.dense_rank().over(best)).where(F.col("_k") <= n).select(*g, "_k", "_id").distinct()
         if taken is None:
             taken = cut_lineage(ranked)
             continue
