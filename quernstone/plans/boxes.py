@@ -389,3 +389,30 @@ def k01_k13_kitti_lines(spark: SparkSession, sf: str) -> DataFrame:
     nums = [F.format_string("%.4f", F.col(c)) for c in ("h", "w", "l", "loc_x", "loc_y", "loc_z", "rot_y")]
     line = F.concat_ws(" ", F.coalesce("cls", F.lit("unknown")), F.lit("0.00 0 0 50 50 150 150"), *nums, F.format_string("%.4f", F.coalesce("score", F.lit(0.0))))
     return d.preds(spark, sf).select("pred_id", line.alias("line"))
+
+
+@query(f"""SELECT cls, count(*) AS effects, round(avg(mean_rb), 9) + 0.0 AS mean_rb, round(avg(cri), 9) + 0.0 AS mean_cri FROM ({query.sql['a16_a17_robustness']}) GROUP BY cls""")
+def a18_mean_robustness(spark: SparkSession, sf: str) -> DataFrame:
+    """Robustness of every class averaged over effects; effects without a stability figure do not count in its mean."""
+    r = a16_a17_robustness(spark, sf)
+    return r.groupBy("cls").agg(F.count("*").alias("effects"), _r(F.avg("mean_rb"), 9).alias("mean_rb"), _r(F.avg("cri"), 9).alias("mean_cri"))
+
+
+@query(f"WITH {GT} SELECT gt_id, round(l + 0.4, 6) + 0.0 AS l, round(w + 0.4, 6) + 0.0 AS w, round(h + 0.2, 6) + 0.0 AS h FROM gt WHERE cls NOT IN ('ped', 'dontcare')")
+def m24_f17_enlarged_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels without the dropped classes, their boxes enlarged on all sides."""
+    keep = d.gt(spark, sf).where(~F.col("cls").isin("ped", "dontcare"))
+    return keep.select("gt_id", *[_r(F.col(k) + e).alias(k) for k, e in (("l", 0.4), ("w", 0.4), ("h", 0.2))])
+
+
+@query(f"""WITH {GT}, {PR}, a AS ({_AL.format(id='pred_id', extra='score,', tab="(SELECT * FROM pr WHERE cond = 'original')")}), b AS ({_AL.format(id='gt_id', extra='', tab="(SELECT * FROM gt WHERE ambiguous)")})
+SELECT pred_id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.seq = b.seq AND a.frame = b.frame AND greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.z1,b.z1)-greatest(a.z0,b.z0),0) > 0.5*(a.x1-a.x0)*(a.z1-a.z0))""")
+def f16_outside_ignored_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean detections that no ambiguous label covers by more than half in the BEV plane."""
+    keys, c = ["seq", "frame"], F.col
+    a = _aligned(d.preds(spark, sf).where("cond = 'original'"), "a", "pred_id", keys)
+    b = _aligned(d.gt(spark, sf).where("ambiguous"), "b", "gt_id", keys)
+    near = overlapping_pairs(a, b, keys, ["ax0", "ax1", "az0", "az1"], ["bx0", "bx1", "bz0", "bz1"], cell=8.0)
+    common = g.overlap(c("ax0"), c("ax1"), c("bx0"), c("bx1")) * g.overlap(c("az0"), c("az1"), c("bz0"), c("bz1"))
+    covered = near.where(common > 0.5 * (c("ax1") - c("ax0")) * (c("az1") - c("az0"))).select("pred_id")
+    return a.select("pred_id").join(covered, "pred_id", "left_anti")
