@@ -95,6 +95,19 @@ def cheapest_assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_components(i: np.ndarray, j: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """Component of each row in the graph of the pairs (i, j), named by its smallest row; every row has a pair."""
+    of_row = np.arange(rows)
+    while True:
+        of_column = np.full(columns, rows)
+        np.minimum.at(of_column, j, of_row[i])
+        least = of_row.copy()
+        np.minimum.at(least, i, of_column[j])
+        if (least == of_row).all():
+            return of_row
+        of_row = least
+
+
 def farthest_points(xyz: np.ndarray, count: int) -> np.ndarray:
     """Indices of farthest point sampling that starts at the first point; ties to the lower index."""
     count = min(count, len(xyz))

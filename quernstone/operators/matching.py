@@ -135,20 +135,28 @@ def farthest_sample(points: DataFrame, keys: Sequence[str], ident: Sequence[str]
 def cheapest_pairs(pairs: DataFrame, group: Sequence[str], row: str, column: str, cost: str, missing: float) -> DataFrame:
     """Optimal one-to-one assignment per group from candidate pairs; absent pairs cost ``missing`` and are not returned.
 
-    The augmenting-path solver needs a whole cost matrix, so groups must be bounded by the caller (proposals are: a
-    head passes on a fixed number of them).
+    In a group of R rows, of a row's R cheapest columns the other rows leave one free, so some optimal assignment uses
+    only those; just they are kept (exactly, by rank), which bounds a group by R squared pairs however many columns it
+    has. The augmenting-path solver gets one connected component of the pairs at a time.
     """
     g = list(group)
+    rank = F.row_number().over(Window.partitionBy(*g, row).orderBy(F.asc(cost), F.asc(column)))
+    per_group = pairs.groupBy(*g).agg(F.countDistinct(row).alias("_rows"))
+    kept = pairs.withColumn("_rank", rank).join(per_group, g).where(F.col("_rank") <= F.col("_rows")).select(*pairs.columns)
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.unique(p[row]), np.unique(p[column])
-        matrix = np.full((len(rows), max(len(rows), len(cols))), missing)
-        i, j = np.searchsorted(rows, p[row]), np.searchsorted(cols, p[column])
-        matrix[i, j] = p[cost]
-        chosen = kernels.cheapest_assignment(matrix)
-        return p[(chosen[i] == j) & (matrix[i, j] < missing)]
-
-    return pairs.groupBy(*g).applyInPandas(solve, pairs.schema)
+        (rows, i), (cols, j) = np.unique(p[row], return_inverse=True), np.unique(p[column], return_inverse=True)
+        of_row = kernels.pair_components(i, j, len(rows), len(cols))
+        costs, keep = p[cost].to_numpy(dtype=float), np.zeros(len(p), dtype=bool)
+        order = np.argsort(of_row[i], kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(of_row[i][order])) + 1):
+            (r, ri), (c, cj) = np.unique(i[at], return_inverse=True), np.unique(j[at], return_inverse=True)
+            matrix = np.full((len(r), max(len(r), len(c))), missing)
+            matrix[ri, cj] = costs[at]
+            keep[at] = (kernels.cheapest_assignment(matrix)[ri] == cj) & (costs[at] < missing)
+        return p[keep]
+
+    return kept.groupBy(*g).applyInPandas(solve, pairs.schema)
 
 
 def chained(boxes: DataFrame, keys: Sequence[str], order: Sequence[str], threshold: float) -> DataFrame:

@@ -154,15 +154,11 @@ def t08_circle_nms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def j27_cheapest_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels and the 64 best clean detections of a frame assigned at least total distance, pairs within 10 m and one class.
-
-    Both sides are proposals of bounded number, as a head passes them on.
-    """
+    """Labels and clean detections of a frame assigned at least total distance, pairs within 10 m and one class."""
     keys = ["seq", "frame", "cls"]
-    top = _known(spark, sf).where("cond = 'original'").withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("score"), "pred_id"))).where("k <= 64")
+    found = _known(spark, sf).where("cond = 'original'")
     gt = d.gt(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL")
-    gt = gt.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("line_idx", "gt_id"))).where("k <= 64")
-    near = within_radius(gt.select(*keys, "gt_id", F.col("loc_x").alias("ax"), F.col("loc_z").alias("az")), top.select(*keys, "pred_id", F.col("loc_x").alias("bx"), F.col("loc_z").alias("bz")), keys, ["ax", "az"], ["bx", "bz"], 10.0)
+    near = within_radius(gt.select(*keys, "gt_id", F.col("loc_x").alias("ax"), F.col("loc_z").alias("az")), found.select(*keys, "pred_id", F.col("loc_x").alias("bx"), F.col("loc_z").alias("bz")), keys, ["ax", "az"], ["bx", "bz"], 10.0)
     near = near.select(*keys, "gt_id", "pred_id", F.sqrt("d2").alias("cost"))
     return cheapest_pairs(near, keys, "gt_id", "pred_id", "cost", 1000.0).select("gt_id", "pred_id", _r("cost").alias("cost"))
 
