@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from quernstone.functions.geometry import iou, overlap
 from quernstone.operators import kernels
 from quernstone.operators.spatial import overlapping_pairs, within_radius
+from quernstone.session import write_stage
 
 
 @F.pandas_udf(T.DoubleType())
@@ -70,35 +71,64 @@ def greedy_pairs(pairs: DataFrame, group: Sequence[str], claimant: str, target:
     return ordered.select(*columns).mapInPandas(take, ordered.schema).drop("_g")
 
 
-def suppressed(boxes: DataFrame, keys: Sequence[str], ident: str, score: str, threshold: float, most: int, by: str = "rotated") -> DataFrame:
+def suppressed(
+    boxes: DataFrame, keys: Sequence[str], ident: str, score: str, threshold: float, most: int | None = None, by: str = "rotated", batch: int = 4096
+) -> DataFrame:
     """Non-maximum suppression: the ids that stay, best score first, ties by id.
 
     ``by``: "rotated" or "aligned" overlap above ``threshold``, or "circle" (squared centre distance of at most it).
+    ``most``: only so many best boxes of a group enter, where a head has such a limit of its own.
 
-    As in detection heads, only the ``most`` best boxes of a group enter (the feature's own top-k, applied before the
-    shuffle), which bounds every group. Overlapping pairs come from the grid join; one ordered pass per group
-    drops a box if a kept better one overlaps it by more than ``threshold``.
+    Boxes are settled in rounds: the ``batch`` best undecided ones of every group in one ordered pass, then all worse
+    ones that a kept box drops leave by the grid join, until none is undecided. So clashes are sought within a batch and with
+    kept boxes only, and every group is decided to its end; groups of up to ``batch`` boxes take one round.
     """
     k = list(keys)
+    c = F.col
     best = Window.partitionBy(*k).orderBy(F.desc(score), F.asc(ident))
-    top = boxes.where(F.col(score).isNotNull()).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= most)
-    a = bev(top, "a", ident, k, [F.col("_rank").alias("_ra")]).withColumnRenamed(ident, "_ia")
-    b = bev(top, "b", ident, k, [F.col("_rank").alias("_rb")]).withColumnRenamed(ident, "_ib")
+    left = boxes.where(c(score).isNotNull()).select(*k, ident, score, "loc_x", "loc_z", "l", "w", "rot_y")
+    if most is not None:
+        left = left.withColumn("_rank", F.row_number().over(best)).where(c("_rank") <= most).drop("_rank")
+    done = None
+    while True:
+        top = write_stage(left.withColumn("_rank", F.row_number().over(best)).where(c("_rank") <= batch), "nms-top")
+        kept = write_stage(_kept_in_order(top, k, ident, threshold, by), "nms-kept")
+        done = kept if done is None else done.unionByName(kept)
+        # groups with a full batch may have worse boxes yet
+        last = top.where(c("_rank") == batch).select(*k, c(score).alias("_score"), c(ident).alias("_id"))
+        worse = (c(score) < c("_score")) | ((c(score) == c("_score")) & (c(ident) > c("_id")))
+        rest = left.join(last, k).where(worse).drop("_score", "_id")
+        if top.where(c("_rank") == batch).isEmpty():
+            return done
+        a = bev(top.join(kept, [*k, ident], "left_semi").join(last, k, "left_semi"), "a", ident, k).withColumnRenamed(ident, "_ia")
+        b = bev(rest, "b", ident, k).withColumnRenamed(ident, "_ib")
+        dropped = _clashes(a, b, k, threshold, by).select(*k, c("_ib").alias(ident)).distinct()
+        left = write_stage(rest.join(dropped, [*k, ident], "left_anti"), "nms-left")
+
+
+def _clashes(a: DataFrame, b: DataFrame, k: Sequence[str], threshold: float, by: str) -> DataFrame:
+    """Pairs of :func:`bev` rows (prefixes a and b) of which the better suppresses the worse."""
     c = F.col
     if by == "circle":
-        pairs = within_radius(a, b, k, ["ax", "az"], ["bx", "bz"], threshold**0.5, closed=True)
-    elif by == "aligned":
+        return within_radius(a, b, k, ["ax", "az"], ["bx", "bz"], threshold**0.5, closed=True)
+    if by == "aligned":
         sides = [(c(f"{p}x") - c(f"{p}w") / 2, c(f"{p}x") + c(f"{p}w") / 2, c(f"{p}z") - c(f"{p}l") / 2, c(f"{p}z") + c(f"{p}l") / 2) for p in "ab"]
         (ax0, ax1, az0, az1), (bx0, bx1, bz0, bz1) = sides
         near = overlapping_pairs(a, b, k, ["ax0", "ax1", "az0", "az1"], ["bx0", "bx1", "bz0", "bz1"], 8.0)
         both = overlap(ax0, ax1, bx0, bx1) * overlap(az0, az1, bz0, bz1)
-        pairs = near.where(iou(both, c("al") * c("aw"), c("bl") * c("bw")) > threshold)
-    elif by == "rotated":
-        pairs = bev_candidates(a, b, k).where(c("iou") > threshold)
-    else:
-        raise ValueError(f"unknown suppression {by!r}")
-    clash = pairs.where(c("_ra") < c("_rb"))
-    worse = clash.groupBy(*k, F.col("_ib").alias(ident)).agg(F.collect_list("_ra").alias("_over"))  # at most `most` ranks
+        return near.where(iou(both, c("al") * c("aw"), c("bl") * c("bw")) > threshold)
+    if by == "rotated":
+        return bev_candidates(a, b, k).where(c("iou") > threshold)
+    raise ValueError(f"unknown suppression {by!r}")
+
+
+def _kept_in_order(top: DataFrame, k: Sequence[str], ident: str, threshold: float, by: str) -> DataFrame:
+    """(keys, ident) of ranked boxes that no better kept one suppresses: one ordered pass per group."""
+    c = F.col
+    a = bev(top, "a", ident, k, [c("_rank").alias("_ra")]).withColumnRenamed(ident, "_ia")
+    b = bev(top, "b", ident, k, [c("_rank").alias("_rb")]).withColumnRenamed(ident, "_ib")
+    clash = _clashes(a, b, k, threshold, by).where(c("_ra") < c("_rb"))
+    worse = clash.groupBy(*k, F.col("_ib").alias(ident)).agg(F.collect_list("_ra").alias("_over"))  # at most `batch` ranks
     rows = top.select(*k, ident, "_rank").join(worse, [*k, ident], "left").repartition(*k).sortWithinPartitions(*k, "_rank")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -142,14 +142,14 @@ def _known(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def t06_aligned_nms(spark: SparkSession, sf: str) -> DataFrame:
-    """Detections left by axis-aligned suppression of the 512 best of every frame, condition and class."""
-    return suppressed(_known(spark, sf), ["seq", "frame", "cond", "cls"], "pred_id", "score", 0.1, 512, by="aligned").select("pred_id")
+    """Detections left by axis-aligned suppression in every frame, condition and class."""
+    return suppressed(_known(spark, sf), ["seq", "frame", "cond", "cls"], "pred_id", "score", 0.1, by="aligned").select("pred_id")
 
 
 @query()
 def t08_circle_nms(spark: SparkSession, sf: str) -> DataFrame:
-    """Detections left by circle suppression (squared centre distance of at most 4) of the 512 best."""
-    return suppressed(_known(spark, sf), ["seq", "frame", "cond", "cls"], "pred_id", "score", 4.0, 512, by="circle").select("pred_id")
+    """Detections left by circle suppression (squared centre distance of at most 4)."""
+    return suppressed(_known(spark, sf), ["seq", "frame", "cond", "cls"], "pred_id", "score", 4.0, by="circle").select("pred_id")
 
 
 @query()

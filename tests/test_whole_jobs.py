@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 from quernstone.operators import kernels
-from quernstone.operators.matching import cheapest_pairs
-from quernstone.plans import scenes
+from quernstone.operators.matching import cheapest_pairs, suppressed
+from quernstone.plans import matching, scenes
 
 GT = "gt_id long, seq string, frame string, line_idx int, cls_kw string, h double, w double, l double, loc_x double, loc_y double, loc_z double, rot_y double, trk_id long, ambiguous boolean"
 PR = "pred_id long, seq string, frame string, condition string, line_idx int, cls_kw string, h double, w double, l double, loc_x double, loc_y double, loc_z double, rot_y double, score double, trk_id long, is_fp boolean"
@@ -54,3 +54,19 @@ def test_cheapest_pairs_against_brute_force(spark):
 
 def test_pair_components():
     assert list(kernels.pair_components(np.array([0, 1, 2, 2, 3]), np.array([0, 1, 0, 2, 3]), 4, 4)) == [0, 1, 0, 3]
+
+
+@pytest.mark.parametrize("query", [matching.t05_t07_rotated_nms, scenes.t06_aligned_nms, scenes.t08_circle_nms])
+def test_suppression_decides_every_box(spark, tmp_path, query):
+    apart = [detection(i, 10.0 * i, 0.0, 0.9 - i / 10_000) for i in range(600)]
+    sf = stored(spark, tmp_path, [], [*apart, detection(900, 5990.5, 0.0, 0.01), detection(901, -90.0, 0.0, 0.02)])
+    assert {r.pred_id for r in query(spark, sf).collect()} == {*range(600), 901}
+
+
+@pytest.mark.parametrize("by", ["rotated", "aligned", "circle"])
+def test_suppression_does_not_depend_on_batches(spark, by):
+    rng = np.random.default_rng(7)
+    rows = [(int(i % 3 == 0), i, float(np.round(rng.uniform(), 1)), *map(float, rng.uniform(0, 14, 2)), *map(float, rng.uniform(1, 4, 2)), float(rng.uniform(-3, 3))) for i in range(90)]
+    df = spark.createDataFrame(rows, "k int, id int, score double, loc_x double, loc_z double, l double, w double, rot_y double")
+    one, many = (sorted(r.id for r in suppressed(df, ["k"], "id", "score", 1.5 if by == "circle" else 0.1, by=by, batch=n).collect()) for n in (4096, 7))
+    assert one == many and len(one) < 90
