@@ -31,13 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local runs) a folder of this machine is taken.
+    Only a session on this machine alone (``local[...]``) that names none gets a folder here; on a cluster its absence
+    is an error, since files of one machine would be lost with it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-quernstone-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named
 
 
@@ -47,15 +51,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as compressed Parquet in the shared folder and read it back."""
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/stages/{spark.sparkContext.applicationId}"
+
+
+def write_stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once as compressed Parquet in the shared folder and read it back.
+
+    ``by`` is a column whose values become folders, so that a filter on it reads those alone.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows over all cores if the scan has fewer partitions than there are cores (few or unsplittable files)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def remove_stages(spark: SparkSession) -> None:
+    """Delete the stages of this application; results not yet collected or written cannot be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Session setting: how many partitions a corpus of a few large files is dealt into. Unset: as the files are cut.
+CORPUS_PARTITIONS = "quernstone.corpus.partitions"
+
+
+def corpus(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The given columns of a table of texts, in :data:`CORPUS_PARTITIONS` partitions if the session sets that."""
+    df = table(spark, sf_dir, name).select(*columns)
+    parts = spark.conf.get(CORPUS_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def write_facts(df: DataFrame, path: str, by: str = "seq") -> None:
-    """Parquet fact table partitioned by sequence, one task's rows per partition folder kept together."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+    """Parquet fact table partitioned by sequence.
+
+    Rows are gathered by sequence before the write; AQE cuts the partition of a large sequence and joins small ones,
+    so that a sequence with a third of all rows is many tasks.
+    """
+    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def write_fan_out(df: DataFrame, path: str, conditions: list[str], line: str) -> None:
@@ -21,20 +25,33 @@ def write_fan_out(df: DataFrame, path: str, conditions: list[str], line: str) ->
 def merge_small_files(spark, source: str, target: str, files: int) -> int:
     """Merge many text files into ``files`` ones; refuses to shrink a table that is already there.
 
-    The new copy is written beside the target, its rows are counted, and only then do the two change places.
+    The new copy is written beside the target and its rows are counted. The old table is then moved aside, the new one
+    moved in and the old one deleted; if the second move fails the old table is moved back, and an old table left aside
+    by a broken run is put back first. So at every moment one of the two is whole.
     """
-    stage = target.rstrip("/") + "._stage"
-    spark.read.text(source).coalesce(files).write.mode("overwrite").text(stage)
-    new = spark.read.text(stage).count()
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(fs_path):
-        old = spark.read.text(target).count()
-        if new < old:
-            raise ValueError(f"refusing to shrink {target} from {old} to {new} rows")
-        fs.delete(fs_path, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(stage), fs_path)
-    return new
+    name = target.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, here = path(name + "._stage"), path(name + "._old"), path(name)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        if fs.exists(here):
+            fs.delete(old, True)
+        elif not fs.rename(old, here):
+            raise OSError(f"cannot put back {name} from an earlier run")
+    spark.read.text(source).coalesce(files).write.mode("overwrite").text(name + "._stage")
+    rows = spark.read.text(name + "._stage").count()
+    if fs.exists(here):
+        before = spark.read.text(name).count()
+        if rows < before:
+            raise ValueError(f"refusing to shrink {target} from {before} to {rows} rows")
+        if not fs.rename(here, old):
+            raise OSError(f"cannot move {name} aside")
+    if not fs.rename(new, here):
+        if fs.exists(old):
+            fs.rename(old, here)
+        raise OSError(f"cannot move the merged files to {name}")
+    fs.delete(old, True)
+    return rows
 
 
 def write_summary(df: DataFrame, path: str) -> None:

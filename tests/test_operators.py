@@ -155,10 +155,12 @@ def test_overlapping_pairs_are_all_found_once(spark):
         return (i % 2, i, x, x + rng.uniform(0, 9), y, y + rng.uniform(0, 9))
 
     a, b = [box(i) for i in range(60)], [box(i) for i in range(60)]
+    a += [(0, 60, -1e6, 1e6, -3.0, -2.0), (1, 61, 0.0, 50.0, 0.0, 1.0)]  # more cells than a rectangle is cut into
+    b += [(0, 60, 2.0, 3.0, -1e6, 5e6), (1, 61, 0.0, 0.5, -40.0, 40.0), (0, 62, 1.0, float("inf"), 0.0, 1.0)]
     da = spark.createDataFrame([*a, (0, 99, None, 1.0, 0.0, 1.0)], "k int, i int, ax0 double, ax1 double, ay0 double, ay1 double")
     db = spark.createDataFrame(b, "k int, j int, bx0 double, bx1 double, by0 double, by1 double")
     got = [(r.i, r.j) for r in overlapping_pairs(da, db, ["k"], ["ax0", "ax1", "ay0", "ay1"], ["bx0", "bx1", "by0", "by1"], 4.0).collect()]
-    want = [(p[1], q[1]) for p in a for q in b if p[0] == q[0] and p[2] <= q[3] and q[2] <= p[3] and p[4] <= q[5] and q[4] <= p[5]]
+    want = [(p[1], q[1]) for p in a for q in b if p[0] == q[0] and p[2] <= q[3] and q[2] <= p[3] and p[4] <= q[5] and q[4] <= p[5] and q[3] < 1e300]
     assert sorted(got) == sorted(want)
 
 

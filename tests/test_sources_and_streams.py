@@ -140,3 +140,25 @@ def test_chains_follow_the_last_kept_box(spark):
     rows = [(1, i, x, x + 4.0, 0.0, 2.0) for i, x in enumerate((0.0, 1.0, 50.0, 2.0, 90.0))] + [(2, 0, 7.0, 8.0, 0.0, 1.0)]
     df = spark.createDataFrame(rows, "k int, t int, x0 double, x1 double, y0 double, y1 double")
     assert sorted((r.k, r.t) for r in chained(df, ["k"], ["t"], 0.01).collect()) == [(1, 0), (1, 1), (1, 3), (2, 0)]
+
+
+def test_a_broken_merge_is_put_right(spark, tmp_path):
+    spark.createDataFrame([(f"l{i}",) for i in range(4)], "value string").write.text(str(tmp_path / "new"))
+    spark.createDataFrame([("old",)], "value string").write.text(str(tmp_path / "m._old"))  # left by a run that broke between its moves
+    assert sinks.merge_small_files(spark, str(tmp_path / "new"), str(tmp_path / "m"), 1) == 4
+    assert not (tmp_path / "m._old").exists() and not (tmp_path / "m._stage").exists()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    import types
+
+    from quernstone import session
+
+    context = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    fake = types.SimpleNamespace(sparkContext=context, conf=types.SimpleNamespace(get=lambda *_: None))
+    try:
+        session.shared_dir(fake)
+    except RuntimeError as e:
+        assert "spark.checkpoint.dir" in str(e)
+    else:
+        raise AssertionError("no error")
