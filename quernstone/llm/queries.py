@@ -15,7 +15,7 @@ from quernstone.llm.spans import shared_spans
 from quernstone.llm.splits import grouped_splits
 from quernstone.llm.terms import term_frequencies
 from quernstone.llm.topn import top_per_group
-from quernstone.session import spread, table
+from quernstone.session import corpus, table
 
 
 def p1_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,18 +97,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_top(spark, sf_dir).select("pred_id")
 
 
-def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The documents' columns that a query reads, dealt over all cores where the files are too few for them."""
-    return spread(table(spark, sf_dir, "documents").select(*columns))
-
-
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
-    return token_ids(_documents(spark, sf_dir, "doc_id", "text"))
+    return token_ids(corpus(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mix_sources(_documents(spark, sf_dir, "doc_id", "text", "source", "lang", "site"), table(spark, sf_dir, "mix_targets"))
+    return mix_sources(corpus(spark, sf_dir, "documents", "doc_id", "text", "source", "lang", "site"), table(spark, sf_dir, "mix_targets"))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +123,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document stands verbatim in another one, in spans of at least 200 code points."""
-    return shared_spans(_documents(spark, sf_dir, "doc_id", "text"))
+    return shared_spans(corpus(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
