@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.session import cut_lineage
+from quernstone.session import write_stage
 
 
 def top_per_group(
@@ -19,15 +19,17 @@ def top_per_group(
     n: int,
     *,
     keep: Column | None = None,
-    shares: tuple[float, ...] = (0.4,),
+    shares: tuple[float, ...] = (0.3, 0.6, 0.85),
+    salts: int = 16,
 ) -> DataFrame:
     """(id, place) of the ``n`` best rows of every group: score descending, then ``tie`` and the id ascending.
 
-    The scores are cut into descending bands at the quantiles whose upper shares are ``shares`` (a mergeable sketch
-    over all rows), and the bands are worked from the top: a band's rows are ranked within their group, with Spark's
-    group limit already applied before the shuffle, so that a group with a third of all rows sends at most ``n``
-    keys per map task; groups filled by higher bands are anti-joined away, and what a group still lacks is
-    taken from the band by exact rank. Copies of an id share one rank and are dropped at the end.
+    Descending score bands: a mergeable sketch gives the scores above which ``shares`` of all rows lie, and one narrow
+    pass writes the columns that are needed partitioned by band. The bands are worked from the top; each reads its own
+    files alone. Rows of groups that are filled already are anti-joined away, the others are ranked within (group, salt)
+    on the same partitioning, and the at most ``n`` rows of each cell are ranked within the group by exact tie order, so
+    that a group with a third of all rows is ``salts`` tasks of a band. What a group lacks is taken from the band, and
+    the work stops at the band below which no group lacks anything.
 
     Defined results: rows with a null group column, a null or NaN score or a null id, or failing ``keep``, do not
     count; a null tie comes last; -0.0 equals 0.0; repeated ids count once; an empty table gives an empty result;
@@ -38,30 +40,33 @@ def top_per_group(
     usable = rows if keep is None else rows.where(keep)
     usable = usable.where(reduce(lambda x, y: x & y, [c.isNotNull() for c in [*group, value, F.col(id_col)]]) & ~F.isnan(value))
 
-    def band(upper: float, lower: float) -> DataFrame:
-        below = value <= upper if upper == float("inf") else value < upper
-        columns = [*[c.alias(k) for c, k in zip(group, g)], (value + F.lit(0.0)).alias("_s"), tie.alias("_tie"), F.col(id_col).alias("_id")]
-        return usable.where(below & (value >= lower)).select(*columns)
-
     cuts = usable.agg(F.percentile_approx(value, [1 - s for s in sorted(shares)], 1000)).first()[0] or []
-    edges = [float("inf"), *sorted({float(c) for c in cuts}, reverse=True), float("-inf")]
+    cuts = sorted({float(c) for c in cuts}, reverse=True)
+    band = reduce(lambda x, c: x + (value < c).cast("int"), cuts, F.lit(0))
+    bands = write_stage(
+        usable.select(*[c.alias(k) for c, k in zip(group, g)], (value + F.lit(0.0)).alias("_s"), tie.alias("_tie"), F.col(id_col).alias("_id"), band.alias("_band")),
+        "bands",
+        by="_band",
+    )
+    lowest = write_stage(bands.groupBy(*g).agg(F.max("_band").alias("_low")), "band-ends")
 
-    best = Window.partitionBy(*g).orderBy(F.desc("_s"), F.asc_nulls_last("_tie"), F.asc("_id"))
+    best = [F.desc("_s"), F.asc_nulls_last("_tie"), F.asc("_id")]
+    salt = F.pmod(F.xxhash64("_id"), F.lit(salts))
     taken: DataFrame | None = None
-    for upper, lower in zip(edges, edges[1:]):
-        ranked = band(upper, lower).withColumn("_k", F.dense_rank().over(best)).where(F.col("_k") <= n).select(*g, "_k", "_id").distinct()
-        if taken is None:
-            taken = cut_lineage(ranked)
-            continue
+    held: DataFrame | None = None
+    for at in range(len(cuts) + 1):
+        left = bands.where(F.col("_band") == at).withColumn("_salt", salt)
+        if held is not None:
+            full = held.where(F.col("_held") >= n).select(*g, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_salt"))
+            left = left.join(full, [*g, "_salt"], "left_anti")
+        # copies of an id share one rank
+        near = left.withColumn("_k", F.dense_rank().over(Window.partitionBy(*g, "_salt").orderBy(*best))).where(F.col("_k") <= n)
+        ranked = near.withColumn("_k", F.dense_rank().over(Window.partitionBy(*g).orderBy(*best))).where(F.col("_k") <= n).select(*g, "_k", "_id").distinct()
+        if held is not None:
+            ranked = ranked.join(held, g, "left").withColumn("_k", F.col("_k") + F.coalesce("_held", F.lit(0))).where(F.col("_k") <= n).select(*g, "_k", "_id")
+        ranked = write_stage(ranked, "band-top")
+        taken = ranked if taken is None else taken.unionByName(ranked)
         held = taken.groupBy(*g).agg(F.max("_k").alias("_held"))
-        lacking = ranked.join(held.where(F.col("_held") >= n), g, "left_anti")
-        more = (
-            lacking.join(held.where(F.col("_held") < n), g, "left")
-            .withColumn("_k", F.col("_k") + F.coalesce("_held", F.lit(0)))
-            .where(F.col("_k") <= n)
-            .select(*g, "_k", "_id")
-        )
-        taken = taken.unionByName(more)
-        if lower != float("-inf"):
-            taken = cut_lineage(taken)
+        if at < len(cuts) and lowest.where(F.col("_low") > at).join(held.where(F.col("_held") >= n), g, "left_anti").isEmpty():
+            break
     return taken.select(F.col("_id").alias(id_col), F.col("_k").alias("place"))
