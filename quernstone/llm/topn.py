@@ -19,17 +19,20 @@ def top_per_group(
     n: int,
     *,
     keep: Column | None = None,
-    shares: tuple[float, ...] = (0.3, 0.6, 0.85),
-    salts: int = 16,
+    shares: tuple[float, ...] = (0.4, 0.75),
+    most_hot: int = 1000,
 ) -> DataFrame:
     """(id, place) of the ``n`` best rows of every group: score descending, then ``tie`` and the id ascending.
 
     Descending score bands: a mergeable sketch gives the scores above which ``shares`` of all rows lie, and one narrow
     pass writes the columns that are needed partitioned by band. The bands are worked from the top; each reads its own
-    files alone. Rows of groups that are filled already are anti-joined away, the others are ranked within (group, salt)
-    on the same partitioning, and the at most ``n`` rows of each cell are ranked within the group by exact tie order, so
-    that a group with a third of all rows is ``salts`` tasks of a band. What a group lacks is taken from the band, and
-    the work stops at the band below which no group lacks anything.
+    files alone. Rows of groups that are filled already are anti-joined away before the others are ranked, on the same
+    partitioning, by exact tie order; what a group lacks is taken from the band, and the work stops at the band below which
+    no group lacks anything.
+
+    Hot groups, those with more than one ``most_hot``-th of all rows, are thereby at most ``most_hot``: their list is sent to
+    all tasks, so that rows of a filled one never leave their task, and an open one sends at most ``n`` keys per task (Spark's
+    group limit before the shuffle).
 
     Defined results: rows with a null group column, a null or NaN score or a null id, or failing ``keep``, do not
     count; a null tie comes last; -0.0 equals 0.0; repeated ids count once; an empty table gives an empty result;
@@ -48,25 +51,27 @@ def top_per_group(
         "bands",
         by="_band",
     )
-    lowest = write_stage(bands.groupBy(*g).agg(F.max("_band").alias("_low")), "band-ends")
+    sizes = write_stage(bands.groupBy(*g).agg(F.max("_band").alias("_low"), F.count("*").alias("_n")), "band-groups")
+    hot = sizes.where(F.col("_n") * most_hot > sizes.agg(F.sum("_n")).scalar()).select(*g)
+
+    best = Window.partitionBy(*g).orderBy(F.desc("_s"), F.asc_nulls_last("_tie"), F.asc("_id"))
+
+    def leading(df: DataFrame) -> DataFrame:  # copies of an id share one rank
+        return df.withColumn("_k", F.dense_rank().over(best)).where(F.col("_k") <= n).select(*g, "_k", "_id").distinct()
 
-    best = [F.desc("_s"), F.asc_nulls_last("_tie"), F.asc("_id")]
-    salt = F.pmod(F.xxhash64("_id"), F.lit(salts))
     taken: DataFrame | None = None
-    held: DataFrame | None = None
     for at in range(len(cuts) + 1):
-        left = bands.where(F.col("_band") == at).withColumn("_salt", salt)
-        if held is not None:
-            full = held.where(F.col("_held") >= n).select(*g, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_salt"))
-            left = left.join(full, [*g, "_salt"], "left_anti")
-        # copies of an id share one rank
-        near = left.withColumn("_k", F.dense_rank().over(Window.partitionBy(*g, "_salt").orderBy(*best))).where(F.col("_k") <= n)
-        ranked = near.withColumn("_k", F.dense_rank().over(Window.partitionBy(*g).orderBy(*best))).where(F.col("_k") <= n).select(*g, "_k", "_id").distinct()
-        if held is not None:
-            ranked = ranked.join(held, g, "left").withColumn("_k", F.col("_k") + F.coalesce("_held", F.lit(0))).where(F.col("_k") <= n).select(*g, "_k", "_id")
-        ranked = write_stage(ranked, "band-top")
-        taken = ranked if taken is None else taken.unionByName(ranked)
+        left = bands.where(F.col("_band") == at)
+        if taken is None:
+            taken = write_stage(leading(left), "band-top")
+        else:
+            open_hot = hot.join(full, g, "left_anti")
+            cold = left.join(F.broadcast(hot), g, "left_anti").join(full, g, "left_anti")
+            more = leading(cold).unionByName(leading(left.join(F.broadcast(open_hot), g, "left_semi"))).join(held, g, "left")
+            more = more.withColumn("_k", F.col("_k") + F.coalesce("_held", F.lit(0))).where(F.col("_k") <= n).select(*g, "_k", "_id")
+            taken = taken.unionByName(write_stage(more, "band-top"))
         held = taken.groupBy(*g).agg(F.max("_k").alias("_held"))
-        if at < len(cuts) and lowest.where(F.col("_low") > at).join(held.where(F.col("_held") >= n), g, "left_anti").isEmpty():
+        full = held.where(F.col("_held") >= n).select(*g)
+        if at < len(cuts) and sizes.where(F.col("_low") > at).join(full, g, "left_anti").isEmpty():
             break
     return taken.select(F.col("_id").alias(id_col), F.col("_k").alias("place"))
