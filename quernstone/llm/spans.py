@@ -158,15 +158,19 @@ def shared_spans(
     A span is a stretch of at least ``width`` code points that stands in the text of another id. Super-k-mer
     partitioning: consecutive windows with the same minimiser travel as one packed string to the minimiser's bucket.
 
-    1. One narrow pass over the texts writes every packed string's place, minimiser and 128-bit hash, without letters.
-    2. Equal packed strings are merged before anything else, keeping the least and greatest id, so a passage copied
-       into a third of all records is one row per map task. Strings of two ids are shared whole. Only
-       buckets with several strings, several ids and at least one string of a single id need counting.
-    3. For those, one copy of each distinct string is cut from its text and sent to its bucket, where all windows
-       are sorted and compared exactly. Buckets with more than ``crowd`` distinct strings are not gathered: their windows
-       are counted one by one by Spark's aggregation on the 128-bit window hash, which spreads them.
+    1. One narrow pass over the texts writes every packed string's place, minimiser and 128-bit name, without letters.
+    2. A bucket whose strings all come from one record shares nothing; it is left out before any letter travels. Of the
+       others every packed string is cut from its text and sent off. Equal strings are merged on the way, keeping the least
+       and greatest id, so a passage copied into a third of all records is one row per map task. Strings of two ids
+       are shared whole; buckets with several strings, several ids and at least one string of a single id are sorted.
+    3. Sorting a bucket brings equal windows together, and their letters are compared. A bucket of more than ``crowd``
+       strings is split by the name of the window: windows named by one record alone fall away, and the letters of all
+       others are compared in Spark's aggregation, so that no task holds a large bucket.
     4. Shared stretches go back to all places of their string and are merged per record.
 
+    Names only bring candidates together. In every path all letters are compared, and two different stretches of one
+    name are an error, never a result.
+
     Defined results: nothing is normalised; null and short texts have 0 shared; ids (integers) repeated in several rows
     are the same record, which shares nothing with itself and shows its most shared text; null ids are left out; an empty table gives an empty result; other
     columns are never read.
@@ -197,36 +201,32 @@ def shared_spans(
     # _v tells apart the texts of an id that stands in several rows
     long_enough = src.where(F.char_length("_text") >= width).select("_id", F.xxhash64("_text").alias("_v"), "_text")
     places = write_stage(long_enough.mapInArrow(cut, f"_id {kind}, _v bigint, {keys}, _at int"), "places")
-    strings = places.groupBy(*key).agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.min(F.struct("_id", "_v", "_at")).alias("_one"))
-    buckets = strings.groupBy("_z").agg(
-        F.count("*").alias("_n"), F.min("_lo").alias("_blo"), F.max("_hi").alias("_bhi"), F.bool_or(F.col("_lo") == F.col("_hi")).alias("_single")
-    )
-    judged = write_stage(
-        strings.join(buckets, "_z")
-        .withColumn("_open", F.expr("_n > 1 AND _blo < _bhi AND _single"))
-        .where("_lo < _hi OR _open")
-        .select(*key, "_lo", "_hi", "_n", "_open", "_one"),
-        "strings",
-    )
+    live = places.groupBy("_z").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_z")
     asked = (
-        judged.where("_open")
-        .groupBy("_one._id", "_one._v")
-        .agg(F.collect_list(F.struct(*key, "_lo", "_hi", "_n", "_one._at")).alias("_ask"))  # of one text: bounded by it
+        places.join(live, "_z", "left_semi")
+        .groupBy("_id", "_v")
+        .agg(F.collect_list(F.struct(*key, "_at")).alias("_ask"))  # of one text: bounded by it
     )
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            lists = batch.column(1)
-            row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-            flat = lists.flatten()
-            at, run = flat.field("_at").to_numpy(), flat.field("_run").to_numpy()
-            packed = [texts[r][a : a + n + width - 1] for r, a, n in zip(row, at, run)]
-            yield pa.RecordBatch.from_arrays([*(flat.field(k) for k in (*key, "_lo", "_hi", "_n")), pa.array(packed, pa.string())], [*key, "_lo", "_hi", "_n", "_packed"])
-
-    packed = long_enough.join(asked, ["_id", "_v"]).select("_text", "_ask").mapInArrow(
-        fetch, f"{keys}, _lo {kind}, _hi {kind}, _n bigint, _packed string"
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                texts, lists = part.column(1).to_pylist(), part.column(2)
+                own = pa.array(np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy())))
+                flat = lists.flatten()
+                packed = [texts[r][a : a + n + width - 1] for r, a, n in zip(own.to_pylist(), flat.field("_at").to_pylist(), flat.field("_run").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), *(flat.field(k) for k in key), pa.array(packed, pa.string())], ["_id", *key, "_packed"])
+
+    cut_out = long_enough.join(asked, ["_id", "_v"]).select("_id", "_text", "_ask").mapInArrow(fetch, f"_id {kind}, {keys}, _packed string")
+    by_letters = cut_out.groupBy(*key, "_packed").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
+    strings = write_stage(by_letters, "strings")
+    one_name = strings.groupBy(*key).agg(F.count("*").alias("_same"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    names = one_name.withColumn("_same", F.when(F.col("_same") == 1, 1).otherwise(F.raise_error(F.lit("two different strings share 128 bits of name"))))
+    buckets = names.groupBy("_z").agg(
+        F.sum("_same").alias("_n"), F.min("_lo").alias("_blo"), F.max("_hi").alias("_bhi"), F.bool_or(F.col("_lo") == F.col("_hi")).alias("_single")
     )
+    open_ = write_stage(buckets.where("_n > 1 AND _blo < _bhi AND _single").select("_z", "_n"), "buckets")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -264,7 +264,7 @@ def shared_spans(
             yield from flush(pa.Table.from_batches(held))
 
     found = f"{keys}, _from int, _to int"
-    counted = packed.where(F.col("_n") <= crowd).drop("_n").repartition("_z").sortWithinPartitions("_z").mapInArrow(count, found)
+    counted = strings.join(open_.where(F.col("_n") <= crowd), "_z", "left_semi").select(*key, "_lo", "_hi", "_packed").repartition("_z").sortWithinPartitions("_z").mapInArrow(count, found)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,18 +282,18 @@ def shared_spans(
                 cols_ = [part.column(part.schema.get_field_index(k)).take(own) for k in (*key, "_lo", "_hi")]
                 yield pa.RecordBatch.from_arrays([*cols_, *(pa.array(h.windows(width, i)[pos].astype(np.int64)) for i in (0, 1)), pa.array(place.astype(np.int32))], [*key, "_lo", "_hi", "_w1", "_w2", "_place"])
 
-    shared = judged.where("_lo < _hi").select(*key, F.lit(0).alias("_from"), (F.col("_run") - 1).alias("_to")).unionByName(counted)
-    if not judged.where(F.col("_open") & (F.col("_n") > crowd)).isEmpty():
-        crowded = (
-            packed.where(F.col("_n") > crowd)
-            .drop("_n")
-            .mapInArrow(spread, f"{keys}, _lo {kind}, _hi {kind}, _w1 bigint, _w2 bigint, _place int")
-        )
-        window = ["_z", "_w1", "_w2"]
-        twice = crowded.groupBy(*window).agg(F.min("_lo").alias("_l"), F.max("_hi").alias("_h")).where("_l < _h").select(*window)
-        shared = shared.unionByName(
-            crowded.join(twice, window, "left_semi").select(*key, F.col("_place").alias("_from"), F.col("_place").alias("_to"))
-        )
+    whole = names.where("_same = 1 AND _lo < _hi").select(*key, F.lit(0).alias("_from"), (F.col("_run") - 1).alias("_to"))
+    # crowded buckets: names of windows first, then the letters of those that two records name
+    window = ["_z", "_w1", "_w2"]
+    crowded = write_stage(strings.join(open_.where(F.col("_n") > crowd), "_z", "left_semi").select(*key, "_lo", "_hi", "_packed"), "crowded")
+    named = crowded.mapInArrow(spread, f"{keys}, _lo {kind}, _hi {kind}, _w1 bigint, _w2 bigint, _place int")
+    twice = named.groupBy(*window).agg(F.min("_lo").alias("_l"), F.max("_hi").alias("_h")).where("_l < _h").select(*window)
+    met = named.join(twice, window, "left_semi").join(crowded.select(*key, "_packed"), key)
+    letters = met.select(*window, F.substring("_packed", F.col("_place") + 1, F.lit(width)).alias("_w"))
+    differ = letters.groupBy(*window).agg(F.min("_w").alias("_a"), F.max("_w").alias("_b"))
+    proven = differ.where(F.when(F.col("_a") == F.col("_b"), F.lit(True)).otherwise(F.raise_error(F.lit("two different windows share 128 bits of name")).cast("boolean")))
+    split = met.join(proven.select(*window), window, "left_semi").select(*key, F.col("_place").alias("_from"), F.col("_place").alias("_to"))
+    shared = whole.unionByName(counted).unionByName(split)
     ranges = (
         places.join(shared, key)
         .select("_id", "_v", (F.col("_at") + F.col("_from")).alias("_s"), (F.col("_at") + F.col("_to") + width).alias("_e"))
