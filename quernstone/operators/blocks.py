@@ -13,15 +13,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], bucket: str, out: str = "_i") -> DataFrame:
-    """Add the 0-based place of every row in its group; ``order`` must break all ties."""
-    g = list(group)
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], bucket: str, out: str = "_i", finer: Sequence[str] = ()) -> DataFrame:
+    """Add the 0-based place of every row in its group; ``order`` must break all ties.
+
+    ``finer``: whole-number SQL expressions by which a bucket with more than a thousandth of all rows is cut further; like
+    the bucket they never fall as the order rises. There are at most a thousand such buckets, so their list is sent to all
+    tasks.
+    """
+    g, b = list(group), ["_m", *[f"_f{i}" for i in range(len(finer))]]
     cut = df.withColumn("_m", F.expr(bucket))
-    sizes = cut.groupBy(*g, "_m").agg(F.count("*").alias("_n"))
+    if finer:
+        sizes = cut.groupBy(*g, "_m").agg(F.count("*").alias("_n"))
+        large = sizes.where(F.col("_n") * 1000 > df.agg(F.count("*")).scalar()).select(*g, "_m", F.lit(True).alias("_large"))
+        cut = cut.join(F.broadcast(large), [*g, "_m"], "left")
+        lowest = F.lit(-(2**63)).cast("bigint")
+        cut = cut.withColumns({f"_f{i}": F.coalesce(F.when(F.col("_large"), F.expr(e).cast("bigint")), lowest) for i, e in enumerate(finer)}).drop("_large")
+    sizes = cut.groupBy(*g, *b).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*g).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*g, "_m", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy(*g, "_m").orderBy(*order)) - 1
-    return cut.withColumn("_p", place).join(starts, [*g, "_m"]).withColumn(out, F.col("_start") + F.col("_p")).drop("_m", "_p", "_start")
+    starts = sizes.groupBy(*g, "_m").agg(F.sum("_n").alias("_n")).select(*g, "_m", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    if finer:
+        within = Window.partitionBy(*g, "_m").orderBy(*b[1:]).rowsBetween(Window.unboundedPreceding, -1)
+        starts = starts.join(sizes.withColumn("_w", F.coalesce(F.sum("_n").over(within), F.lit(0))), [*g, "_m"]).select(*g, *b, (F.col("_start") + F.col("_w")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*g, *b).orderBy(*order)) - 1
+    return cut.withColumn("_p", place).join(starts, [*g, *b]).withColumn(out, F.col("_start") + F.col("_p")).drop(*b, "_p", "_start")
 
 
 def blocked(df: DataFrame, index: str, block: int, halo: int) -> DataFrame:

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import math
+from statistics import NormalDist
 
 import numpy as np
 
-
-def normal_quantile(p: float) -> float:
-    """Standard normal quantile by bisection on ``erf``."""
-    lo, hi = -12.0, 12.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        if 0.5 * math.erfc(-mid / math.sqrt(2)) < p:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2
+_NORMAL = NormalDist()
+_REACH = 4  # readings on either side of a run that carry its path
 
 
 def t_quantile(p: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Student's t quantile: the normal quantile with four Cornish-Fisher terms in 1/df."""
-    x = np.array([normal_quantile(float(v)) for v in np.atleast_1d(p)])
+    x = np.fromiter(map(_NORMAL.inv_cdf, np.atleast_1d(p).tolist()), dtype=float)
     n = np.maximum(np.asarray(df, dtype=float), 1.0)
     g1 = (x**3 + x) / 4
     g2 = (5 * x**5 + 16 * x**3 + 3 * x) / 96
@@ -30,28 +21,22 @@ def t_quantile(p: np.ndarray, df: np.ndarray) -> np.ndarray:
     return x + g1 / n + g2 / n**2 + g3 / n**3 + g4 / n**4
 
 
-def esd_outliers(score: np.ndarray, share: float, alpha: float) -> np.ndarray:
+def esd_outliers(score: np.ndarray, alpha: float, among: int = 0) -> np.ndarray:
     """Generalised extreme studentised deviate test on scores already centred and scaled robustly.
 
     The i-th largest score is held against the i-th critical value; all scores up to the last one that exceeds
-    its value are outliers. At most ``share`` of the scores (at least one) are tried.
+    its value are outliers. Every score is tried that can be one, which is half of them: beyond that the scale is not
+    that of the sound ones. ``among``: number of readings of the whole source, if these are a part of it.
     """
     out = np.zeros(len(score), dtype=bool)
     known = np.flatnonzero(np.isfinite(score))
-    n = len(known)
-    if n < 5:
+    n = max(len(known), among)
+    if len(known) < 5:
         return out
-    tries = max(1, min(int(n * share), n - 3))
-    order = known[np.argsort(-score[known], kind="stable")][:tries]
-
-    def critical(i: np.ndarray) -> np.ndarray:
-        t = t_quantile(1 - alpha / (2 * (n - i + 1)), n - i - 1)
-        return (n - i) * t / np.sqrt((n - i - 1 + t**2) * (n - i + 1))
-
-    # the critical values fall with i: only scores above the last one can exceed theirs
-    order = order[score[order] > critical(np.array([tries]))[0]]
-    limit = critical(np.arange(1, len(order) + 1))
-    over = np.flatnonzero(score[order] > limit)
+    order = known[np.argsort(-score[known], kind="stable")][: max(1, len(known) // 2)]
+    i = np.arange(1, len(order) + 1)
+    t = t_quantile(1 - alpha / (2 * (n - i + 1)), n - i - 1)
+    over = np.flatnonzero(score[order] > (n - i) * t / np.sqrt((n - i - 1 + t**2) * (n - i + 1)))
     if len(over):
         out[order[: over[-1] + 1]] = True
     return out
@@ -105,33 +90,35 @@ def chord_gap(t: np.ndarray, v: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def path_gap(t: np.ndarray, v: np.ndarray, sigma: float, length: int, at: np.ndarray, times: float, reach: int = 4) -> np.ndarray:
-    """Least distance of the runs starting at ``at`` from the path that the readings around them follow.
+def path_gap(t: np.ndarray, v: np.ndarray, sigma: float, length: int, at: np.ndarray, times: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least distance of the runs starting at ``at`` from the path that the readings around them follow, and the share of
+    those readings that lie on it.
 
-    ``reach`` readings on both sides of a run carry the path: a Theil-Sen line picks the sound ones, a parabola
-    through those is the robust local trend. NaN where a side has fewer than three readings, where the readings
-    around the run do not follow one path (a step, a gap with a turn in it), or where the reading right before or after
-    the run is off the path by ``times`` sigma as well (the run is then part of a longer one).
+    Up to ``_REACH`` readings on both sides of a run carry the path: a Theil-Sen line picks the sound ones, a parabola
+    through those is the robust local trend. NaN where a side has no reading, where the readings around the run do not
+    follow one path (a step, a gap with a turn in it), or where the reading right before or after the run is off the path
+    by ``times`` sigma as well (the run is then part of a longer one).
     """
     n = len(v)
-    out = np.full(len(at), np.nan)
-    keep = np.flatnonzero((at >= 3) & (at + length + 3 <= n))
+    out, share = np.full(len(at), np.nan), np.zeros(len(at))
+    keep = np.flatnonzero((at >= 1) & (at + length + 1 <= n))
     if len(keep) == 0 or not sigma > 0:
-        return out
+        return out, share
     at = at[keep]
-    side = np.concatenate([np.arange(-reach, 0), np.arange(length, length + reach)])
+    side = np.concatenate([np.arange(-_REACH, 0), np.arange(length, length + _REACH)])
     idx = at[:, None] + side[None, :]
     there = (idx >= 0) & (idx < n)
     idx = np.clip(idx, 0, n - 1)
     mid = (t[at - 1] + t[at + length]) / 2
     tt, vv = t[idx] - mid[:, None], v[idx]
-    base = np.median(vv, axis=1)
+    base = np.nanmedian(np.where(there, vv, np.nan), axis=1)
     vv = vv - base[:, None]
-    i, j = np.triu_indices(2 * reach, 1)
+    i, j = np.triu_indices(2 * _REACH, 1)
     gap = tt[:, j] - tt[:, i]
     usable = there[:, i] & there[:, j] & (np.abs(gap) > 1e-9)
-    slope = np.where(usable, (vv[:, j] - vv[:, i]) / np.where(usable, gap, 1.0), np.nan)
-    b = np.nan_to_num(np.nanmedian(slope, axis=1))
+    usable[:, 0] |= ~usable.any(axis=1)  # readings of one instant: no slope
+    slope = np.where(usable, (vv[:, j] - vv[:, i]) / np.where(np.abs(gap) > 1e-9, gap, np.inf), np.nan)
+    b = np.nanmedian(slope, axis=1)
     a = np.nanmedian(np.where(there, vv - b[:, None] * tt, np.nan), axis=1)
     res = np.abs(vv - a[:, None] - b[:, None] * tt)
     bound = np.maximum(6 * sigma, 4 * np.nanmedian(np.where(there, res, np.nan), axis=1))
@@ -140,52 +127,73 @@ def path_gap(t: np.ndarray, v: np.ndarray, sigma: float, length: int, at: np.nda
         res = np.abs(vv - (coef[:, :1] + coef[:, 1:2] * tt + coef[:, 2:] * tt * tt))
         bound = np.full(len(at), 5 * sigma)
     good = there & (res <= 5 * sigma)
-    follows = (good[:, :reach].sum(1) >= 2) & (good[:, reach:].sum(1) >= 2)
-    follows &= good.sum(1) >= np.maximum(5, there.sum(1) - 3)
-    follows &= (res[:, reach - 1] <= times * sigma) & (res[:, reach] <= times * sigma)
+    follows = good.sum(1) >= np.maximum(5, there.sum(1) - 3)
+    for half in (slice(None, _REACH), slice(_REACH, None)):
+        follows &= good[:, half].sum(1) >= np.minimum(2, there[:, half].sum(1))
+    follows &= (res[:, _REACH - 1] <= times * sigma) & (res[:, _REACH] <= times * sigma)
     run = at[:, None] + np.arange(length)[None, :]
     tr = t[run] - mid[:, None]
     rem = v[run] - base[:, None] - (coef[:, :1] + coef[:, 1:2] * tr + coef[:, 2:] * tr * tr)
     out[keep] = np.where(follows, np.abs(rem).min(axis=1), np.nan)
-    return out
+    share[keep] = good.sum(1) / there.sum(1)
+    return out, share
 
 
 def season_of(v: np.ndarray, phase: np.ndarray, period: int) -> np.ndarray:
-    """Seasonal part: for each phase the median distance of its readings from the moving average over one period."""
-    if period < 2 or len(v) < 2 * period + 1:
+    """Seasonal part: for each phase the median distance of its readings from the moving average over one period.
+
+    A season counts only where a phase stands out from the scatter of those distances by more than four standard errors of
+    its median; otherwise there is none and the part is 0.
+    """
+    if period < 2 or len(v) < 4 * period:
         return np.zeros(len(v))
     taps = np.ones(period) if period % 2 else np.concatenate(([0.5], np.ones(period - 1), [0.5]))
     inner = np.convolve(v, taps / period, mode="valid")
     lead = len(taps) // 2
     off, of_phase = v[lead : lead + len(inner)] - inner, phase[lead : lead + len(inner)]
-    by_phase = np.array([np.median(off[of_phase == p]) if (of_phase == p).any() else 0.0 for p in range(period)])
-    return (by_phase - by_phase.mean())[phase]
+    order = np.argsort(of_phase, kind="stable")
+    parts = np.split(off[order], np.searchsorted(of_phase[order], np.arange(1, period)))
+    if min(map(len, parts)) < 3:
+        return np.zeros(len(v))
+    by_phase = np.array([np.median(x) for x in parts])
+    spread = np.median(np.abs(off - by_phase[of_phase])) / 0.6745
+    error = 1.2533 * spread / np.sqrt(min(map(len, parts)))
+    by_phase = by_phase - by_phase.mean()
+    return by_phase[phase] if np.abs(by_phase).max() > 4 * error else np.zeros(len(v))
 
 
-def spikes(t: np.ndarray, v: np.ndarray, sigma: float, times: float, longest: int, share: float, alpha: float) -> np.ndarray:
+def spikes(t: np.ndarray, v: np.ndarray, sigma: float, times: float, longest: int, alpha: float, among: int = 0) -> np.ndarray:
     """Readings of runs of at most ``longest`` that stand off the path by more than ``times`` sigma.
 
-    Found spikes are taken out and the rest is looked at again, so that close spikes do not hide each other. A run
-    counts only if the deviate test also calls its remainder an outlier among all of the block.
+    A run counts only if the deviate test also calls its remainder an outlier among all readings. Of the runs within reach
+    of each other the one whose surroundings follow the path best is taken, then the farthest; it is taken out and the
+    rest is looked at again until nothing is found, so that close spikes neither hide nor fake each other.
     """
     found = np.zeros(len(v), dtype=bool)
     if not sigma > 0:
         return found
-    for _ in range(4):
+    while True:
         left = np.flatnonzero(~found)
         tl, vl = t[left], v[left]
         score = np.nan_to_num(chord_gap(tl, vl, 1) / sigma)
-        runs = []
+        runs: list[tuple[float, float, int, int]] = []
         for length in range(1, longest + 1):
             at = np.flatnonzero(np.nan_to_num(chord_gap(tl, vl, length)) > times / 2 * sigma)
             if len(at):
-                far = path_gap(tl, vl, sigma, length, at, times) / sigma
-                for a, f in zip(at[far > times], far[far > times]):
-                    runs.append((a, length))
-                    score[a : a + length] = np.maximum(score[a : a + length], f)
-        odd = esd_outliers(score, share, alpha)
-        new = [left[a : a + length] for a, length in runs if odd[a : a + length].all()]
+                far, share = path_gap(tl, vl, sigma, length, at, times)
+                for a, f, s in zip(at.tolist(), (far / sigma).tolist(), share.tolist()):
+                    if f > times:
+                        runs.append((-s, -f, a, length))
+                        score[a : a + length] = np.maximum(score[a : a + length], f)
+        if not runs:
+            return found
+        odd = esd_outliers(score, alpha, among)
+        near = np.zeros(len(left), dtype=bool)
+        new = []
+        for _, _, a, length in sorted(runs):
+            if odd[a : a + length].all() and not near[a : a + length].any():
+                near[max(0, a - _REACH) : a + length + _REACH] = True
+                new.append(left[a : a + length])
         if not new:
-            break
+            return found
         found[np.concatenate(new)] = True
-    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +31,6 @@ def implausible_readings(
     still_width: float = 0.001,
     still_least: int = 8,
     period: int = 0,
-    share: float = 0.2,
     alpha: float = 0.001,
     block: int = 2048,
     halo: int = 64,
@@ -40,15 +39,17 @@ def implausible_readings(
 
     * ``out_of_range``: a coordinate is NaN, infinite or farther than 50 km, or the time is null or outside 2018-2100.
     * ``off_path``: robust seasonal-trend decomposition per source. Trend: a local parabola through the sound
-      readings around a run of one to ``longest`` readings. Season: medians by phase of ``period`` readings (0: none).
-      A run is flagged if all its remainders exceed ``times`` the source's usual scatter and the generalised extreme
-      studentised deviate limit.
+      readings around a run of one to ``longest`` readings. Season: medians by phase of ``period`` readings, where they
+      stand out from the scatter (0: none). A run is flagged if all its remainders exceed ``times`` the source's usual
+      scatter and the generalised extreme studentised deviate limit among all readings of the source.
     * ``hanging``: at least ``still_least`` readings in a row within ``still_width`` of the first, without the first.
 
-    Scale: a source is numbered in time order by counts per minute, cut into blocks of ``block`` readings and each
-    block is sent with ``halo`` readings of its neighbours, so a source holding a third of all rows is many tasks.
-    The usual scatter of a source comes from a mergeable quantile sketch over all its readings. A hang or path
-    window that begins more than ``halo`` readings before a block is anchored at the halo's first reading.
+    Scale: a source is numbered in time order by counts per minute (a minute that holds more than a thousandth of all
+    rows, as of a stuck clock, by instant and id), cut into blocks of ``block`` readings and each block is sent with ``halo``
+    readings of its neighbours, so a source holding a third of all rows is many tasks. The usual scatter of a source
+    comes from a mergeable quantile sketch over all its readings. Whatever a block's halo shows is judged alike in every
+    block; only where readings creep by at most twice ``still_width`` a step through a whole halo, the anchor of a hang is
+    the halo's first reading.
 
     Defined results: repeated ids count once; null ids are left out; a null coordinate is no reading; a null source
     takes only the range check; equal times are ordered by id; an empty table gives an empty result; other columns
@@ -77,7 +78,7 @@ def implausible_readings(
     ranged = base.where("_range").select("_id", "_src", F.lit(0).alias("_why"))
 
     timed = base.where(timed_ok & F.col("_src").isNotNull()).select("_id", "_src", "_t", *[F.when(sane(n), F.col(n)).alias(n) for n in names])
-    placed = numbered(timed, ["_src"], ["_t", "_id"], "_t div 60000000")
+    placed = numbered(timed, ["_src"], ["_t", "_id"], "_t div 60000000", finer=["_t", "_id div 100000"])
     blocks = write_stage(blocked(placed, "_i", block, halo), "spikes")
 
     order = Window.partitionBy("_src", "_b").orderBy("_i")
@@ -89,30 +90,37 @@ def implausible_readings(
         .where("_core")
         .groupBy("_src")
         # median |bend| of normal noise s is 0.6745 * sqrt(1.5) * s
-        .agg(*[(F.percentile_approx(F.when(F.col(n) > 0, F.col(n)), 0.5, 10_000) / (0.6745 * 1.5**0.5)).alias(f"_s{n}") for n in names])
+        .agg(
+            F.count("*").alias("_all"),
+            *[(F.percentile_approx(F.when(F.col(n) > 0, F.col(n)), 0.5, 10_000) / (0.6745 * 1.5**0.5)).alias(f"_s{n}") for n in names],
+        )
     )
 
-    def look(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_i", kind="stable")
-        core = g["_core"].to_numpy()
-        t = (g["_t"].to_numpy() - g["_t"].iloc[0]) / 1e6
-        values = [g[n].to_numpy(dtype=float) for n in names]
-        still = np.zeros(len(g), dtype=bool)
+    def look(g: pa.Table) -> pa.Table:
+        g = g.sort_by("_i")
+        if not g.num_rows:
+            return g.select(["_id", "_src"]).append_column("_why", pa.array([], pa.int32()))
+        core = g.column("_core").to_numpy()
+        t, place = g.column("_t").to_numpy(), g.column("_i").to_numpy()
+        t = (t - t[0]) / 1e6
+        values = [g.column(n).to_numpy().astype(float) for n in names]  # null: NaN
+        still = np.zeros(len(t), dtype=bool)
         for v in values:
             still |= pr.still_runs(v, still_width, still_least)
-        off = np.zeros(len(g), dtype=bool)
+        off = np.zeros(len(t), dtype=bool)
         for n, v in zip(names, values):
             at = np.flatnonzero(~still & np.isfinite(v))
-            sigma = float(g[f"_s{n}"].iloc[0]) if len(g) and pd.notna(g[f"_s{n}"].iloc[0]) else 0.0
+            sigma = g.column(f"_s{n}")[0].as_py() or 0.0
             if len(at) and sigma > 0:
-                v = v[at] - pr.season_of(v[at], g["_i"].to_numpy()[at] % max(period, 1), period)
-                off[at] |= pr.spikes(t[at], v, sigma, times, longest, share, alpha)
-        parts = [pd.DataFrame({"_id": g["_id"].to_numpy()[core & m], "_src": g["_src"].to_numpy()[core & m], "_why": w}) for m, w in ((off, 1), (still, 2))]
-        return pd.concat(parts, ignore_index=True).astype({"_why": "int32"})
+                v = v[at] - pr.season_of(v[at], place[at] % max(period, 1), period)
+                off[at] |= pr.spikes(t[at], v, sigma, times, longest, alpha, g.column("_all")[0].as_py())
+        found = [(np.flatnonzero(core & m), w) for m, w in ((off, 1), (still, 2))]
+        rows = g.select(["_id", "_src"]).take(pa.array(np.concatenate([at for at, _ in found])))
+        return rows.append_column("_why", pa.array(np.repeat(np.array([w for _, w in found], np.int32), [len(at) for at, _ in found])))
 
     kind = base.schema["_id"].dataType.simpleString()
     judged = (
-        blocks.join(scatter, "_src").groupBy("_src", "_b").applyInPandas(look, f"_id {kind}, _src bigint, _why int")
+        blocks.join(scatter, "_src").groupBy("_src", "_b").applyInArrow(look, f"_id {kind}, _src bigint, _why int")
     )
     return (
         ranged.unionByName(judged)

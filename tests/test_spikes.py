@@ -80,3 +80,40 @@ def test_deviate_test_against_published_value():
 def test_still_runs_anchor_at_the_first():
     v = np.array([0, 0.0004, 0.0008, 0.0012, 0.0013, 0.0014, 0.0015, 0.0016, 0.0017, 0.0018, 9.0])
     assert list(np.flatnonzero(pr.still_runs(v, 0.001, 8))) == list(range(3, 10))
+
+
+def test_a_source_with_a_third_of_spikes(spark):
+    rows = drive(3000, noise=0.02)
+    at = [i + j for i in range(20, 2960, 9) for j in range(3)]
+    for i in at:
+        rows[i][5] += 2.0
+    got = flags(spark, rows)
+    assert {k for k, v in got.items() if v[1]} == {i + 1 for i in at}
+
+
+def test_second_and_last_but_one_reading_are_judged(spark):
+    rows = drive(60)
+    rows[1][3] += 2.0
+    rows[58][4] -= 2.0
+    assert {k for k, v in flags(spark, rows).items() if v[1]} == {2, 59}
+
+
+def test_spikes_beside_a_season(spark):
+    rows = drive(600, noise=0.01)
+    for i, r in enumerate(rows):
+        r[5] += 1.5 if i % 10 == 4 else 0.0
+    rows[137][5] += 4.0
+    rows[304][5] -= 1.5  # missing where the season has it
+    assert {k for k, v in flags(spark, rows, period=10).items() if v[1]} == {138, 305}
+
+
+def test_a_stuck_clock_is_numbered_like_any_other(spark):
+    rows = drive(200)
+    for i, r in enumerate(rows):
+        r[2] = T0 + (i // 90) * 1_000_000
+    from quernstone.operators.blocks import numbered
+
+    df = spark.createDataFrame([(r[0], "s", r[2]) for r in rows], "id long, k string, t long").repartition(5)
+    for finer in ([], ["t", "id div 7"]):
+        got = {r.id: r._i for r in numbered(df, ["k"], ["t", "id"], "t div 60000000", finer=finer).collect()}
+        assert got == {i + 1: i for i in range(200)}
