@@ -104,10 +104,14 @@ def mix_sources(
         budget, parent = out, keys
     budgets = share_out(node, parent, budget, "_w", "_cap", "_budget").select(
         "_leaf",
+        "_src",
+        (F.col("_budget") >= F.col("_cap") * (1 - 1e-12)).alias("_used_up"),
         F.floor(F.col("_budget") / F.col("_tokens") + 1e-9).cast("int").alias("_full"),
         (F.col("_budget") - F.floor(F.col("_budget") / F.col("_tokens") + 1e-9) * F.col("_tokens")).alias("_rest"),
     )
     budgets = write_stage(budgets.withColumn("_rest", F.greatest(F.floor(F.col("_rest") + 1e-6), F.lit(0)).cast("bigint")), "mix-budgets")
+    used_up = budgets.groupBy("_src").agg(F.bool_and("_used_up").alias("_used_up"))
+    budgets = budgets.drop("_src", "_used_up")
     order = F.xxhash64(F.lit(seed), "_full", "_id")
     placed = sized.join(budgets, "_leaf").withColumn("_p", order).withColumn("_s", slot_of(F.col("_p"), slots))
     sums = placed.groupBy("_leaf", "_s").agg(F.sum("_n").alias("_sn"), F.first("_rest").alias("_rest"))
@@ -127,6 +131,7 @@ def mix_sources(
     report = (
         goals.join(per_source, "_src", "left")
         .join(taken, "_src", "left")
+        .join(used_up, "_src", "left")
         .withColumn("_total", total.scalar())
         .withColumn("_all", all_taken.scalar())
         .select(
@@ -137,7 +142,8 @@ def mix_sources(
             (F.col("weight_permille") * F.col("_total") / 1000).alias("target_tokens"),
             F.coalesce("_taken", F.lit(0)).alias("taken_tokens"),
             F.try_divide(F.coalesce("_taken", F.lit(0)) * 1000.0, F.col("_all")).alias("taken_permille"),
-            (F.col("max_repeats") * F.coalesce("_have", F.lit(0.0)) * 1000 < F.col("weight_permille") * F.col("_total")).alias("exhausted"),
+            # all its leaves are at their cap, and the cap is what keeps it below its target
+            (F.coalesce("_used_up", F.lit(True)) & (F.col("max_repeats") * F.coalesce("_have", F.lit(0.0)) * 1000 < F.col("weight_permille") * F.col("_total"))).alias("exhausted"),
         )
     )
     return mix.select(F.col("_id").alias(id_col), F.col("_src").alias("source"), "repeats"), report

@@ -27,7 +27,7 @@ def p1_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of sequences that are tied to another sequence."""
-    return p1_split(spark, sf_dir).where("group_size > 1").select("gt_id", F.col("group_entity").alias("group_seq"))
+    return p1_split(spark, sf_dir).where("group_size > 1 AND split IS NOT NULL").select("gt_id", F.col("group_entity").alias("group_seq"))
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

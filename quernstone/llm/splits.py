@@ -2,57 +2,78 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.operators.components import connected_components, star_edges
-from quernstone.operators.ranking import global_rank
-from quernstone.session import cut_lineage
+from quernstone.session import write_stage
 
 
-def balanced_bins(weights: DataFrame, node: str, weight: str, bins: int) -> DataFrame:
+def differenced(tuples: np.ndarray) -> np.ndarray:
+    """Final slot of every slot of every tuple (rows), by largest differencing.
+
+    The two tuples of the widest spread are combined, the heaviest slot of one with the lightest of the other, until one
+    is left; so extreme weights cancel. Ties go by row.
+    """
+    sums = {i: row for i, row in enumerate(tuples)}
+    heap = [(float(row.min() - row.max()), i) for i, row in sums.items()]
+    heapq.heapify(heap)
+    made: list[tuple[int, int, np.ndarray, int, np.ndarray]] = []
+    while len(heap) > 1:
+        (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
+        down, up = np.argsort(-sums[a], kind="stable"), np.argsort(sums[b], kind="stable")
+        new = len(tuples) + len(made)
+        sums[new] = sums.pop(a)[down] + sums.pop(b)[up]
+        made.append((new, a, down, b, up))
+        heapq.heappush(heap, (float(sums[new].min() - sums[new].max()), new))
+    slots = tuples.shape[1]
+    place = {i: np.arange(slots) for i in sums}
+    for new, a, down, b, up in reversed(made):
+        at = place.pop(new)
+        for part, order in ((a, down), (b, up)):
+            place[part] = np.empty(slots, dtype=np.int64)
+            place[part][order] = at
+    return np.array([place[i] for i in range(len(tuples))], dtype=np.int64).reshape(len(tuples), slots)
+
+
+def balanced_bins(weights: DataFrame, node: str, weight: str, bins: int, *, cell_rows: int = 100_000, fan: int = 500) -> DataFrame:
     """(node, bin, weight) by largest differencing into ``bins`` nearly equal bins.
 
-    The nodes, heaviest first, are dealt into tuples of ``bins`` slots. Each round the tuples are ordered by the
-    spread of their slots and neighbours in that order are combined, the heaviest slot of one with the lightest of
-    the other, so extreme weights cancel; half as many tuples remain. log2(nodes / bins) rounds, each a distributed
-    rank of tuples and a sum of slots; the links from slot to slot give every node's bin at the end.
-    Ties go by node. An empty input gives an empty result.
+    The nodes are dealt by hash into cells of about ``cell_rows``. A cell deals its nodes, heaviest first, into tuples of
+    ``bins`` slots and combines them to one (:func:`differenced`). What leaves a cell is its one tuple; ``fan`` of those
+    are combined likewise, level by level, until one is left: a thousand million nodes take three levels. A node keeps
+    its slot through small joins. Ties go by node. An empty input gives an empty result.
     """
-    ranked = global_rank(
-        weights.select(F.col(node).alias("_node"), F.col(weight).cast("double").alias("_w")),
-        [F.desc("_w"), F.asc("_node")],
-        "_r",
-    )
-    ranked = cut_lineage(ranked)
-    count = ranked.count()
-    tuples = max(1, math.ceil(count / bins))
-    slots = ranked.select(F.floor(F.col("_r") / bins).alias("_tuple"), (F.col("_r") % bins).alias("_slot"), "_w")
-    members = ranked.select("_node", "_w", F.col("_r").alias("_at"))  # _at = tuple * bins + slot
-    while tuples > 1:
-        spread = slots.groupBy("_tuple").agg(
-            (F.max("_w") - F.when(F.count("*") < bins, 0.0).otherwise(F.min("_w"))).alias("_spread")
-        )
-        order = global_rank(spread, [F.desc("_spread"), F.asc("_tuple")], "_o").select("_tuple", "_o")
-        heavy = Window.partitionBy("_tuple").orderBy(F.desc("_w"), "_slot")  # at most `bins` rows each
-        links = (
-            slots.withColumn("_k", F.row_number().over(heavy) - 1)
-            .join(order, "_tuple")
-            .select(
-                (F.col("_tuple") * bins + F.col("_slot")).alias("_at"),
-                F.floor(F.col("_o") / 2).alias("_tuple"),
-                F.when(F.col("_o") % 2 == 0, F.col("_k")).otherwise(bins - 1 - F.col("_k")).alias("_slot"),
-                "_w",
-            )
-        )
-        links = cut_lineage(links)
-        moves = links.select("_at", (F.col("_tuple") * bins + F.col("_slot")).alias("_to"))
-        members = members.join(moves, "_at").select("_node", "_w", F.col("_to").alias("_at"))
-        slots = links.groupBy("_tuple", "_slot").agg(F.sum("_w").alias("_w"))
-        tuples = math.ceil(tuples / 2)
-    return members.select(F.col("_node").alias(node), F.col("_at").cast("int").alias("bin"), F.col("_w").alias(weight))
+    rows = write_stage(weights.select(F.col(node).alias("_node"), F.col(weight).cast("double").alias("_w")), "weights")
+    cells = max(1, math.ceil(rows.count() / cell_rows))
+
+    def deal(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("_w", "descending"), ("_node", "ascending")])
+        w = np.zeros(-(-max(t.num_rows, 1) // bins) * bins)
+        w[: t.num_rows] = t.column("_w").to_numpy()
+        return t.append_column("_slot", pa.array(differenced(w.reshape(-1, bins)).ravel()[: t.num_rows].astype(np.int32)))
+
+    def combine(t: pa.Table) -> pa.Table:
+        cell, slot = t.column("_cell").to_numpy(), t.column("_slot").to_numpy()
+        names, row = np.unique(cell, return_inverse=True)
+        w = np.zeros((len(names), bins))
+        w[row, slot] = t.column("_w").to_numpy()
+        return t.select(["_cell", "_slot", "_up"]).append_column("_to", pa.array(differenced(w)[row, slot].astype(np.int32)))
+
+    kind = rows.schema["_node"].dataType.simpleString()
+    celled = rows.withColumn("_cell", F.pmod(F.xxhash64("_node"), F.lit(cells)))
+    members = write_stage(celled.groupBy("_cell").applyInArrow(deal, f"_node {kind}, _w double, _cell bigint, _slot int"), "slots")
+    while cells > 1:
+        sums = members.groupBy("_cell", "_slot").agg(F.sum("_w").alias("_w")).withColumn("_up", F.floor(F.col("_cell") / fan))
+        moved = sums.groupBy("_up").applyInArrow(combine, "_cell bigint, _slot int, _up bigint, _to int")
+        members = write_stage(members.join(moved, ["_cell", "_slot"]).select("_node", "_w", F.col("_up").alias("_cell"), F.col("_to").alias("_slot")), "slots")
+        cells = math.ceil(cells / fan)
+    return members.select(F.col("_node").alias(node), F.col("_slot").alias("bin"), F.col("_w").alias(weight))
 
 
 def deal_bins(loads: list[tuple[int, float]], targets: list[tuple[str, float]]) -> dict[int, str]:
@@ -101,7 +122,7 @@ def grouped_splits(
     comp = connected_components(star_edges(ties, tie_entity, tie_key))
     sizes = comp.groupBy("component").agg(F.count("*").alias("_size"))
     # one row per entity: its group and the group's size
-    group_of = cut_lineage(comp.join(sizes, "component").select(F.col("node").alias("_e"), F.col("component").alias("_g"), "_size"))
+    group_of = write_stage(comp.join(sizes, "component").select(F.col("node").alias("_e"), F.col("component").alias("_g"), "_size"), "groups")
     per_entity = rec.groupBy("_e").agg(F.count("*").alias("_n"))
     loads = (
         per_entity.where("_e IS NOT NULL")
@@ -111,7 +132,7 @@ def grouped_splits(
     )
     cell = F.concat(F.lit("loose "), F.pmod(F.xxhash64("_id"), F.lit(loose)).cast("string"))
     loose_loads = rec.where("_e IS NULL").groupBy(cell.alias("_group")).agg(F.count("*").alias("_n"))
-    placed = cut_lineage(balanced_bins(loads.unionByName(loose_loads), "_group", "_n", bins))
+    placed = balanced_bins(loads.unionByName(loose_loads), "_group", "_n", bins)
     weights = [(r[0], r[1]) for r in placed.groupBy("bin").agg(F.sum("_n")).collect()]  # at most `bins` rows
     wanted = [(r[0], float(r[1])) for r in targets.select(split_col, share_col).where(f"{share_col} > 0").collect()]
     dealt = deal_bins(weights, wanted) if wanted else {}

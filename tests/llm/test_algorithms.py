@@ -62,11 +62,25 @@ def test_largest_differencing_balances(spark):
     assert sorted(r.n for r in out) == sorted(n for n, _ in weights)
     load = [sum(r.w for r in out if r.bin == b) for b in range(8)]
     assert max(load) - min(load) < 30 and sum(load) == sum(w for _, w in weights)
+    deep = balanced_bins(spark.createDataFrame(weights, "n string, w int"), "n", "w", 8, cell_rows=20, fan=3).collect()
+    assert sorted((r.n, r.w) for r in deep) == sorted((r.n, r.w) for r in out)
+    load = [sum(r.w for r in deep if r.bin == b) for b in range(8)]
+    assert max(load) - min(load) < 60
     few = balanced_bins(spark.createDataFrame(weights[:3], "n string, w int"), "n", "w", 8).collect()
     assert len({r.bin for r in few}) == 3
     assert deal_bins([(0, 5.0), (1, 5.0)], [("a", 1), ("b", 1)]) == {0: "a", 1: "b"}
 
 
+def test_whole_tables_are_split_near_their_targets(spark):
+    got = queries.p1_split(spark, DATA).toPandas()
+    assert got.gt_id.is_unique and got.split.notna().all()
+    assert (got.dropna(subset="group_entity").groupby("group_entity").split.nunique() == 1).all()
+    want = queries.table(spark, DATA, "split_targets").toPandas().set_index("split_name").share_permille
+    largest = got.groupby("group_entity").size().max() / len(got)  # a group is never cut
+    real = got.split.value_counts(normalize=True)
+    assert all(abs(real.get(s, 0) - share / want.sum()) <= max(0.02, largest) for s, share in want.items())
+
+
 def test_notations_of_one_instant_tie(spark):
     df = spark.createDataFrame([("1643290031.8694271",), (" 1.6432900318694271e9",), ("1643290031.8694271000 ",), ("0.000",), ("  ",), (None,), ("x",)], "t string")
     got = [r.k for r in df.select(exact_seconds(F.col("t")).alias("k")).collect()]
