@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from itertools import islice
 
@@ -35,6 +36,9 @@ class Vocabulary:
     """
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("pairs of ids are kept in 32 bits: at most 65,536 tokens")
+        self._pairs: dict[int, int] | None = None
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         left, right, joined = [], [], []
         for token, rank in ranks.items():
@@ -76,19 +80,57 @@ class Vocabulary:
         return out
 
 
-def encode_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self) -> dict[int, int]:
+        """The same table as a dictionary, for the few words that are merged pair by pair."""
+        if self._pairs is None:
+            used = self.keys != _FREE
+            self._pairs = dict(zip(self.keys[used].tolist(), self.vals[used].tolist()))
+        return self._pairs
+
+
+def encode_long(word: bytes, vocab: Vocabulary) -> np.ndarray:
+    """Ids of one very long word: least rank first, then leftmost, from a heap over a linked list; n log n steps."""
+    pairs, none = vocab.pairs(), int(_NONE)
+    ids = vocab.byte_id[np.frombuffer(word, dtype=np.uint8)].tolist()
+    n = len(ids)
+    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    ranks = [pairs.get(a << 16 | b, none) for a, b in zip(ids, ids[1:])]
+    heap = [(r, i) for i, r in enumerate(ranks) if r != none]
+    heapq.heapify(heap)
+    ranks.append(none)  # of the pair that starts at a place
+    while heap:
+        r, i = heapq.heappop(heap)
+        if not alive[i] or ranks[i] != r:
+            continue
+        j = after[i]
+        ids[i], alive[j], after[i] = r, False, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for at in (before[i], i):
+            if at >= 0:
+                ranks[at] = pairs.get(ids[at] << 16 | ids[after[at]], none) if after[at] < n else none
+                if ranks[at] != none:
+                    heapq.heappush(heap, (ranks[at], at))
+    return np.array([ids[i] for i in range(n) if alive[i]], dtype=np.int32)
+
+
+def encode_words(words: list[bytes], vocab: Vocabulary, longest: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, end to end, and the number of ids of each.
 
     Words of similar length share a padded matrix of ids beside a matrix of the ranks of neighbouring pairs. Each
     round every row merges its leftmost pair of minimum rank, along with the later disjoint occurrences of that same
     pair (a new token's pairs all rank behind the pair that made it, so these would be the next merges anyway). Only
-    pairs beside a merge are looked up again; rows and columns are compacted, and finished rows leave the matrix.
+    pairs beside a merge are looked up again; rows and columns are compacted, and finished rows leave the matrix. A
+    round looks at a whole row, so words of more than ``longest`` bytes go to :func:`encode_long`.
     """
     count = np.zeros(len(words), dtype=np.int64)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word numbers, lengths, ids end to end
     length = np.fromiter((len(w) for w in words), dtype=np.int64, count=len(words))
-    bucket = np.ceil(np.log2(np.maximum(length, 1)) * 2).astype(int)
-    for b in np.unique(bucket):
+    for i in np.flatnonzero(length > longest):
+        ids = encode_long(words[i], vocab)
+        done.append((np.array([i]), np.array([len(ids)]), ids))
+    bucket = np.where(length > longest, -1, np.ceil(np.log2(np.maximum(length, 1)) * 2)).astype(int)
+    for b in np.unique(bucket[bucket >= 0]):
         every = np.flatnonzero(bucket == b)
         step = max(1, 2_000_000 // max(1, int(length[every].max())))  # at most two million cells at a time
         for own in (every[i : i + step] for i in range(0, len(every), step)):

@@ -37,6 +37,17 @@ def test_ids_equal_the_public_encoder(judge, vocab):
     assert bpe.Encoder(vocab).count(texts).tolist() == sizes.tolist()
 
 
+def test_a_word_of_any_length_is_merged_alike(judge, vocab):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)), "ab" * 9_000, "aaaab" * 3_000 + "é" * 5_000, "x"]
+    want = [judge.encode(w, disallowed_special=()) for w in words]
+    for longest in (4096, 10**9):
+        ids, n = bpe.encode_words([w.encode() for w in words], vocab, longest)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == want
+    with pytest.raises(ValueError):
+        bpe.Vocabulary({b"a": 70_000})
+
+
 def test_forgetting_words_changes_nothing(vocab):
     texts = odd_texts()
     small, large = bpe.Encoder(vocab, most_words=10), bpe.Encoder(vocab)
