@@ -89,10 +89,10 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    """A polar power tensor derived from the line items: Doppler, range, azimuth, elevation index and power."""
+    """Polar power tensors derived from the line items, one a frame of 256 orders: Doppler, range, azimuth, elevation index, power."""
     return (
         table(spark, d, "lineitem")
-        .groupBy(F.expr("cast(l_suppkey % 8 as int)").alias("di"), F.expr("cast(l_partkey % 32 as int)").alias("ri"),
+        .groupBy(F.expr("cast(floor(l_orderkey / 256) as bigint)").alias("frame"), F.expr("cast(l_suppkey % 8 as int)").alias("di"), F.expr("cast(l_partkey % 32 as int)").alias("ri"),
                  F.expr("cast(l_orderkey % 16 as int)").alias("ai"), F.expr("cast(l_linenumber as int)").alias("ei"))
         .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("p"))
     )
@@ -115,5 +115,5 @@ TG = f"""tg AS (SELECT DISTINCT ON (desc_id) desc_id, {_n('seq')} AS seq, {_n('f
 PT = """pt AS (SELECT CAST(floor(l_orderkey / 16) AS BIGINT) AS frame, l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,
  CAST(l_quantity AS DOUBLE) * 1.4 AS x, (l_partkey % 320) / 10.0::DOUBLE - 16 AS y, CAST(l_linenumber AS DOUBLE) - 2 AS z, CAST(l_extendedprice AS DOUBLE) AS power,
  (CAST(l_discount AS DOUBLE) - CAST(l_tax AS DOUBLE)) * 20 AS doppler, l_returnflag AS flag FROM lineitem)"""
-CE = """ce AS (SELECT CAST(l_suppkey % 8 AS INT) AS di, CAST(l_partkey % 32 AS INT) AS ri, CAST(l_orderkey % 16 AS INT) AS ai, CAST(l_linenumber AS INT) AS ei,
+CE = """ce AS (SELECT CAST(floor(l_orderkey / 256) AS BIGINT) AS frame, CAST(l_suppkey % 8 AS INT) AS di, CAST(l_partkey % 32 AS INT) AS ri, CAST(l_orderkey % 16 AS INT) AS ai, CAST(l_linenumber AS INT) AS ei,
  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS p FROM lineitem GROUP BY ALL)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
 from quernstone.operators import corruption as n
-from quernstone.operators.radar import above_quantile, ca_cfar, interpolated, offsets_around, os_cfar
+from quernstone.operators.radar import above_quantile, ca_cfar, interpolated, offsets_around, os_cfar, sidelobe_filter
 from quernstone.plans import domain as d
 from quernstone.plans.domain import CE, PT, Catalogue
 from quernstone.session import table
@@ -40,7 +40,7 @@ def range_bin_summary(spark: SparkSession, sf: str) -> DataFrame:
     p = p.where(g.azimuth(F.col("x"), F.col("y")).between(-50, 50))
     rng, _, _ = g.xyz_to_polar(F.col("x"), F.col("y"), F.col("z"))
     p = p.select("flag", "power", F.floor(rng / 10).alias("bin"))
-    return above_quantile(p, ["bin"], "power", 0.1).groupBy("bin", "flag").agg(
+    return above_quantile(p, ["bin"], "power", 0.1, bounded=False).groupBy("bin", "flag").agg(
         F.count("*").alias("n"), F.round(_total("power") / F.count("*"), 4).alias("mean_power"), F.max("power").alias("max_power")
     )
 
@@ -69,13 +69,13 @@ def m04_m05_polar(spark: SparkSession, sf: str) -> DataFrame:
     return d.points(spark, sf).select("ok", "ln", "pk", "sk", _r(rng).alias("rng"), _r(az).alias("az"), _r(el).alias("el"), g.quantized(F.degrees(az), -53, 1.0, 107).alias("az_index"))
 
 
-@query(f"""WITH {CE} SELECT di, ri, ai, ei, round((0.46*ri + 1) * cos(-radians(ei*2 - 7)) * cos(-radians(ai*6 - 48)), 6) + 0.0 AS x, round((0.46*ri + 1) * cos(-radians(ei*2 - 7)) * sin(-radians(ai*6 - 48)), 6) + 0.0 AS y,
+@query(f"""WITH {CE} SELECT frame, di, ri, ai, ei, round((0.46*ri + 1) * cos(-radians(ei*2 - 7)) * cos(-radians(ai*6 - 48)), 6) + 0.0 AS x, round((0.46*ri + 1) * cos(-radians(ei*2 - 7)) * sin(-radians(ai*6 - 48)), 6) + 0.0 AS y,
 round((0.46*ri + 1) * sin(-radians(ei*2 - 7)), 6) + 0.0 AS z, round(10 * log10(p), 6) + 0.0 AS db, round(p * power(0.46*ri + 1, 2.2) / 2e6, 4) + 0.0 AS compensated FROM ce""")
 def m03_m11_m13_cells_in_space(spark: SparkSession, sf: str) -> DataFrame:
     """Cell centres in metres, power in decibels and range-compensated power."""
     rng = F.lit(0.46) * F.col("ri") + 1
     x, y, z = g.polar_to_xyz(rng, F.radians(F.col("ai") * 6 - 48), F.radians(F.col("ei") * 2 - 7))
-    return d.cells(spark, sf).select("di", "ri", "ai", "ei", _r(x).alias("x"), _r(y).alias("y"), _r(z).alias("z"), _r(g.decibel(F.col("p"))).alias("db"),
+    return d.cells(spark, sf).select("frame", "di", "ri", "ai", "ei", _r(x).alias("x"), _r(y).alias("y"), _r(z).alias("z"), _r(g.decibel(F.col("p"))).alias("db"),
                                      F.round(F.col("p") * F.pow(rng, F.lit(2.2)) / 2e6, 4).alias("compensated"))
 
 
@@ -87,7 +87,7 @@ def m07_m08_m10_voxel_indices(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("frame", "up", "down", "pixel").agg(F.count("*").alias("n"))
 
 
-_DOP = f"""SELECT ri, ai, ei, round(avg(p), 6) + 0.0 AS mean_power, round(sum(p * (di * 0.5 - 1.75)) / sum(p), 6) + 0.0 AS expected, max_by(di, (p, -di)) AS strongest,
+_DOP = f"""SELECT frame, ri, ai, ei, round(avg(p), 6) + 0.0 AS mean_power, round(sum(p * (di * 0.5 - 1.75)) / sum(p), 6) + 0.0 AS expected, max_by(di, (p, -di)) AS strongest,
 CAST(floor(sum(p * di) / sum(p)) AS INT) AS expected_index FROM ce WHERE di > 0 GROUP BY ALL"""
 
 
@@ -95,98 +95,148 @@ CAST(floor(sum(p * di) / sum(p)) AS INT) AS expected_index FROM ce WHERE di > 0
 def a21_a24_doppler(spark: SparkSession, sf: str) -> DataFrame:
     """Mean power, expected and strongest Doppler of every polar cell; Doppler bin 0 is dropped."""
     p, di = F.col("p"), F.col("di")
-    return d.cells(spark, sf).where("di > 0").groupBy("ri", "ai", "ei").agg(
+    return d.cells(spark, sf).where("di > 0").groupBy("frame", "ri", "ai", "ei").agg(
         _r(F.avg("p")).alias("mean_power"), _r(F.sum(p * (di * 0.5 - 1.75)) / F.sum("p")).alias("expected"), F.max_by("di", F.struct(p, -di)).alias("strongest"),
         F.floor(F.sum(p * di) / F.sum("p")).cast("int").alias("expected_index"),
     )
 
 
-@query(f"WITH {CE} SELECT ri, ai, round(avg(nullif(CASE WHEN di = 3 THEN -1 ELSE p END, -1)), 6) + 0.0 AS mean_power, count(*) AS cells FROM ce GROUP BY ALL")
+@query(f"WITH {CE} SELECT frame, ri, ai, round(avg(nullif(CASE WHEN di = 3 THEN -1 ELSE p END, -1)), 6) + 0.0 AS mean_power, count(*) AS cells FROM ce GROUP BY ALL")
 def a25_r11_bev_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Range-azimuth mean over known cells; -1 is unknown."""
     p = F.when(F.col("di") == 3, -1.0).otherwise(F.col("p"))
-    return d.cells(spark, sf).groupBy("ri", "ai").agg(_r(F.avg(F.nullif(p, F.lit(-1.0)))).alias("mean_power"), F.count("*").alias("cells"))
+    return d.cells(spark, sf).groupBy("frame", "ri", "ai").agg(_r(F.avg(F.nullif(p, F.lit(-1.0)))).alias("mean_power"), F.count("*").alias("cells"))
 
 
-@query(f"WITH {CE}, q AS (SELECT quantile_cont(p, 0.95) AS q FROM ce) SELECT di, ri, ai, ei, p FROM ce, q WHERE p > q")
+@query(f"WITH {CE}, q AS (SELECT frame, quantile_cont(p, 0.95) AS q FROM ce GROUP BY frame) SELECT ce.frame, di, ri, ai, ei, p FROM ce JOIN q ON q.frame = ce.frame WHERE p > q")
 def t11_r06_top_power(spark: SparkSession, sf: str) -> DataFrame:
-    """The strongest twentieth of all cells."""
-    return above_quantile(d.cells(spark, sf), [], "p", 0.05)
+    """The strongest twentieth of the cells of every frame."""
+    return above_quantile(d.cells(spark, sf), ["frame"], "p", 0.05)
 
 
-@query(f"WITH {CE}, q AS (SELECT ri, quantile_cont(p, 0.9) AS q FROM ce GROUP BY ri) SELECT di, ce.ri, ai, ei, p FROM ce JOIN q ON q.ri = ce.ri WHERE p > q")
+@query(f"WITH {CE}, q AS (SELECT frame, ri, quantile_cont(p, 0.9) AS q FROM ce GROUP BY ALL) SELECT ce.frame, di, ce.ri, ai, ei, p FROM ce JOIN q ON q.frame = ce.frame AND q.ri = ce.ri WHERE p > q")
 def t12_r08_top_power_by_range(spark: SparkSession, sf: str) -> DataFrame:
-    """The strongest tenth of the cells of every range bin."""
-    return above_quantile(d.cells(spark, sf), ["ri"], "p", 0.1).select("di", "ri", "ai", "ei", "p")
+    """The strongest tenth of the cells of every range bin of a frame."""
+    return above_quantile(d.cells(spark, sf), ["frame", "ri"], "p", 0.1).select("frame", "di", "ri", "ai", "ei", "p")
 
 
-_RA = f"{CE}, ra AS (SELECT ri, ai, avg(p) AS p FROM ce GROUP BY ALL)"
-_OFF = ", ".join(f"({a},{b})" for a, b in offsets_around((1, 1), (2, 2)))
-_N = len(offsets_around((1, 1), (2, 2)))
+@query(f"WITH {PT}, q AS (SELECT quantile_cont(power, 0.99) AS q FROM pt) SELECT ok, ln, pk, sk, power FROM pt, q WHERE power > q")
+def t13_top_of_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    """The strongest hundredth of the whole cloud of all frames."""
+    return above_quantile(d.points(spark, sf), [], "power", 0.01, bounded=False).select("ok", "ln", "pk", "sk", "power")
+
+
+_CUBE = f"{CE}, cube AS (SELECT frame, ri, ai, ei, avg(p) AS p FROM ce GROUP BY ALL), marked AS (SELECT * REPLACE (CASE WHEN (ri * 7 + ai) % 13 = 0 THEN -1 ELSE p END AS p) FROM cube)"
+_AX, _SIZES, _GUARD, _TRAIN = ["ri", "ai", "ei"], [32, 16, 8], (1, 1, 0), (1, 1, 1)
+_OFF = ", ".join(map(str, offsets_around(_GUARD, _TRAIN)))
+_N = len(offsets_around(_GUARD, _TRAIN))
 _ALPHA = repr(_N * (0.05 ** (-1.0 / _N) - 1))
 
 
+def _cube(spark: SparkSession, sf: str) -> DataFrame:
+    return d.cells(spark, sf).groupBy("frame", *_AX).agg(F.avg("p").alias("p"))
+
+
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    return _cube(spark, sf).withColumn("p", F.when((F.col("ri") * 7 + F.col("ai")) % 13 == 0, -1.0).otherwise(F.col("p")))
+
+
 def _refl(c: str, s: int) -> str:
     return f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} >= {s} THEN {2 * (s - 1)} - ({c}) ELSE {c} END"
 
 
-@query(f"""WITH {_RA}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da)), m AS (SELECT ra.ri, ra.ai, sum(t.p) / {_N} AS mean FROM ra CROSS JOIN o
-JOIN ra t ON t.ri = {_refl('ra.ri + dr', 32)} AND t.ai = {_refl('ra.ai + da', 16)} GROUP BY ALL)
-SELECT ra.ri, ra.ai, round(mean, 6) + 0.0 AS mean, p > mean * {_ALPHA} AS detected FROM ra JOIN m ON m.ri = ra.ri AND m.ai = ra.ai""")
+@query(f"""WITH {_CUBE}, l AS (SELECT frame, coalesce(sum(p) FILTER (p <> -1), 0) / count(*) AS l FROM marked GROUP BY frame), c AS (SELECT m.*, CASE WHEN p = -1 THEN l ELSE p END AS t FROM marked m JOIN l ON l.frame = m.frame),
+o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da, de)), m AS (SELECT c.frame, c.ri, c.ai, c.ei, sum(u.t) / {_N} AS mean FROM c CROSS JOIN o
+JOIN c u ON u.frame = c.frame AND u.ri = {_refl('c.ri + dr', 32)} AND u.ai = {_refl('c.ai + da', 16)} AND u.ei = {_refl('c.ei + de', 8)} GROUP BY ALL)
+SELECT c.frame, c.ri, c.ai, c.ei, round(coalesce(mean, 0), 6) + 0.0 AS mean, p <> -1 AND t > coalesce(mean, 0) * {_ALPHA} AS detected FROM c LEFT JOIN m ON m.frame = c.frame AND m.ri = c.ri AND m.ai = c.ai AND m.ei = c.ei""")
 def r01_ca_cfar_mirror(spark: SparkSession, sf: str) -> DataFrame:
-    """Cell-averaging CFAR on the range-azimuth map, edges mirrored."""
-    ra = d.cells(spark, sf).groupBy("ri", "ai").agg(F.avg("p").alias("p"))
-    return ca_cfar(ra, ["ri", "ai"], [32, 16], "p", (1, 1), (2, 2), 0.05, "mirror").select("ri", "ai", _r("mean").alias("mean"), "detected")
+    """Cell-averaging CFAR in the (range, azimuth, elevation) cube of every frame, edges mirrored, unknown cells at the cube's mean."""
+    return ca_cfar(_marked(spark, sf), _AX, _SIZES, "p", _GUARD, _TRAIN, 0.05, "mirror", ["frame"], -1.0).select("frame", *_AX, _r("mean").alias("mean"), "detected")
 
 
-@query(f"""WITH {_RA}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da)), m AS (SELECT ra.ri, ra.ai, sum(coalesce(t.p, 0)) / {_N} AS mean FROM ra CROSS JOIN o
-LEFT JOIN ra t ON t.ri = ra.ri + dr AND t.ai = ra.ai + da GROUP BY ALL)
-SELECT ra.ri, ra.ai, round(mean, 6) + 0.0 AS mean, p > mean * {_ALPHA} AS detected FROM ra JOIN m ON m.ri = ra.ri AND m.ai = ra.ai""")
+@query(f"""WITH {_CUBE}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da, de)), m AS (SELECT c.frame, c.ri, c.ai, c.ei, sum(coalesce(t.p, 0)) / {_N} AS mean FROM cube c CROSS JOIN o
+LEFT JOIN cube t ON t.frame = c.frame AND t.ri = c.ri + dr AND t.ai = c.ai + da AND t.ei = c.ei + de GROUP BY ALL)
+SELECT c.frame, c.ri, c.ai, c.ei, round(mean, 6) + 0.0 AS mean, p > mean * {_ALPHA} AS detected FROM cube c JOIN m ON m.frame = c.frame AND m.ri = c.ri AND m.ai = c.ai AND m.ei = c.ei""")
 def r02_ca_cfar_zero(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with zeros beyond the edges."""
-    ra = d.cells(spark, sf).groupBy("ri", "ai").agg(F.avg("p").alias("p"))
-    return ca_cfar(ra, ["ri", "ai"], [32, 16], "p", (1, 1), (2, 2), 0.05, "zero").select("ri", "ai", _r("mean").alias("mean"), "detected")
+    """The same with zeros beyond the edges and no unknown cells."""
+    return ca_cfar(_cube(spark, sf), _AX, _SIZES, "p", _GUARD, _TRAIN, 0.05, "zero", ["frame"]).select("frame", *_AX, _r("mean").alias("mean"), "detected")
 
 
-@query(f"""WITH {_RA}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da)), m AS (SELECT ra.ri, ra.ai, quantile_cont(t.p, 0.75) AS level FROM ra CROSS JOIN o JOIN ra t ON t.ri = ra.ri + dr AND t.ai = ra.ai + da GROUP BY ALL)
-SELECT ra.ri, ra.ai, round(level, 6) + 0.0 AS level, coalesce(ra.ri BETWEEN 3 AND 28 AND ra.ai BETWEEN 3 AND 12 AND p > level * 1.05, false) AS detected FROM ra LEFT JOIN m ON m.ri = ra.ri AND m.ai = ra.ai""")
+@query(f"""WITH {_CUBE}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da, de)), m AS (SELECT c.frame, c.ri, c.ai, c.ei, quantile_cont(t.p, 0.75) AS level FROM marked c CROSS JOIN o
+JOIN marked t ON t.frame = c.frame AND t.ri = c.ri + dr AND t.ai = c.ai + da AND t.ei = c.ei + de AND t.p <> -1 GROUP BY ALL)
+SELECT c.frame, c.ri, c.ai, c.ei, round(level, 6) + 0.0 AS level, coalesce(c.ri BETWEEN 2 AND 29 AND c.ai BETWEEN 2 AND 13 AND c.ei BETWEEN 1 AND 6 AND p <> -1 AND p > level, false) AS detected
+FROM marked c LEFT JOIN m ON m.frame = c.frame AND m.ri = c.ri AND m.ai = c.ai AND m.ei = c.ei""")
 def r03_os_cfar(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered-statistic CFAR on the range-azimuth map."""
-    ra = d.cells(spark, sf).groupBy("ri", "ai").agg(F.avg("p").alias("p"))
-    return os_cfar(ra, ["ri", "ai"], [32, 16], "p", (1, 1), (2, 2), 0.75, 1.05).select("ri", "ai", _r("level").alias("level"), "detected")
+    """Ordered-statistic CFAR in the cube of every frame: the local quantile leaves out the guard and unknown cells."""
+    return os_cfar(_marked(spark, sf), _AX, _SIZES, "p", _GUARD, _TRAIN, 0.75, by=["frame"]).select("frame", *_AX, _r("level").alias("level"), "detected")
+
+
+@query(f"""WITH {_CUBE}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da, de)), m AS (SELECT c.frame, c.ri, c.ai, c.ei, any_value(c.p) AS p, sum(coalesce(t.p, 0)) / {_N} AS mean FROM cube c CROSS JOIN o
+LEFT JOIN cube t ON t.frame = c.frame AND t.ri = c.ri + dr AND t.ai = c.ai + da AND t.ei = c.ei + de GROUP BY ALL), pts AS (SELECT frame, ri, ai, ei, p * (20 - 2 * abs(ei - 2)) AS w FROM m WHERE p > mean * {_ALPHA}),
+ra AS (SELECT frame, ri, ai, sum(w) AS w FROM pts GROUP BY ALL), fullrow AS (SELECT frame, ri, unnest(range(0, 16)) AS ai FROM (SELECT DISTINCT frame, ri FROM ra)),
+q AS (SELECT f.frame, f.ri, quantile_cont(coalesce(w, 0), 0.9) AS q FROM fullrow f LEFT JOIN ra ON ra.frame = f.frame AND ra.ri = f.ri AND ra.ai = f.ai GROUP BY ALL),
+k AS (SELECT ra.frame, ra.ri, ra.ai FROM ra JOIN q ON q.frame = ra.frame AND q.ri = ra.ri WHERE q > 0 AND w > q)
+SELECT frame, ri, ai, ei, CAST(EXISTS (SELECT 1 FROM k WHERE k.frame = pts.frame AND k.ri = pts.ri AND k.ai = pts.ai) AS INT) AS kept_os,
+CAST(EXISTS (SELECT 1 FROM k WHERE k.frame = pts.frame AND k.ri BETWEEN pts.ri - 2 AND pts.ri + 2 AND k.ai BETWEEN pts.ai - 1 AND pts.ai + 1) AS INT) AS kept_padded FROM pts""")
+def r04_sidelobe_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-stage sidelobe filter of every frame: CA-CFAR, height-weighted range-azimuth sums, quantile per range row, widened cells."""
+    return sidelobe_filter(_cube(spark, sf), ["frame"], _SIZES, "p", 20 - 2 * F.abs(F.col("ei") - 2), _GUARD, _TRAIN, 0.05, 0.1, (2, 1))
+
+
+#: Axis, its cell, the two coordinates of its lines, and its size.
+_LINES = {
+    "range": ("pk % 32", "ok % 16", "ln", 32),
+    "x": ("floor(x / 2.2)", "floor((y + 16) / 8)", "ln", 33),
+    "y": ("floor(y + 16)", "floor(x / 20)", "ln", 32),
+    "z": ("ln", "floor(x / 20)", "floor((y + 16) / 8)", 8),
+}
+_ALPHA4 = repr(4 * (0.05**-0.25 - 1))
+_LINE_SQL = " UNION ALL ".join(
+    f"SELECT '{axis}' AS axis, CAST(floor(ok / 256) AS BIGINT) AS frame, CAST({a} AS INT) AS a, CAST({b} AS INT) AS b, CAST({i} AS INT) AS i, CAST(sum(CAST(power AS DECIMAL(18,2))) AS DOUBLE) AS p FROM pt GROUP BY ALL"
+    for axis, (i, a, b, _) in _LINES.items()
+)
+
+
+@query(f"""WITH {PT}, c AS ({_LINE_SQL}), o AS (SELECT unnest([-3, -2, 2, 3]) AS s), m AS (SELECT c.axis, c.frame, c.a, c.b, c.i, any_value(c.p) AS p, sum(coalesce(t.p, 0)) / 4 AS mean
+FROM c CROSS JOIN o LEFT JOIN c t ON t.axis = c.axis AND t.frame = c.frame AND t.a = c.a AND t.b = c.b AND t.i = c.i + s GROUP BY ALL)
+SELECT axis, frame, a, b, i, round(mean, 4) + 0.0 AS mean, p > mean * {_ALPHA4} AS detected FROM m""")
+def r05_w14_range_cfar(spark: SparkSession, sf: str) -> DataFrame:
+    """One-dimensional CFAR along range, x, y and z of every frame: two training cells behind one guard cell on both sides, zeros beyond the ends."""
+    out = None
+    for axis, (i, a, b, size) in _LINES.items():
+        line = d.points(spark, sf).selectExpr("cast(floor(ok / 256) as bigint) frame", f"cast({a} as int) a", f"cast({b} as int) b", f"cast({i} as int) i", "power")
+        line = line.groupBy("frame", "a", "b", "i").agg(_total("power").alias("p"))
+        found = ca_cfar(line, ["i"], [size], "p", (1,), (2,), 0.05, "zero", ["frame", "a", "b"])
+        found = found.select(F.lit(axis).alias("axis"), "frame", "a", "b", "i", F.round("mean", 4).alias("mean"), "detected")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-@query(f"""WITH {CE}, q AS (SELECT ri, sum(p) AS p FROM ce GROUP BY ri), m AS (SELECT ri, p, (coalesce(lag(p, 2) OVER w, 0) + coalesce(lag(p, 3) OVER w, 0) + coalesce(lead(p, 2) OVER w, 0) + coalesce(lead(p, 3) OVER w, 0)) / 4 AS mean FROM q WINDOW w AS (ORDER BY ri))
-SELECT ri, round(mean, 4) + 0.0 AS mean, p > mean * 1.1 AS detected FROM m""")
-def r05_w14_range_cfar(spark: SparkSession, sf: str) -> DataFrame:
-    """One-dimensional CFAR along range: two training cells behind one guard cell on both sides, zeros beyond the ends."""
-    line = d.cells(spark, sf).groupBy("ri").agg(F.sum("p").alias("p"))
-    out = ca_cfar(line, ["ri"], [32], "p", (1,), (2,), 0.05, "zero")
-    return out.select("ri", F.round("mean", 4).alias("mean"), (F.col("p") > F.col("mean") * 1.1).alias("detected"))
+_RA = f"{CE}, ra AS (SELECT frame, ri, ai, avg(p) AS p FROM ce GROUP BY ALL)"
 
 
-@query(f"""WITH {_RA}, m AS (SELECT a.ri, a.ai, max(b.p) AS top FROM ra a JOIN ra b ON abs(a.ri - b.ri) <= 1 AND abs(a.ai - b.ai) <= 1 GROUP BY ALL)
-SELECT ra.ri, ra.ai, round(p, 6) + 0.0 AS p FROM ra JOIN m ON m.ri = ra.ri AND m.ai = ra.ai WHERE p = top""")
+@query(f"""WITH {_RA}, m AS (SELECT a.frame, a.ri, a.ai, max(b.p) AS top FROM ra a JOIN ra b ON a.frame = b.frame AND abs(a.ri - b.ri) <= 1 AND abs(a.ai - b.ai) <= 1 GROUP BY ALL)
+SELECT ra.frame, ra.ri, ra.ai, round(p, 6) + 0.0 AS p FROM ra JOIN m ON m.frame = ra.frame AND m.ri = ra.ri AND m.ai = ra.ai WHERE p = top""")
 def w13_local_maxima(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells that are the maximum of their 3 by 3 neighbourhood."""
-    ra = d.cells(spark, sf).groupBy("ri", "ai").agg(F.avg("p").alias("p"))
+    """Cells that are the maximum of their 3 by 3 neighbourhood in their frame."""
+    ra = d.cells(spark, sf).groupBy("frame", "ri", "ai").agg(F.avg("p").alias("p"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    top = ra.withColumn("s", F.explode(steps)).groupBy((F.col("ri") + F.col("s.i")).alias("ri"), (F.col("ai") + F.col("s.j")).alias("ai")).agg(F.max("p").alias("top"))
-    return ra.join(top, ["ri", "ai"]).where("p = top").select("ri", "ai", _r("p").alias("p"))
+    top = ra.withColumn("s", F.explode(steps)).groupBy("frame", (F.col("ri") + F.col("s.i")).alias("ri"), (F.col("ai") + F.col("s.j")).alias("ai")).agg(F.max("p").alias("top"))
+    return ra.join(top, ["frame", "ri", "ai"]).where("p = top").select("frame", "ri", "ai", _r("p").alias("p"))
 
 
-@query(f"WITH {PT} SELECT pk % 16 AS ai, ln AS ei, round(min(sqrt(x*x + y*y + z*z)), 6) + 0.0 AS first_return, round(max(sqrt(x*x + y*y + z*z)), 6) + 0.0 AS last_return FROM pt GROUP BY ALL")
+@query(f"WITH {PT} SELECT frame, pk % 16 AS ai, ln AS ei, round(min(sqrt(x*x + y*y + z*z)), 6) + 0.0 AS first_return, round(max(sqrt(x*x + y*y + z*z)), 6) + 0.0 AS last_return FROM pt GROUP BY ALL")
 def w09_r10_first_returns(spark: SparkSession, sf: str) -> DataFrame:
     """First and last return along every ray."""
     rng, _, _ = g.xyz_to_polar(F.col("x"), F.col("y"), F.col("z"))
-    return d.points(spark, sf).groupBy((F.col("pk") % 16).alias("ai"), F.col("ln").alias("ei")).agg(_r(F.min(rng)).alias("first_return"), _r(F.max(rng)).alias("last_return"))
+    return d.points(spark, sf).groupBy("frame", (F.col("pk") % 16).alias("ai"), F.col("ln").alias("ei")).agg(_r(F.min(rng)).alias("first_return"), _r(F.max(rng)).alias("last_return"))
 
 
-@query(f"WITH {PT}, {CE} SELECT ok, ln, pk, sk, coalesce(c.p, -1) AS cell_power FROM pt LEFT JOIN ce c ON c.di = pt.sk % 8 AND c.ri = (pt.pk + 1) % 32 AND c.ai = pt.ok % 16 AND c.ei = pt.ln")
+@query(f"WITH {PT}, {CE} SELECT ok, ln, pk, sk, coalesce(c.p, -1) AS cell_power FROM pt LEFT JOIN ce c ON c.frame = floor(ok / 256) AND c.di = pt.sk % 8 AND c.ri = (pt.pk + 1) % 32 AND c.ai = pt.ok % 16 AND c.ei = pt.ln")
 def j24_cell_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Power of the neighbouring polar cell of every sparse point, -1 if unknown."""
-    p = d.points(spark, sf).selectExpr("ok", "ln", "pk", "sk", "cast(sk % 8 as int) di", "cast((pk + 1) % 32 as int) ri", "cast(ok % 16 as int) ai", "cast(ln as int) ei")
-    return p.join(d.cells(spark, sf), ["di", "ri", "ai", "ei"], "left").select("ok", "ln", "pk", "sk", F.coalesce("p", F.lit(-1.0)).alias("cell_power"))
+    p = d.points(spark, sf).selectExpr("ok", "ln", "pk", "sk", "cast(floor(ok / 256) as bigint) frame", "cast(sk % 8 as int) di", "cast((pk + 1) % 32 as int) ri", "cast(ok % 16 as int) ai", "cast(ln as int) ei")
+    return p.join(d.cells(spark, sf), ["frame", "di", "ri", "ai", "ei"], "left").select("ok", "ln", "pk", "sk", F.coalesce("p", F.lit(-1.0)).alias("cell_power"))
 
 
 _VOX = "CAST(floor(x / 10) AS BIGINT) AS vx, CAST(floor((y + 16) / 8) AS BIGINT) AS vy"
@@ -225,15 +275,17 @@ def a43_depth_map(spark: SparkSession, sf: str) -> DataFrame:
     return d.points(spark, sf).groupBy("frame", (F.col("pk") % 64).alias("u"), ((F.col("z") + 2) * 4).cast("bigint").alias("v")).agg(F.max_by("x", order).alias("depth"))
 
 
-@query(f"""WITH {_RA}, w AS (SELECT i, (i * 7 % 300) / 10.37::DOUBLE AS x, (i * 11 % 140) / 10.37::DOUBLE AS y FROM (SELECT DISTINCT CAST(pk % 997 AS INT) AS i FROM (SELECT l_partkey AS pk FROM lineitem))),
-c AS (SELECT i, x, y, CAST(floor(x) AS INT) + dx AS ri, CAST(floor(y) AS INT) + dy AS ai, abs(1 - dx - (x - floor(x))) * abs(1 - dy - (y - floor(y))) AS wt FROM w, (VALUES (0,0),(0,1),(1,0),(1,1)) v(dx, dy))
-SELECT c.i, round(sum(wt * coalesce(ra.p, 0)), 4) + 0.0 AS p FROM c LEFT JOIN ra ON ra.ri = c.ri AND ra.ai = c.ai GROUP BY c.i""")
+@query(f"""WITH {CE}, ra AS (SELECT frame, ri, ai, avg(p) AS p, CAST(count(*) AS DOUBLE) AS hits FROM ce GROUP BY ALL), w AS (SELECT DISTINCT CAST(floor(l_orderkey / 256) AS BIGINT) AS frame, l_partkey AS k FROM lineitem),
+s AS (SELECT frame, k, (k * 7 % 300) / 10.37::DOUBLE AS x, (k * 11 % 140) / 10.37::DOUBLE AS y FROM w),
+c AS (SELECT frame, k, CAST(floor(x) AS INT) + dx AS ri, CAST(floor(y) AS INT) + dy AS ai, abs(1 - dx - (x - floor(x))) * abs(1 - dy - (y - floor(y))) AS wt FROM s, (VALUES (0,0),(0,1),(1,0),(1,1)) v(dx, dy))
+SELECT c.frame, c.k, round(sum(wt * coalesce(ra.p, 0)), 4) + 0.0 AS p, round(sum(wt * coalesce(ra.hits, 0)), 6) + 0.0 AS hits FROM c LEFT JOIN ra ON ra.frame = c.frame AND ra.ri = c.ri AND ra.ai = c.ai GROUP BY c.frame, c.k""")
 def g12_bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    """Bilinear samples of the range-azimuth map."""
-    ra = d.cells(spark, sf).groupBy(F.col("ri").alias("i"), F.col("ai").alias("j")).agg(F.avg("p").alias("p"))
-    at = table(spark, sf, "lineitem").select((F.col("l_partkey") % 997).cast("int").alias("k")).distinct()
-    at = at.select("k", ((F.col("k") * 7 % 300) / 10.37).alias("x"), ((F.col("k") * 11 % 140) / 10.37).alias("y"))
-    return interpolated(ra, at, ["i", "j"], ["x", "y"], "p", "k").select(F.col("k").alias("i"), F.round("p", 4).alias("p"))
+    """Bilinear samples of the features of a frame's range-azimuth map at the position of every row."""
+    ra = d.cells(spark, sf).groupBy("frame", "ri", "ai").agg(F.avg("p").alias("p"), F.count("*").cast("double").alias("hits"))
+    k = F.col("k")
+    at = table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 256).alias("frame"), F.col("l_partkey").alias("k")).distinct()
+    at = at.select("frame", "k", (k * 7 % 300 / 10.37).alias("x"), (k * 11 % 140 / 10.37).alias("y"))
+    return interpolated(ra, at, ["ri", "ai"], ["x", "y"], ["p", "hits"], ["k"], ["frame"]).select("frame", "k", F.round("p", 4).alias("p"), _r("hits").alias("hits"))
 
 
 @query(f"""WITH {PT} SELECT ok, ln, pk, sk, round(power * exp(-0.02 * greatest(sqrt(x*x + y*y + z*z) - 10, 0)), 4) + 0.0 AS attenuated, greatest(2000, least(50000, power)) AS saturated,

@@ -108,18 +108,18 @@ def g11_points_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
     return d.points(spark, sf).groupBy("frame").agg(F.count_if(g.in_polygon(F.col("x"), F.col("y"), _POLY)).alias("inside"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {CE}, cube AS (SELECT ri, ai, ei, avg(p) AS p FROM ce GROUP BY ALL), w AS (SELECT DISTINCT CAST(l_partkey % 499 AS INT) AS k FROM lineitem),
-spots AS (SELECT k, (k * 7 % 300) / 10.37::DOUBLE AS x, (k * 11 % 140) / 10.37::DOUBLE AS y, 1 + (k * 13 % 50) / 9.91::DOUBLE AS z FROM w),
-c AS (SELECT k, CAST(floor(x) AS INT) + dx AS ri, CAST(floor(y) AS INT) + dy AS ai, CAST(floor(z) AS INT) + dz AS ei, abs(1 - dx - (x - floor(x))) * abs(1 - dy - (y - floor(y))) * abs(1 - dz - (z - floor(z))) AS wt
+@query(f"""WITH {CE}, cube AS (SELECT frame, ri, ai, ei, avg(p) AS p FROM ce GROUP BY ALL), w AS (SELECT DISTINCT CAST(floor(l_orderkey / 256) AS BIGINT) AS frame, l_partkey AS k FROM lineitem),
+spots AS (SELECT frame, k, (k * 7 % 300) / 10.37::DOUBLE AS x, (k * 11 % 140) / 10.37::DOUBLE AS y, 1 + (k * 13 % 50) / 9.91::DOUBLE AS z FROM w),
+c AS (SELECT frame, k, CAST(floor(x) AS INT) + dx AS ri, CAST(floor(y) AS INT) + dy AS ai, CAST(floor(z) AS INT) + dz AS ei, abs(1 - dx - (x - floor(x))) * abs(1 - dy - (y - floor(y))) * abs(1 - dz - (z - floor(z))) AS wt
 FROM spots, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dz))
-SELECT k, round(sum(wt * coalesce(p, 0)), 3) + 0.0 AS p FROM c LEFT JOIN cube ON cube.ri = c.ri AND cube.ai = c.ai AND cube.ei = c.ei GROUP BY k""")
+SELECT c.frame, k, round(sum(wt * coalesce(p, 0)), 3) + 0.0 AS p FROM c LEFT JOIN cube ON cube.frame = c.frame AND cube.ri = c.ri AND cube.ai = c.ai AND cube.ei = c.ei GROUP BY c.frame, k""")
 def g13_trilinear(spark: SparkSession, sf: str) -> DataFrame:
-    """Trilinear samples of the power cube."""
+    """Trilinear samples of a frame's power cube at the position of every row."""
     k = F.col("k")
-    cube = d.cells(spark, sf).groupBy("ri", "ai", "ei").agg(F.avg("p").alias("p"))
-    at = table(spark, sf, "lineitem").select((F.col("l_partkey") % 499).cast("int").alias("k")).distinct()
-    at = at.select("k", (k * 7 % 300 / 10.37).alias("x"), (k * 11 % 140 / 10.37).alias("y"), (1 + k * 13 % 50 / 9.91).alias("z"))
-    return interpolated(cube, at, ["ri", "ai", "ei"], ["x", "y", "z"], "p", "k").select("k", F.round("p", 3).alias("p"))
+    cube = d.cells(spark, sf).groupBy("frame", "ri", "ai", "ei").agg(F.avg("p").alias("p"))
+    at = table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 256).alias("frame"), F.col("l_partkey").alias("k")).distinct()
+    at = at.select("frame", "k", (k * 7 % 300 / 10.37).alias("x"), (k * 11 % 140 / 10.37).alias("y"), (1 + k * 13 % 50 / 9.91).alias("z"))
+    return interpolated(cube, at, ["ri", "ai", "ei"], ["x", "y", "z"], ["p"], ["k"], ["frame"]).select("frame", "k", F.round("p", 3).alias("p"))
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) SELECT o_custkey, o_orderkey, o_orderstatus FROM r WHERE k = 1""")
@@ -129,10 +129,10 @@ def u05_u06_latest_wins(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy("o_custkey").agg(last.alias("m")).select("o_custkey", "m.*")
 
 
-@query(f"""WITH {PT}, s AS (SELECT frame, ok, ln, pk, sk, power, CAST(unnest(range(0, 4)) AS INT) AS part FROM pt WHERE ln = 1) SELECT {_K}, part, pk % 64 * 4 + part AS fine, round(0.1 + (pk % 64) * 0.25 + part / 4.0 * 0.25, 6) + 0.0 AS metre FROM s""")
+@query(f"""WITH {PT}, s AS (SELECT frame, ok, ln, pk, sk, power, CAST(unnest(range(0, 4)) AS INT) AS part FROM pt) SELECT {_K}, part, pk % 64 * 4 + part AS fine, round(0.1 + (pk % 64) * 0.25 + part / 4.0 * 0.25, 6) + 0.0 AS metre FROM s""")
 def m37_supersampled_axis(spark: SparkSession, sf: str) -> DataFrame:
-    """Range cells of first-line points split into four."""
-    s = d.points(spark, sf).where("ln = 1").select(*_KEY, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part"))
+    """Range cells of all points split into four."""
+    s = d.points(spark, sf).select(*_KEY, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part"))
     return s.select(*_KEY, "part", (F.col("pk") % 64 * 4 + F.col("part")).alias("fine"), _r(0.1 + F.col("pk") % 64 * 0.25 + F.col("part") / 4.0 * 0.25).alias("metre"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
 from quernstone.operators.blocks import bounded_window, numbered, running_sums
-from quernstone.operators.radar import above_quantile, ca_cfar
+from quernstone.operators.radar import above_quantile
 from quernstone.operators.ranking import global_rank
 from quernstone.operators.spatial import within_radius
 from quernstone.plans import domain as d
@@ -98,46 +98,34 @@ def r09_radius_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return near.groupBy("frame", *_KEY).agg(F.count("*").alias("n")).groupBy("frame").agg(F.count("*").alias("points"), F.count_if(c("n") >= 3).alias("kept"))
 
 
-@query(f"""WITH {CE}, q AS (SELECT quantile_cont(p / 1e6, 0.9) AS q FROM ce) SELECT di, ri, ai, ei, round(1 + 0.46::DOUBLE * ri + 0.23, 6) AS rng, round(p / 1e6, 9) AS power FROM ce, q WHERE p / 1e6 > q""")
+@query(f"""WITH {CE}, q AS (SELECT frame, quantile_cont(p / 1e6, 0.9) AS q FROM ce GROUP BY frame) SELECT ce.frame, di, ri, ai, ei, round(1 + 0.46::DOUBLE * ri + 0.23, 6) AS rng, round(p / 1e6, 9) AS power FROM ce JOIN q ON q.frame = ce.frame WHERE p / 1e6 > q""")
 def r07_sparse_cube(spark: SparkSession, sf: str) -> DataFrame:
-    """Sparse cube: power normalised, the strongest tenth kept, indices to metres at half cells."""
+    """Sparse cube of every frame: power normalised, the strongest tenth kept, indices to metres at half cells."""
     cells = d.cells(spark, sf).withColumn("power", F.col("p") / 1e6)
-    return above_quantile(cells, [], "power", 0.1).select("di", "ri", "ai", "ei", _r(g.index_to_metre(F.col("ri"), 1.0, 0.46, 1)).alias("rng"), F.round("power", 9).alias("power"))
+    return above_quantile(cells, ["frame"], "power", 0.1).select("frame", "di", "ri", "ai", "ei", _r(g.index_to_metre(F.col("ri"), 1.0, 0.46, 1)).alias("rng"), F.round("power", 9).alias("power"))
 
 
-@query(f"""WITH {CE}, ra AS (SELECT ri, ai, CAST(sum(CAST(p AS DECIMAL(18,2))) AS DOUBLE) AS p FROM ce GROUP BY ALL), m AS (SELECT a.ri, a.ai, a.p, (SELECT sum(b.p) FROM ra b WHERE b.ri = a.ri AND abs(b.ai - a.ai) BETWEEN 2 AND 4) / 6 AS mean FROM ra a),
-s AS (SELECT ri, ai, p FROM m WHERE p > coalesce(mean, 0) * 1.02), q AS (SELECT ri, quantile_cont(p, 0.5) AS q FROM s GROUP BY ri)
-SELECT ra.ri, ra.ai, CASE WHEN s.p > q.q THEN 1 ELSE 0 END AS kept FROM ra LEFT JOIN s ON s.ri = ra.ri AND s.ai = ra.ai LEFT JOIN q ON q.ri = ra.ri""")
-def r04_sidelobe_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Two-stage sidelobe filter: azimuth CFAR, then the quantile of what is left in each range bin; 1 for kept cells."""
-    ra = d.cells(spark, sf).groupBy("ri", "ai").agg(_money("p").alias("p"))
-    # CFAR along azimuth: range is not spread, so its guard and training reach is 0 there
-    first = ca_cfar(ra, ["ri", "ai"], [32, 16], "p", (0, 1), (0, 3), 0.05, "zero").where(F.col("p") > F.col("mean") * 1.02).select("ri", "ai", "p")
-    second = above_quantile(first, ["ri"], "p", 0.5).select("ri", "ai", F.lit(1).alias("kept"))
-    return ra.select("ri", "ai").join(second, ["ri", "ai"], "left").select("ri", "ai", F.coalesce("kept", F.lit(0)).alias("kept"))
-
-
-@query(f"""WITH {PT}, b AS (SELECT frame, ok, ln, pk, sk, power, x AS cx, y AS cy FROM pt WHERE ln = 3),
-c AS (SELECT frame, CAST(floor(cx - 2) AS BIGINT) + i AS gx, CAST(floor(cy - 1) AS BIGINT) + j AS gy, cx, cy FROM b, (SELECT unnest(range(0, 5)) AS i), (SELECT unnest(range(0, 3)) AS j))
-SELECT frame, gx, gy, true AS occupied FROM c WHERE abs(gx + 0.5 - cx) <= 2 AND abs(gy + 0.5 - cy) <= 1 GROUP BY ALL""")
+@query(f"""WITH {PT}, b AS (SELECT frame, x AS cx, y AS cy, (ok % 628) / 100.0::DOUBLE AS yaw FROM pt),
+c AS (SELECT frame, CAST(floor(cx - 2.5) AS BIGINT) + i AS gx, CAST(floor(cy - 2.5) AS BIGINT) + j AS gy, cx, cy, yaw FROM b, (SELECT unnest(range(0, 6)) AS i), (SELECT unnest(range(0, 6)) AS j))
+SELECT frame, gx, gy, true AS occupied FROM c WHERE abs(cos(yaw)*(gx + 0.5 - cx) + sin(yaw)*(gy + 0.5 - cy)) <= 2 AND abs(-sin(yaw)*(gx + 0.5 - cx) + cos(yaw)*(gy + 0.5 - cy)) <= 1 GROUP BY ALL""")
 def a41_occupancy_raster(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of a 1 m raster whose centre lies in a 4 m by 2 m box."""
+    """Cells of a 1 m raster whose centre lies in a turned box of 4 m by 2 m around a point."""
     c = F.col
-    b = d.points(spark, sf).where("ln = 3").select("frame", c("x").alias("cx"), c("y").alias("cy"))
-    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    b = b.withColumn("gx", F.floor(c("cx") - 2) + c("i")).withColumn("gy", F.floor(c("cy") - 1) + c("j"))
-    inside = (F.abs(c("gx") + 0.5 - c("cx")) <= 2) & (F.abs(c("gy") + 0.5 - c("cy")) <= 1)
-    return b.where(inside).groupBy("frame", "gx", "gy").agg(F.lit(True).alias("occupied"))
+    b = d.points(spark, sf).select("frame", c("x").alias("cx"), c("y").alias("cy"), (c("ok") % 628 / 100.0).alias("yaw"))
+    six = F.sequence(F.lit(0), F.lit(5))
+    b = b.withColumn("i", F.explode(six)).withColumn("j", F.explode(six)).withColumn("gx", F.floor(c("cx") - 2.5) + c("i")).withColumn("gy", F.floor(c("cy") - 2.5) + c("j"))
+    u, v = g.rotated(c("gx") + 0.5 - c("cx"), c("gy") + 0.5 - c("cy"), -c("yaw"))
+    return b.where((F.abs(u) <= 2) & (F.abs(v) <= 1)).groupBy("frame", "gx", "gy").agg(F.lit(True).alias("occupied"))
 
 
-@query(f"""WITH {CE}, o AS (SELECT DISTINCT l_partkey % 28 + 2 AS r0, l_orderkey % 12 + 2 AS a0 FROM lineitem WHERE l_linenumber = 1)
-SELECT CAST(r0 AS INT) AS r0, CAST(a0 AS INT) AS a0, count(*) AS cells, CAST(sum(CAST(p AS DECIMAL(18,2))) AS DOUBLE) AS power FROM o JOIN ce ON ri BETWEEN r0 - 1 AND r0 + 1 AND ai BETWEEN a0 - 1 AND a0 + 1 WHERE di <> 3 GROUP BY ALL""")
+@query(f"""WITH {CE}, o AS (SELECT DISTINCT CAST(floor(l_orderkey / 256) AS BIGINT) AS frame, l_partkey % 28 + 2 AS r0, l_orderkey % 12 + 2 AS a0 FROM lineitem)
+SELECT ce.frame, CAST(r0 AS INT) AS r0, CAST(a0 AS INT) AS a0, count(*) AS cells, CAST(sum(CAST(p AS DECIMAL(18,2))) AS DOUBLE) AS power FROM o JOIN ce ON ce.frame = o.frame AND ri BETWEEN r0 - 1 AND r0 + 1 AND ai BETWEEN a0 - 1 AND a0 + 1 WHERE di <> 3 GROUP BY ALL""")
 def a42_object_slices(spark: SparkSession, sf: str) -> DataFrame:
-    """Known cells and their power in the index window around every object centre."""
+    """Known cells and their power in the index window around every object centre of a frame."""
     c = F.col
-    o = table(spark, sf, "lineitem").where("l_linenumber = 1").select((c("l_partkey") % 28 + 2).cast("int").alias("r0"), (c("l_orderkey") % 12 + 2).cast("int").alias("a0")).distinct()
+    o = table(spark, sf, "lineitem").select(F.floor(c("l_orderkey") / 256).alias("frame"), (c("l_partkey") % 28 + 2).cast("int").alias("r0"), (c("l_orderkey") % 12 + 2).cast("int").alias("a0")).distinct()
     o = o.withColumn("ri", F.explode(F.sequence(c("r0") - 1, c("r0") + 1))).withColumn("ai", F.explode(F.sequence(c("a0") - 1, c("a0") + 1)))
-    return d.cells(spark, sf).where("di <> 3").join(o, ["ri", "ai"]).groupBy("r0", "a0").agg(F.count("*").alias("cells"), _money("p").alias("power"))
+    return d.cells(spark, sf).where("di <> 3").join(o, ["frame", "ri", "ai"]).groupBy("frame", "r0", "a0").agg(F.count("*").alias("cells"), _money("p").alias("power"))
 
 
 @query(f"""WITH {PT} SELECT {_K}, CAST(row_number() OVER (PARTITION BY frame, flag ORDER BY {_K}) - 1 AS INT) AS idx FROM pt""")
