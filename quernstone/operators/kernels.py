@@ -16,50 +16,43 @@ def rectangle_corners(boxes: np.ndarray) -> np.ndarray:
 def paired_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Common area of row i of ``a`` and row i of ``b`` (x, y, length, width, yaw), all pairs at once.
 
-    The corners of each rectangle inside the other and the crossings of their edges are the corners of the common
-    polygon; sorted about their centre they give its area.
+    Rectangle ``a``, seen from ``b``'s own axes, is clipped by ``b``'s four sides one after the other; each side adds at most
+    one corner, so eight places hold the polygon of every pair. Its area is half the sum of cross products.
     """
     n = len(a)
     if not n:
         return np.zeros(0)
-    pa, pb = rectangle_corners(a), rectangle_corners(b)
-
-    def inside(p: np.ndarray, box: np.ndarray) -> np.ndarray:
-        d = p - box[:, None, :2]
-        c, s = np.cos(box[:, 4:5]), np.sin(box[:, 4:5])
-        u, v = d[..., 0] * c + d[..., 1] * s, -d[..., 0] * s + d[..., 1] * c
-        return (np.abs(u) <= box[:, 2:3] / 2 + 1e-9) & (np.abs(v) <= box[:, 3:4] / 2 + 1e-9)
-
-    ea, eb = np.roll(pa, -1, axis=1) - pa, np.roll(pb, -1, axis=1) - pb
-    diff = pb[:, None, :, :] - pa[:, :, None, :]
-    cross = ea[:, :, None, 0] * eb[:, None, :, 1] - ea[:, :, None, 1] * eb[:, None, :, 0]
-    safe = np.where(np.abs(cross) < 1e-12, 1.0, cross)
-    t = (diff[..., 0] * eb[:, None, :, 1] - diff[..., 1] * eb[:, None, :, 0]) / safe
-    u = (diff[..., 0] * ea[:, :, None, 1] - diff[..., 1] * ea[:, :, None, 0]) / safe
-    meets = (np.abs(cross) >= 1e-12) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    at = pa[:, :, None, :] + t[..., None] * ea[:, :, None, :]
-    points = np.concatenate([pa, pb, at.reshape(n, 16, 2)], axis=1)
-    valid = np.concatenate([inside(pa, b), inside(pb, a), meets.reshape(n, 16)], axis=1)
-    k = valid.sum(axis=1)
-    centre = (points * valid[..., None]).sum(axis=1) / np.maximum(k, 1)[:, None]
-    d = points - centre[:, None, :]
-    angle = np.where(valid, np.arctan2(d[..., 1], d[..., 0]), np.inf)
-    order = np.argsort(angle, axis=1, kind="stable")
-    d = np.take_along_axis(np.where(valid[..., None], d, 0.0), order[..., None], axis=1)
-    last = np.maximum(k - 1, 0)
-    d = np.where((np.arange(d.shape[1])[None, :] < k[:, None])[..., None], d, d[np.arange(n), last][:, None, :])
-    nxt = np.roll(d, -1, axis=1)
-    area = 0.5 * np.abs((d[..., 0] * nxt[..., 1] - d[..., 1] * nxt[..., 0]).sum(axis=1))
-    return np.where(k >= 3, area, 0.0)
-
-
-def paired_iou(a: np.ndarray, b: np.ndarray, criterion: int = -1) -> np.ndarray:
-    """Rotated overlap of pairs: -1 over the union, 0 over the first area, 1 over the second, else the area itself."""
+    c, s = np.cos(b[:, 4]), np.sin(b[:, 4])
+    d = rectangle_corners(a) - b[:, None, :2]
+    x, y = np.zeros((n, 8)), np.zeros((n, 8))
+    x[:, :4], y[:, :4] = d[..., 0] * c[:, None] + d[..., 1] * s[:, None], d[..., 1] * c[:, None] - d[..., 0] * s[:, None]
+    count, rows, places = np.full(n, 4), np.arange(n)[:, None], np.arange(8)[None, :]
+    for axis, sign in ((0, 1.0), (0, -1.0), (1, 1.0), (1, -1.0)):
+        after = (places + 1) % np.maximum(count, 1)[:, None]
+        depth = b[:, 2 + axis, None] / 2 - sign * (x, y)[axis]  # not negative: on the inner side
+        far, fx, fy = depth[rows, after], x[rows, after], y[rows, after]
+        there = places < count[:, None]
+        stays, crosses = there & (depth >= 0), there & ((depth >= 0) != (far >= 0))
+        part = depth / np.where(crosses, depth - far, 1.0)
+        # every corner gives itself if it stays and the crossing behind it; both in order
+        keep = np.stack([stays, crosses], axis=2).reshape(n, 16)
+        px = np.stack([x, x + part * (fx - x)], axis=2).reshape(n, 16)
+        py = np.stack([y, y + part * (fy - y)], axis=2).reshape(n, 16)
+        order = np.argsort(~keep, axis=1, kind="stable")[:, :8]
+        count = np.minimum(keep.sum(axis=1), 8)
+        x, y = np.take_along_axis(px, order, axis=1), np.take_along_axis(py, order, axis=1)
+    after = (places + 1) % np.maximum(count, 1)[:, None]
+    cross = np.where(places < count[:, None], x * y[rows, after] - y * x[rows, after], 0.0)
+    return np.where(count >= 3, np.abs(cross.sum(axis=1)) / 2, 0.0)
+
+
+def paired_iou(a: np.ndarray, b: np.ndarray, over: str = "union") -> np.ndarray:
+    """Common area of pairs over their ``union``, over the ``first`` or the ``second`` rectangle, or the ``area`` itself."""
     common = paired_overlap(a, b)
-    one, two = a[:, 2] * a[:, 3], b[:, 2] * b[:, 3]
-    if criterion not in (-1, 0, 1):
+    if over == "area":
         return common
-    by = {-1: one + two - common, 0: one, 1: two}[criterion]
+    one, two = a[:, 2] * a[:, 3], b[:, 2] * b[:, 3]
+    by = {"union": one + two - common, "first": one, "second": two}[over]
     return np.divide(common, by, out=np.zeros(len(common)), where=by > 0)
 
 

@@ -22,6 +22,22 @@ def rotated_iou(a1: pd.Series, a2: pd.Series, a3: pd.Series, a4: pd.Series, a5:
     return pd.Series(kernels.paired_iou(np.column_stack([a1, a2, a3, a4, a5]), np.column_stack([b1, b2, b3, b4, b5])))
 
 
+@F.pandas_udf(T.DoubleType())
+def rotated_area(a1: pd.Series, a2: pd.Series, a3: pd.Series, a4: pd.Series, a5: pd.Series, b1: pd.Series, b2: pd.Series, b3: pd.Series, b4: pd.Series, b5: pd.Series) -> pd.Series:
+    """Common area of two rotated rectangles (x, y, length, width, yaw), an Arrow batch of pairs at a time."""
+    return pd.Series(kernels.paired_iou(np.column_stack([a1, a2, a3, a4, a5]), np.column_stack([b1, b2, b3, b4, b5]), "area"))
+
+
+def height_overlap(y1: Column, h1: Column, y2: Column, h2: Column, centre: float = 1.0) -> Column:
+    """Common height of two boxes given at the ``centre`` share of their height (1: at the bottom, y down; 0.5: in the middle)."""
+    return overlap(y1 - h1 * centre, y1 + h1 * (1 - centre), y2 - h2 * centre, y2 + h2 * (1 - centre))
+
+
+def rotated_iou_3d(common: Column, height: Column, one: Column, two: Column) -> Column:
+    """3D intersection over union: common BEV area times common height, over the union of the two volumes."""
+    return iou(common * height, one, two)
+
+
 def bev(df: DataFrame, p: str, ident: str, keys: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
     """BEV rectangle (x, z, l, w, ry) of KITTI boxes under prefixed names with its enclosing extents."""
     c = F.col
@@ -39,36 +55,47 @@ def bev_candidates(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float
     return near.withColumn("iou", rotated_iou("ax", "az", "al", "aw", -F.col("ar"), "bx", "bz", "bl", "bw", -F.col("br")))
 
 
-def greedy_pairs(pairs: DataFrame, group: Sequence[str], claimant: str, target: str, priority: Sequence[Column], preference: Sequence[Column]) -> DataFrame:
+def greedy_pairs(
+    pairs: DataFrame, group: Sequence[str], claimant: str, target: str, priority: Sequence[Column], preference: Sequence[Column], spare: str | None = None
+) -> DataFrame:
     """One-to-one matches among candidate pairs: claimants in ``priority`` order take their best free target.
 
     A claimant ranks its targets by ``preference``. In a group of C claimants and T targets a target is surely taken
     after T claimants that could have it, and a claimant never looks past its C best targets, so only those pairs are kept
     (exactly, by rank): a group has at most min(C, T) squared pairs however lopsided it is. The pass itself is a stream over
-    sorted partitions: the state is the set of taken ids of the current group. Returns the rows of ``pairs`` that matched.
+    sorted partitions: the state is the set of taken ids of the current group. Returns the rows of ``pairs`` that matched;
+    with ``spare``, a column of that name tells them (false) from the next target that was free for the claimant (true).
     """
     g = list(group)
     per_group = pairs.groupBy(*g).agg(F.countDistinct(target).alias("_targets"), F.countDistinct(claimant).alias("_claimants"))
     nth = F.dense_rank().over(Window.partitionBy(*g, target).orderBy(*priority, F.col(claimant)))
     choice = F.dense_rank().over(Window.partitionBy(*g, claimant).orderBy(*preference, F.col(target)))
     kept = pairs.withColumn("_nth", nth).withColumn("_choice", choice).join(per_group, g)
-    kept = kept.where((F.col("_nth") <= F.col("_targets")) & (F.col("_choice") <= F.col("_claimants"))).drop("_nth", "_choice", "_targets", "_claimants")
+    kept = kept.where((F.col("_nth") <= F.col("_targets")) & (F.col("_choice") <= F.col("_claimants") + F.lit(1 if spare else 0))).drop("_nth", "_choice", "_targets", "_claimants")
     ordered = kept.withColumn("_g", F.xxhash64(*g)).repartition(*g).sortWithinPartitions(*g, *priority, F.col(claimant), *preference, F.col(target))
     columns = ordered.columns
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, free, given = None, set(), set()
+        key, free, given, spared = None, set(), set(), set()
         for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
+            role = np.full(len(batch), -1)
             for i, row in enumerate(zip(*[batch[k] for k in g], batch[claimant], batch[target])):
                 if row[:-2] != key:
-                    key, free, given = row[:-2], set(), set()
-                if row[-2] not in given and row[-1] not in free:
+                    key, free, given, spared = row[:-2], set(), set(), set()
+                if row[-1] in free:
+                    continue
+                if row[-2] not in given:
                     given.add(row[-2]), free.add(row[-1])
-                    keep[i] = True
-            yield batch[keep]
-
-    return ordered.select(*columns).mapInPandas(take, ordered.schema).drop("_g")
+                    role[i] = 0
+                elif spare and row[-2] not in spared:
+                    spared.add(row[-2])
+                    role[i] = 1
+            kept = batch[role >= 0]
+            yield kept.assign(**{spare: role[role >= 0] == 1}) if spare else kept
+
+    ordered = ordered.select(*columns)
+    schema = T.StructType([*ordered.schema.fields, *([T.StructField(spare, T.BooleanType())] if spare else [])])
+    return ordered.mapInPandas(take, schema).drop("_g")
 
 
 def suppressed(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,12 @@ def within_radius(a: DataFrame, b: DataFrame, keys: Sequence[str], at_a: Sequenc
     d2 = reduce(lambda p, q: p + q, [(F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(at_a, at_b)])
     both = near_.join(cells_b, [*keys, *cells]).withColumn("d2", d2).drop(*cells)
     return both.where((F.col("d2") <= radius * radius) if closed else (F.col("d2") < radius * radius))
+
+
+def neighbour_slots(pairs: DataFrame, key: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` partners of every ``key`` by ``order`` in the slots 0 to n - 1; slots beyond the last partner hold the first."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    first = pairs.withColumn("_k", rank).where(F.col("_k") <= n)
+    met = first.groupBy(*key).agg(F.max("_k").alias("_met"))
+    to = F.concat(F.array(F.col("_k") - 1), F.when(F.col("_k") == 1, F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: s >= F.col("_met"))).otherwise(F.array().cast("array<int>")))
+    return first.join(met, list(key)).withColumn("slot", F.explode(to)).drop("_k", "_met")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
 from quernstone.operators.matching import bev, bev_candidates, farthest_sample, greedy_pairs, suppressed
-from quernstone.operators.spatial import within_radius
+from quernstone.operators.spatial import neighbour_slots, within_radius
 from quernstone.plans import domain as d
 from quernstone.plans.domain import PT, Catalogue
 
@@ -15,11 +15,11 @@ query = Catalogue()
 _KEYS = ["seq", "frame", "cls"]
 
 
-def _matches(spark: SparkSession, sf: str, threshold: float) -> DataFrame:
+def _matches(spark: SparkSession, sf: str, threshold: float, strict: bool = False) -> DataFrame:
     known = "seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL"
     labels = bev(d.gt(spark, sf).where(known), "a", "gt_id", _KEYS)
     found = bev(d.preds(spark, sf).where(known).where("cond IS NOT NULL"), "b", "pred_id", _KEYS, [F.col("cond"), F.coalesce("score", F.lit(0.0)).alias("score")])
-    pairs = bev_candidates(labels, found, _KEYS).where(F.col("iou") >= threshold)
+    pairs = bev_candidates(labels, found, _KEYS).where(F.col("iou") > threshold if strict else F.col("iou") >= threshold)
     return greedy_pairs(pairs, [*_KEYS, "cond"], "pred_id", "gt_id", [F.desc("score")], [F.desc("iou")])
 
 
@@ -42,14 +42,26 @@ def x05_match_counts(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("cond", "cls", "tp", (F.col("preds") - F.col("tp")).alias("fp"), (F.col("gts") - F.col("tp")).alias("fn"))
 
 
+@query()
+def j14_strict_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """One-to-one matches by a rotated BEV overlap strictly above 0.3, best scores first, and every label left without one.
+
+    ``pred_id`` is null for a label that no detection of a condition seen in its frame got.
+    """
+    known = "seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL"
+    seen = d.preds(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL AND cond IS NOT NULL").select("seq", "frame", "cond").distinct()
+    labels = d.gt(spark, sf).where(known).select("seq", "frame", "gt_id").join(seen, ["seq", "frame"]).select("gt_id", "cond")
+    return labels.join(_matches(spark, sf, 0.3, strict=True).select("gt_id", "cond", "pred_id"), ["gt_id", "cond"], "left")
+
+
 @query()
 def j16_nearest_centres(spark: SparkSession, sf: str) -> DataFrame:
-    """Clean detections matched one to one to the nearest detection of the same class under each condition, within 5 m."""
+    """Clean detections, in line order, matched one to one to the nearest detection of their class under each condition, within 5 m."""
     p = d.preds(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL AND cond IS NOT NULL")
-    base = p.where("cond = 'original'").select(*_KEYS, F.col("pred_id").alias("base_id"), F.col("loc_x").alias("ax"), F.col("loc_z").alias("az"))
-    other = p.where("cond <> 'original'").select(*_KEYS, "cond", "pred_id", F.col("loc_x").alias("bx"), F.col("loc_z").alias("bz"))
-    pairs = within_radius(base, other, _KEYS, ["ax", "az"], ["bx", "bz"], 5.0)
-    return greedy_pairs(pairs, [*_KEYS, "cond"], "base_id", "pred_id", [], [F.asc("d2")]).select("base_id", "pred_id", "cond", F.round(F.sqrt("d2"), 6).alias("moved"))
+    base = p.where("cond = 'original'").select(*_KEYS, "line_idx", F.col("pred_id").alias("base_id"), *[F.col(f"loc_{k}").alias(f"a{k}") for k in "xyz"])
+    other = p.where("cond <> 'original'").select(*_KEYS, "cond", "pred_id", *[F.col(f"loc_{k}").alias(f"b{k}") for k in "xyz"])
+    pairs = within_radius(base, other, _KEYS, ["ax", "ay", "az"], ["bx", "by", "bz"], 5.0, closed=True)
+    return greedy_pairs(pairs, [*_KEYS, "cond"], "base_id", "pred_id", [F.asc("line_idx")], [F.asc("d2")]).select("base_id", "pred_id", "cond", F.round(F.sqrt("d2"), 6).alias("moved"))
 
 
 @query()
@@ -65,15 +77,15 @@ def t14_farthest_points(spark: SparkSession, sf: str) -> DataFrame:
     return farthest_sample(d.points(spark, sf), ["frame"], ["ok", "ln", "pk", "sk", "power"], ["x", "y", "z"], 8)
 
 
-_BALL = """a AS (SELECT frame, ok, ln, pk, sk, x, y, z FROM pt WHERE ln = 1), j AS (SELECT a.ok, a.ln, a.pk, a.sk, a.frame, b.ok AS bok, b.ln AS bln, b.pk AS bpk, b.sk AS bsk,
+_BALL = """a AS (SELECT frame, ok, ln, pk, sk, x, y, z FROM pt), j AS (SELECT a.ok, a.ln, a.pk, a.sk, a.frame, b.ok AS bok, b.ln AS bln, b.pk AS bpk, b.sk AS bsk,
  (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2 FROM a JOIN pt b ON a.frame = b.frame)"""
 
 
 @query(f"WITH {PT}, {_BALL} SELECT ok, ln, pk, sk, count(*) AS n FROM j WHERE d2 < 9 GROUP BY ALL")
 def j21_r09_ball_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Points nearer than 3 m to every first-line point, itself included."""
+    """Points nearer than 3 m to every point, itself included."""
     p = d.points(spark, sf)
-    a = p.where("ln = 1").select("frame", "ok", "ln", "pk", "sk", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
+    a = p.select("frame", "ok", "ln", "pk", "sk", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
     near = within_radius(a, p.select("frame", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz")), ["frame"], ["ax", "ay", "az"], ["bx", "by", "bz"], 3.0)
     return near.groupBy("ok", "ln", "pk", "sk").agg(F.count("*").alias("n"))
 
@@ -81,24 +93,56 @@ def j21_r09_ball_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {PT}, {_BALL}, r AS (SELECT *, row_number() OVER (PARTITION BY ok, ln, pk, sk, frame ORDER BY d2, bok, bln, bpk, bsk) AS k FROM j WHERE d2 <= 36)
 SELECT ok, ln, pk, sk, bok, bln, bpk, bsk, CAST(k AS INT) AS k, round(d2, 6) + 0.0 AS d2 FROM r WHERE k <= 3""")
 def j23_three_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """The three nearest points within 6 m of every first-line point; ties by key."""
+    """The three nearest points within 6 m of every point; ties by key."""
     p = d.points(spark, sf)
     key = ["ok", "ln", "pk", "sk"]
-    a = p.where("ln = 1").select("frame", *key, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
+    a = p.select("frame", *key, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
     b = p.select("frame", *[F.col(k).alias("b" + k) for k in key], F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
     near = within_radius(a, b, ["frame"], ["ax", "ay", "az"], ["bx", "by", "bz"], 6.0, closed=True)
     w = Window.partitionBy("frame", *key).orderBy("d2", "bok", "bln", "bpk", "bsk")
     return near.withColumn("k", F.row_number().over(w)).where("k <= 3").select(*key, "bok", "bln", "bpk", "bsk", "k", F.round("d2", 6).alias("d2"))
 
 
-_BOXES = "bx AS (SELECT frame, ok AS bok, ln AS bln, pk AS bpk, sk AS bsk, x AS cx, y AS cy, z AS cz, (ok % 628) / 100.0::DOUBLE AS yaw FROM pt WHERE ln = 2)"
+@query(f"""WITH {PT}, {_BALL}, r AS (SELECT *, row_number() OVER (PARTITION BY ok, ln, pk, sk, frame ORDER BY bok, bln, bpk, bsk) AS k, count(*) OVER (PARTITION BY ok, ln, pk, sk, frame) AS n FROM j WHERE d2 < 9)
+SELECT ok, ln, pk, sk, CAST(s AS INT) AS slot, bok, bln, bpk, bsk FROM r, (SELECT unnest(range(0, 4)) AS s) WHERE k = CASE WHEN s < n THEN s + 1 ELSE 1 END""")
+def j21_ball_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Ball query: of every point the first four points in key order nearer than 3 m, empty slots filled with the first."""
+    p, key = d.points(spark, sf), ["ok", "ln", "pk", "sk"]
+    a = p.select("frame", *key, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
+    b = p.select("frame", *[F.col(k).alias("b" + k) for k in key], F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
+    near = within_radius(a, b, ["frame"], ["ax", "ay", "az"], ["bx", "by", "bz"], 3.0)
+    return neighbour_slots(near, ["frame", *key], ["bok", "bln", "bpk", "bsk"], 4).select(*key, "slot", "bok", "bln", "bpk", "bsk")
+
+
+_VOXELS = "vx AS (SELECT frame, CAST(floor(x / 3) AS BIGINT) AS vx, CAST(floor(y / 3) AS BIGINT) AS vy, CAST(floor(z / 2) AS BIGINT) AS vz, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM pt GROUP BY ALL)"
+
+
+@query(f"""WITH {PT}, {_VOXELS}, j AS (SELECT p.ok, p.ln, p.pk, p.sk, p.frame, v.vx, v.vy, v.vz, power(p.x - cx, 2) + power(p.y - cy, 2) + power(p.z - cz, 2) AS d2,
+v.vz - floor(p.z / 2) AS dz, v.vy - floor(p.y / 3) AS dy, v.vx - floor(p.x / 3) AS dx FROM pt p JOIN vx v ON v.frame = p.frame AND abs(v.vz - floor(p.z / 2)) <= 1 AND abs(v.vy - floor(p.y / 3)) <= 1 AND abs(v.vx - floor(p.x / 3)) <= 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY frame, ok, ln, pk, sk ORDER BY dz, dy, dx) AS k, count(*) OVER (PARTITION BY frame, ok, ln, pk, sk) AS n FROM j WHERE round(d2, 9) <= 9)
+SELECT ok, ln, pk, sk, CAST(s AS INT) AS slot, vx, vy, vz FROM r, (SELECT unnest(range(0, 3)) AS s) WHERE k = CASE WHEN s < n THEN s + 1 ELSE 1 END""")
+def j22_voxel_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Voxel query: of every point the first three voxels around it, in the order of their offsets, whose mean point is at most 3 m away; empty slots take the first."""
+    c, key = F.col, ["ok", "ln", "pk", "sk"]
+    p = d.points(spark, sf)
+    cell = {"z": F.floor(c("z") / 2), "y": F.floor(c("y") / 3), "x": F.floor(c("x") / 3)}
+    voxels = p.groupBy("frame", *[cell[k].alias(f"v{k}") for k in "zyx"]).agg(*[F.avg(k).alias(f"c{k}") for k in "xyz"])
+    near = p.select("frame", *key, "x", "y", "z", *[cell[k].alias(f"o{k}") for k in "zyx"])
+    for k in "zyx":
+        near = near.withColumn(f"d{k}", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn(f"v{k}", c(f"o{k}") + c(f"d{k}"))
+    near = near.join(voxels, ["frame", "vz", "vy", "vx"])
+    d2 = sum((F.pow(c(k) - c(f"c{k}"), F.lit(2)) for k in "yz"), F.pow(c("x") - c("cx"), F.lit(2)))
+    return neighbour_slots(near.where(F.round(d2, 9) <= 9), ["frame", *key], ["dz", "dy", "dx"], 3).select(*key, "slot", "vx", "vy", "vz")
+
+
+_BOXES = "bx AS (SELECT frame, ok AS bok, ln AS bln, pk AS bpk, sk AS bsk, x AS cx, y AS cy, z AS cz, (ok % 628) / 100.0::DOUBLE AS yaw FROM pt)"
 _IN = """i AS (SELECT bx.*, pt.ok, pt.ln, pt.pk, pt.sk, pt.power FROM bx JOIN pt ON pt.frame = bx.frame AND abs(cos(yaw)*(x-cx) + sin(yaw)*(y-cy)) <= 3 AND abs(-sin(yaw)*(x-cx) + cos(yaw)*(y-cy)) <= 2 AND abs(z - cz) <= 2)"""
 
 
 def _inside(spark: SparkSession, sf: str) -> DataFrame:
     p = d.points(spark, sf)
     c = F.col
-    boxes = p.where("ln = 2").select("frame", *[c(k).alias("b" + k) for k in ("ok", "ln", "pk", "sk")], c("x").alias("cx"), c("y").alias("cy"), c("z").alias("cz"), (c("ok") % 628 / 100.0).alias("yaw"))
+    boxes = p.select("frame", *[c(k).alias("b" + k) for k in ("ok", "ln", "pk", "sk")], c("x").alias("cx"), c("y").alias("cy"), c("z").alias("cz"), (c("ok") % 628 / 100.0).alias("yaw"))
     near = within_radius(boxes, p, ["frame"], ["cx", "cy"], ["x", "y"], 4.0, closed=True)
     return near.where(g.in_box(c("x"), c("y"), c("z"), c("cx"), c("cy"), c("cz"), F.lit(6.0), F.lit(4.0), F.lit(4.0), c("yaw")))
 
@@ -110,6 +154,39 @@ def j18_a31_a32_points_in_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return _inside(spark, sf).groupBy("bok", "bln", "bpk", "bsk").agg(F.count("*").alias("n"), F.round(mean, 4).alias("mean_power"), F.max("power").alias("max_power"))
 
 
+_LOCAL = "cos(yaw)*(pt.x-cx) + sin(yaw)*(pt.y-cy) AS u, -sin(yaw)*(pt.x-cx) + cos(yaw)*(pt.y-cy) AS v, pt.z - cz AS t"
+
+
+@query(f"""WITH {PT}, {_BOXES}, {_IN.replace("bx.*,", f"bx.*, {_LOCAL},")}, s AS (SELECT bok, bln, bpk, bsk, power, CAST(least(2, greatest(0, floor(round((u + 3) / 2, 9)))) AS INT) AS su, CAST(least(1, greatest(0, floor(round((v + 2) / 2, 9)))) AS INT) AS sv, CAST(least(1, greatest(0, floor(round((t + 2) / 2, 9)))) AS INT) AS st FROM i)
+SELECT bok, bln, bpk, bsk, su, sv, st, count(*) AS n, max(power) AS max_power, round(CAST(sum(CAST(power AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) + 0.0 AS mean_power FROM s GROUP BY ALL""")
+def a32_sub_voxel_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Region-aware pooling: every box is cut into 3 by 2 by 2 sub-voxels along its own axes; maximum and mean power of each filled one."""
+    c = F.col
+    u, v = g.rotated(c("x") - c("cx"), c("y") - c("cy"), -c("yaw"))
+
+    def part(e, half: float, n: int):  # faces belong to the outer sub-voxels
+        return F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(F.round((e + half) / (2 * half / n), 9)))).cast("int")
+
+    s = _inside(spark, sf).select("bok", "bln", "bpk", "bsk", "power", part(u, 3.0, 3).alias("su"), part(v, 2.0, 2).alias("sv"), part(c("z") - c("cz"), 2.0, 2).alias("st"))
+    mean = F.sum(c("power").cast("decimal(18,2)")).cast("double") / F.count("*")
+    return s.groupBy("bok", "bln", "bpk", "bsk", "su", "sv", "st").agg(F.count("*").alias("n"), F.max("power").alias("max_power"), F.round(mean, 4).alias("mean_power"))
+
+
+@query(f"""WITH {PT}, {_BOXES}, c AS (SELECT *, unnest([-1.5, 1.5])::DOUBLE AS gu FROM bx), g AS (SELECT *, unnest([-1.0, 1.0])::DOUBLE AS gv FROM c),
+k AS (SELECT bok, bln, bpk, bsk, frame, gu, gv, cx + cos(yaw)*gu - sin(yaw)*gv AS kx, cy + sin(yaw)*gu + cos(yaw)*gv AS ky FROM g)
+SELECT bok, bln, bpk, bsk, gu, gv, count(*) AS n, CAST(sum(CAST(power AS DECIMAL(18,2))) AS DOUBLE) AS total, round(avg(x - kx), 6) + 0.0 AS mean_dx FROM k JOIN pt ON pt.frame = k.frame AND round(abs(x - kx), 9) <= 2 AND round(abs(y - ky), 9) <= 2 GROUP BY ALL""")
+def a34_vector_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Vector pooling: of four key points in every box the points of the 4 m local grid cell around each, summed and averaged relative to it."""
+    c, key = F.col, ["bok", "bln", "bpk", "bsk"]
+    p = d.points(spark, sf)
+    k = p.select("frame", *[c(i[1:]).alias(i) for i in key], c("x").alias("cx"), c("y").alias("cy"), (c("ok") % 628 / 100.0).alias("yaw"))
+    k = k.withColumn("gu", F.explode(F.array(F.lit(-1.5), F.lit(1.5)))).withColumn("gv", F.explode(F.array(F.lit(-1.0), F.lit(1.0))))
+    du, dv = g.rotated(c("gu"), c("gv"), c("yaw"))
+    near = within_radius(k.withColumn("kx", c("cx") + du).withColumn("ky", c("cy") + dv), p.select("frame", "x", "y", "power"), ["frame"], ["kx", "ky"], ["x", "y"], 3.0, closed=True)
+    near = near.where((F.round(F.abs(c("x") - c("kx")), 9) <= 2) & (F.round(F.abs(c("y") - c("ky")), 9) <= 2))
+    return near.groupBy(*key, "gu", "gv").agg(F.count("*").alias("n"), F.sum(c("power").cast("decimal(18,2)")).cast("double").alias("total"), F.round(F.avg(c("x") - c("kx")), 6).alias("mean_dx"))
+
+
 @query(f"WITH {PT}, {_BOXES}, {_IN} SELECT pt.frame, count(*) AS n FROM pt WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.ok = pt.ok AND i.ln = pt.ln AND i.pk = pt.pk AND i.sk = pt.sk AND i.power = pt.power) GROUP BY ALL")
 def j19_points_outside_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Points in no box, per frame."""
@@ -118,11 +195,11 @@ def j19_points_outside_boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {PT}, {_BOXES}, {_IN}, r AS (SELECT *, row_number() OVER (PARTITION BY frame, bok, bln, bpk, bsk ORDER BY ok, ln, pk, sk, power) AS k, count(*) OVER (PARTITION BY frame, bok, bln, bpk, bsk) AS n FROM i)
-SELECT bok, bln, bpk, bsk, CAST(s AS INT) AS slot, ok, ln, pk, sk FROM r, (SELECT unnest(range(0, 4)) AS s) WHERE k <= 4 AND s % least(n, 4) = k - 1""")
+SELECT bok, bln, bpk, bsk, CAST(s AS INT) AS slot, ok, ln, pk, sk FROM r, (SELECT unnest(range(0, 8)) AS s) WHERE k <= 8 AND s % least(n, 8) = k - 1""")
 def a33_box_point_pool(spark: SparkSession, sf: str) -> DataFrame:
-    """The first four points of every box in key order, repeated cyclically to four slots."""
+    """The first eight points of every box in key order, repeated cyclically to eight slots."""
     b = ["frame", "bok", "bln", "bpk", "bsk"]
     w = Window.partitionBy(*b)
-    r = _inside(spark, sf).withColumn("k", F.row_number().over(w.orderBy("ok", "ln", "pk", "sk", "power"))).withColumn("n", F.count("*").over(w)).where("k <= 4")
-    slots = r.withColumn("slot", F.explode(F.array(*[F.lit(i) for i in range(4)]))).where("slot % least(n, 4) = k - 1")
+    r = _inside(spark, sf).withColumn("k", F.row_number().over(w.orderBy("ok", "ln", "pk", "sk", "power"))).withColumn("n", F.count("*").over(w)).where("k <= 8")
+    slots = r.withColumn("slot", F.explode(F.array(*[F.lit(i) for i in range(8)]))).where("slot % least(n, 8) = k - 1")
     return slots.select("bok", "bln", "bpk", "bsk", "slot", "ok", "ln", "pk", "sk")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,16 +63,17 @@ def a27_a34_voxel_features(spark: SparkSession, sf: str) -> DataFrame:
     return d.points(spark, sf).groupBy("frame", *vox).agg(F.count("*").alias("n"), *[_r(F.avg(a)).alias(f"m{b}") for a, b in (("x", "x"), ("y", "y"), ("z", "z"), ("doppler", "d"))])
 
 
-@query(f"""WITH {PT}, a AS (SELECT * FROM pt WHERE ln = 1), j AS (SELECT a.ok, a.ln, a.pk, a.sk, a.frame, b.power, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2, b.ok AS bok, b.ln AS bln, b.pk AS bpk, b.sk AS bsk
-FROM a JOIN pt b ON b.frame = a.frame AND b.ln <> 1), r AS (SELECT *, row_number() OVER (PARTITION BY frame, ok, ln, pk, sk ORDER BY d2, bok, bln, bpk, bsk) AS k FROM j WHERE d2 <= 64)
+@query(f"""WITH {PT}, a AS (SELECT * FROM pt), j AS (SELECT a.ok, a.ln, a.pk, a.sk, a.frame, b.power, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2, b.ok AS bok, b.ln AS bln, b.pk AS bpk, b.sk AS bsk
+FROM a JOIN pt b ON b.frame = a.frame AND NOT (a.ok = b.ok AND a.ln = b.ln AND a.pk = b.pk AND a.sk = b.sk)), r AS (SELECT *, row_number() OVER (PARTITION BY frame, ok, ln, pk, sk ORDER BY d2, bok, bln, bpk, bsk) AS k FROM j WHERE d2 <= 64)
 SELECT ok, ln, pk, sk, round(sum(power / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8)), 2) AS power FROM r WHERE k <= 3 GROUP BY frame, ok, ln, pk, sk""")
 def a35_inverse_distance(spark: SparkSession, sf: str) -> DataFrame:
-    """Power interpolated at every first-line point from the three nearest other points within 8 m, weighted by inverse distance."""
+    """Power interpolated at every point from the three nearest other points within 8 m, weighted by inverse distance."""
     key, c = ["ok", "ln", "pk", "sk"], F.col
     p = d.points(spark, sf)
-    a = p.where("ln = 1").select("frame", *key, *[c(k).alias("a" + k) for k in "xyz"])
-    b = p.where("ln <> 1").select("frame", "power", *[c(k).alias("b" + k) for k in [*key, "x", "y", "z"]])
+    a = p.select("frame", *key, *[c(k).alias("a" + k) for k in "xyz"])
+    b = p.select("frame", "power", *[c(k).alias("b" + k) for k in [*key, "x", "y", "z"]])
     near = within_radius(a, b, ["frame"], ["ax", "ay", "az"], ["bx", "by", "bz"], 8.0, closed=True)
+    near = near.where(~reduce(lambda p, q: p & q, [c(k) == c("b" + k) for k in key]))
     w = Window.partitionBy("frame", *key).orderBy("d2", "bok", "bln", "bpk", "bsk")
     inv = 1 / (F.sqrt("d2") + 1e-8)
     return near.withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("frame", *key).agg(F.round(F.sum(c("power") * inv) / F.sum(inv), 2).alias("power")).drop("frame")

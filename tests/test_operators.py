@@ -78,7 +78,7 @@ def test_rotated_overlap_goldens():
     a, b = np.array([[0, 0, 2, 2, 0.0]]), np.array([[2, 0, 2, 2, 0.0]])
     assert kernels.paired_iou(a, b)[0] == pytest.approx(0.0, abs=1e-9)
     assert kernels.paired_iou(a, np.array([[1, 0, 2, 2, 0.0]]))[0] == pytest.approx(1 / 3)
-    assert kernels.paired_iou(a, np.array([[0, 0, 2, 2, np.pi / 4]]), 2)[0] == pytest.approx(8 * (np.sqrt(2) - 1))
+    assert kernels.paired_iou(a, np.array([[0, 0, 2, 2, np.pi / 4]]), "area")[0] == pytest.approx(8 * (np.sqrt(2) - 1))
     far = np.array([[1e5, 1e5, 3, 2, 1.0]])
     assert kernels.paired_iou(far, far)[0] == pytest.approx(1.0, abs=1e-4)
 
