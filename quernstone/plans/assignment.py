@@ -20,100 +20,113 @@ def _r(c, n: int = 6):
     return F.round(c, n)
 
 
-# --- anchors: a grid of boxes 4.5 by 1.9 m every 2 m, enumerated only around the labels they can touch
+# --- anchors: a grid of boxes of several sizes every 2 m, enumerated around the labels they can touch
 
-_STEP, _AL_, _AW_ = 2.0, 4.5, 1.9
-_ANCHOR_SQL = f"""a AS (SELECT gt_id, seq, frame, CAST(unnest(range(CAST(floor(loc_x / {_STEP}) AS BIGINT) - 2, CAST(floor(loc_x / {_STEP}) AS BIGINT) + 3)) AS BIGINT) AS ix, loc_x, loc_z, l, w FROM gt WHERE seq IS NOT NULL AND frame IS NOT NULL),
-b AS (SELECT *, CAST(unnest(range(CAST(floor(loc_z / {_STEP}) AS BIGINT) - 2, CAST(floor(loc_z / {_STEP}) AS BIGINT) + 3)) AS BIGINT) AS iz FROM a),
+_STEP = 2.0
+_SIZES = ((4.5, 1.9), (8.0, 2.5), (0.8, 0.8))  # length, width
+_AL_, _AW_ = _SIZES[0]
+
+
+def _anchor_sql(x0: str, x1: str, z0: str, z1: str, kinds: str) -> str:
+    return f"""a AS (SELECT gt_id, seq, frame, loc_x, loc_z, l, w, kind, al, aw FROM gt, {kinds} WHERE seq IS NOT NULL AND frame IS NOT NULL AND isfinite(loc_x) AND isfinite(loc_z) AND isfinite(l) AND isfinite(w)),
+b0 AS (SELECT *, CAST(unnest(range(CAST({x0} AS BIGINT), CAST({x1} AS BIGINT) + 1)) AS BIGINT) AS ix FROM a),
+b AS (SELECT *, CAST(unnest(range(CAST({z0} AS BIGINT), CAST({z1} AS BIGINT) + 1)) AS BIGINT) AS iz FROM b0),
 c AS (SELECT *, (ix + 0.5) * {_STEP} AS cx, (iz + 0.5) * {_STEP} AS cz FROM b),
-i AS (SELECT *, greatest(least(loc_x + w/2, cx + {_AW_}/2) - greatest(loc_x - w/2, cx - {_AW_}/2), 0) * greatest(least(loc_z + l/2, cz + {_AL_}/2) - greatest(loc_z - l/2, cz - {_AL_}/2), 0) AS common FROM c),
-p AS (SELECT gt_id, seq, frame, ix, iz, cx, cz, loc_x, loc_z, l, w, round(common / (l*w + {_AL_}*{_AW_} - common), 9) AS iou, round((cx-loc_x)*(cx-loc_x) + (cz-loc_z)*(cz-loc_z), 9) AS d2 FROM i)"""
+i AS (SELECT *, greatest(least(loc_x + w/2, cx + aw/2) - greatest(loc_x - w/2, cx - aw/2), 0) * greatest(least(loc_z + l/2, cz + al/2) - greatest(loc_z - l/2, cz - al/2), 0) AS common FROM c),
+p AS (SELECT gt_id, seq, frame, kind, ix, iz, cx, cz, loc_x, loc_z, l, w, round(common / (l*w + al*aw - common), 9) AS iou, round((cx-loc_x)*(cx-loc_x) + (cz-loc_z)*(cz-loc_z), 9) AS d2 FROM i)"""
+
+
+_KINDS = "(VALUES " + ", ".join(f"({i}, {al}, {aw})" for i, (al, aw) in enumerate(_SIZES)) + ") k(kind, al, aw)"
+_TOUCH_SQL = _anchor_sql(*[f"floor(({v} {sign} {size}/2 {sign} {a}/2) / {_STEP}{off})" for v, size, a in (("loc_x", "w", "aw"), ("loc_z", "l", "al")) for sign, off in (("-", " - 0.5"), ("+", ""))], _KINDS)
+_NEAR_SQL = _anchor_sql(*[f"floor({v} / {_STEP}) {off}" for v in ("loc_x", "loc_z") for off in ("- 2", "+ 2")], f"(VALUES (0, {_AL_}, {_AW_})) k(kind, al, aw)")
 
 
-def _anchor_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels with the 5 by 5 grid anchors around them, their unrotated BEV overlap and squared distance."""
+def _anchor_pairs(spark: SparkSession, sf: str, touching: bool) -> DataFrame:
+    """Labels with grid anchors, their unrotated BEV overlap and squared distance.
+
+    ``touching``: all anchors of every size that a label's own extent can touch; otherwise the 5 by 5 anchors of the first
+    size around its centre, among which its nine nearest always are.
+    """
     c = F.col
-    gt = d.gt(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL").select("gt_id", "seq", "frame", "loc_x", "loc_z", "l", "w")
-    for i, v in (("ix", "loc_x"), ("iz", "loc_z")):
-        at = F.floor(c(v) / _STEP)
-        gt = gt.withColumn(i, F.explode(F.sequence(at - 2, at + 2)))
+    finite = [F.abs(c(k)) < F.lit(float("inf")) for k in ("loc_x", "loc_z", "l", "w")]
+    gt = d.gt(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL").where(finite[0] & finite[1] & finite[2] & finite[3])
+    kinds = _SIZES if touching else _SIZES[:1]
+    gt = gt.select("gt_id", "seq", "frame", "loc_x", "loc_z", "l", "w", F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(al).alias("al"), F.lit(aw).alias("aw")) for i, (al, aw) in enumerate(kinds)])).alias("k"))
+    gt = gt.select("gt_id", "seq", "frame", "loc_x", "loc_z", "l", "w", "k.*")
+    for i, v, size, a in (("ix", "loc_x", "w", "aw"), ("iz", "loc_z", "l", "al")):
+        if touching:
+            half = c(size) / 2 + c(a) / 2
+            span = F.sequence(F.floor((c(v) - half) / _STEP - 0.5), F.floor((c(v) + half) / _STEP))
+        else:
+            span = F.sequence(F.floor(c(v) / _STEP) - 2, F.floor(c(v) / _STEP) + 2)
+        gt = gt.withColumn(i, F.explode(span))
     p = gt.withColumn("cx", (c("ix") + 0.5) * _STEP).withColumn("cz", (c("iz") + 0.5) * _STEP)
-    common = g.overlap(c("loc_x") - c("w") / 2, c("loc_x") + c("w") / 2, c("cx") - _AW_ / 2, c("cx") + _AW_ / 2) * g.overlap(
-        c("loc_z") - c("l") / 2, c("loc_z") + c("l") / 2, c("cz") - _AL_ / 2, c("cz") + _AL_ / 2
+    common = g.overlap(c("loc_x") - c("w") / 2, c("loc_x") + c("w") / 2, c("cx") - c("aw") / 2, c("cx") + c("aw") / 2) * g.overlap(
+        c("loc_z") - c("l") / 2, c("loc_z") + c("l") / 2, c("cz") - c("al") / 2, c("cz") + c("al") / 2
     )
     d2 = (c("cx") - c("loc_x")) * (c("cx") - c("loc_x")) + (c("cz") - c("loc_z")) * (c("cz") - c("loc_z"))
-    return p.withColumn("iou", _r(g.iou(common, c("l") * c("w"), F.lit(_AL_ * _AW_)), 9)).withColumn("d2", _r(d2, 9))
+    return p.withColumn("iou", _r(g.iou(common, c("l") * c("w"), c("al") * c("aw")), 9)).withColumn("d2", _r(d2, 9))
 
 
-@query(f"""WITH {GT}, {_ANCHOR_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY seq, frame, ix, iz ORDER BY iou DESC, gt_id) AS ka, row_number() OVER (PARTITION BY gt_id ORDER BY iou DESC, ix, iz) AS kg FROM p WHERE iou > 0)
-SELECT seq, frame, ix, iz, CASE WHEN count(*) FILTER (kg = 1) > 0 THEN min(gt_id) FILTER (kg = 1) ELSE max(gt_id) FILTER (ka = 1) END AS gt_id,
+@query(f"""WITH {GT}, {_TOUCH_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY seq, frame, kind, ix, iz ORDER BY iou DESC, gt_id) AS ka, row_number() OVER (PARTITION BY gt_id ORDER BY iou DESC, kind, ix, iz) AS kg FROM p WHERE iou > 0)
+SELECT seq, frame, CAST(kind AS INT) AS kind, ix, iz, CASE WHEN count(*) FILTER (kg = 1) > 0 THEN min(gt_id) FILTER (kg = 1) ELSE max(gt_id) FILTER (ka = 1) END AS gt_id,
 CASE WHEN count(*) FILTER (kg = 1) > 0 OR max(iou) >= 0.6 THEN 1 WHEN max(iou) < 0.45 THEN 0 ELSE -1 END AS label FROM m GROUP BY ALL""")
 def j25_g18_anchor_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """Anchors that touch a label: positive from 0.6 overlap or as a label's best, negative below 0.45, else ignored."""
-    m = _anchor_pairs(spark, sf).where("iou > 0")
-    m = m.withColumn("ka", F.row_number().over(Window.partitionBy("seq", "frame", "ix", "iz").orderBy(F.desc("iou"), "gt_id")))
-    m = m.withColumn("kg", F.row_number().over(Window.partitionBy("gt_id").orderBy(F.desc("iou"), "ix", "iz")))
+    m = _anchor_pairs(spark, sf, touching=True).where("iou > 0")
+    m = m.withColumn("ka", F.row_number().over(Window.partitionBy("seq", "frame", "kind", "ix", "iz").orderBy(F.desc("iou"), "gt_id")))
+    m = m.withColumn("kg", F.row_number().over(Window.partitionBy("gt_id").orderBy(F.desc("iou"), "kind", "ix", "iz")))
     forced = F.min(F.when(F.col("kg") == 1, F.col("gt_id")))
-    return m.groupBy("seq", "frame", "ix", "iz").agg(
+    return m.groupBy("seq", "frame", "kind", "ix", "iz").agg(
         F.coalesce(forced, F.max(F.when(F.col("ka") == 1, F.col("gt_id")))).alias("gt_id"),
         F.when(forced.isNotNull() | (F.max("iou") >= 0.6), 1).when(F.max("iou") < 0.45, 0).otherwise(-1).alias("label"),
     )
 
 
-@query(f"""WITH {GT}, {_ANCHOR_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY d2, ix, iz) AS k FROM p),
+@query(f"""WITH {GT}, {_NEAR_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY d2, ix, iz) AS k FROM p),
 t AS (SELECT gt_id, round(avg(iou) + stddev_samp(iou), 9) AS thr FROM k WHERE k <= 9 GROUP BY gt_id)
 SELECT k.gt_id, count(*) AS candidates, count(*) FILTER (iou >= thr AND abs(cx - loc_x) <= w/2 AND abs(cz - loc_z) <= l/2) AS positives, round(max(thr), 6) + 0.0 AS thr FROM k JOIN t ON t.gt_id = k.gt_id WHERE k <= 9 GROUP BY k.gt_id""")
 def j26_adaptive_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """Adaptive anchor selection: of a label's nine nearest anchors those above mean + deviation whose centre it holds."""
     c = F.col
     w = Window.partitionBy("gt_id").orderBy("d2", "ix", "iz")
-    k = _anchor_pairs(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 9")
+    k = _anchor_pairs(spark, sf, touching=False).withColumn("k", F.row_number().over(w)).where("k <= 9")
     thr = k.groupBy("gt_id").agg(_r(F.avg("iou") + F.stddev_samp("iou"), 9).alias("thr"))
     good = (c("iou") >= c("thr")) & (F.abs(c("cx") - c("loc_x")) <= c("w") / 2) & (F.abs(c("cz") - c("loc_z")) <= c("l") / 2)
     return k.join(thr, "gt_id").groupBy("gt_id").agg(F.count("*").alias("candidates"), F.count_if(good).alias("positives"), _r(F.max("thr")).alias("thr"))
 
 
-_ROI = f"""a AS ({_AL.format(id='pred_id', extra='cls,', tab="(SELECT * FROM pr WHERE cond = 'original')")}), b AS ({_AL.format(id='gt_id', extra='cls,', tab='gt')}),
-j AS (SELECT pred_id, gt_id, greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.z1,b.z1)-greatest(a.z0,b.z0),0)*greatest(least(a.y1,b.y1)-greatest(a.y0,b.y0),0) AS i,
+_ROI = f"""a AS ({_AL.format(id='pred_id', extra='cls, cond,', tab='pr')}), b AS ({_AL.format(id='gt_id', extra='cls,', tab='gt')}),
+j AS (SELECT pred_id, gt_id, cond, greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.z1,b.z1)-greatest(a.z0,b.z0),0)*greatest(least(a.y1,b.y1)-greatest(a.y0,b.y0),0) AS i,
  (a.x1-a.x0)*(a.z1-a.z0)*(a.y1-a.y0) AS va, (b.x1-b.x0)*(b.z1-b.z0)*(b.y1-b.y0) AS vb FROM a JOIN b ON a.seq = b.seq AND a.frame = b.frame AND a.cls = b.cls AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.z0 <= b.z1 AND b.z0 <= a.z1),
-k AS (SELECT pred_id, gt_id, round(i/(va+vb-i), 6) AS iou FROM j)"""
+k AS (SELECT pred_id, gt_id, cond, round(i/(va+vb-i), 6) AS iou FROM j)"""
 
 
 def _roi_pairs(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["seq", "frame", "cls"]
-    a = _aligned(d.preds(spark, sf).where("cond = 'original'"), "a", "pred_id", keys)
+    a = _aligned(d.preds(spark, sf), "a", "pred_id", keys, ["cond"])
     b = _aligned(d.gt(spark, sf), "b", "gt_id", keys)
     return overlapping_pairs(a, b, keys, ["ax0", "ax1", "az0", "az1"], ["bx0", "bx1", "bz0", "bz1"], 8.0).withColumn("iou", _r(aligned_iou("a", "b")))
 
 
 @query(f"""WITH {GT}, {PR}, {_ROI}, r AS (SELECT *, row_number() OVER (PARTITION BY pred_id ORDER BY iou DESC, gt_id) AS n FROM k WHERE iou > 0)
-SELECT p.pred_id, r.gt_id, coalesce(r.iou, 0) AS iou, CASE WHEN r.iou >= 0.55 THEN 'foreground' WHEN r.iou >= 0.1 THEN 'hard' ELSE 'easy' END AS kind FROM pr p LEFT JOIN r ON r.pred_id = p.pred_id AND n = 1 WHERE p.cond = 'original'""")
+SELECT p.pred_id, r.gt_id, coalesce(r.iou, 0) AS iou, CASE WHEN r.iou >= 0.55 THEN 'foreground' WHEN r.iou >= 0.1 THEN 'hard' ELSE 'easy' END AS kind FROM pr p LEFT JOIN r ON r.pred_id = p.pred_id AND n = 1""")
 def j28_t19_region_targets(spark: SparkSession, sf: str) -> DataFrame:
-    """Clean detections with the label of their class they overlap most, and whether that makes them foreground."""
+    """Detections with the label of their class they overlap most, and whether that makes them foreground."""
     best = _roi_pairs(spark, sf).where("iou > 0").groupBy("pred_id").agg(F.min(F.struct((-F.col("iou")).alias("n"), "gt_id")).alias("m"))
-    all_ = d.preds(spark, sf).where("cond = 'original'").select("pred_id").join(best, "pred_id", "left")
+    all_ = d.preds(spark, sf).select("pred_id").join(best, "pred_id", "left")
     iou = F.coalesce(-F.col("m.n"), F.lit(0.0))
     return all_.select("pred_id", "m.gt_id", iou.alias("iou"), F.when(iou >= 0.55, "foreground").when(iou >= 0.1, "hard").otherwise("easy").alias("kind"))
 
 
-@query(f"""WITH {GT}, {PR}, {_ROI}, m AS (SELECT gt_id, max(iou) AS iou FROM k GROUP BY gt_id)
-SELECT t AS threshold, (SELECT count(*) FROM gt) AS labels, count(*) FILTER (iou > t) AS recalled FROM m, (SELECT unnest([0.1, 0.3, 0.5, 0.7])::DOUBLE AS t) GROUP BY ALL""")
+@query(f"""WITH {GT}, {PR}, {_ROI}, m AS (SELECT gt_id, cond, max(iou) AS iou FROM k WHERE cond IS NOT NULL GROUP BY ALL)
+SELECT cond, t AS threshold, (SELECT count(*) FROM gt) AS labels, count(*) FILTER (iou > t) AS recalled FROM m, (SELECT unnest([0.1, 0.3, 0.5, 0.7])::DOUBLE AS t) GROUP BY ALL""")
 def a20_recall_by_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels recalled by clean detections of their class above each overlap threshold."""
-    best = _roi_pairs(spark, sf).groupBy("gt_id").agg(F.max("iou").alias("iou"))
+    """Labels recalled under every condition by detections of their class above each overlap threshold."""
+    best = _roi_pairs(spark, sf).where("cond IS NOT NULL").groupBy("gt_id", "cond").agg(F.max("iou").alias("iou"))
     t = F.explode(F.array(*[F.lit(v) for v in (0.1, 0.3, 0.5, 0.7)]))
-    hits = best.withColumn("threshold", t).groupBy("threshold").agg(F.count_if(F.col("iou") > F.col("threshold")).alias("recalled"))
-    return hits.select("threshold", d.gt(spark, sf).agg(F.count("*")).scalar().alias("labels"), "recalled")
-
-
-@query(f"""WITH {GT}, {PR}, {_ROI}, n AS (SELECT CAST(t AS DOUBLE) AS t, (SELECT count(*) FROM k WHERE iou > t) / (SELECT count(*) FROM gt) AS share FROM (SELECT unnest(range(50, 100, 5)) / 100 AS t))
-SELECT round(avg(share), 6) + 0.0 AS mean_share FROM n""")
-def a13_mean_over_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs per label averaged over ten overlap levels from 0.5 to 0.95."""
-    levels = F.array(*[F.lit(v / 100) for v in range(50, 100, 5)])
-    per_pair = F.size(F.filter(levels, lambda t: F.col("iou") > t))
-    hits = _roi_pairs(spark, sf).agg(F.coalesce(F.sum(per_pair), F.lit(0)).alias("hits"))
-    return hits.select(_r(F.try_divide(F.col("hits") / 10, d.gt(spark, sf).agg(F.count("*")).scalar())).alias("mean_share"))
+    hits = best.withColumn("threshold", t).groupBy("cond", "threshold").agg(F.count_if(F.col("iou") > F.col("threshold")).alias("recalled"))
+    return hits.select("cond", "threshold", d.gt(spark, sf).agg(F.count("*")).scalar().alias("labels"), "recalled")
 
 
 @query(f"""WITH {GT}, {PR}, {_ROI}, e AS (SELECT j.*, va + vb - i AS u FROM j), f AS (SELECT a.pred_id, b.gt_id, (greatest(a.x1,b.x1)-least(a.x0,b.x0))*(greatest(a.z1,b.z1)-least(a.z0,b.z0))*(greatest(a.y1,b.y1)-least(a.y0,b.y0)) AS hull,
@@ -203,11 +216,11 @@ def a19_condition_summary(spark: SparkSession, sf: str) -> DataFrame:
     return k.join(top, "cond").select("cond", "n", "mean_score", (F.col("n") - base).alias("delta"), "top_class")
 
 
-@query(f"""WITH {GT}, {PR} SELECT 'gt' AS kind, seq, frame, cls, gt_id AS id, NULL::DOUBLE AS score FROM gt UNION ALL BY NAME SELECT 'pred' AS kind, seq, frame, cls, pred_id AS id, score FROM pr WHERE cond = 'original'""")
+@query(f"""WITH {GT}, {PR} SELECT 'gt' AS kind, seq, frame, NULL::VARCHAR AS cond, cls, gt_id AS id, NULL::DOUBLE AS score FROM gt UNION ALL BY NAME SELECT 'pred' AS kind, seq, frame, cond, cls, pred_id AS id, score FROM pr""")
 def u01_u02_fact_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels and clean detections in one table; columns that one side lacks are null."""
+    """Labels and detections in one table; columns that one side lacks are null."""
     a = d.gt(spark, sf).select(F.lit("gt").alias("kind"), "seq", "frame", "cls", F.col("gt_id").alias("id"))
-    b = d.preds(spark, sf).where("cond = 'original'").select(F.lit("pred").alias("kind"), "seq", "frame", "cls", F.col("pred_id").alias("id"), "score")
+    b = d.preds(spark, sf).select(F.lit("pred").alias("kind"), "seq", "frame", "cond", "cls", F.col("pred_id").alias("id"), "score")
     return a.unionByName(b, allowMissingColumns=True)
 
 

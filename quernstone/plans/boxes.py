@@ -301,13 +301,13 @@ def x04_distance_bins(spark: SparkSession, sf: str) -> DataFrame:
     return d.gt(spark, sf).where("cls IS NOT NULL").groupBy(b.alias("bin"), "cls").agg(F.count("*").alias("n"))
 
 
-def _aligned(df: DataFrame, p: str, ident: str, keys: list[str]) -> DataFrame:
+def _aligned(df: DataFrame, p: str, ident: str, keys: list[str], extra: list[str] = ()) -> DataFrame:
     """Axis-aligned BEV rectangle and height interval of a box under prefixed names."""
     c = F.col
     turn = F.abs(F.abs(g.wrapped(c("rot_y"), math.pi)) - math.pi / 2) < math.pi / 4
     dx, dz = F.when(turn, c("w")).otherwise(c("l")), F.when(turn, c("l")).otherwise(c("w"))
     return df.select(
-        *keys, c(ident), (c("loc_x") - dx / 2).alias(f"{p}x0"), (c("loc_x") + dx / 2).alias(f"{p}x1"), (c("loc_z") - dz / 2).alias(f"{p}z0"),
+        *keys, c(ident), *extra, (c("loc_x") - dx / 2).alias(f"{p}x0"), (c("loc_x") + dx / 2).alias(f"{p}x1"), (c("loc_z") - dz / 2).alias(f"{p}z0"),
         (c("loc_z") + dz / 2).alias(f"{p}z1"), (c("loc_y") - c("h") / 2).alias(f"{p}y0"), (c("loc_y") + c("h") / 2).alias(f"{p}y1"),
     )
 
@@ -329,21 +329,24 @@ _AL = """SELECT {id}, seq, frame, {extra} loc_x - dx/2 AS x0, loc_x + dx/2 AS x1
 FROM (SELECT *, CASE WHEN t THEN w ELSE l END AS dx, CASE WHEN t THEN l ELSE w END AS dz FROM (SELECT *, abs(abs(rot_y - floor(rot_y/pi() + 0.5)*pi()) - pi()/2) < pi()/4 AS t FROM {tab}))"""
 
 
-@query(f"""WITH {GT}, {PR}, a AS ({_AL.format(id='gt_id', extra='', tab='gt')}), b AS ({_AL.format(id='pred_id', extra='cond,', tab="(SELECT * FROM pr WHERE cond = 'original')")}),
-j AS (SELECT gt_id, pred_id, greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.z1,b.z1)-greatest(a.z0,b.z0),0)*greatest(least(a.y1,b.y1)-greatest(a.y0,b.y0),0) AS i,
+@query(f"""WITH {GT}, {PR}, a AS ({_AL.format(id='gt_id', extra='', tab='gt')}), b AS ({_AL.format(id='pred_id', extra='cond,', tab="(SELECT * FROM pr WHERE cond IS NOT NULL)")}),
+seen AS (SELECT DISTINCT seq, frame, cond FROM b WHERE seq IS NOT NULL AND frame IS NOT NULL),
+j AS (SELECT gt_id, pred_id, cond, greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.z1,b.z1)-greatest(a.z0,b.z0),0)*greatest(least(a.y1,b.y1)-greatest(a.y0,b.y0),0) AS i,
  (a.x1-a.x0)*(a.z1-a.z0)*(a.y1-a.y0) AS va, (b.x1-b.x0)*(b.z1-b.z0)*(b.y1-b.y0) AS vb FROM a JOIN b ON a.seq = b.seq AND a.frame = b.frame AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.z0 <= b.z1 AND b.z0 <= a.z1),
-k AS (SELECT gt_id, pred_id, round(i/(va+vb-i), 6) + 0.0 AS iou FROM j WHERE i/(va+vb-i) > 0.01),
-r AS (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY iou DESC, pred_id) AS n FROM k)
-SELECT gt.gt_id, r.pred_id, r.iou FROM gt LEFT JOIN r ON r.gt_id = gt.gt_id AND n = 1""")
+k AS (SELECT gt_id, pred_id, cond, round(i/(va+vb-i), 6) + 0.0 AS iou FROM j WHERE i/(va+vb-i) > 0.01),
+r AS (SELECT *, row_number() OVER (PARTITION BY gt_id, cond ORDER BY iou DESC, pred_id) AS n FROM k)
+SELECT gt.gt_id, seen.cond, r.pred_id, r.iou FROM gt JOIN seen ON seen.seq = gt.seq AND seen.frame = gt.frame LEFT JOIN r ON r.gt_id = gt.gt_id AND r.cond = seen.cond AND n = 1""")
 def j17_g06_best_aligned(spark: SparkSession, sf: str) -> DataFrame:
-    """For every label the clean detection of the highest axis-aligned 3D overlap above 0.01, or none."""
+    """For every label and condition seen in its frame the detection of the highest axis-aligned 3D overlap above 0.01, or none."""
     keys = ["seq", "frame"]
+    preds = d.preds(spark, sf).where("cond IS NOT NULL")
     a = _aligned(d.gt(spark, sf), "a", "gt_id", keys)
-    b = _aligned(d.preds(spark, sf).where("cond = 'original'"), "b", "pred_id", keys)
+    b = _aligned(preds, "b", "pred_id", keys, ["cond"])
     near = overlapping_pairs(a, b, keys, ["ax0", "ax1", "az0", "az1"], ["bx0", "bx1", "bz0", "bz1"], cell=8.0)
     near = near.withColumn("_iou", aligned_iou("a", "b")).where("_iou > 0.01").withColumn("iou", _r("_iou"))
-    best = near.groupBy("gt_id").agg(F.min(F.struct((-F.col("iou")).alias("n"), "pred_id")).alias("m")).select("gt_id", F.col("m.pred_id"), (-F.col("m.n")).alias("iou"))
-    return a.select("gt_id").join(best, "gt_id", "left")
+    best = near.groupBy("gt_id", "cond").agg(F.min(F.struct((-F.col("iou")).alias("n"), "pred_id")).alias("m")).select("gt_id", "cond", F.col("m.pred_id"), (-F.col("m.n")).alias("iou"))
+    seen = preds.where("seq IS NOT NULL AND frame IS NOT NULL").select(*keys, "cond").distinct()
+    return a.select("gt_id", *keys).join(seen, keys).select("gt_id", "cond").join(best, ["gt_id", "cond"], "left")
 
 
 @query(f"WITH {GT} SELECT gt_id, seq, frame, CAST(row_number() OVER (PARTITION BY seq, frame ORDER BY line_idx, gt_id) - 1 AS INT) AS idx FROM gt WHERE seq IS NOT NULL AND frame IS NOT NULL")
@@ -370,16 +373,18 @@ def t01_densest_frames(spark: SparkSession, sf: str) -> DataFrame:
     return n.withColumn("k", F.row_number().over(w)).where("k <= 5").drop("k")
 
 
-@query(f"""WITH {GT}, {PR}, a AS (SELECT seq, frame, cls, count(*) AS gts FROM gt WHERE cls IS NOT NULL AND seq IS NOT NULL AND frame IS NOT NULL GROUP BY ALL),
-b AS (SELECT seq, frame, cls, count(*) AS preds FROM pr WHERE cond = 'original' AND cls IS NOT NULL AND seq IS NOT NULL AND frame IS NOT NULL GROUP BY ALL)
-SELECT coalesce(a.seq, b.seq) AS seq, coalesce(a.frame, b.frame) AS frame, coalesce(a.cls, b.cls) AS cls, coalesce(gts, 0) AS gts, coalesce(preds, 0) AS preds FROM a FULL JOIN b ON a.seq = b.seq AND a.frame = b.frame AND a.cls = b.cls
-WHERE coalesce(gts, 0) <> coalesce(preds, 0)""")
+@query(f"""WITH {GT}, {PR}, seen AS (SELECT DISTINCT seq, frame, cond FROM pr WHERE cond IS NOT NULL AND seq IS NOT NULL AND frame IS NOT NULL),
+a AS (SELECT gt.seq, gt.frame, cond, cls, count(*) AS gts FROM gt JOIN seen ON seen.seq = gt.seq AND seen.frame = gt.frame WHERE cls IS NOT NULL GROUP BY ALL),
+b AS (SELECT seq, frame, cond, cls, count(*) AS preds FROM pr WHERE cond IS NOT NULL AND cls IS NOT NULL AND seq IS NOT NULL AND frame IS NOT NULL GROUP BY ALL)
+SELECT coalesce(a.seq, b.seq) AS seq, coalesce(a.frame, b.frame) AS frame, coalesce(a.cond, b.cond) AS cond, coalesce(a.cls, b.cls) AS cls, coalesce(gts, 0) AS gts, coalesce(preds, 0) AS preds
+FROM a FULL JOIN b ON a.seq = b.seq AND a.frame = b.frame AND a.cls = b.cls AND a.cond = b.cond WHERE coalesce(gts, 0) <> coalesce(preds, 0)""")
 def u07_line_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames and classes where labels and clean detections differ in number."""
-    keys = ["seq", "frame", "cls"]
-    known = "cls IS NOT NULL AND seq IS NOT NULL AND frame IS NOT NULL"
-    a = d.gt(spark, sf).where(known).groupBy(*keys).agg(F.count("*").alias("gts"))
-    b = d.preds(spark, sf).where(known).where("cond = 'original'").groupBy(*keys).agg(F.count("*").alias("preds"))
+    """Frames, conditions and classes where labels and detections differ in number."""
+    keys = ["seq", "frame", "cond", "cls"]
+    p = d.preds(spark, sf).where("cond IS NOT NULL AND seq IS NOT NULL AND frame IS NOT NULL")
+    seen = p.select("seq", "frame", "cond").distinct()
+    a = d.gt(spark, sf).where("cls IS NOT NULL").join(seen, ["seq", "frame"]).groupBy(*keys).agg(F.count("*").alias("gts"))
+    b = p.where("cls IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("preds"))
     return a.join(b, keys, "full").na.fill(0, ["gts", "preds"]).where("gts <> preds")
 
 
@@ -405,12 +410,12 @@ def m24_f17_enlarged_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return keep.select("gt_id", *[_r(F.col(k) + e).alias(k) for k, e in (("l", 0.4), ("w", 0.4), ("h", 0.2))])
 
 
-@query(f"""WITH {GT}, {PR}, a AS ({_AL.format(id='pred_id', extra='score,', tab="(SELECT * FROM pr WHERE cond = 'original')")}), b AS ({_AL.format(id='gt_id', extra='', tab="(SELECT * FROM gt WHERE ambiguous)")})
+@query(f"""WITH {GT}, {PR}, a AS ({_AL.format(id='pred_id', extra='score,', tab='pr')}), b AS ({_AL.format(id='gt_id', extra='', tab="(SELECT * FROM gt WHERE ambiguous)")})
 SELECT pred_id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.seq = b.seq AND a.frame = b.frame AND greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.z1,b.z1)-greatest(a.z0,b.z0),0) > 0.5*(a.x1-a.x0)*(a.z1-a.z0))""")
 def f16_outside_ignored_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Clean detections that no ambiguous label covers by more than half in the BEV plane."""
+    """Detections that no ambiguous label covers by more than half in the BEV plane."""
     keys, c = ["seq", "frame"], F.col
-    a = _aligned(d.preds(spark, sf).where("cond = 'original'"), "a", "pred_id", keys)
+    a = _aligned(d.preds(spark, sf), "a", "pred_id", keys)
     b = _aligned(d.gt(spark, sf).where("ambiguous"), "b", "gt_id", keys)
     near = overlapping_pairs(a, b, keys, ["ax0", "ax1", "az0", "az1"], ["bx0", "bx1", "bz0", "bz1"], cell=8.0)
     common = g.overlap(c("ax0"), c("ax1"), c("bx0"), c("bx1")) * g.overlap(c("az0"), c("az1"), c("bz0"), c("bz1"))

@@ -154,13 +154,13 @@ def t08_circle_nms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def j27_cheapest_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels and clean detections of a frame assigned at least total distance, pairs within 10 m and one class."""
+    """Labels and detections of a frame and condition assigned at least total distance, pairs within 10 m and one class."""
     keys = ["seq", "frame", "cls"]
-    found = _known(spark, sf).where("cond = 'original'")
+    found = _known(spark, sf)
     gt = d.gt(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL")
-    near = within_radius(gt.select(*keys, "gt_id", F.col("loc_x").alias("ax"), F.col("loc_z").alias("az")), found.select(*keys, "pred_id", F.col("loc_x").alias("bx"), F.col("loc_z").alias("bz")), keys, ["ax", "az"], ["bx", "bz"], 10.0)
-    near = near.select(*keys, "gt_id", "pred_id", F.sqrt("d2").alias("cost"))
-    return cheapest_pairs(near, keys, "gt_id", "pred_id", "cost", 1000.0).select("gt_id", "pred_id", _r("cost").alias("cost"))
+    near = within_radius(gt.select(*keys, "gt_id", F.col("loc_x").alias("ax"), F.col("loc_z").alias("az")), found.select(*keys, "cond", "pred_id", F.col("loc_x").alias("bx"), F.col("loc_z").alias("bz")), keys, ["ax", "az"], ["bx", "bz"], 10.0)
+    near = near.select(*keys, "cond", "gt_id", "pred_id", F.sqrt("d2").alias("cost"))
+    return cheapest_pairs(near, [*keys, "cond"], "gt_id", "pred_id", "cost", 1000.0).select("gt_id", "cond", "pred_id", _r("cost").alias("cost"))
 
 
 @query()
