@@ -164,3 +164,11 @@ def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Colu
             spans = (y > min(y1, y2)) & (y <= max(y1, y2))
             crossings = crossings + (spans & (x <= (y - y1) * (x2 - x1) / (y2 - y1) + x1)).cast("int")
     return crossings % 2 == 1
+
+
+def in_convex(x: Column, y: Column, hull: list[tuple[float, float]]) -> Column:
+    """Whether a point lies in a convex hull given counter-clockwise, border included: on the left of every side."""
+    inside = F.lit(True)
+    for (x1, y1), (x2, y2) in zip(hull, hull[1:] + hull[:1]):
+        inside = inside & ((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) >= 0)
+    return inside

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.matching import greedy_pairs
+from quernstone.session import write_stage
+
 
 def match_rows_by_track(gt: DataFrame, preds: DataFrame) -> DataFrame:
     """(seq, frame, cond, gt_id, pred_id, cls, score, is_tp, is_fp, is_fn): fates of labels and false detections.
@@ -43,40 +46,35 @@ def match_rows_by_track(gt: DataFrame, preds: DataFrame) -> DataFrame:
     return labels.unionByName(false_)
 
 
+def recall_picks(n: DataFrame, by: Sequence[str], points: int = 41) -> DataFrame:
+    """(by, i): which true detections (0: best score) are recall samples, from (by, num_gt, num_tp).
+
+    The k-th threshold is the true detection number i_k = max(i_(k-1) + 1, ceil((k n / (points - 1) * 2 - 3) / 2)), in closed
+    form, and the last true detection always is one.
+    """
+    upto = Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # ``points`` rows
+    first = F.greatest(F.lit(0), F.ceil((F.col("k") * F.col("num_gt") * 2 / F.lit(points - 1) - 3) / 2))
+    every = n.where("num_tp > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    i = F.least(F.col("k") + F.max(first - F.col("k")).over(upto), F.col("num_tp") - 1)
+    return every.withColumn("i", i).select(*by, "i").distinct()
+
+
 def average_precision(rows: DataFrame, by: Sequence[str], points: int = 41, every: int = 1) -> DataFrame:
     """(by, num_gt, num_tp, num_fp, ap): interpolated average precision of match rows; groups without labels are left out.
 
-    The rows are first summed per distinct score, so that no window ever sees single detections. The recall samples
-    are taken in closed form: the k-th threshold is the true detection number i_k = max(i_(k-1) + 1, ceil((k n /
-    (points - 1) * 2 - 3) / 2)), and the last true detection always is one. Precision at a threshold is over all
-    detections of at least its score, its envelope the running maximum from the right. ``every`` keeps each n-th sample
-    only (41 points with every fourth is the older 11-point form).
+    The match rows are summed once per group and distinct score and that small table is written, so that nothing behind it
+    sees single detections or computes the matches again. The recall samples are :func:`recall_picks`. Precision at a
+    threshold is over all detections of at least its score, its envelope the running maximum from the right. ``every``
+    keeps each n-th sample only (41 points with every fourth is the older 11-point form).
     """
     by = list(by)
-    n = (
-        rows.groupBy(*by)
-        .agg(F.count(F.when(F.col("is_tp") | F.col("is_fn"), 1)).alias("num_gt"), F.count(F.when(F.col("is_tp"), 1)).alias("num_tp"), F.count(F.when(F.col("is_fp"), 1)).alias("num_fp"))
-        .where("num_gt > 0")
-    )
-    scores = (
-        rows.where("is_tp OR is_fp")
-        .groupBy(*by, "score")
-        .agg(F.count(F.when(F.col("is_tp"), 1)).alias("tp"), F.count(F.when(F.col("is_fp"), 1)).alias("fp"))
-    )
+    count = {c: F.count(F.when(F.col(c), 1)).alias(n) for c, n in (("is_tp", "tp"), ("is_fp", "fp"), ("is_fn", "fn"))}
+    scores = write_stage(rows.groupBy(*by, F.when(F.col("is_tp") | F.col("is_fp"), F.col("score")).alias("score")).agg(*count.values()), "scores")
+    n = scores.groupBy(*by).agg(F.sum(F.col("tp") + F.col("fn")).alias("num_gt"), F.sum("tp").alias("num_tp"), F.sum("fp").alias("num_fp")).where("num_gt > 0")
     down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = scores.select(*by, "tp", F.sum("tp").over(down).alias("ctp"), F.sum("fp").over(down).alias("cfp")).where("tp > 0")
-    upto = Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.greatest(F.lit(0), F.ceil((F.col("k") * F.col("num_gt") * 2 / F.lit(points - 1) - 3) / 2))
-    picks = (
-        n.where("num_tp > 0")
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("i", F.col("k") + F.max(first - F.col("k")).over(upto))
-        .withColumn("i", F.least("i", F.col("num_tp") - 1))
-        .select(*by, "i")
-        .distinct()
-    )
+    steps = scores.where("tp + fp > 0").select(*by, "tp", F.sum("tp").over(down).alias("ctp"), F.sum("fp").over(down).alias("cfp")).where("tp > 0")
     # each pick falls into the one score step whose true detections hold number i
-    at = picks.join(steps, by).where((F.col("i") < F.col("ctp")) & (F.col("i") >= F.col("ctp") - F.col("tp")))
+    at = recall_picks(n, by, points).join(steps, by).where((F.col("i") < F.col("ctp")) & (F.col("i") >= F.col("ctp") - F.col("tp")))
     right = Window.partitionBy(*by).orderBy("i").rowsBetween(0, Window.unboundedFollowing)
     envelope = at.withColumn("p", F.max(F.col("ctp") / (F.col("ctp") + F.col("cfp"))).over(right))
     kept = envelope.withColumn("j", F.row_number().over(Window.partitionBy(*by).orderBy("i")) - 1).where(F.col("j") % every == 0)
@@ -84,6 +82,64 @@ def average_precision(rows: DataFrame, by: Sequence[str], points: int = 41, ever
     return n.join(ap, by, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
+#: Difficulty levels: greatest occlusion, greatest truncation, least height in pixels; fixed values of the benchmark.
+DIFFICULTIES = ((0, 0.15, 40.0), (1, 0.3, 25.0), (2, 0.5, 25.0))
+
+
+def graded_precision(labels: DataFrame, found: DataFrame, pairs: DataFrame, by: Sequence[str], frame: Sequence[str], levels: dict[str, Sequence[float]], points: int = 41) -> DataFrame:
+    """(by, difficulty, metric, level, num_gt, ap, ap11, aos): average precision by difficulty, overlap metric and least overlap.
+
+    ``labels``: by, frame, gt_id, occluded, truncated, height; ``found``: by, frame, pred_id, score, height; ``pairs``: by,
+    frame, metric, gt_id, pred_id, overlap, the label's order ``g_line``, the detection's order ``p_line`` and ``turn``, the
+    difference of their observation angles. Labels beyond a difficulty and detections lower than its least height are
+    ignored: they count neither way, but may be matched.
+
+    First pass: labels in order take the free detection of the highest score that overlaps them by more than the level; the
+    scores of true ones give the thresholds (:func:`recall_picks`). Second pass at each threshold: labels take the free
+    counted detection of the largest overlap, else the first ignored one; what is left over is false. Precision and
+    orientation similarity are made to fall along recall and averaged over ``points`` (``ap11``: every fourth).
+    """
+    by, frame = list(by), list(frame)
+    c = F.col
+    grade = F.explode(F.array(*[F.struct(F.lit(i).alias("difficulty"), F.lit(o).alias("_occ"), F.lit(t).alias("_trunc"), F.lit(h).alias("_least")) for i, (o, t, h) in enumerate(DIFFICULTIES)]))
+    off_label = (c("occluded") > c("_occ")) | (c("truncated") > c("_trunc")) | (F.coalesce(c("height"), F.lit(0.0)) <= c("_least"))
+    graded = labels.select("*", grade.alias("_g")).select("*", "_g.*").select(*by, *frame, "gt_id", "difficulty", off_label.cast("int").alias("_ig"))
+    graded_found = found.select("*", grade.alias("_g")).select("*", "_g.*").select(*by, *frame, "pred_id", "score", "difficulty", (F.coalesce(c("height"), F.lit(0.0)) < c("_least")).cast("int").alias("_id"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(float(v)).alias("level")) for m, vs in levels.items() for v in vs]))
+    met = pairs.withColumn("_w", wanted).where("metric = _w.metric AND overlap > _w.level").withColumn("level", c("_w.level")).drop("_w")
+    met = write_stage(met.join(graded, [*by, *frame, "gt_id"]).join(graded_found, [*by, *frame, "pred_id", "difficulty"]), "graded")
+
+    keys = [*by, "difficulty", "metric", "level"]
+    one = greedy_pairs(met, [*keys, *frame], "gt_id", "pred_id", [c("g_line")], [F.desc("score"), c("p_line")]).where("_ig = 0 AND _id = 0")
+    scores = one.groupBy(*keys, "score").agg(F.count("*").alias("tp"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = scores.withColumn("ctp", F.sum("tp").over(down))
+    n_gt = graded.where("_ig = 0").groupBy(*by, "difficulty").agg(F.count("*").alias("num_gt"))
+    n = steps.groupBy(*keys).agg(F.sum("tp").alias("num_tp")).join(n_gt, [*by, "difficulty"])
+    at = recall_picks(n, keys, points).join(steps, keys).where("i < ctp AND i >= ctp - tp").select(*keys, "i", c("score").alias("thr"))
+    at = write_stage(at, "thresholds")  # at most ``points`` rows of each key
+
+    two = greedy_pairs(met.join(at, keys).where("score >= thr"), [*keys, "i", *frame], "gt_id", "pred_id", [c("g_line")], [c("_id"), F.when(c("_id") == 0, -c("overlap")), c("p_line")])
+    true = (c("_ig") == 0) & (c("_id") == 0)
+    hits = two.groupBy(*keys, "i").agg(F.count_if(true).alias("tp"), F.count_if(c("_id") == 0).alias("used"), F.sum(F.when(true, (1 + F.cos("turn")) / 2)).alias("alike"))
+    # detections of at least each threshold: counted by the number of thresholds they reach, then summed from the lowest
+    reached = at.groupBy(*keys).agg(F.collect_list("thr").alias("_thr"))
+    per_score = graded_found.where("_id = 0").groupBy(*by, "difficulty", "score").agg(F.count("*").alias("_n"))
+    parts = per_score.join(reached, [*by, "difficulty"]).groupBy(*keys, F.size(F.filter("_thr", lambda t: t <= c("score"))).alias("_below")).agg(F.sum("_n").alias("_n"))
+    low = Window.partitionBy(*keys).orderBy(F.desc("i"))
+    ranked = at.withColumn("_need", F.row_number().over(low))
+    enough = ranked.join(parts, keys).where("_below >= _need").groupBy(*keys, "i").agg(F.sum("_n").alias("enough"))
+    line = hits.join(enough, [*keys, "i"]).withColumn("_all", c("tp") + c("enough") - c("used"))
+    right = Window.partitionBy(*keys).orderBy("i").rowsBetween(0, Window.unboundedFollowing)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("i")) - 1
+    line = line.select(*keys, F.max(F.try_divide("tp", "_all")).over(right).alias("p"), F.max(F.try_divide("alike", "_all")).over(right).alias("o"), place.alias("j"))
+    ap = line.groupBy(*keys).agg(
+        (F.sum("p") / points * 100).alias("ap"), (F.sum(F.when(c("j") % 4 == 0, c("p"))) / ((points - 1) // 4 + 1) * 100).alias("ap11"), (F.sum("o") / points * 100).alias("aos")
+    )
+    every = n_gt.withColumn("_w", wanted).select(*by, "difficulty", "_w.*", "num_gt")
+    return every.join(ap, keys, "left").na.fill(0.0, ["ap", "ap11", "aos"])
+
+
 def transition_rates(rows: DataFrame, by: Sequence[str], clean: str) -> DataFrame:
     """Counts of stable, missed, recovered and never found labels per condition against ``clean``, and their rates.
 
@@ -102,3 +158,9 @@ def transition_rates(rows: DataFrame, by: Sequence[str], clean: str) -> DataFram
         .withColumn("churn", F.try_divide(lost + F.col("induced_recovery"), F.col("total")))
         .withColumn("net_retention", F.try_divide(kept + F.col("induced_recovery"), kept + lost))
     )
+
+
+def checked_transitions(rates: DataFrame) -> DataFrame:
+    """The rates of :func:`transition_rates` unchanged; a row whose four counts do not add up to its total is an error."""
+    parts = F.col("stable") + F.col("induced_miss") + F.col("induced_recovery") + F.col("baseline_failure")
+    return rates.withColumn("total", F.when(parts == F.col("total"), F.col("total")).otherwise(F.raise_error(F.lit("transition counts do not add up")).cast("bigint")))
