@@ -172,3 +172,45 @@ def in_convex(x: Column, y: Column, hull: list[tuple[float, float]]) -> Column:
     for (x1, y1), (x2, y2) in zip(hull, hull[1:] + hull[:1]):
         inside = inside & ((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) >= 0)
     return inside
+
+
+def point_encoded(x: Column, y: Column, z: Column, length: Column, width: Column, height: Column, yaw: Column, px: Column, py: Column, pz: Column, mean: tuple[float, float, float]) -> list[Column]:
+    """Residuals of a box against a point and the mean size of its class; the heading as cosine and sine."""
+    diagonal = math.hypot(mean[0], mean[1])
+    return [(x - px) / diagonal, (y - py) / diagonal, (z - pz) / mean[2], F.log(length / mean[0]), F.log(width / mean[1]), F.log(height / mean[2]), F.cos(yaw), F.sin(yaw)]
+
+
+def point_decoded(code: list[Column], px: Column, py: Column, pz: Column, mean: tuple[float, float, float]) -> list[Column]:
+    """The box (x, y, z, l, w, h, yaw) that :func:`point_encoded` came from."""
+    diagonal = math.hypot(mean[0], mean[1])
+    x, y, z, length, width, height, c, s = code
+    return [x * diagonal + px, y * diagonal + py, z * mean[2] + pz, F.exp(length) * mean[0], F.exp(width) * mean[1], F.exp(height) * mean[2], F.atan2(s, c)]
+
+
+def bottom_of(z: Column, height: Column) -> Column:
+    """Height of a box's bottom from that of its middle, as older decoders give it."""
+    return z - height / 2
+
+
+#: Channel means and deviations of the public image statistics; fixed values.
+IMAGE_MEAN, IMAGE_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def _of_channel(values: tuple[float, ...], channel: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (channel + 1).cast("int"))
+
+
+def pixel_normal(value: Column, channel: Column) -> Column:
+    """A pixel of 0 to 255 less the channel's mean, over its deviation."""
+    return (value / 255.0 - _of_channel(IMAGE_MEAN, channel)) / _of_channel(IMAGE_STD, channel)
+
+
+def pixel_value(normal: Column, channel: Column) -> Column:
+    """The pixel of a normalised value, rounded half to even and clipped to 0 to 255."""
+    v = normal * _of_channel(IMAGE_STD, channel) * 255 + _of_channel(IMAGE_MEAN, channel) * 255
+    return F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.rint(v))).cast("int")
+
+
+def back_projected(u: Column, v: Column, depth: Column, fx: float, fy: float, px: float, py: float) -> tuple[Column, Column, Column]:
+    """The point (x forward, y left, z up) that a pixel shows at a depth."""
+    return depth, -(u - px) * depth / fx, -(v - py) * depth / fy

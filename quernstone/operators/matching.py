@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -173,20 +174,31 @@ def _kept_in_order(top: DataFrame, k: Sequence[str], ident: str, threshold: floa
     return rows.mapInPandas(keep, rows.select(*k, ident).schema)
 
 
-def farthest_sample(points: DataFrame, keys: Sequence[str], ident: Sequence[str], xyz: Sequence[str], count: int) -> DataFrame:
+def farthest_sample(points: DataFrame, keys: Sequence[str], ident: Sequence[str], xyz: Sequence[str], count: int | Column) -> DataFrame:
     """(keys, ident, place) of farthest point sampling per group, started at the first point by ``ident``.
 
-    Every step needs the distances to all points of its group, so a group is one task; groups are single scans, as
-    a sensor delivers them. Groups too large for that should be cut into cells first.
+    ``count``: how many points of a group, a number or a column that is the same for a whole group. Every round holds each
+    point's least squared distance from the picked ones, takes the farthest of every group (ties to the first) by partial
+    aggregation and sends these few rows back, so that a group of any size is many tasks; a round is written before the next.
+    A group ends early when all its points coincide with picked ones.
     """
-    out = points.select(*keys, *ident).schema
-
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(list(ident), kind="stable").reset_index(drop=True)
-        at = kernels.farthest_points(g[list(xyz)].to_numpy(dtype=float), count)
-        return g.loc[at, [*keys, *ident]].assign(place=np.arange(len(at)))
-
-    return points.groupBy(*keys).applyInPandas(pick, T.StructType([*out.fields, T.StructField("place", T.LongType())]))
+    k, c = list(keys), F.col
+    spot = F.struct(*[c(x) for x in xyz])
+    left = write_stage(points.select(*k, *ident, *xyz, F.lit(float("inf")).alias("_far"), (F.lit(count) if isinstance(count, int) else count).cast("bigint").alias("_most")), "far")
+    most = left.agg(F.max("_most")).first()[0] or 0
+    picked = []
+    for place in range(most):
+        open_ = left.where((c("_most") > place) & (c("_far") > 0))
+        # the farthest: least of (minus distance, ident)
+        best = open_.groupBy(*k).agg(F.min_by(F.struct(F.struct(*ident).alias("i"), spot.alias("s")), F.struct((-c("_far")).alias("d"), *ident)).alias("_b"))
+        best = write_stage(best.select(*k, "_b.i", "_b.s"), "far-best")
+        picked.append(best.select(*k, "i.*", F.lit(place).cast("bigint").alias("place")))
+        if place + 1 < most:
+            d2 = sum(((c(x) - c(f"s.{x}")) * (c(x) - c(f"s.{x}")) for x in xyz[1:]), (c(xyz[0]) - c(f"s.{xyz[0]}")) * (c(xyz[0]) - c(f"s.{xyz[0]}")))
+            left = write_stage(left.where(c("_most") > place + 1).join(best.drop("i"), k).withColumn("_far", F.least("_far", d2)).drop("s"), "far")
+    if not picked:
+        return points.select(*k, *ident, F.lit(0).cast("bigint").alias("place")).limit(0)
+    return reduce(DataFrame.unionByName, picked)
 
 
 def cheapest_pairs(pairs: DataFrame, group: Sequence[str], row: str, column: str, cost: str, missing: float) -> DataFrame:

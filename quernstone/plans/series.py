@@ -143,16 +143,6 @@ def q01_q02_last_frame_hold(spark: SparkSession, sf: str) -> DataFrame:
     return hold_last(e, ["user_id"], ["ts", "event_id"], "v", "held", "date_trunc('DAY', ts)").select("event_id", "held", F.coalesce("v", F.lit(0.0)).alias("zeroed"), F.col("v").isNull().alias("blacked_out"))
 
 
-@query(f"""WITH {FR}, {_FIRST} SELECT seq, frame, frame % 10 = 9 AS every_tenth, frame IN (0, 7, 13) AS listed,
-(frame * 7919 + seq * 104729) % 100 < 30 AS random_third FROM f1""")
-def q04_frame_deletion(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames deleted by interval, by list and by a reproducible draw."""
-    f = F.col("frame")
-    return _one_per_frame(spark, sf).select(
-        "seq", "frame", (f % 10 == 9).alias("every_tenth"), f.isin(0, 7, 13).alias("listed"), ((f * 7919 + F.col("seq") * 104729) % 100 < 30).alias("random_third")
-    )
-
-
 @query(f"""WITH {TG}, x AS (SELECT unnest(['all', 'road:' || road, 'time:' || capture_time, 'weather:' || weather]) AS cond, seq FROM tg)
 SELECT cond, count(*) AS frames, count(DISTINCT seq) AS seqs FROM x WHERE cond IS NOT NULL GROUP BY cond""")
 def k02_a45_condition_fan_out(spark: SparkSession, sf: str) -> DataFrame:

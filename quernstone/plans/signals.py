@@ -164,16 +164,6 @@ def m27_relative_poses(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("odo_id", _r(F.cos(half)).alias("qw"), _r(F.sin(half)).alias("qz"), _r(tx).alias("tx"), _r(ty).alias("ty"))
 
 
-@query(f"""WITH {PT}, n AS (SELECT *, power + (((ok * 7919 + ln * 31 + pk) % 2001) - 1000) / 10.0::DOUBLE AS noisy FROM pt), g AS (SELECT frame, x, y, power, false AS ghost FROM pt UNION ALL SELECT frame, ((pk * 131) % 700) / 10.0::DOUBLE, ((pk * 17) % 320) / 10.0::DOUBLE - 16, power, true FROM pt WHERE (ok * 31 + pk) % 20 = 0)
-SELECT frame, count(*) AS points, count(*) FILTER (ghost) AS ghosts, CAST(sum(CAST(power AS DECIMAL(18,2))) AS DOUBLE) AS power FROM g GROUP BY frame""")
-def n20_ghost_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Ghost points: a reproducible twentieth of the points appended again elsewhere, power kept."""
-    c = F.col
-    p = d.points(spark, sf).withColumn("ghost", F.lit(False))
-    ghosts = p.where((c("ok") * 31 + c("pk")) % 20 == 0).withColumn("ghost", F.lit(True)).withColumn("x", (c("pk") * 131 % 700) / 10.0).withColumn("y", (c("pk") * 17 % 320) / 10.0 - 16)
-    return p.unionByName(ghosts).groupBy("frame").agg(F.count("*").alias("points"), F.count_if("ghost").alias("ghosts"), _money("power").alias("power"))
-
-
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), x AS (SELECT vec_id, label, unnest(v) AS f, generate_subscripts(v, 1) AS i FROM e)
 SELECT label, CAST(i AS INT) AS i, round(avg(f), 6) + 0.0 AS mean, round(max(f), 6) + 0.0 AS top FROM x GROUP BY ALL""")
 def a04_a40_feature_means(spark: SparkSession, sf: str) -> DataFrame:
