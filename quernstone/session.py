@@ -67,6 +67,12 @@ def write_stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, for files that are no tables; nothing is made there yet."""
+    path = f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
 def remove_stages(spark: SparkSession) -> None:
     """Delete the stages of this application; results not yet collected or written cannot be read afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))

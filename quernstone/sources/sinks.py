@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,3 +69,68 @@ def write_summary(df: DataFrame, path: str) -> None:
 def json_lines(df: DataFrame) -> DataFrame:
     """Every row as one JSON text."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def write_files(files: DataFrame, root: str, path: str = "path", content: str = "content") -> int:
+    """Write one file per row (relative path, binary content) under ``root``, any file system the tasks reach; returns how many.
+
+    A file is first written beside its place and then moved there, so that a task that is repeated leaves no half file.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(root)
+        made: set[str] = set()
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder, _, stem = f"{base.rstrip('/')}/{name}".rpartition("/")
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{folder}/.{stem}.part") as out:
+                    out.write(data or b"")
+                store.move(f"{folder}/.{stem}.part", f"{folder}/{stem}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select(path, content).mapInArrow(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def text_files(lines: DataFrame, path: Column, order: Sequence[str], line: str, head: Column | None = None) -> DataFrame:
+    """(path, content) of text files from lines in ``order``, with an optional head; a file is one frame's or sequence's."""
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, line))), lambda r: r[line]), "\n")
+    files = lines.groupBy(path.alias("path"), (head if head is not None else F.lit("")).alias("_head")).agg(body.alias("_body"))
+    return files.select("path", F.concat("_head", "_body", F.lit("\n")).cast("binary").alias("content"))
+
+
+def array_files(cells: DataFrame, frame: str, axes: Sequence[str], shape: Sequence[int], value: str, empty: float = -1.0) -> DataFrame:
+    """(path, content) of one ``.npy`` array a frame from its cells; cells without a row hold ``empty``."""
+
+    def build(t: pa.Table) -> pa.Table:
+        a = np.full(tuple(shape), empty, dtype=np.float64)
+        a[tuple(t.column(x).to_numpy() for x in axes)] = t.column(value).to_numpy()
+        out = io.BytesIO()
+        np.save(out, a)
+        return pa.table({"path": [f"cube_{t.column(frame)[0].as_py():06d}.npy"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    return cells.select(frame, *axes, value).groupBy(frame).applyInArrow(build, "path string, content binary")
+
+
+def binary_clouds(points: DataFrame, frame: str, columns: Sequence[str]) -> DataFrame:
+    """(path, content) of one binary cloud a frame: a text header, then the columns as 32-bit numbers point by point."""
+
+    def build(t: pa.Table) -> pa.Table:
+        values = np.column_stack([t.column(c).to_numpy() for c in columns]).astype("<f4")
+        n, k = values.shape
+        head = f"# .PCD v0.7\nVERSION 0.7\nFIELDS {' '.join(columns)}\nSIZE {' '.join('4' * k)}\nTYPE {' '.join('F' * k)}\nCOUNT {' '.join('1' * k)}\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA binary\n"
+        return pa.table({"path": [f"cloud_{t.column(frame)[0].as_py():06d}.pcd"], "content": pa.array([head.encode() + values.tobytes()], pa.binary())})
+
+    return points.select(frame, *columns).groupBy(frame).applyInArrow(build, "path string, content binary")
+
+
+def write_split_lists(df: DataFrame, path: str, split: str = "split", seq: str = "seq", label: str = "label") -> None:
+    """Split lists: a folder per split with lines "sequence,label file"."""
+    df.select(F.col(split).alias("split"), F.concat_ws(",", F.col(seq).cast("string"), label).alias("value")).write.mode("overwrite").partitionBy("split").text(path)
+
+
+def write_tags(df: DataFrame, path: str, seq: str = "seq") -> None:
+    """Tag files: a folder per sequence with a headed CSV of its frames' tags."""
+    df.write.mode("overwrite").partitionBy(seq).option("header", True).csv(path)

@@ -6,6 +6,8 @@ null fields or a flag, never dropped silently.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -182,10 +184,75 @@ def local_odometry(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.regexp_extract(F.col("_metadata.file_name"), r"seq_(\d+)_local", 1).try_cast("bigint").alias("seq"), *df.columns)
 
 
-def dump_meta(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Sensor dump lines "<sensor>: changed=<True|False> params=<dict>": sensor, flag and the dict as a map of texts."""
+def dump_meta(lines: DataFrame, line: str = "line", keep: Sequence[str] = ()) -> DataFrame:
+    """Sensor dump lines "<sensor>: changed=<True|False> params=<dict>": sensor, flag and the dict as a map of texts, beside the columns to ``keep``."""
     body = F.regexp_extract(line, r"params=(\{.*\})", 1)
     as_json = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "'", '"'), r"\bTrue\b", "true"), r"\bFalse\b", "false")
     return lines.select(
-        F.regexp_extract(line, r"^\s*([\w-]+):", 1).alias("sensor"), (F.regexp_extract(line, r"changed=(\w+)", 1) == "True").alias("changed"), F.from_json(as_json, "map<string,string>").alias("params")
+        *keep, F.regexp_extract(line, r"^\s*([\w-]+):", 1).alias("sensor"), (F.regexp_extract(line, r"changed=(\w+)", 1) == "True").alias("changed"), F.from_json(as_json, "map<string,string>").alias("params")
     )
+
+
+def label_files(spark: SparkSession, root: str, folder: str, portion: list[int] | None = None) -> DataFrame:
+    """(seq, name, place) of label files "<root>/<seq>/<folder>/<name>.txt", sequences as numbers, places by name within a sequence.
+
+    Only folders that are whole numbers are sequences; ``portion`` keeps the listed ones. File contents are not read.
+    """
+    found = spark.read.format("binaryFile").load(f"{root}/*/{folder}/*.txt").select(F.split("path", "/").alias("p"))
+    named = found.select(F.element_at("p", -3).alias("d"), F.element_at("p", -1).alias("name")).where(F.col("d").rlike("^[0-9]+$"))
+    named = named.select(F.col("d").cast("bigint").alias("seq"), "name")
+    if portion is not None:
+        named = named.where(F.col("seq").isin(portion))
+    return named.withColumn("place", F.row_number().over(Window.partitionBy("seq").orderBy("name")) - 1)  # names alone
+
+
+def kitti_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of KITTI files named by six digits, with sequence and frame; other files of the folders are passed over."""
+    seq, frame = path_ids(F.col("path"))
+    lines = file_lines(spark, path).where(F.col("path").rlike(r"/[0-9]{6}\.txt$"))
+    return kitti_rows(lines.select(seq.alias("seq"), frame.alias("frame"), "line_idx", "line"))
+
+
+def _words(spark: SparkSession, path: str, parts: int) -> DataFrame:
+    """(f, tag): the words of every line, the first cut at underscores into at most ``parts``."""
+    f = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where(F.trim("value") != "").select(f.alias("f"), F.split(F.get(f, F.lit(0)), "_", parts).alias("tag"))
+
+
+def _box(first: int) -> list[Column]:
+    return [F.get("f", F.lit(first + i)).try_cast("double").alias(n) for i, n in enumerate(("h", "w", "l", "loc_x", "loc_y", "loc_z", "rot_y"))]
+
+
+def tracked_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Lines "<seq>_<frame> class track ambiguous h w l x y z ry"."""
+    w = _words(spark, path, 2)
+    return w.select(*[F.get("tag", F.lit(i)).alias(n) for i, n in enumerate(("seq", "frame"))], F.get("f", F.lit(1)).alias("cls"), F.get("f", F.lit(2)).try_cast("bigint").alias("trk_id"), (F.get("f", F.lit(3)) == "1").alias("ambiguous"), *_box(4))
+
+
+def tracked_detections(spark: SparkSession, path: str) -> DataFrame:
+    """Lines "<seq>_<frame>_<condition> class track is_fp h w l x y z ry score"."""
+    w = _words(spark, path, 3)
+    tag = [F.get("tag", F.lit(i)).alias(n) for i, n in enumerate(("seq", "frame", "cond"))]
+    return w.select(*tag, F.get("f", F.lit(1)).alias("cls"), F.get("f", F.lit(2)).try_cast("bigint").alias("trk_id"), (F.get("f", F.lit(3)) == "1").alias("is_fp"), *_box(4), F.get("f", F.lit(11)).try_cast("double").alias("score"))
+
+
+def missed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines "<seq>_<frame>_<condition> gt_line_idx=<n>"."""
+    w = _words(spark, path, 3)
+    tag = [F.get("tag", F.lit(i)).alias(n) for i, n in enumerate(("seq", "frame", "cond"))]
+    return w.select(*tag, F.regexp_extract(F.get("f", F.lit(1)), r"^gt_line_idx=(\d+)$", 1).try_cast("int").alias("line_idx"))
+
+
+def unmatched_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Lines "<seq>_<frame> class h w l x y z ry"."""
+    w = _words(spark, path, 2)
+    return w.select(*[F.get("tag", F.lit(i)).alias(n) for i, n in enumerate(("seq", "frame"))], F.get("f", F.lit(1)).alias("cls"), *_box(2))
+
+
+def camera_calibration(spark: SparkSession, path: str, width: int = 1280, height: int = 720) -> DataFrame:
+    """Camera calibration files of flat "key: value" lines: fx, fy, cx, cy and the image size, the usual one where none is given."""
+    seq, _ = path_ids(F.col("path"))
+    pairs = file_lines(spark, path).where(F.col("line").contains(":"))
+    key, value = F.trim(F.regexp_extract("line", "^([^:#]*):", 1)), F.regexp_extract("line", r":\s*([-+0-9.eE]+)", 1).try_cast("double")
+    by = pairs.groupBy(seq.alias("seq")).agg(*[F.max(F.when(key == k, value)).alias(k) for k in ("fx", "fy", "cx", "cy", "width", "height")])
+    return by.withColumns({"width": F.coalesce("width", F.lit(width)).cast("int"), "height": F.coalesce("height", F.lit(height)).cast("int")})
