@@ -42,9 +42,9 @@ def label_lines(spark: SparkSession, path: str, version: str) -> DataFrame:
     """
     sep, least, most = LABEL_VERSIONS[version]
     seq, frame = path_ids(F.col("path"))
-    # a header may lack its line end before the first object: cut every text at "*" marks, first piece is the header
+    # a header may lack its line end before the first object: cut every text at "*" marks (a class word may hold a star), first piece is the header
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    pieces = raw.select(seq.alias("seq"), frame.alias("frame"), F.posexplode(F.split("value", r"\*")).alias("pos", "piece"))
+    pieces = raw.select(seq.alias("seq"), frame.alias("frame"), F.posexplode(F.split("value", r"\*(?=\s*,|\s*idx)")).alias("pos", "piece"))
     body = pieces.where("pos > 0 AND NOT piece RLIKE '^\\\\s*idx'").select("seq", "frame", (F.col("pos") - 2).alias("line_idx"), F.trim(F.regexp_replace("piece", r"[\r\n]+", "")).alias("line"))
     f = F.transform(F.split(F.regexp_replace("line", r"^,\s*", ""), sep.strip() if version == "v1_1" else sep), lambda x: F.trim(x))
     at = 1 if version in ("v1_1", "v2_1") else 0  # an availability field comes first
