@@ -43,7 +43,8 @@ def top_per_group(
     usable = rows if keep is None else rows.where(keep)
     usable = usable.where(reduce(lambda x, y: x & y, [c.isNotNull() for c in [*group, value, F.col(id_col)]]) & ~F.isnan(value))
 
-    cuts = usable.agg(F.percentile_approx(value, [1 - s for s in sorted(shares)], 1000)).first()[0] or []
+    # where the bands are cut is a matter of cost alone: the scan for it reads the scores only
+    cuts = rows.where(value.isNotNull() & ~F.isnan(value)).agg(F.percentile_approx(value, [1 - s for s in sorted(shares)], 1000)).first()[0] or []
     cuts = sorted({float(c) for c in cuts}, reverse=True)
     band = reduce(lambda x, c: x + (value < c).cast("int"), cuts, F.lit(0))
     bands = write_stage(
