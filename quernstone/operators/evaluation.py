@@ -52,10 +52,11 @@ def recall_picks(n: DataFrame, by: Sequence[str], points: int = 41) -> DataFrame
     The k-th threshold is the true detection number i_k = max(i_(k-1) + 1, ceil((k n / (points - 1) * 2 - 3) / 2)), in closed
     form, and the last true detection always is one.
     """
-    upto = Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # ``points`` rows
-    first = F.greatest(F.lit(0), F.ceil((F.col("k") * F.col("num_gt") * 2 / F.lit(points - 1) - 3) / 2))
-    every = n.where("num_tp > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    i = F.least(F.col("k") + F.max(first - F.col("k")).over(upto), F.col("num_tp") - 1)
+    k = F.col("_k")
+    upto = Window.partitionBy(*by).orderBy(k).rowsBetween(Window.unboundedPreceding, 0)  # ``points`` rows
+    first = F.greatest(F.lit(0), F.ceil((k * F.col("num_gt") * 2 / F.lit(points - 1) - 3) / 2))
+    every = n.where("num_tp > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    i = F.least(k + F.max(first - k).over(upto), F.col("num_tp") - 1)
     return every.withColumn("i", i).select(*by, "i").distinct()
 
 

@@ -146,8 +146,8 @@ def _refl(c: str, s: int) -> str:
 
 
 @query(f"""WITH {_CUBE}, l AS (SELECT frame, coalesce(sum(p) FILTER (p <> -1), 0) / count(*) AS l FROM marked GROUP BY frame), c AS (SELECT m.*, CASE WHEN p = -1 THEN l ELSE p END AS t FROM marked m JOIN l ON l.frame = m.frame),
-o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da, de)), m AS (SELECT c.frame, c.ri, c.ai, c.ei, sum(u.t) / {_N} AS mean FROM c CROSS JOIN o
-JOIN c u ON u.frame = c.frame AND u.ri = {_refl('c.ri + dr', 32)} AND u.ai = {_refl('c.ai + da', 16)} AND u.ei = {_refl('c.ei + de', 8)} GROUP BY ALL)
+o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da, de)), asked AS MATERIALIZED (SELECT frame, ri, ai, ei, {_refl('ri + dr', 32)} AS ur, {_refl('ai + da', 16)} AS ua, {_refl('ei + de', 8)} AS ue FROM c CROSS JOIN o),
+m AS (SELECT q.frame, q.ri, q.ai, q.ei, sum(u.t) / {_N} AS mean FROM asked q JOIN c u ON u.frame = q.frame AND u.ri = q.ur AND u.ai = q.ua AND u.ei = q.ue GROUP BY ALL)
 SELECT c.frame, c.ri, c.ai, c.ei, round(coalesce(mean, 0), 6) + 0.0 AS mean, p <> -1 AND t > coalesce(mean, 0) * {_ALPHA} AS detected FROM c LEFT JOIN m ON m.frame = c.frame AND m.ri = c.ri AND m.ai = c.ai AND m.ei = c.ei""")
 def r01_ca_cfar_mirror(spark: SparkSession, sf: str) -> DataFrame:
     """Cell-averaging CFAR in the (range, azimuth, elevation) cube of every frame, edges mirrored, unknown cells at the cube's mean."""

@@ -226,3 +226,91 @@ def test_noise_moments(spark):
     df = spark.range(20_000).select(corruption.normal(1, "n", F.col("id")).alias("z"))
     m, s = df.agg(F.avg("z"), F.stddev("z")).first()
     assert abs(m) < 0.03 and abs(s - 1) < 0.03
+
+
+def _graded_by_hand(labels, found, pairs, level, grade):
+    """Benchmark precision of one class and metric, label by label; ``pairs``: (gt, pred) -> overlap."""
+    occ, trunc, least = grade
+    off = {g: o > occ or t > trunc or h <= least for g, o, t, h in labels}
+    low = {p: h < least for p, _, h in found}
+
+    def pass_(threshold, counted):
+        used, tps = set(), []
+        for g, *_ in labels:
+            best = None
+            for p, s, _ in found:
+                if p in used or s < threshold or pairs.get((g, p), 0) <= level:
+                    continue
+                rank = (low[p], -pairs[g, p] if not low[p] else 0) if counted else (-s,)
+                if best is None or rank < best[0]:
+                    best = (rank, p)
+            if best:
+                used.add(best[1])
+                if not off[g] and not low[best[1]]:
+                    tps.append(dict((p, s) for p, s, _ in found)[best[1]])
+        return tps, sum(1 for p, s, _ in found if s >= threshold and not low[p] and p not in used)
+
+    n = sum(not v for v in off.values())
+    scores = sorted(pass_(-1, False)[0], reverse=True)
+    cut, k = [], 0
+    for i, s in enumerate(scores):
+        if i < len(scores) - 1 and (2 * i + 3) * 20 < k * n:
+            continue
+        cut.append(s)
+        k += 1
+    prec = []
+    for t in cut:
+        tps, fp = pass_(t, True)
+        prec.append(len(tps) / max(1, len(tps) + fp))
+    return sum(max(prec[i:]) for i in range(len(prec))) / 41 * 100
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_graded_precision_against_label_by_label(spark, seed):
+    from quernstone.operators.evaluation import DIFFICULTIES, graded_precision
+
+    rng = random.Random(seed)
+    frames = {}
+    labels, found, pairs = [], [], []
+    for f in range(12):
+        gs = [(100 * f + i, rng.randrange(3), rng.choice([0.0, 0.2, 0.4]), rng.choice([20.0, 30.0, 60.0])) for i in range(6)]
+        ps = [(100 * f + i, round(rng.random(), 3) + f * 1e-5 + i * 1e-6, rng.choice([20.0, 30.0, 60.0])) for i in range(7)]
+        over = {(g[0], p[0]): round(rng.random(), 3) for g in gs for p in ps if rng.random() < 0.35}
+        frames[f] = (gs, ps, over)
+        labels += [(1, f, *g) for g in gs]
+        found += [(1, f, *p) for p in ps]
+        score = {p[0]: p[1] for p in ps}
+        pairs += [(1, f, "bev", g, p, v, g, p, 0.0) for (g, p), v in over.items()]
+    a = spark.createDataFrame(labels, "k int, f int, gt_id long, occluded int, truncated double, height double")
+    b = spark.createDataFrame(found, "k int, f int, pred_id long, score double, height double")
+    c = spark.createDataFrame(pairs, "k int, f int, metric string, gt_id long, pred_id long, overlap double, g_line long, p_line long, turn double")
+    got = {r.difficulty: r.ap for r in graded_precision(a, b, c, ["k"], ["f"], {"bev": (0.3,)}).collect()}
+    for i, grade in enumerate(DIFFICULTIES):
+        # frames are judged apart: give every frame's labels and detections their own ids and one list
+        gs = [g for f in frames for g in frames[f][0]]
+        ps = [p for f in frames for p in frames[f][1]]
+        over = {k: v for f in frames for k, v in frames[f][2].items()}
+        assert got[i] == pytest.approx(_graded_by_hand(gs, ps, over, 0.3, grade))
+
+
+def test_farthest_sample_in_rounds(spark):
+    from quernstone.operators import kernels
+    from quernstone.operators.matching import farthest_sample
+
+    rng = np.random.default_rng(5)
+    rows = [(k, i, *map(float, rng.uniform(0, 9, 3))) for k in range(3) for i in range(30)]
+    got = farthest_sample(spark.createDataFrame(rows, "k int, i int, x double, y double, z double"), ["k"], ["i"], ["x", "y", "z"], 6).collect()
+    for k in range(3):
+        own = np.array([r[2:] for r in rows if r[0] == k])
+        assert [r.i for r in sorted((r for r in got if r.k == k), key=lambda r: r.place)] == list(kernels.farthest_points(own, 6))
+
+
+def test_order_statistics_equal_the_exact_quantile(spark):
+    from quernstone.operators.radar import order_statistics
+
+    rng = random.Random(9)
+    rows = [(g, rng.choice([rng.random(), 0.5, float("nan")])) for g in range(4) for _ in range(50)] + [(9, 3.0), (8, None)]
+    got = {r.g: r._q for r in order_statistics(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", 0.9, ranges=8).collect()}
+    for g in {g for g, v in rows if v is not None and v == v}:
+        assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None and v == v], 0.9))
+    assert set(got) == {0, 1, 2, 3, 9}
