@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -107,28 +107,33 @@ def suppressed(
     ``by``: "rotated" or "aligned" overlap above ``threshold``, or "circle" (squared centre distance of at most it).
     ``most``: only so many best boxes of a group enter, where a head has such a limit of its own.
 
-    Boxes are settled in rounds: the ``batch`` best undecided ones of every group in one ordered pass, then all worse
-    ones that a kept box drops leave by the grid join, until none is undecided. So clashes are sought within a batch and with
-    kept boxes only, and every group is decided to its end; groups of up to ``batch`` boxes take one round.
+    Boxes are settled in rounds: the ``batch`` best undecided ones of every group in one ordered pass where the rank limit has
+    brought them, then all worse ones that a kept box drops leave by the grid join, until none is undecided. So a group of any
+    size is decided to its end with at most ``batch`` boxes in a task at once; groups of up to ``batch`` boxes take one round.
+    A row given twice counts once; rows with a null key, id or score are in no group; boxes with a null, NaN or infinite
+    place, or size or yaw where ``by`` looks at them, suppress nothing and stay.
     """
     k = list(keys)
     c = F.col
+    sides = ["loc_x", "loc_z", "l", "w", "rot_y"]
     best = Window.partitionBy(*k).orderBy(F.desc(score), F.asc(ident))
-    left = boxes.where(c(score).isNotNull()).select(*k, ident, score, "loc_x", "loc_z", "l", "w", "rot_y")
+    left = boxes.select(*k, ident, score, *[c(x).cast("double") for x in sides]).dropna(subset=[*k, ident]).where(c(score).isNotNull())
     if most is not None:
-        left = left.withColumn("_rank", F.row_number().over(best)).where(c("_rank") <= most).drop("_rank")
+        left = left.withColumn("_rank", F.dense_rank().over(best)).where(c("_rank") <= most).drop("_rank")
     done = None
     while True:
-        top = write_stage(left.withColumn("_rank", F.row_number().over(best)).where(c("_rank") <= batch), "nms-top")
-        kept = write_stage(_kept_in_order(top, k, ident, threshold, by), "nms-kept")
+        top = left.withColumn("_rank", F.dense_rank().over(best)).where(c("_rank") <= batch).sortWithinPartitions(*k, "_rank")
+        schema = T.StructType([*top.schema.fields, T.StructField("_kept", T.BooleanType())])
+        seen = write_stage(top.mapInPandas(_settled(k, sides, threshold, by, batch), schema), "nms-seen")
+        kept = seen.where("_kept").select(*k, ident)
         done = kept if done is None else done.unionByName(kept)
         # groups with a full batch may have worse boxes yet
-        last = top.where(c("_rank") == batch).select(*k, c(score).alias("_score"), c(ident).alias("_id"))
+        last = seen.where(c("_rank") == batch).select(*k, c(score).alias("_score"), c(ident).alias("_id"))
+        if last.isEmpty():
+            return done
         worse = (c(score) < c("_score")) | ((c(score) == c("_score")) & (c(ident) > c("_id")))
         rest = left.join(last, k).where(worse).drop("_score", "_id")
-        if top.where(c("_rank") == batch).isEmpty():
-            return done
-        a = bev(top.join(kept, [*k, ident], "left_semi").join(last, k, "left_semi"), "a", ident, k).withColumnRenamed(ident, "_ia")
+        a = bev(seen.where("_kept").join(last, k, "left_semi"), "a", ident, k).withColumnRenamed(ident, "_ia")
         b = bev(rest, "b", ident, k).withColumnRenamed(ident, "_ib")
         dropped = _clashes(a, b, k, threshold, by).select(*k, c("_ib").alias(ident)).distinct()
         left = write_stage(rest.join(dropped, [*k, ident], "left_anti"), "nms-left")
@@ -150,28 +155,91 @@ def _clashes(a: DataFrame, b: DataFrame, k: Sequence[str], threshold: float, by:
     raise ValueError(f"unknown suppression {by!r}")
 
 
-def _kept_in_order(top: DataFrame, k: Sequence[str], ident: str, threshold: float, by: str) -> DataFrame:
-    """(keys, ident) of ranked boxes that no better kept one suppresses: one ordered pass per group."""
-    c = F.col
-    a = bev(top, "a", ident, k, [c("_rank").alias("_ra")]).withColumnRenamed(ident, "_ia")
-    b = bev(top, "b", ident, k, [c("_rank").alias("_rb")]).withColumnRenamed(ident, "_ib")
-    clash = _clashes(a, b, k, threshold, by).where(c("_ra") < c("_rb"))
-    worse = clash.groupBy(*k, F.col("_ib").alias(ident)).agg(F.collect_list("_ra").alias("_over"))  # at most `batch` ranks
-    rows = top.select(*k, ident, "_rank").join(worse, [*k, ident], "left").repartition(*k).sortWithinPartitions(*k, "_rank")
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = None, set()
-        for batch in batches:
-            stay = np.zeros(len(batch), dtype=bool)
-            for i, row in enumerate(zip(*[batch[c] for c in k], batch["_rank"], batch["_over"])):
-                if row[:-2] != key:
-                    key, kept = row[:-2], set()
-                if row[-1] is None or not any(r in kept for r in row[-1]):
-                    kept.add(row[-2])
-                    stay[i] = True
-            yield batch.loc[stay, [*k, ident]]
+def _settled(k: Sequence[str], sides: Sequence[str], threshold: float, by: str, batch: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The ordered pass over ranked boxes, whole groups of at most ``batch`` ranks at a time.
+
+    Gives the kept boxes and the last one of every full batch; only full groups need their boxes again, others come without sides.
+    """
 
-    return rows.mapInPandas(keep, rows.select(*k, ident).schema)
+    def clash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        if by == "rotated":
+            flip = np.array([1.0, 1.0, 1.0, 1.0, -1.0])  # as in bev_candidates
+            return kernels.paired_iou(one * flip, two * flip) > threshold
+        (dx, dz), (l1, w1), (l2, w2) = np.abs(one[:, :2] - two[:, :2]).T, one[:, 2:4].T, two[:, 2:4].T
+        if by == "circle":
+            return dx * dx + dz * dz <= (threshold**0.5) ** 2
+        (x1, z1), (x2, z2) = one[:, :2].T, two[:, :2].T
+        wide = np.minimum(x1 + w1 / 2, x2 + w2 / 2) - np.maximum(x1 - w1 / 2, x2 - w2 / 2)
+        deep = np.minimum(z1 + l1 / 2, z2 + l2 / 2) - np.maximum(z1 - l1 / 2, z2 - l2 / 2)
+        common = np.maximum(wide, 0.0) * np.maximum(deep, 0.0)
+        union = l1 * w1 + l2 * w2 - common
+        return np.divide(common, union, out=np.zeros(len(common)), where=union != 0) > threshold
+
+    def clashes(box: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Clashing rows i < j of one group; ``end`` is the row behind each row's group."""
+        half = np.full(len(box), threshold**0.5 / 2) if by == "circle" else np.hypot(box[:, 2], box[:, 3]) / 2
+        used = box[:, : {"circle": 2, "aligned": 4, "rotated": 5}[by]]
+        place = np.where(np.isfinite(used).all(axis=1)[:, None], box[:, :2], np.nan)  # NaN is near nothing
+        found, some, held = [], [], 0
+
+        def check() -> None:
+            i, j = (np.concatenate(x) for x in zip(*some))
+            hit = clash(box[i], box[j])
+            found.append((i[hit], j[hit]))
+            some.clear()
+
+        at, lag = np.arange(len(box)), 0
+        while True:
+            lag += 1
+            at = at[at + lag < end[at]]
+            if not len(at):
+                break
+            near = at[(np.abs(place[at] - place[at + lag]) <= (half[at] + half[at + lag])[:, None] + 1e-9).all(axis=1)]
+            some.append((near, near + lag))
+            held += len(near)
+            if held > 100_000:
+                check()
+                held = 0
+        if some:
+            check()
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (at, at)
+
+    def settle(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        begins = np.flatnonzero(first)
+        ends = np.append(begins[1:], len(rows))
+        end = np.repeat(ends, ends - begins)
+        i, j = clashes(rows[sides].to_numpy(dtype=float), end)
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        stays = np.ones(len(rows), dtype=bool)
+        starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
+        for lo, hi in zip(starts, np.append(starts[1:], len(i))):
+            if stays[i[lo]]:
+                stays[j[lo:hi]] = False
+        rank = rows["_rank"].to_numpy()
+        full = rank[end - 1] == batch
+        shown = rows.assign(_kept=stays)
+        shown.loc[~full, list(sides)] = np.nan
+        return shown[stays | (rank == batch)]
+
+    def passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in batches:
+            rows = part if held is None else pd.concat([held, part], ignore_index=True)
+            group = rows[list(k)]
+            first = (group != group.shift()).any(axis=1).to_numpy()
+            fresh = first | (rows["_rank"] != rows["_rank"].shift()).to_numpy()  # not a row given twice
+            rows, first = rows[fresh].reset_index(drop=True), first[fresh]
+            if not len(rows):
+                continue
+            start = np.flatnonzero(first)[-1]  # the last group may go on
+            if start:
+                yield settle(rows[:start], first[:start])
+            held = rows[start:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield settle(held, np.arange(len(held)) == 0)
+
+    return passes
 
 
 def farthest_sample(points: DataFrame, keys: Sequence[str], ident: Sequence[str], xyz: Sequence[str], count: int | Column) -> DataFrame:

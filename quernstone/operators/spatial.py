@@ -51,12 +51,13 @@ def overlapping_pairs(
 def within_radius(a: DataFrame, b: DataFrame, keys: Sequence[str], at_a: Sequence[str], at_b: Sequence[str], radius: float, closed: bool = False) -> DataFrame:
     """Pairs of points with equal keys nearer than ``radius`` (``closed``: at most), with their squared distance ``d2``.
 
-    The cells are as wide as the radius; ``a`` looks into its own and all adjacent cells, in any number of dimensions.
+    The cells are as wide as the radius; ``a`` looks into its own and all adjacent cells, in any number of dimensions. Null,
+    NaN and infinite places are near nothing; places too far out for a cell number share the outermost cell.
     """
     near_ = a
     for i, c in enumerate(at_a):
         own = F.floor(F.col(c) / radius)
-        near_ = near_.withColumn(f"_c{i}", F.explode(F.array(own - 1, own, own + 1)))
+        near_ = near_.withColumn(f"_c{i}", F.explode(F.array(F.try_subtract(own, F.lit(1)), own, F.try_add(own, F.lit(1)))))
     cells_b = b
     for i, c in enumerate(at_b):
         cells_b = cells_b.withColumn(f"_c{i}", F.floor(F.col(c) / radius))

@@ -44,13 +44,14 @@ def gt(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def preds(spark: SparkSession, d: str) -> DataFrame:
-    """Predicted boxes: each id once, keys as numbers, condition in lower case without outer blanks, no ``dummy`` lines."""
+def preds(spark: SparkSession, d: str, once: bool = True) -> DataFrame:
+    """Predicted boxes: keys as numbers, condition in lower case without outer blanks, no ``dummy`` lines.
+
+    Each id comes once; ``once`` is false for operators that count a repeated row once themselves.
+    """
+    rows = table(spark, d, "pred_lines").where("pred_id IS NOT NULL").where(F.coalesce(F.col("cls_kw") != "dummy", F.lit(True)))
     return (
-        table(spark, d, "pred_lines")
-        .where("pred_id IS NOT NULL")
-        .where(F.coalesce(F.col("cls_kw") != "dummy", F.lit(True)))
-        .dropDuplicates(["pred_id"])
+        (rows.dropDuplicates(["pred_id"]) if once else rows)
         .select("pred_id", whole_number(F.col("seq")).alias("seq"), whole_number(F.col("frame")).alias("frame"),
                 F.lower(F.trim("condition")).alias("cond"), "line_idx", F.lower(trimmed(F.col("cls_kw"))).alias("cls"), *_BOX,
                 F.when(~F.isnan("score"), F.col("score")).alias("score"), "trk_id", "is_fp")

@@ -67,7 +67,7 @@ def j16_nearest_centres(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def t05_t07_rotated_nms(spark: SparkSession, sf: str) -> DataFrame:
     """Detections left by class-wise rotated suppression in every frame, condition and class."""
-    p = d.preds(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL AND cond IS NOT NULL")
+    p = d.preds(spark, sf, once=False).where("seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL AND cond IS NOT NULL")
     return suppressed(p, ["seq", "frame", "cond", "cls"], "pred_id", "score", 0.1).select("pred_id")
 
 

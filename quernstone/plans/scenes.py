@@ -136,20 +136,20 @@ def m37_supersampled_axis(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(*_KEY, "part", (F.col("pk") % 64 * 4 + F.col("part")).alias("fine"), _r(0.1 + F.col("pk") % 64 * 0.25 + F.col("part") / 4.0 * 0.25).alias("metre"))
 
 
-def _known(spark: SparkSession, sf: str) -> DataFrame:
-    return d.preds(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL AND cond IS NOT NULL")
+def _known(spark: SparkSession, sf: str, once: bool = True) -> DataFrame:
+    return d.preds(spark, sf, once).where("seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL AND cond IS NOT NULL")
 
 
 @query()
 def t06_aligned_nms(spark: SparkSession, sf: str) -> DataFrame:
     """Detections left by axis-aligned suppression in every frame, condition and class."""
-    return suppressed(_known(spark, sf), ["seq", "frame", "cond", "cls"], "pred_id", "score", 0.1, by="aligned").select("pred_id")
+    return suppressed(_known(spark, sf, once=False), ["seq", "frame", "cond", "cls"], "pred_id", "score", 0.1, by="aligned").select("pred_id")
 
 
 @query()
 def t08_circle_nms(spark: SparkSession, sf: str) -> DataFrame:
     """Detections left by circle suppression (squared centre distance of at most 4)."""
-    return suppressed(_known(spark, sf), ["seq", "frame", "cond", "cls"], "pred_id", "score", 4.0, by="circle").select("pred_id")
+    return suppressed(_known(spark, sf, once=False), ["seq", "frame", "cond", "cls"], "pred_id", "score", 4.0, by="circle").select("pred_id")
 
 
 @query()

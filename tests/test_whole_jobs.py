@@ -70,3 +70,16 @@ def test_suppression_does_not_depend_on_batches(spark, by):
     df = spark.createDataFrame(rows, "k int, id int, score double, loc_x double, loc_z double, l double, w double, rot_y double")
     one, many = (sorted(r.id for r in suppressed(df, ["k"], "id", "score", 1.5 if by == "circle" else 0.1, by=by, batch=n).collect()) for n in (4096, 7))
     assert one == many and len(one) < 90
+
+
+@pytest.mark.parametrize("by", ["rotated", "aligned", "circle"])
+def test_suppression_of_odd_rows(spark, by):
+    nan, far = float("nan"), float("inf")
+    rows = [(1, 1, 0.9, 0.0, 0.0, 4.0, 2.0, 0.0), (1, 1, 0.9, 0.0, 0.0, 4.0, 2.0, 0.0), (1, 2, 0.8, 0.1, 0.0, 4.0, 2.0, 0.0),
+            (1, 3, 0.7, nan, 0.0, 4.0, 2.0, 0.0), (1, 4, 0.6, None, 0.0, 4.0, 2.0, 0.0), (1, 5, 0.5, far, 0.0, 4.0, 2.0, 0.0),
+            (1, 6, None, 0.0, 0.0, 4.0, 2.0, 0.0), (None, 7, 0.9, 0.0, 0.0, 4.0, 2.0, 0.0), (1, None, 0.9, 0.0, 0.0, 4.0, 2.0, 0.0),
+            (2, 8, 0.5, 0.0, 0.0, 4.0, 2.0, 0.0), (2, 9, 0.5, 0.0, 0.0, 4.0, 2.0, 0.0), (2, 9, 0.5, 0.0, 0.0, 4.0, 2.0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, id int, score double, loc_x double, loc_z double, l double, w double, rot_y double")
+    for n in (4096, 2, 1):
+        assert sorted(r.id for r in suppressed(df, ["k"], "id", "score", 0.1, by=by, batch=n).collect()) == [1, 3, 4, 5, 8]
+    assert suppressed(df.limit(0), ["k"], "id", "score", 0.1, by=by).count() == 0
