@@ -247,11 +247,12 @@ def k09_k10_lists_and_tags(spark: SparkSession, sf: str) -> DataFrame:
     return lists.join(tags, ["seq", "frame"]).select("split", "seq", "frame", "tag")
 
 
-@query(f"""WITH {PR} SELECT seq, cond, count(*) AS n, round(avg(score), 9) + 0.0 AS mean_score FROM pr WHERE seq IS NOT NULL AND cond IS NOT NULL GROUP BY ALL""")
+@query(f"""WITH {PR} SELECT seq, cond, count(*) AS n, round(CAST(sum(CAST(score AS DECIMAL(18,9))) AS DOUBLE) / count(score), 9) + 0.0 AS mean_score FROM pr WHERE seq IS NOT NULL AND cond IS NOT NULL GROUP BY ALL""")
 def k03_k06_facts_and_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Detections written as a fact table by sequence, summed up from it into a CSV report and read back."""
     root = new_folder(spark, "facts")
     sinks.write_facts(d.preds(spark, sf).where("seq IS NOT NULL"), f"{root}/facts")
-    summary = spark.read.parquet(f"{root}/facts").where("cond IS NOT NULL").groupBy("seq", "cond").agg(F.count("*").alias("n"), _r(F.avg("score"), 9).alias("mean_score"))
+    mean = F.sum(F.col("score").cast("decimal(18,9)")).cast("double") / F.count("score")  # the same for any order of rows
+    summary = spark.read.parquet(f"{root}/facts").where("cond IS NOT NULL").groupBy("seq", "cond").agg(F.count("*").alias("n"), _r(mean, 9).alias("mean_score"))
     sinks.write_summary(summary, f"{root}/summary")
     return spark.read.schema("seq bigint, cond string, n bigint, mean_score double").option("header", True).csv(f"{root}/summary")
