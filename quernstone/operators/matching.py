@@ -127,12 +127,12 @@ def suppressed(
         seen = write_stage(top.mapInPandas(_settled(k, sides, threshold, by, batch), schema), "nms-seen")
         kept = seen.where("_kept").select(*k, ident)
         done = kept if done is None else done.unionByName(kept)
-        # groups with a full batch may have worse boxes yet
-        last = seen.where(c("_rank") == batch).select(*k, c(score).alias("_score"), c(ident).alias("_id"))
+        # groups with a full batch may have worse boxes yet; written, so that Spark knows how few they are
+        last = write_stage(seen.where(c("_rank") == batch).select(*k, c(score).alias("_score"), c(ident).alias("_id")), "nms-last")
         if last.isEmpty():
             return done
         worse = (c(score) < c("_score")) | ((c(score) == c("_score")) & (c(ident) > c("_id")))
-        rest = left.join(last, k).where(worse).drop("_score", "_id")
+        rest = write_stage(left.join(last, k).where(worse).drop("_score", "_id"), "nms-rest")
         a = bev(seen.where("_kept").join(last, k, "left_semi"), "a", ident, k).withColumnRenamed(ident, "_ia")
         b = bev(rest, "b", ident, k).withColumnRenamed(ident, "_ib")
         dropped = _clashes(a, b, k, threshold, by).select(*k, c("_ib").alias(ident)).distinct()
