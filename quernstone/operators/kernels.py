@@ -110,3 +110,52 @@ def farthest_points(xyz: np.ndarray, count: int) -> np.ndarray:
         far = np.minimum(far, ((xyz - xyz[picked[i - 1]]) ** 2).sum(axis=1))
         picked[i] = int(np.argmax(far))
     return picked
+
+
+def run_starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, dtype=np.int64)
+
+
+def pair_blocks(frames_a: np.ndarray, xa: np.ndarray, frames_b: np.ndarray, xb: np.ndarray, reach: float, group: np.ndarray, most: int = 300_000):
+    """Blocks (i, j) of all pairs of rows of one frame whose ``x`` differ by at most ``reach`` (some differ by a trifle more).
+
+    Frames rise along the rows. The pairs are in the order of i; rows of one ``group``, which lie together, stay in one block. A block
+    has at most ``most`` pairs, or those of one group.
+    """
+    order = np.lexsort((xb, frames_b))
+    x = xb[order]
+    first = run_starts(frames_a)
+    names, last = frames_a[first], np.append(first[1:], len(frames_a))
+    slack = reach + 1e-9 * (np.abs(xa) + reach)
+    low, high = xa - slack, xa + slack
+    lo, hi = np.zeros(len(xa), dtype=np.int64), np.zeros(len(xa), dtype=np.int64)
+    for s, e, p, q in zip(first.tolist(), last.tolist(), np.searchsorted(frames_b, names).tolist(), np.searchsorted(frames_b, names, "right").tolist()):
+        lo[s:e] = x[p:q].searchsorted(low[s:e]) + p
+        hi[s:e] = x[p:q].searchsorted(high[s:e], "right") + p
+    n = hi - lo
+    upto = np.concatenate(([0], np.cumsum(n)))
+    ends = np.append(run_starts(group)[1:], len(group))
+    at, k = 0, 0
+    while at < len(xa):
+        k = max(k, int(np.searchsorted(upto[ends], upto[at] + most, "right")) - 1)
+        end = int(ends[k])
+        of = n[at:end]
+        if upto[end] > upto[at]:
+            i = np.repeat(np.arange(at, end), of)
+            j = order[np.arange(upto[end] - upto[at]) + np.repeat(lo[at:end] - (upto[at:end] - upto[at]), of)]
+            yield i, j
+        at, k = end, k + 1
+
+
+def least(value: np.ndarray, tie: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """(runs, n) places of the ``n`` least finite (value, tie) of every run, -1 where a run has no more."""
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(value))))
+    value, out = value.copy(), np.full((len(starts), n), -1)
+    for k in range(n if len(value) else 0):
+        at = np.flatnonzero((value == np.minimum.reduceat(value, starts)[run]) & np.isfinite(value))
+        at = at[np.lexsort((tie[at], run[at]))]
+        at = at[run_starts(run[at])]
+        out[run[at], k] = at
+        value[at] = np.inf
+    return out

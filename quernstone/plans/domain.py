@@ -80,15 +80,27 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("capture_time", F.regexp_replace(F.lower("capture_time"), "[^a-z]", ""))
 
 
+_POINT = {
+    "frame": ("cast(floor(l_orderkey / 16) as bigint)", "l_orderkey"), "ok": ("l_orderkey", "l_orderkey"), "ln": ("l_linenumber", "l_linenumber"), "pk": ("l_partkey", "l_partkey"), "sk": ("l_suppkey", "l_suppkey"),
+    "x": ("cast(l_quantity as double) * 1.4", "l_quantity"), "y": ("(l_partkey % 320) / 10.0D - 16", "l_partkey"), "z": ("cast(l_linenumber as double) - 2", "l_linenumber"),
+    "power": ("cast(l_extendedprice as double)", "l_extendedprice"),
+}
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     """Radar-like points derived from the line items: integer arithmetic first, so that every engine agrees."""
     return table(spark, d, "lineitem").selectExpr(
-        "cast(floor(l_orderkey / 16) as bigint) frame", "l_orderkey ok", "l_linenumber ln", "l_partkey pk", "l_suppkey sk",
-        "cast(l_quantity as double) * 1.4 x", "(l_partkey % 320) / 10.0D - 16 y", "cast(l_linenumber as double) - 2 z",
-        "cast(l_extendedprice as double) power", "(cast(l_discount as double) - cast(l_tax as double)) * 20 doppler", "l_returnflag flag",
+        *[f"{e} {c}" for c, (e, _) in _POINT.items()], "(cast(l_discount as double) - cast(l_tax as double)) * 20 doppler", "l_returnflag flag",
     )
 
 
+def framed_points(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The given columns of :func:`points`, frame first, dealt by frame; they are derived behind the shuffle, which so moves the least."""
+    columns = ("frame", *columns)
+    raw = table(spark, d, "lineitem").where("l_orderkey IS NOT NULL").select(*dict.fromkeys(_POINT[c][1] for c in columns))
+    return raw.repartition(F.expr(_POINT["frame"][0])).selectExpr(*[f"{_POINT[c][0]} {c}" for c in columns])
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """Polar power tensors derived from the line items, one a frame of 256 orders: Doppler, range, azimuth, elevation index, power."""
     return (

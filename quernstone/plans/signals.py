@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
 from quernstone.operators.blocks import bounded_window, numbered, running_sums
+from quernstone.operators.frames import near_rows
 from quernstone.operators.radar import above_quantile
 from quernstone.operators.ranking import global_rank
 from quernstone.operators.spatial import within_radius
@@ -68,15 +68,15 @@ FROM a JOIN pt b ON b.frame = a.frame AND NOT (a.ok = b.ok AND a.ln = b.ln AND a
 SELECT ok, ln, pk, sk, round(sum(power / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8)), 2) AS power FROM r WHERE k <= 3 GROUP BY frame, ok, ln, pk, sk""")
 def a35_inverse_distance(spark: SparkSession, sf: str) -> DataFrame:
     """Power interpolated at every point from the three nearest other points within 8 m, weighted by inverse distance."""
-    key, c = ["ok", "ln", "pk", "sk"], F.col
-    p = d.points(spark, sf)
-    a = p.select("frame", *key, *[c(k).alias("a" + k) for k in "xyz"])
-    b = p.select("frame", "power", *[c(k).alias("b" + k) for k in [*key, "x", "y", "z"]])
-    near = within_radius(a, b, ["frame"], ["ax", "ay", "az"], ["bx", "by", "bz"], 8.0, closed=True)
-    near = near.where(~reduce(lambda p, q: p & q, [c(k) == c("b" + k) for k in key]))
-    w = Window.partitionBy("frame", *key).orderBy("d2", "bok", "bln", "bpk", "bsk")
-    inv = 1 / (F.sqrt("d2") + 1e-8)
-    return near.withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("frame", *key).agg(F.round(F.sum(c("power") * inv) / F.sum(inv), 2).alias("power")).drop("frame")
+    key = ["ok", "ln", "pk", "sk"]
+    p = d.framed_points(spark, sf, *key, "x", "y", "z", "power")
+    near = near_rows(p, "frame", key, ["x", "y", "z"], 8.0, 3, ["power"], closed=True, others=True)
+
+    def total(value):
+        return F.aggregate("near", F.lit(0.0), lambda s, b: s + value(b))
+
+    inv = lambda b: 1 / (F.sqrt(b["d2"]) + 1e-8)
+    return near.select(*key, F.round(total(lambda b: b["power"] * inv(b)) / total(inv), 2).alias("power"))
 
 
 @query(f"""WITH {PT}, v AS (SELECT *, CAST(floor(x/7) AS BIGINT) AS vx, CAST(floor(y/4) AS BIGINT) AS vy FROM pt), n AS (SELECT frame, vx, vy, count(*) AS n FROM v GROUP BY ALL)
