@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
+from quernstone.operators.frames import near_counts, near_rows
 from quernstone.operators.matching import bev, bev_candidates, farthest_sample, greedy_pairs, suppressed
 from quernstone.operators.spatial import neighbour_slots, within_radius
 from quernstone.plans import domain as d
@@ -84,10 +85,8 @@ _BALL = """a AS (SELECT frame, ok, ln, pk, sk, x, y, z FROM pt), j AS (SELECT a.
 @query(f"WITH {PT}, {_BALL} SELECT ok, ln, pk, sk, count(*) AS n FROM j WHERE d2 < 9 GROUP BY ALL")
 def j21_r09_ball_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Points nearer than 3 m to every point, itself included."""
-    p = d.points(spark, sf)
-    a = p.select("frame", "ok", "ln", "pk", "sk", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
-    near = within_radius(a, p.select("frame", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz")), ["frame"], ["ax", "ay", "az"], ["bx", "by", "bz"], 3.0)
-    return near.groupBy("ok", "ln", "pk", "sk").agg(F.count("*").alias("n"))
+    key = ["ok", "ln", "pk", "sk"]
+    return near_counts(d.framed_points(spark, sf, *key, "x", "y", "z"), "frame", key, ["x", "y", "z"], 3.0).drop("frame")
 
 
 @query(f"""WITH {PT}, {_BALL}, r AS (SELECT *, row_number() OVER (PARTITION BY ok, ln, pk, sk, frame ORDER BY d2, bok, bln, bpk, bsk) AS k FROM j WHERE d2 <= 36)
