@@ -93,13 +93,9 @@ def j21_r09_ball_counts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT ok, ln, pk, sk, bok, bln, bpk, bsk, CAST(k AS INT) AS k, round(d2, 6) + 0.0 AS d2 FROM r WHERE k <= 3""")
 def j23_three_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The three nearest points within 6 m of every point; ties by key."""
-    p = d.points(spark, sf)
     key = ["ok", "ln", "pk", "sk"]
-    a = p.select("frame", *key, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
-    b = p.select("frame", *[F.col(k).alias("b" + k) for k in key], F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
-    near = within_radius(a, b, ["frame"], ["ax", "ay", "az"], ["bx", "by", "bz"], 6.0, closed=True)
-    w = Window.partitionBy("frame", *key).orderBy("d2", "bok", "bln", "bpk", "bsk")
-    return near.withColumn("k", F.row_number().over(w)).where("k <= 3").select(*key, "bok", "bln", "bpk", "bsk", "k", F.round("d2", 6).alias("d2"))
+    near = near_rows(d.framed_points(spark, sf, *key, "x", "y", "z"), "frame", key, ["x", "y", "z"], 6.0, 3, key, closed=True)
+    return near.select(*key, F.posexplode("near").alias("k", "b")).select(*key, *[F.col(f"b.{k}").alias("b" + k) for k in key], (F.col("k") + 1).alias("k"), F.round("b.d2", 6).alias("d2"))
 
 
 @query(f"""WITH {PT}, {_BALL}, r AS (SELECT *, row_number() OVER (PARTITION BY ok, ln, pk, sk, frame ORDER BY bok, bln, bpk, bsk) AS k, count(*) OVER (PARTITION BY ok, ln, pk, sk, frame) AS n FROM j WHERE d2 < 9)
