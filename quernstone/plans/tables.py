@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import geometry as g
 from quernstone.operators.blocks import numbered
 from quernstone.operators.evaluation import checked_transitions, match_rows_by_track, transition_rates
+from quernstone.operators.frames import near_rows
 from quernstone.operators.matching import bev, bev_candidates, farthest_sample, greedy_pairs, suppressed
 from quernstone.operators.spatial import overlapping_pairs, within_radius
 from quernstone.plans import domain as d
@@ -360,15 +361,11 @@ m AS (SELECT frame, ok, ln, pk, sk, avg(dist) AS d FROM j WHERE k <= 5 GROUP BY
 SELECT m.frame, count(*) AS judged, count(*) FILTER (round(d, 9) <= round(lim, 9)) AS kept FROM m JOIN s ON s.frame = m.frame GROUP BY m.frame""")
 def r09_statistical_outliers(spark: SparkSession, sf: str) -> DataFrame:
     """Points kept by the statistical filter: mean distance of the five nearest points at most two deviations above the frame's mean."""
-    c, key = F.col, ["ok", "ln", "pk", "sk"]
-    p = d.points(spark, sf)
-    a = p.select("frame", *key, *[c(k).alias("a" + k) for k in "xyz"])
-    b = p.select("frame", *[c(k).alias("b" + k) for k in [*key, "x", "y", "z"]])
-    near = within_radius(a, b, ["frame"], ["ax", "ay", "az"], ["bx", "by", "bz"], 20.0, closed=True).where(~(c("ok").eqNullSafe(c("bok")) & c("ln").eqNullSafe(c("bln")) & c("pk").eqNullSafe(c("bpk")) & c("sk").eqNullSafe(c("bsk"))))
-    k = F.row_number().over(Window.partitionBy("frame", *key).orderBy("d2", "bok", "bln", "bpk", "bsk"))
-    m = near.withColumn("k", k).where("k <= 5").groupBy("frame", *key).agg(F.avg(F.sqrt("d2")).alias("d"))
-    limit = m.groupBy("frame").agg((F.avg("d") + 2 * F.stddev_samp("d")).alias("lim"))
-    return m.join(limit, "frame").groupBy("frame").agg(F.count("*").alias("judged"), F.count_if(F.round("d", 9) <= F.round("lim", 9)).alias("kept"))
+    key = ["ok", "ln", "pk", "sk"]
+    near = near_rows(d.framed_points(spark, sf, *key, "x", "y", "z"), "frame", key, ["x", "y", "z"], 20.0, 5, [], closed=True, others=True)
+    m = near.select("frame", (F.aggregate("near", F.lit(0.0), lambda s, b: s + F.sqrt(b["d2"])) / F.size("near")).alias("d"))
+    of = m.groupBy("frame").agg((F.avg("d") + 2 * F.stddev_samp("d")).alias("lim"), F.collect_list("d").alias("_d"))  # a frame is one scan
+    return of.select("frame", F.size("_d").cast("bigint").alias("judged"), F.size(F.filter("_d", lambda v: F.round(v, 9) <= F.round("lim", 9))).cast("bigint").alias("kept"))
 
 
 @query(f"""WITH {PT}, f AS (SELECT DISTINCT frame FROM pt), r AS (SELECT frame, u, v, dep FROM f, (SELECT unnest(range(0, 4)) AS u), (SELECT unnest(range(0, 3)) AS v), (SELECT unnest([5, 20, 60]) AS dep))
