@@ -102,11 +102,10 @@ def j23_three_nearest(spark: SparkSession, sf: str) -> DataFrame:
 SELECT ok, ln, pk, sk, CAST(s AS INT) AS slot, bok, bln, bpk, bsk FROM r, (SELECT unnest(range(0, 4)) AS s) WHERE k = CASE WHEN s < n THEN s + 1 ELSE 1 END""")
 def j21_ball_query(spark: SparkSession, sf: str) -> DataFrame:
     """Ball query: of every point the first four points in key order nearer than 3 m, empty slots filled with the first."""
-    p, key = d.points(spark, sf), ["ok", "ln", "pk", "sk"]
-    a = p.select("frame", *key, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
-    b = p.select("frame", *[F.col(k).alias("b" + k) for k in key], F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
-    near = within_radius(a, b, ["frame"], ["ax", "ay", "az"], ["bx", "by", "bz"], 3.0)
-    return neighbour_slots(near, ["frame", *key], ["bok", "bln", "bpk", "bsk"], 4).select(*key, "slot", "bok", "bln", "bpk", "bsk")
+    key = ["ok", "ln", "pk", "sk"]
+    near = near_rows(d.framed_points(spark, sf, *key, "x", "y", "z"), "frame", key, ["x", "y", "z"], 3.0, 4, key, by_key=True)
+    slots = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.struct(s.alias("slot"), F.get("near", F.when(s < F.size("near"), s).otherwise(0)).alias("b")))
+    return near.select(*key, F.inline(slots)).select(*key, "slot", *[F.col(f"b.{k}").alias("b" + k) for k in key])
 
 
 _VOXELS = "vx AS (SELECT frame, CAST(floor(x / 3) AS BIGINT) AS vx, CAST(floor(y / 3) AS BIGINT) AS vy, CAST(floor(z / 2) AS BIGINT) AS vz, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM pt GROUP BY ALL)"
