@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.operators.blocks import running_sums
+from quernstone.operators.frames import sidelobes, window_means, window_quantiles
 
 
 def order_statistics(df: DataFrame, by: Sequence[str], value: str, share: float, ranges: int = 1024) -> DataFrame:
@@ -136,6 +137,28 @@ def sidelobe_filter(cells: DataFrame, by: Sequence[str], sizes: Sequence[int], p
     return out.select(*by, *axes, F.coalesce("_kept", F.lit(False)).cast("int").alias("kept_os"), F.coalesce("_wide", F.lit(False)).cast("int").alias("kept_padded"))
 
 
+def framed_ca_cfar(cells: DataFrame, frame: str, axes: Sequence[str], power: str, guard: Sequence[int], train: Sequence[int], pfa: float) -> DataFrame:
+    """:func:`ca_cfar` with zero edges where the cells are dealt by ``frame``: a cube is one frame's, and a task holds it."""
+    offsets = offsets_around(guard, train)
+    n = len(offsets)
+    out = window_means(cells, frame, axes, power, offsets).withColumn("threshold", F.col("mean") * (n * (pfa ** (-1.0 / n) - 1)))
+    return out.withColumn("detected", F.col(power) > F.col("threshold"))
+
+
+def framed_os_cfar(cells: DataFrame, frame: str, axes: Sequence[str], sizes: Sequence[int], power: str, guard: Sequence[int], train: Sequence[int], share: float, factor: float = 1.0) -> DataFrame:
+    """:func:`os_cfar` where the cells are dealt by ``frame``: a cube is one frame's, and a task holds it."""
+    out = window_quantiles(cells, frame, axes, power, offsets_around(guard, train), share, -1.0)
+    inner = reduce(lambda x, y: x & y, [(F.col(a) >= g + t) & (F.col(a) < s - g - t) for a, s, g, t in zip(axes, sizes, guard, train)])
+    return out.withColumn("detected", F.coalesce(inner & (F.col(power) != -1) & (F.col(power) > F.col("level") * factor), F.lit(False)))
+
+
+def framed_sidelobe_filter(cells: DataFrame, frame: str, sizes: Sequence[int], power: str, weight: Column, guard: Sequence[int], train: Sequence[int], pfa: float, rate: float, pad: tuple[int, int]) -> DataFrame:
+    """:func:`sidelobe_filter` where the cells are dealt by ``frame``: a cube is one frame's, and a task holds it."""
+    offsets = offsets_around(guard, train)
+    n = len(offsets)
+    return sidelobes(cells.withColumn("_w", F.col(power) * weight), frame, sizes[1], power, "_w", offsets, n * (pfa ** (-1.0 / n) - 1), rate, pad)
+
+
 def interpolated(cells: DataFrame, at: DataFrame, index: Sequence[str], position: Sequence[str], values: Sequence[str], ident: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(ident, by, values) at positions in cell units: bilinear, trilinear and so on from the 2**n cells around.
 

@@ -103,14 +103,24 @@ def framed_points(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """Polar power tensors derived from the line items, one a frame of 256 orders: Doppler, range, azimuth, elevation index, power."""
+    return _cells(table(spark, d, "lineitem"))
+
+
+def _cells(lines: DataFrame) -> DataFrame:
     return (
-        table(spark, d, "lineitem")
+        lines
         .groupBy(F.expr("cast(floor(l_orderkey / 256) as bigint)").alias("frame"), F.expr("cast(l_suppkey % 8 as int)").alias("di"), F.expr("cast(l_partkey % 32 as int)").alias("ri"),
                  F.expr("cast(l_orderkey % 16 as int)").alias("ai"), F.expr("cast(l_linenumber as int)").alias("ei"))
         .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("p"))
     )
 
 
+def framed_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Mean power of :func:`cells` by frame, range, azimuth and elevation; the rows are dealt by frame once, all sums are made there."""
+    raw = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").repartition(F.expr("cast(floor(l_orderkey / 256) as bigint)"))
+    return _cells(raw).groupBy("frame", "ri", "ai", "ei").agg(F.avg("p").alias("p"))
+
+
 def _n(c: str) -> str:
     return f"try_cast(nullif(regexp_extract({c}, '([0-9]+)', 1), '') AS BIGINT)"
 

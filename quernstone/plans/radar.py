@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
 from quernstone.operators import corruption as n
-from quernstone.operators.radar import above_quantile, ca_cfar, interpolated, offsets_around, os_cfar, sidelobe_filter
+from quernstone.operators.radar import above_quantile, ca_cfar, framed_ca_cfar, framed_os_cfar, framed_sidelobe_filter, interpolated, offsets_around, sidelobe_filter
 from quernstone.plans import domain as d
 from quernstone.plans.domain import CE, PT, Catalogue
 from quernstone.session import table
@@ -137,8 +137,8 @@ def _cube(spark: SparkSession, sf: str) -> DataFrame:
     return d.cells(spark, sf).groupBy("frame", *_AX).agg(F.avg("p").alias("p"))
 
 
-def _marked(spark: SparkSession, sf: str) -> DataFrame:
-    return _cube(spark, sf).withColumn("p", F.when((F.col("ri") * 7 + F.col("ai")) % 13 == 0, -1.0).otherwise(F.col("p")))
+def _marked(cube: DataFrame) -> DataFrame:
+    return cube.withColumn("p", F.when((F.col("ri") * 7 + F.col("ai")) % 13 == 0, -1.0).otherwise(F.col("p")))
 
 
 def _refl(c: str, s: int) -> str:
@@ -151,7 +151,7 @@ m AS (SELECT q.frame, q.ri, q.ai, q.ei, sum(u.t) / {_N} AS mean FROM asked q JOI
 SELECT c.frame, c.ri, c.ai, c.ei, round(coalesce(mean, 0), 6) + 0.0 AS mean, p <> -1 AND t > coalesce(mean, 0) * {_ALPHA} AS detected FROM c LEFT JOIN m ON m.frame = c.frame AND m.ri = c.ri AND m.ai = c.ai AND m.ei = c.ei""")
 def r01_ca_cfar_mirror(spark: SparkSession, sf: str) -> DataFrame:
     """Cell-averaging CFAR in the (range, azimuth, elevation) cube of every frame, edges mirrored, unknown cells at the cube's mean."""
-    return ca_cfar(_marked(spark, sf), _AX, _SIZES, "p", _GUARD, _TRAIN, 0.05, "mirror", ["frame"], -1.0).select("frame", *_AX, _r("mean").alias("mean"), "detected")
+    return ca_cfar(_marked(_cube(spark, sf)), _AX, _SIZES, "p", _GUARD, _TRAIN, 0.05, "mirror", ["frame"], -1.0).select("frame", *_AX, _r("mean").alias("mean"), "detected")
 
 
 @query(f"""WITH {_CUBE}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da, de)), m AS (SELECT c.frame, c.ri, c.ai, c.ei, sum(coalesce(t.p, 0)) / {_N} AS mean FROM cube c CROSS JOIN o
@@ -168,7 +168,7 @@ SELECT c.frame, c.ri, c.ai, c.ei, round(level, 6) + 0.0 AS level, coalesce(c.ri
 FROM marked c LEFT JOIN m ON m.frame = c.frame AND m.ri = c.ri AND m.ai = c.ai AND m.ei = c.ei""")
 def r03_os_cfar(spark: SparkSession, sf: str) -> DataFrame:
     """Ordered-statistic CFAR in the cube of every frame: the local quantile leaves out the guard and unknown cells."""
-    return os_cfar(_marked(spark, sf), _AX, _SIZES, "p", _GUARD, _TRAIN, 0.75, by=["frame"]).select("frame", *_AX, _r("level").alias("level"), "detected")
+    return framed_os_cfar(_marked(d.framed_cube(spark, sf)), "frame", _AX, _SIZES, "p", _GUARD, _TRAIN, 0.75).select("frame", *_AX, _r("level").alias("level"), "detected")
 
 
 @query(f"""WITH {_CUBE}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da, de)), m AS (SELECT c.frame, c.ri, c.ai, c.ei, any_value(c.p) AS p, sum(coalesce(t.p, 0)) / {_N} AS mean FROM cube c CROSS JOIN o

@@ -8,10 +8,12 @@ import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from quernstone.operators import kernels
+from quernstone.operators.frames import Cells
 from tests.oracle import DATA, same
 
 SCHEMA = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
 NEAR = ["a35_inverse_distance", "j21_r09_ball_counts", "j23_three_nearest", "r09_statistical_outliers", "j21_ball_query"]
+CUBES = ["r03_os_cfar"]
 
 
 def nodes_of(df) -> list[str]:
@@ -20,7 +22,7 @@ def nodes_of(df) -> list[str]:
     return [line.strip(" :+-*()0123456789") for line in plan.split("\n")]
 
 
-@pytest.mark.parametrize("name", NEAR)
+@pytest.mark.parametrize("name", NEAR + CUBES)
 def test_rows_are_shuffled_once_and_alone(spark, name):
     nodes = nodes_of(queries()[name](spark, DATA))
     shuffles = [i for i, n in enumerate(nodes) if n.startswith("Exchange") and "FLOOR" in n]
@@ -45,7 +47,7 @@ def cloud(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("batch", ["7", "10000"])
-@pytest.mark.parametrize("name", NEAR)
+@pytest.mark.parametrize("name", NEAR + CUBES)
 def test_odd_clouds_equal_sql(spark, cloud, name, batch):
     folder, duck = cloud
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
@@ -69,3 +71,14 @@ def test_pair_blocks_give_every_near_pair_once():
 def test_least_of_runs():
     value, tie = np.array([3.0, 1.0, 1.0, 2.0, np.inf, 5.0]), np.array([0, 9, 4, 0, 0, 0])
     assert kernels.least(value, tie, np.array([0, 4]), 3).tolist() == [[2, 1, 3], [5, -1, -1]]
+
+
+@pytest.mark.parametrize("most", [20_000_000, 0])
+def test_cells_around_by_table_and_by_search(most):
+    rng = np.random.default_rng(2)
+    cells = sorted({(int(f), int(a) * 1000 if a > 6 else int(a), int(b)) for f, a, b in rng.integers(0, 9, (150, 3))})
+    f, a, b = map(np.array, zip(*cells))
+    value = {c: float(i) for i, c in enumerate(cells)}
+    steps = [(1, -2), (0, 0), (-1, 1)]
+    for (da, db), got in zip(steps, Cells(f, [a, b], (1, 2), most).around(steps, np.arange(len(cells), dtype=float), -1.0)):
+        assert got.tolist() == [value.get((x, y + da, z + db), -1.0) for x, y, z in cells]
