@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
 from quernstone.operators import corruption as n
-from quernstone.operators.radar import above_quantile, ca_cfar, framed_ca_cfar, framed_os_cfar, framed_sidelobe_filter, interpolated, offsets_around, sidelobe_filter
+from quernstone.operators.radar import above_quantile, ca_cfar, framed_ca_cfar, framed_os_cfar, framed_sidelobe_filter, interpolated, offsets_around
 from quernstone.plans import domain as d
 from quernstone.plans.domain import CE, PT, Catalogue
 from quernstone.session import table
@@ -180,7 +180,7 @@ SELECT frame, ri, ai, ei, CAST(EXISTS (SELECT 1 FROM k WHERE k.frame = pts.frame
 CAST(EXISTS (SELECT 1 FROM k WHERE k.frame = pts.frame AND k.ri BETWEEN pts.ri - 2 AND pts.ri + 2 AND k.ai BETWEEN pts.ai - 1 AND pts.ai + 1) AS INT) AS kept_padded FROM pts""")
 def r04_sidelobe_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Two-stage sidelobe filter of every frame: CA-CFAR, height-weighted range-azimuth sums, quantile per range row, widened cells."""
-    return sidelobe_filter(_cube(spark, sf), ["frame"], _SIZES, "p", 20 - 2 * F.abs(F.col("ei") - 2), _GUARD, _TRAIN, 0.05, 0.1, (2, 1))
+    return framed_sidelobe_filter(d.framed_cube(spark, sf), "frame", _SIZES, "p", 20 - 2 * F.abs(F.col("ei") - 2), _GUARD, _TRAIN, 0.05, 0.1, (2, 1))
 
 
 #: Axis, its cell, the two coordinates of its lines, and its size.
