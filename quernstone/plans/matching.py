@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
-from quernstone.operators.frames import near_counts, near_rows
+from quernstone.operators.frames import grid_pools, near_counts, near_rows, near_voxels
 from quernstone.operators.matching import bev, bev_candidates, farthest_sample, greedy_pairs, suppressed
 from quernstone.operators.spatial import neighbour_slots, within_radius
 from quernstone.plans import domain as d
@@ -98,14 +98,18 @@ def j23_three_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(*key, F.posexplode("near").alias("k", "b")).select(*key, *[F.col(f"b.{k}").alias("b" + k) for k in key], (F.col("k") + 1).alias("k"), F.round("b.d2", 6).alias("d2"))
 
 
+def _slots(n: int):
+    """The rows of ``near`` in the slots 0 to n - 1; slots beyond the last hold the first."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.struct(s.alias("slot"), F.get("near", F.when(s < F.size("near"), s).otherwise(0)).alias("b")))
+
+
 @query(f"""WITH {PT}, {_BALL}, r AS (SELECT *, row_number() OVER (PARTITION BY ok, ln, pk, sk, frame ORDER BY bok, bln, bpk, bsk) AS k, count(*) OVER (PARTITION BY ok, ln, pk, sk, frame) AS n FROM j WHERE d2 < 9)
 SELECT ok, ln, pk, sk, CAST(s AS INT) AS slot, bok, bln, bpk, bsk FROM r, (SELECT unnest(range(0, 4)) AS s) WHERE k = CASE WHEN s < n THEN s + 1 ELSE 1 END""")
 def j21_ball_query(spark: SparkSession, sf: str) -> DataFrame:
     """Ball query: of every point the first four points in key order nearer than 3 m, empty slots filled with the first."""
     key = ["ok", "ln", "pk", "sk"]
     near = near_rows(d.framed_points(spark, sf, *key, "x", "y", "z"), "frame", key, ["x", "y", "z"], 3.0, 4, key, by_key=True)
-    slots = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.struct(s.alias("slot"), F.get("near", F.when(s < F.size("near"), s).otherwise(0)).alias("b")))
-    return near.select(*key, F.inline(slots)).select(*key, "slot", *[F.col(f"b.{k}").alias("b" + k) for k in key])
+    return near.select(*key, F.inline(_slots(4))).select(*key, "slot", *[F.col(f"b.{k}").alias("b" + k) for k in key])
 
 
 _VOXELS = "vx AS (SELECT frame, CAST(floor(x / 3) AS BIGINT) AS vx, CAST(floor(y / 3) AS BIGINT) AS vy, CAST(floor(z / 2) AS BIGINT) AS vz, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM pt GROUP BY ALL)"
@@ -171,14 +175,11 @@ k AS (SELECT bok, bln, bpk, bsk, frame, gu, gv, cx + cos(yaw)*gu - sin(yaw)*gv A
 SELECT bok, bln, bpk, bsk, gu, gv, count(*) AS n, CAST(sum(CAST(power AS DECIMAL(18,2))) AS DOUBLE) AS total, round(avg(x - kx), 6) + 0.0 AS mean_dx FROM k JOIN pt ON pt.frame = k.frame AND round(abs(x - kx), 9) <= 2 AND round(abs(y - ky), 9) <= 2 GROUP BY ALL""")
 def a34_vector_pool(spark: SparkSession, sf: str) -> DataFrame:
     """Vector pooling: of four key points in every box the points of the 4 m local grid cell around each, summed and averaged relative to it."""
-    c, key = F.col, ["bok", "bln", "bpk", "bsk"]
-    p = d.points(spark, sf)
-    k = p.select("frame", *[c(i[1:]).alias(i) for i in key], c("x").alias("cx"), c("y").alias("cy"), (c("ok") % 628 / 100.0).alias("yaw"))
-    k = k.withColumn("gu", F.explode(F.array(F.lit(-1.5), F.lit(1.5)))).withColumn("gv", F.explode(F.array(F.lit(-1.0), F.lit(1.0))))
-    du, dv = g.rotated(c("gu"), c("gv"), c("yaw"))
-    near = within_radius(k.withColumn("kx", c("cx") + du).withColumn("ky", c("cy") + dv), p.select("frame", "x", "y", "power"), ["frame"], ["kx", "ky"], ["x", "y"], 3.0, closed=True)
-    near = near.where((F.round(F.abs(c("x") - c("kx")), 9) <= 2) & (F.round(F.abs(c("y") - c("ky")), 9) <= 2))
-    return near.groupBy(*key, "gu", "gv").agg(F.count("*").alias("n"), F.sum(c("power").cast("decimal(18,2)")).cast("double").alias("total"), F.round(F.avg(c("x") - c("kx")), 6).alias("mean_dx"))
+    c, key = F.col, ["ok", "ln", "pk", "sk"]
+    p = d.framed_points(spark, sf, *key, "x", "y", "power").withColumn("yaw", c("ok") % 628 / 100.0)
+    p = p.select("frame", *key, "x", "y", F.cos("yaw").alias("co"), F.sin("yaw").alias("si"), (c("power").cast("decimal(18,2)") * 100).cast("bigint").alias("cents"))
+    pools = grid_pools(p, "frame", key, ["x", "y"], ["co", "si"], [(u, v) for u in (-1.5, 1.5) for v in (-1.0, 1.0)], 2.0, "cents")
+    return pools.select(*[c(k).alias("b" + k) for k in key], "gu", "gv", "n", (c("cents") / 100.0).alias("total"), F.round("mean_dx", 6).alias("mean_dx"))
 
 
 @query(f"WITH {PT}, {_BOXES}, {_IN} SELECT pt.frame, count(*) AS n FROM pt WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.ok = pt.ok AND i.ln = pt.ln AND i.pk = pt.pk AND i.sk = pt.sk AND i.power = pt.power) GROUP BY ALL")
