@@ -159,7 +159,7 @@ LEFT JOIN cube t ON t.frame = c.frame AND t.ri = c.ri + dr AND t.ai = c.ai + da
 SELECT c.frame, c.ri, c.ai, c.ei, round(mean, 6) + 0.0 AS mean, p > mean * {_ALPHA} AS detected FROM cube c JOIN m ON m.frame = c.frame AND m.ri = c.ri AND m.ai = c.ai AND m.ei = c.ei""")
 def r02_ca_cfar_zero(spark: SparkSession, sf: str) -> DataFrame:
     """The same with zeros beyond the edges and no unknown cells."""
-    return ca_cfar(_cube(spark, sf), _AX, _SIZES, "p", _GUARD, _TRAIN, 0.05, "zero", ["frame"]).select("frame", *_AX, _r("mean").alias("mean"), "detected")
+    return framed_ca_cfar(d.framed_cube(spark, sf).where("frame IS NOT NULL").dropna(subset=_AX), "frame", _AX, "p", _GUARD, _TRAIN, 0.05).select("frame", *_AX, _r("mean").alias("mean"), "detected")
 
 
 @query(f"""WITH {_CUBE}, o AS (SELECT * FROM (VALUES {_OFF}) v(dr, da, de)), m AS (SELECT c.frame, c.ri, c.ai, c.ei, quantile_cont(t.p, 0.75) AS level FROM marked c CROSS JOIN o

@@ -13,7 +13,7 @@ from tests.oracle import DATA, same
 
 SCHEMA = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
 NEAR = ["a35_inverse_distance", "j21_r09_ball_counts", "j23_three_nearest", "r09_statistical_outliers", "j21_ball_query", "a34_vector_pool"]
-CUBES = ["r03_os_cfar", "r04_sidelobe_filter"]
+CUBES = ["r03_os_cfar", "r04_sidelobe_filter", "r02_ca_cfar_zero"]
 
 
 def nodes_of(df) -> list[str]:
