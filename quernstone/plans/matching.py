@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import geometry as g
 from quernstone.operators.frames import grid_pools, near_counts, near_rows, near_voxels
 from quernstone.operators.matching import bev, bev_candidates, farthest_sample, greedy_pairs, suppressed
-from quernstone.operators.spatial import neighbour_slots, within_radius
+from quernstone.operators.spatial import within_radius
 from quernstone.plans import domain as d
 from quernstone.plans.domain import PT, Catalogue
 
@@ -121,16 +121,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY frame, ok, ln, pk, sk ORDER BY d
 SELECT ok, ln, pk, sk, CAST(s AS INT) AS slot, vx, vy, vz FROM r, (SELECT unnest(range(0, 3)) AS s) WHERE k = CASE WHEN s < n THEN s + 1 ELSE 1 END""")
 def j22_voxel_query(spark: SparkSession, sf: str) -> DataFrame:
     """Voxel query: of every point the first three voxels around it, in the order of their offsets, whose mean point is at most 3 m away; empty slots take the first."""
-    c, key = F.col, ["ok", "ln", "pk", "sk"]
-    p = d.points(spark, sf)
-    cell = {"z": F.floor(c("z") / 2), "y": F.floor(c("y") / 3), "x": F.floor(c("x") / 3)}
-    voxels = p.groupBy("frame", *[cell[k].alias(f"v{k}") for k in "zyx"]).agg(*[F.avg(k).alias(f"c{k}") for k in "xyz"])
-    near = p.select("frame", *key, "x", "y", "z", *[cell[k].alias(f"o{k}") for k in "zyx"])
-    for k in "zyx":
-        near = near.withColumn(f"d{k}", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn(f"v{k}", c(f"o{k}") + c(f"d{k}"))
-    near = near.join(voxels, ["frame", "vz", "vy", "vx"])
-    d2 = sum((F.pow(c(k) - c(f"c{k}"), F.lit(2)) for k in "yz"), F.pow(c("x") - c("cx"), F.lit(2)))
-    return neighbour_slots(near.where(F.round(d2, 9) <= 9), ["frame", *key], ["dz", "dy", "dx"], 3).select(*key, "slot", "vx", "vy", "vz")
+    key = ["ok", "ln", "pk", "sk"]
+    near = near_voxels(d.framed_points(spark, sf, *key, "x", "y", "z"), "frame", key, ["z", "y", "x"], [2.0, 3.0, 3.0], 3.0, 3)
+    return near.select(*key, F.inline(_slots(3))).select(*key, "slot", "b.vx", "b.vy", "b.vz")
 
 
 _BOXES = "bx AS (SELECT frame, ok AS bok, ln AS bln, pk AS bpk, sk AS bsk, x AS cx, y AS cy, z AS cz, (ok % 628) / 100.0::DOUBLE AS yaw FROM pt)"

@@ -22,7 +22,7 @@ def nodes_of(df) -> list[str]:
     return [line.strip(" :+-*()0123456789") for line in plan.split("\n")]
 
 
-@pytest.mark.parametrize("name", NEAR + CUBES)
+@pytest.mark.parametrize("name", [*NEAR, *CUBES, "j22_voxel_query"])
 def test_rows_are_shuffled_once_and_alone(spark, name):
     nodes = nodes_of(queries()[name](spark, DATA))
     shuffles = [i for i, n in enumerate(nodes) if n.startswith("Exchange") and "FLOOR" in n]
