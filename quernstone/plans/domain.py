@@ -33,12 +33,11 @@ class Catalogue:
 _BOX = ("h", "w", "l", "loc_x", "loc_y", "loc_z", "rot_y")
 
 
-def gt(spark: SparkSession, d: str) -> DataFrame:
-    """Ground-truth boxes: each id once, sequence and frame as numbers, class word trimmed and in lower case."""
+def gt(spark: SparkSession, d: str, once: bool = True) -> DataFrame:
+    """Ground-truth boxes: each id once, sequence and frame as numbers, class word trimmed and in lower case; ``once`` as in :func:`preds`."""
+    rows = table(spark, d, "gt_lines").where("gt_id IS NOT NULL")
     return (
-        table(spark, d, "gt_lines")
-        .where("gt_id IS NOT NULL")
-        .dropDuplicates(["gt_id"])
+        (rows.dropDuplicates(["gt_id"]) if once else rows)
         .select("gt_id", whole_number(F.col("seq")).alias("seq"), whole_number(F.col("frame")).alias("frame"), "line_idx",
                 F.lower(trimmed(F.col("cls_kw"))).alias("cls"), *_BOX, "trk_id", "ambiguous")
     )

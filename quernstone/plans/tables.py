@@ -11,7 +11,8 @@ from quernstone.functions import geometry as g
 from quernstone.operators.blocks import numbered
 from quernstone.operators.evaluation import checked_transitions, match_rows_by_track, transition_rates
 from quernstone.operators.frames import near_rows
-from quernstone.operators.matching import bev, bev_candidates, farthest_sample, greedy_pairs, suppressed
+from quernstone.operators.matching import farthest_sample, suppressed
+from quernstone.operators.rivals import rebuilt
 from quernstone.operators.spatial import overlapping_pairs, within_radius
 from quernstone.plans import domain as d
 from quernstone.plans.assignment import _ROI, _roi_pairs
@@ -334,22 +335,13 @@ def j12_x12_rebuilt_ids(spark: SparkSession, sf: str) -> DataFrame:
     """
     c, dims, keys = F.col, ["h", "w", "l", "loc_x", "loc_y", "loc_z", "rot_y"], ["seq", "frame", "cls"]
     known = "seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL"
-    base = d.gt(spark, sf).where(known)
-    lines = base.select("gt_id", "line_idx", *keys, *[F.round(k, 2).alias("a" + k) for k in dims])
-    records = base.select(c("gt_id").alias("rid"), c("trk_id").alias("found_track"), *keys, *[F.round(c(k) + c("gt_id") % 2 * 0.001, 2).alias("b" + k) for k in dims])
-    near = within_radius(lines, records, keys, ["aloc_x", "aloc_z"], ["bloc_x", "bloc_z"], 0.0075)
-    for k in dims:
-        near = near.where(F.abs(c("a" + k) - c("b" + k)) < 0.005)
-    taken = greedy_pairs(near, keys, "gt_id", "rid", [F.asc("line_idx")], [], spare="spare").groupBy("gt_id").agg(
-        F.max(F.when(~c("spare"), c("found_track"))).alias("track"), F.bool_or("spare").alias("ambiguous")
-    )
-    found = d.preds(spark, sf).where(known).where("cond IS NOT NULL")
-    pairs = bev_candidates(
-        bev(found, "a", "pred_id", keys, [c("cond"), F.coalesce("score", F.lit(0.0)).alias("score"), c("line_idx")]), bev(base, "b", "gt_id", keys), keys
-    ).where("iou > 0.5")
-    hit = greedy_pairs(pairs, [*keys, "cond"], "pred_id", "gt_id", [F.desc("score"), F.asc("line_idx")], [F.desc("iou")]).select("pred_id", "gt_id")
-    out = found.select("pred_id", "cond").join(hit, "pred_id", "left").join(taken, "gt_id", "left")
-    return out.select("pred_id", "cond", "gt_id", "track", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), c("gt_id").isNull().alias("is_false"))
+    base = d.gt(spark, sf, once=False).where(known).select("gt_id", "line_idx", *keys, *dims, "trk_id")
+    found = d.preds(spark, sf, once=False).where(known).where("cond IS NOT NULL")
+    found = found.select("pred_id", *keys, "cond", F.coalesce("score", F.lit(0.0)).alias("score"), "line_idx", "loc_x", "loc_z", "l", "w", "rot_y")
+    lines = {"a" + k: F.round(k, 2) for k in dims}
+    records = {"b" + k: F.round(c(k) + c("_id") % 2 * 0.001, 2) for k in dims}
+    out = rebuilt(base, found, dims, records, lines)
+    return out.select("pred_id", "cond", "gt_id", "track", "ambiguous", c("gt_id").isNull().alias("is_false"))
 
 
 # --- grids and outliers
