@@ -176,3 +176,63 @@ def rebuilt(labels: DataFrame, found: DataFrame, dims: Sequence[str], records: d
         yield pa.RecordBatch.from_arrays([s.b.column("_id"), s.b.column("cond"), _taken(s.a, "_id", of), _taken(s.a, "trk_id", track), pa.array(doubt)], schema.names)
 
     return _passes(rows, work, schema)
+
+
+def nearest_assignment(labels: DataFrame, found: DataFrame, radius: float, missing: float) -> DataFrame:
+    """(gt_id, cond, pred_id, cost): labels and detections of a frame, class and condition assigned at least total distance.
+
+    Only pairs nearer than ``radius`` count; a label without one costs ``missing``. As in :func:`quernstone.operators.matching.cheapest_pairs`, some
+    optimal assignment uses of a label's detections only as many as its group has labels, the cheapest; the others go at once.
+    A component of one label is settled by its cheapest detection, the rest by the augmenting-path solver.
+    """
+    rows = sides(labels, found)
+    schema = T.StructType([*labels.select("gt_id").schema.fields, *found.select("cond", "pred_id").schema.fields, T.StructField("cost", T.DoubleType())])
+
+    def cheapest(row: np.ndarray, cost: np.ndarray, ident: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The ``most`` cheapest pairs of every row, by row, cost and id."""
+        order = np.lexsort((ident, cost, row))
+        starts = run_starts(row[order])
+        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        return order[rank < most[order]]
+
+    def work(s: Sides) -> Iterator[pa.RecordBatch]:
+        place = [numbers(x, ["loc_x", "loc_z"]) for x in (s.a, s.b)]
+        ok = [np.flatnonzero(np.isfinite(p).all(axis=1)) for p in place]
+        ident, conds = s.b.column("_id").to_numpy(), len(s.names.dictionary)
+        in_group = np.bincount(s.group_a)
+        some = []
+        for i, j in pair_blocks(s.group_a[ok[0]], place[0][ok[0], 0], s.group_b[ok[1]], place[1][ok[1], 0], radius, np.arange(len(ok[0]))):
+            i, j = ok[0][i], ok[1][j]
+            d = place[0][i] - place[1][j]
+            d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]
+            near = d2 < radius * radius
+            i, j, cost = i[near], j[near], np.sqrt(d2[near])
+            of = cheapest(i * conds + s.cond[j], cost, ident[j], in_group[s.group_a[i]])
+            some.append((i[of], j[of], cost[of]))
+        i, j, cost = _joined(some, (int, int, float))
+        row = i * conds + s.cond[j]
+        # as many as the labels of the group that have a pair under the condition
+        first = np.unique(row, return_index=True)[1]
+        group = np.unique(s.group_a[i] * conds + s.cond[j], return_inverse=True)[1]
+        of = cheapest(row, cost, ident[j], np.bincount(group[first], minlength=1)[group])
+        i, j, cost, row = i[of], j[of], cost[of], row[of]
+        (each, ri), (cols, cj) = np.unique(row, return_inverse=True), np.unique(j, return_inverse=True)
+        of_row = kernels.pair_components(ri, cj, len(each), len(cols))
+        part = of_row[ri]
+        alone = np.bincount(of_row, minlength=1)[part] == 1
+        keep = np.zeros(len(row), dtype=bool)
+        keep[run_starts(row)] = True  # a row's cheapest pair comes first
+        keep &= alone & (cost < missing)
+        rest = np.flatnonzero(~alone)
+        rest = rest[np.argsort(part[rest], kind="stable")]
+        starts = run_starts(part[rest])
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rest)]):
+            at = rest[lo:hi]
+            (r, pi), (_, c, pj) = np.unique(i[at], return_inverse=True), np.unique(ident[j[at]], return_index=True, return_inverse=True)
+            matrix = np.full((len(r), max(len(r), len(c))), missing)
+            matrix[pi, pj] = cost[at]
+            keep[at] = (kernels.cheapest_assignment(matrix)[pi] == pj) & (cost[at] < missing)
+        i, j = pa.array(i[keep]), pa.array(j[keep])
+        yield pa.RecordBatch.from_arrays([s.a.column("_id").take(i), s.b.column("cond").take(j), s.b.column("_id").take(j), pa.array(cost[keep])], schema.names)
+
+    return _passes(rows, work, schema)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
 from quernstone.operators.blocks import numbered
-from quernstone.operators.matching import chained, cheapest_pairs, suppressed
+from quernstone.operators.matching import chained, suppressed
 from quernstone.operators.radar import interpolated
-from quernstone.operators.spatial import within_radius
+from quernstone.operators.rivals import nearest_assignment
 from quernstone.plans import domain as d
 from quernstone.plans.domain import CE, GT, PR, PT, Catalogue
 from quernstone.session import table
@@ -156,11 +156,9 @@ def t08_circle_nms(spark: SparkSession, sf: str) -> DataFrame:
 def j27_cheapest_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """Labels and detections of a frame and condition assigned at least total distance, pairs within 10 m and one class."""
     keys = ["seq", "frame", "cls"]
-    found = _known(spark, sf)
-    gt = d.gt(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL")
-    near = within_radius(gt.select(*keys, "gt_id", F.col("loc_x").alias("ax"), F.col("loc_z").alias("az")), found.select(*keys, "cond", "pred_id", F.col("loc_x").alias("bx"), F.col("loc_z").alias("bz")), keys, ["ax", "az"], ["bx", "bz"], 10.0)
-    near = near.select(*keys, "cond", "gt_id", "pred_id", F.sqrt("d2").alias("cost"))
-    return cheapest_pairs(near, [*keys, "cond"], "gt_id", "pred_id", "cost", 1000.0).select("gt_id", "cond", "pred_id", _r("cost").alias("cost"))
+    found = _known(spark, sf, once=False).select(*keys, "cond", "pred_id", "loc_x", "loc_z")
+    gt = d.gt(spark, sf, once=False).where("seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL").select(*keys, "gt_id", "loc_x", "loc_z")
+    return nearest_assignment(gt, found, 10.0, 1000.0).select("gt_id", "cond", "pred_id", _r("cost").alias("cost"))
 
 
 @query()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from quernstone.operators.matching import bev, bev_candidates, greedy_pairs
+from quernstone.operators.matching import bev, bev_candidates, cheapest_pairs, greedy_pairs
 from quernstone.operators.spatial import within_radius
 from quernstone.plans import domain as d
 from tests.oracle import DATA
@@ -87,3 +87,25 @@ def test_rebuilt_ids_are_those_of_the_joins(spark, crowded, batches):
     rows = queries()["j12_x12_rebuilt_ids"](spark, crowded).collect()
     assert {r.pred_id: tuple(r)[1:] for r in rows} == want and len(rows) == len(want)
     assert len(hit) > 100 and any(v[3] for v in want.values())
+
+
+def test_assignment_shuffles_rows_once(spark):
+    shuffles_once(queries()["j27_cheapest_assignment"](spark, DATA))
+
+
+def test_assignment_costs_what_that_of_the_joins_costs(spark, crowded, batches):
+    c = F.col
+    gt, found = d.gt(spark, crowded).where(KNOWN), d.preds(spark, crowded).where(KNOWN).where("cond IS NOT NULL")
+    near = within_radius(gt.select(*KEYS, "gt_id", c("loc_x").alias("ax"), c("loc_z").alias("az")), found.select(*KEYS, "cond", "pred_id", c("loc_x").alias("bx"), c("loc_z").alias("bz")), KEYS, ["ax", "az"], ["bx", "bz"], 10.0)
+    near = near.select(*KEYS, "cond", "gt_id", "pred_id", F.sqrt("d2").alias("cost"))
+    group = {r.pred_id: (r.frame, r.cls, r.cond) for r in found.collect()}
+
+    def totals(rows):
+        for n in ("gt_id", "pred_id"):
+            assert len({(r.cond, r[n]) for r in rows}) == len(rows)
+        return {k: (len(v), pytest.approx(sum(v), abs=1e-4)) for k in set(group.values()) if (v := [r.cost for r in rows if group[r.pred_id] == k])}
+
+    got = queries()["j27_cheapest_assignment"](spark, crowded).collect()
+    assert totals(got) == totals(cheapest_pairs(near, [*KEYS, "cond"], "gt_id", "pred_id", "cost", 1000.0).collect())
+    cost = {(r.gt_id, r.pred_id): r.cost for r in near.collect()}
+    assert all(r.cost == pytest.approx(cost[r.gt_id, r.pred_id], abs=1e-6) and group[r.pred_id][2] == r.cond for r in got) and len(got) > 200
