@@ -178,6 +178,35 @@ def rebuilt(labels: DataFrame, found: DataFrame, dims: Sequence[str], records: d
     return _passes(rows, work, schema)
 
 
+def fates(labels: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """(pred_id, seq, frame, cond, cls, score, gt_id, iou, fate): every detection of a class with the label it got ("tp") or none ("fp"), and
+    ("fn") every label that was missed under a condition seen in its frame, be it by detections of no class.
+    """
+    rows = sides(labels, found)
+    schema = T.StructType(
+        [*found.select("pred_id", *FRAME, "cond", "cls", "score").schema.fields, *labels.select("gt_id").schema.fields, T.StructField("iou", T.DoubleType()), T.StructField("fate", T.StringType())]
+    )
+    for field in schema.fields:
+        field.nullable = True
+
+    def work(s: Sides) -> Iterator[pa.RecordBatch]:
+        of, iou = best_first(s, least, True, True)
+        hit = pa.array(np.where(of >= 0, "tp", "fp"))
+        yield pa.RecordBatch.from_arrays([*s.b.select(["_id", *FRAME, "cond", "cls", "score"]).columns, _taken(s.a, "_id", of), pa.array(iou, mask=of < 0), hit], schema.names)
+        first, last = (np.searchsorted(s.seen[:, 0], s.frame_a, side) for side in ("left", "right"))
+        i = np.repeat(np.arange(len(first)), last - first)
+        cond = s.seen[np.arange(len(i)) - np.repeat(np.cumsum(last - first) - last, last - first), 1]
+        got, n = np.flatnonzero(of >= 0), len(first)
+        missed = ~np.isin(cond * n + i, s.cond[got] * n + of[got])
+        a, n = s.a.take(pa.array(i[missed])), int(missed.sum())
+        none = [pa.nulls(n, s.b.column(c).type) for c in ("_id", "score")]
+        yield pa.RecordBatch.from_arrays(
+            [none[0], *a.select(FRAME).columns, s.conditions(cond[missed]), a.column("cls"), none[1], a.column("_id"), pa.nulls(n, pa.float64()), pa.array(["fn"] * n, pa.string())], schema.names
+        )
+
+    return _passes(rows, work, schema)
+
+
 def nearest_assignment(labels: DataFrame, found: DataFrame, radius: float, missing: float) -> DataFrame:
     """(gt_id, cond, pred_id, cost): labels and detections of a frame, class and condition assigned at least total distance.
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import geometry as g
 from quernstone.operators.evaluation import graded_precision
-from quernstone.operators.matching import bev, greedy_pairs, height_overlap, rotated_area, rotated_iou_3d
+from quernstone.operators.matching import bev, height_overlap, rotated_area, rotated_iou_3d
+from quernstone.operators.rivals import fates
 from quernstone.operators.spatial import overlapping_pairs
 from quernstone.plans import domain as d
 from quernstone.plans.domain import GT, PR, Catalogue
@@ -239,16 +240,10 @@ def a13_mean_over_levels(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def x05_prediction_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The table of prediction rows: every detection with the label it got or as false, and every label missed under a condition seen in its frame."""
-    c = F.col
-    found = d.preds(spark, sf).where(_KNOWN).where("cond IS NOT NULL").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    labels = d.gt(spark, sf).where(_KNOWN)
-    pairs = _rotated_pairs(spark, sf, labels, found).withColumn("iou", g.iou(c("area"), c("al") * c("aw"), c("bl") * c("bw"))).where("iou >= 0.3")
-    hit = greedy_pairs(pairs, [*_KEYS, "cond"], "pred_id", "gt_id", [F.desc("score"), c("p_line")], [F.desc("iou")]).select("pred_id", "gt_id", _r("iou").alias("iou"))
-    rows = found.select("pred_id", "seq", "frame", "cond", "cls", "score").join(hit, "pred_id", "left")
-    rows = rows.withColumn("fate", F.when(c("gt_id").isNull(), "fp").otherwise("tp"))
-    seen = d.preds(spark, sf).where("seq IS NOT NULL AND frame IS NOT NULL AND cond IS NOT NULL").select("seq", "frame", "cond").distinct()
-    missed = labels.select("seq", "frame", "cls", "gt_id").join(seen, ["seq", "frame"]).join(rows.where("gt_id IS NOT NULL").select("gt_id", "cond"), ["gt_id", "cond"], "left_anti")
-    return rows.unionByName(missed.withColumn("fate", F.lit("fn")), allowMissingColumns=True)
+    box = ["line_idx", "loc_x", "loc_z", "l", "w", "rot_y"]
+    found = d.preds(spark, sf, once=False).where("cond IS NOT NULL").select("pred_id", *_KEYS, "cond", F.coalesce("score", F.lit(0.0)).alias("score"), *box)
+    rows = fates(d.gt(spark, sf, once=False).where(_KNOWN).select("gt_id", *_KEYS, *box), found, 0.3)
+    return rows.withColumn("iou", _r("iou"))
 
 
 @query()

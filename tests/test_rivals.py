@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from quernstone.functions import geometry as g
 from quernstone.operators.matching import bev, bev_candidates, cheapest_pairs, greedy_pairs
 from quernstone.operators.spatial import within_radius
 from quernstone.plans import domain as d
+from quernstone.plans.benchmark import _rotated_pairs
 from tests.oracle import DATA
 from tests.test_frames import nodes_of
 from tests.test_whole_jobs import GT, PR
@@ -109,3 +111,23 @@ def test_assignment_costs_what_that_of_the_joins_costs(spark, crowded, batches):
     assert totals(got) == totals(cheapest_pairs(near, [*KEYS, "cond"], "gt_id", "pred_id", "cost", 1000.0).collect())
     cost = {(r.gt_id, r.pred_id): r.cost for r in near.collect()}
     assert all(r.cost == pytest.approx(cost[r.gt_id, r.pred_id], abs=1e-6) and group[r.pred_id][2] == r.cond for r in got) and len(got) > 200
+
+
+def test_prediction_rows_shuffle_rows_once(spark):
+    shuffles_once(queries()["x05_prediction_rows"](spark, DATA))
+
+
+def test_prediction_rows_are_those_of_the_joins(spark, crowded, batches):
+    c = F.col
+    labels, rows = d.gt(spark, crowded).where(KNOWN), d.preds(spark, crowded).where("seq IS NOT NULL AND frame IS NOT NULL AND cond IS NOT NULL")
+    found = rows.where(KNOWN).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    pairs = _rotated_pairs(spark, crowded, labels, found).withColumn("iou", g.iou(c("area"), c("al") * c("aw"), c("bl") * c("bw"))).where("iou >= 0.3")
+    taken = {r.pred_id: r for r in greedy_pairs(pairs, [*KEYS, "cond"], "pred_id", "gt_id", [F.desc("score"), c("p_line")], [F.desc("iou")]).collect()}
+    want = [(r.pred_id, r.seq, r.frame, r.cond, r.cls, r.score, t and t.gt_id, t and pytest.approx(t.iou, abs=1e-6), "tp" if t else "fp") for r in found.collect() for t in [taken.get(r.pred_id)]]
+    hit = {(t.gt_id, t.cond) for t in taken.values()}
+    seen = {(r.seq, r.frame, r.cond) for r in rows.collect()}
+    missed = {(None, r.seq, r.frame, cond, r.cls, None, r.gt_id, None, "fn") for r in labels.collect() for seq, frame, cond in seen if (seq, frame) == (r.seq, r.frame) and (r.gt_id, cond) not in hit}
+    got = [tuple(r) for r in queries()["x05_prediction_rows"](spark, crowded).collect()]
+    assert {r for r in got if r[-1] == "fn"} == missed and any(r[3] == "clear" for r in missed)
+    assert sorted((r for r in got if r[-1] != "fn"), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    assert len(got) == len(want) + len(missed) and len(taken) > 200
