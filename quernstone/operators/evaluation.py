@@ -120,9 +120,10 @@ def graded_precision(labels: DataFrame, found: DataFrame, pairs: DataFrame, by:
     at = recall_picks(n, keys, points).join(steps, keys).where("i < ctp AND i >= ctp - tp").select(*keys, "i", c("score").alias("thr"))
     at = write_stage(at, "thresholds")  # at most ``points`` rows of each key
 
-    two = greedy_pairs(met.join(at, keys).where("score >= thr"), [*keys, "i", *frame], "gt_id", "pred_id", [c("g_line")], [c("_id"), F.when(c("_id") == 0, -c("overlap")), c("p_line")])
+    # samples of one threshold have the same matches, which are made once
+    two = greedy_pairs(met.join(at.select(*keys, "thr").distinct(), keys).where("score >= thr"), [*keys, "thr", *frame], "gt_id", "pred_id", [c("g_line")], [c("_id"), F.when(c("_id") == 0, -c("overlap")), c("p_line")])
     true = (c("_ig") == 0) & (c("_id") == 0)
-    hits = two.groupBy(*keys, "i").agg(F.count_if(true).alias("tp"), F.count_if(c("_id") == 0).alias("used"), F.sum(F.when(true, (1 + F.cos("turn")) / 2)).alias("alike"))
+    hits = two.groupBy(*keys, "thr").agg(F.count_if(true).alias("tp"), F.count_if(c("_id") == 0).alias("used"), F.sum(F.when(true, (1 + F.cos("turn")) / 2)).alias("alike")).join(at, [*keys, "thr"]).drop("thr")
     # detections of at least each threshold: counted by the number of thresholds they reach, then summed from the lowest
     reached = at.groupBy(*keys).agg(F.collect_list("thr").alias("_thr"))
     per_score = graded_found.where("_id = 0").groupBy(*by, "difficulty", "score").agg(F.count("*").alias("_n"))

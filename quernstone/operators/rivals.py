@@ -144,6 +144,45 @@ def _taken(rows: pa.RecordBatch, column: str, of: np.ndarray) -> pa.Array:
     return rows.column(column).take(pa.array(of, mask=of < 0))
 
 
+def touching_pairs(labels: DataFrame, found: DataFrame, extents: dict[str, Sequence[str]], flat: str) -> DataFrame:
+    """(kind, area, a_..., b_...): labels and detections of a frame and class whose rectangles (x0, x1, y0, y1) of a kind touch, with all their columns.
+
+    ``area`` is the common area of the rotated boxes in pairs of the kind ``flat``, of which those without any are left out. Rows with a
+    null, NaN or infinite extent meet nothing in its kind.
+    """
+    columns = [labels.columns, found.columns]
+    rows, fields = sides(labels, found), [T.StructField("kind", T.StringType()), T.StructField("area", T.DoubleType())]
+    for p, df, names in zip("ab", (labels, found), columns):
+        fields += [T.StructField(f"{p}_{n}", df.schema[n].dataType) for n in names]
+    schema = T.StructType(fields)
+
+    def work(s: Sides) -> Iterator[pa.RecordBatch]:
+        flip, box = np.array([1.0, 1.0, 1.0, 1.0, -1.0]), [numbers(x, _BOX) for x in (s.a, s.b)]
+        for kind, names in extents.items():
+            ea, eb = (numbers(x, names) for x in (s.a, s.b))
+            ok = [np.flatnonzero(np.isfinite(e).all(axis=1) & (e[:, 1] >= e[:, 0]) & (e[:, 3] >= e[:, 2])) for e in (ea, eb)]
+            if not len(ok[0]) or not len(ok[1]):
+                continue
+            (xa, ra), (xb, rb) = (((e[k, 0] + e[k, 1]) / 2, (e[k, 1] - e[k, 0]) / 2) for e, k in zip((ea, eb), ok))
+            usual = np.quantile(ra, 0.9)
+            for of in (np.flatnonzero(ra <= usual), np.flatnonzero(ra > usual)):  # wide labels don't widen the search of the others
+                if not len(of):
+                    continue
+                for j, i in pair_blocks(s.group_b[ok[1]], xb, s.group_a[ok[0]][of], xa[of], rb + ra[of].max(), np.arange(len(xb))):
+                    i, j = ok[0][of[i]], ok[1][j]
+                    touch = np.ones(len(i), dtype=bool)
+                    for k in (0, 2):
+                        touch &= np.maximum(ea[i, k], eb[j, k]) <= np.minimum(ea[i, k + 1], eb[j, k + 1])
+                    i, j, area = i[touch], j[touch], pa.nulls(int(touch.sum()), pa.float64())
+                    if kind == flat:
+                        common = kernels.paired_overlap(box[0][i] * flip, box[1][j] * flip)
+                        i, j, area = i[common > 0], j[common > 0], pa.array(common[common > 0])
+                    values = [x.column("_id" if n == ident else n).take(pa.array(at)) for x, at, ns, ident in ((s.a, i, columns[0], "gt_id"), (s.b, j, columns[1], "pred_id")) for n in ns]
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(i), pa.string()), area, *values], schema.names)
+
+    return _passes(rows, work, schema)
+
+
 def rebuilt(labels: DataFrame, found: DataFrame, dims: Sequence[str], records: dict[str, Column], lines: dict[str, Column]) -> DataFrame:
     """(pred_id, cond, gt_id, track, ambiguous): see :func:`quernstone.plans.tables.j12_x12_rebuilt_ids`.
 

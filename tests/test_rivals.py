@@ -10,7 +10,7 @@ from quernstone.functions import geometry as g
 from quernstone.operators.matching import bev, bev_candidates, cheapest_pairs, greedy_pairs
 from quernstone.operators.spatial import within_radius
 from quernstone.plans import domain as d
-from quernstone.plans.benchmark import _rotated_pairs
+from quernstone.plans.benchmark import _rotated_pairs, report
 from tests.oracle import DATA
 from tests.test_frames import nodes_of
 from tests.test_whole_jobs import GT, PR
@@ -131,3 +131,13 @@ def test_prediction_rows_are_those_of_the_joins(spark, crowded, batches):
     assert {r for r in got if r[-1] == "fn"} == missed and any(r[3] == "clear" for r in missed)
     assert sorted((r for r in got if r[-1] != "fn"), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
     assert len(got) == len(want) + len(missed) and len(taken) > 200
+
+
+def test_labels_as_predictions_are_judged_as_by_the_joins(spark, crowded):
+    query = queries()["x11_labels_as_predictions"](spark, crowded)
+    assert not [f for f in query.inputFiles() if "gt_lines" in f]  # the labels are read and chosen once
+    labels = d.gt(spark, crowded).where(KNOWN).where("l > 0 AND w > 0 AND h > 0").dropDuplicates([*KEYS, "loc_x", "loc_z"])
+    found = labels.withColumns({"pred_id": F.col("gt_id"), "cond": F.lit("labels"), "score": F.lit(1.0)})
+    want = report(labels, found, {"bbox": (0.7,), "bev": (0.7,), "3d": (0.7,)}).select("cls", "difficulty", "metric", "num_gt", F.round("ap", 6).alias("ap"))
+    rows = sorted(map(tuple, query.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and any(r[4] > 0 for r in rows)
