@@ -100,6 +100,14 @@ def framed_points(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return raw.repartition(F.expr(_POINT["frame"][0])).selectExpr(*[f"{_POINT[c][0]} {c}" for c in columns])
 
 
+def sequenced_points(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """As :func:`framed_points`, but dealt by ``seq``, a run of 512 frames; points of no frame are a sequence of their own."""
+    columns = ("frame", *columns)
+    raw = table(spark, d, "lineitem").select(*dict.fromkeys(_POINT[c][1] for c in columns))
+    seq = F.expr(f"shiftright(coalesce({_POINT['frame'][0]}, -4611686018427387904L), 9)")
+    return raw.repartition(seq).select(seq.alias("seq"), *[F.expr(_POINT[c][0]).alias(c) for c in columns])
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """Polar power tensors derived from the line items, one a frame of 256 orders: Doppler, range, azimuth, elevation index, power."""
     return _cells(table(spark, d, "lineitem"))

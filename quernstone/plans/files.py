@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from quernstone.operators.evaluation import match_rows_by_track
 from quernstone.plans import domain as d
 from quernstone.plans.domain import CE, FR, GT, PR, PT, TG, Catalogue, _n
 from quernstone.session import new_folder, table
-from quernstone.sources import arrays, sinks, text
+from quernstone.sources import arrays, clouds, sinks, text
 
 query = Catalogue()
 _KNOWN = "seq IS NOT NULL AND frame IS NOT NULL AND cls IS NOT NULL"
@@ -96,16 +97,22 @@ def s19_k04_merged_text(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {PT} SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY ok, ln, pk, sk, power) - 1 AS INT) AS ordinal, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z, round(power, 2) + 0.0 AS intensity, round(y, 4) + 0.0 AS by_name FROM pt")
 def s05_s06_s07_clouds(spark: SparkSession, sf: str) -> DataFrame:
     """Points written as ASCII clouds and read by fixed header length and by the header's field names; one attribute by name."""
-    root = new_folder(spark, "clouds")
-    line = F.concat_ws(" ", *[F.format_string("%.4f", F.col(c)) for c in ("x", "y", "z", "power")], F.lit("0 0 0 0 0"))
-    n = d.points(spark, sf).groupBy("frame").agg(F.count("*").cast("string").alias("_n"))
-    p = d.points(spark, sf).withColumn("_line", line).join(n, "frame")
-    rows = "# .PCD v0.7\nVERSION 0.7\nFIELDS x y z intensity t reflectivity ring ambient range\nSIZE 4 4 4 4 4 4 4 4 4\nTYPE F F F F F F F F F\nCOUNT 1 1 1 1 1 1 1 1 1\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\n# a\n# b\n"
-    head = F.concat(F.lit(rows), F.lit("WIDTH "), "_n", F.lit("\nPOINTS "), "_n", F.lit("\nDATA ascii\n"))
-    sinks.write_files(sinks.text_files(p, _name("0/os2/os2-64_", end=".pcd"), ["ok", "ln", "pk", "sk", "power"], "_line", head), root)
-    fixed = text.ascii_cloud(spark, f"{root}/*/os2/*.pcd").select("frame", "ordinal", "x", "y", "z", "intensity")
-    named = text.headed_cloud(spark, f"{root}/*/os2/*.pcd").select("frame", "ordinal", F.col("values")["y"].alias("by_name"))
-    return fixed.join(named, ["frame", "ordinal"]).select(whole_number(F.regexp_extract("frame", r"_(\d+)$", 1)).alias("frame"), "ordinal", *[_r(c, 4).alias(c) for c in ("x", "y", "z")], _r("intensity", 2).alias("intensity"), _r("by_name", 4).alias("by_name"))
+    root, schema = new_folder(spark, "clouds"), "frame bigint, ordinal int, x double, y double, z double, intensity double, by_name double"
+    order = [F.col(c).asc_nulls_last() for c in ("ok", "ln", "pk", "sk", "power", "x")]
+    p = d.sequenced_points(spark, sf, "ok", "ln", "pk", "sk", "x", "y", "z", "power")
+    # the intensity in full: it is rounded once more
+    if not sinks.write_files(clouds.ascii_archives(p, "seq", "frame", order, {"x": 4, "y": 4, "z": 4, "power": None}, "os2-64/os2-64_"), root):
+        return spark.createDataFrame([], schema)
+
+    def both(names: list[str], files: list[bytes]) -> pa.RecordBatch:
+        fixed, named = clouds.fixed_points(files, ["x", "y", "z", "intensity"]), clouds.headed_points(files, ["y"])
+        rows = clouds.joined(fixed, named.rename_columns(["file", "ordinal", "by_name"])).combine_chunks()
+        frame = pa.array([clouds.frame_of(n) for n in names], pa.int64()).take(rows["file"].combine_chunks())
+        digits = {"x": 4, "y": 4, "z": 4, "intensity": 2, "by_name": 4}
+        values = [clouds.rounded_column(rows[c].combine_chunks(), n) for c, n in digits.items()]
+        return pa.RecordBatch.from_arrays([frame, rows["ordinal"].combine_chunks(), *values], ["frame", "ordinal", *digits])
+
+    return clouds.archived(spark, root, both, schema)
 
 
 _CLK = "CASE WHEN timestamp_pc > 0 AND NOT isnan(timestamp_pc) AND NOT isinf(timestamp_pc) THEN timestamp_pc END"
