@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators.matching import greedy_pairs
@@ -46,6 +47,10 @@ def match_rows_by_track(gt: DataFrame, preds: DataFrame) -> DataFrame:
     return labels.unionByName(false_)
 
 
+def _earliest(k: Column, points: int) -> Column:
+    return F.greatest(F.lit(0), F.ceil((k * F.col("num_gt") * 2 / F.lit(points - 1) - 3) / 2))
+
+
 def recall_picks(n: DataFrame, by: Sequence[str], points: int = 41) -> DataFrame:
     """(by, i): which true detections (0: best score) are recall samples, from (by, num_gt, num_tp).
 
@@ -54,7 +59,7 @@ def recall_picks(n: DataFrame, by: Sequence[str], points: int = 41) -> DataFrame
     """
     k = F.col("_k")
     upto = Window.partitionBy(*by).orderBy(k).rowsBetween(Window.unboundedPreceding, 0)  # ``points`` rows
-    first = F.greatest(F.lit(0), F.ceil((k * F.col("num_gt") * 2 / F.lit(points - 1) - 3) / 2))
+    first = _earliest(k, points)
     every = n.where("num_tp > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     i = F.least(k + F.max(first - k).over(upto), F.col("num_tp") - 1)
     return every.withColumn("i", i).select(*by, "i").distinct()
@@ -87,6 +92,18 @@ def average_precision(rows: DataFrame, by: Sequence[str], points: int = 41, ever
 DIFFICULTIES = ((0, 0.15, 40.0), (1, 0.3, 25.0), (2, 0.5, 25.0))
 
 
+def _ignored(occluded: Column, truncated: Column, height: Column, most_occluded: Column, most_truncated: Column, least_height: Column) -> tuple[Column, Column]:
+    """Whether a difficulty ignores a label, and a detection."""
+    height = F.coalesce(height, F.lit(0.0))
+    return (occluded > most_occluded) | (truncated > most_truncated) | (height <= least_height), height < least_height
+
+
+def ignored_bits(occluded: Column, truncated: Column, height: Column) -> dict[str, Column]:
+    """``off_label``, ``off_found``: a bit for each difficulty that ignores a label, and a detection."""
+    each = [[F.when(off, 1 << i).otherwise(0) for off in _ignored(occluded, truncated, height, *map(F.lit, limits))] for i, limits in enumerate(DIFFICULTIES)]
+    return {k: reduce(Column.bitwiseOR, bits) for k, bits in zip(("off_label", "off_found"), zip(*each))}
+
+
 def graded_precision(labels: DataFrame, found: DataFrame, pairs: DataFrame, by: Sequence[str], frame: Sequence[str], levels: dict[str, Sequence[float]], points: int = 41) -> DataFrame:
     """(by, difficulty, metric, level, num_gt, ap, ap11, aos): average precision by difficulty, overlap metric and least overlap.
 
@@ -103,9 +120,9 @@ def graded_precision(labels: DataFrame, found: DataFrame, pairs: DataFrame, by:
     by, frame = list(by), list(frame)
     c = F.col
     grade = F.explode(F.array(*[F.struct(F.lit(i).alias("difficulty"), F.lit(o).alias("_occ"), F.lit(t).alias("_trunc"), F.lit(h).alias("_least")) for i, (o, t, h) in enumerate(DIFFICULTIES)]))
-    off_label = (c("occluded") > c("_occ")) | (c("truncated") > c("_trunc")) | (F.coalesce(c("height"), F.lit(0.0)) <= c("_least"))
+    off_label, off_found = _ignored(c("occluded"), c("truncated"), c("height"), c("_occ"), c("_trunc"), c("_least"))
     graded = labels.select("*", grade.alias("_g")).select("*", "_g.*").select(*by, *frame, "gt_id", "difficulty", off_label.cast("int").alias("_ig"))
-    graded_found = found.select("*", grade.alias("_g")).select("*", "_g.*").select(*by, *frame, "pred_id", "score", "difficulty", (F.coalesce(c("height"), F.lit(0.0)) < c("_least")).cast("int").alias("_id"))
+    graded_found = found.select("*", grade.alias("_g")).select("*", "_g.*").select(*by, *frame, "pred_id", "score", "difficulty", off_found.cast("int").alias("_id"))
     wanted = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(float(v)).alias("level")) for m, vs in levels.items() for v in vs]))
     met = pairs.withColumn("_w", wanted).where("metric = _w.metric AND overlap > _w.level").withColumn("level", c("_w.level")).drop("_w")
     met = write_stage(met.join(graded, [*by, *frame, "gt_id"]).join(graded_found, [*by, *frame, "pred_id", "difficulty"]), "graded")
@@ -142,6 +159,25 @@ def graded_precision(labels: DataFrame, found: DataFrame, pairs: DataFrame, by:
     return every.join(ap, keys, "left").na.fill(0.0, ["ap", "ap11", "aos"])
 
 
+def equal_scores_precision(counts: DataFrame, points: int = 41) -> DataFrame:
+    """``counts`` with ``ap`` as of :func:`graded_precision` where all detections have one score: every recall sample has the one precision.
+
+    ``counts``: num_gt, counted, first, tp, used, as of :func:`quernstone.operators.rivals.own_counts`. How many different samples there are is
+    counted along the row, without a row for each.
+    """
+    c = F.col
+    start = F.struct(F.lit(0).cast("bigint").alias("lead"), F.lit(0).alias("n"))
+
+    def step(state: Column, k: Column) -> Column:
+        lead = F.greatest(state["lead"], _earliest(k, points) - k)
+        return F.struct(lead.alias("lead"), (state["n"] + (k + lead < c("first") - 1).cast("int")).alias("n"))
+
+    # samples rise by one at least up to the last true detection, which is one
+    samples = F.aggregate(F.sequence(F.lit(0), F.lit(points - 1)), start, step, lambda state: state["n"] + 1)
+    ap = samples * F.try_divide("tp", c("tp") + c("counted") - c("used")) / points * 100
+    return counts.withColumn("ap", F.coalesce(F.when(c("first") > 0, ap), F.lit(0.0)))
+
+
 def transition_rates(rows: DataFrame, by: Sequence[str], clean: str) -> DataFrame:
     """Counts of stable, missed, recovered and never found labels per condition against ``clean``, and their rates.
 

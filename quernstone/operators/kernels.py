@@ -148,6 +148,32 @@ def pair_blocks(frames_a: np.ndarray, xa: np.ndarray, frames_b: np.ndarray, xb:
         at, k = end, k + 1
 
 
+def reached_pairs(group: np.ndarray, x: np.ndarray, reach: np.ndarray, most: int = 300_000):
+    """Blocks (i, j) of all pairs of rows of one group, each once, whose ``x`` differ by at most the larger ``reach`` of both, which is i's.
+
+    A row of wide reach doesn't widen the search of the others. A block has some more than ``most`` pairs at most.
+    """
+    order = np.lexsort((x, group))
+    group, x, reach = group[order], x[order], reach[order]
+    some, held = [], 0
+    for step in (1, -1):
+        at, lag = np.arange(len(x)), 0
+        while True:
+            lag += step
+            at = at[(at + lag >= 0) & (at + lag < len(x))]
+            at = at[(group[at + lag] == group[at]) & (np.abs(x[at + lag] - x[at]) <= reach[at])]
+            if not len(at):
+                break
+            i = at[(reach[at] > reach[at + lag]) | ((reach[at] == reach[at + lag]) & (step > 0))]
+            some.append((order[i], order[i + lag]))
+            held += len(i)
+            if held > most:
+                yield tuple(np.concatenate(p) for p in zip(*some))
+                some, held = [], 0
+    if held:
+        yield tuple(np.concatenate(p) for p in zip(*some))
+
+
 def least(value: np.ndarray, tie: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """(runs, n) places of the ``n`` least finite (value, tie) of every run, -1 where a run has no more."""
     run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(value))))

@@ -144,43 +144,144 @@ def _taken(rows: pa.RecordBatch, column: str, of: np.ndarray) -> pa.Array:
     return rows.column(column).take(pa.array(of, mask=of < 0))
 
 
-def touching_pairs(labels: DataFrame, found: DataFrame, extents: dict[str, Sequence[str]], flat: str) -> DataFrame:
-    """(kind, area, a_..., b_...): labels and detections of a frame and class whose rectangles (x0, x1, y0, y1) of a kind touch, with all their columns.
+def own_counts(labels: DataFrame, behind: dict[str, Column], grades: int, least: float) -> DataFrame:
+    """(cls, difficulty, metric, num_gt, counted, first, tp, used), summed within some frames: labels matched with themselves as detections of one score.
 
-    ``area`` is the common area of the rotated boxes in pairs of the kind ``flat``, of which those without any are left out. Rows with a
-    null, NaN or infinite extent meet nothing in its kind.
-    """
-    columns = [labels.columns, found.columns]
-    rows, fields = sides(labels, found), [T.StructField("kind", T.StringType()), T.StructField("area", T.DoubleType())]
-    for p, df, names in zip("ab", (labels, found), columns):
-        fields += [T.StructField(f"{p}_{n}", df.schema[n].dataType) for n in names]
-    schema = T.StructType(fields)
-
-    def work(s: Sides) -> Iterator[pa.RecordBatch]:
-        flip, box = np.array([1.0, 1.0, 1.0, 1.0, -1.0]), [numbers(x, _BOX) for x in (s.a, s.b)]
-        for kind, names in extents.items():
-            ea, eb = (numbers(x, names) for x in (s.a, s.b))
-            ok = [np.flatnonzero(np.isfinite(e).all(axis=1) & (e[:, 1] >= e[:, 0]) & (e[:, 3] >= e[:, 2])) for e in (ea, eb)]
-            if not len(ok[0]) or not len(ok[1]):
-                continue
-            (xa, ra), (xb, rb) = (((e[k, 0] + e[k, 1]) / 2, (e[k, 1] - e[k, 0]) / 2) for e, k in zip((ea, eb), ok))
-            usual = np.quantile(ra, 0.9)
-            for of in (np.flatnonzero(ra <= usual), np.flatnonzero(ra > usual)):  # wide labels don't widen the search of the others
-                if not len(of):
-                    continue
-                for j, i in pair_blocks(s.group_b[ok[1]], xb, s.group_a[ok[0]][of], xa[of], rb + ra[of].max(), np.arange(len(xb))):
-                    i, j = ok[0][of[i]], ok[1][j]
-                    touch = np.ones(len(i), dtype=bool)
-                    for k in (0, 2):
-                        touch &= np.maximum(ea[i, k], eb[j, k]) <= np.minimum(ea[i, k + 1], eb[j, k + 1])
-                    i, j, area = i[touch], j[touch], pa.nulls(int(touch.sum()), pa.float64())
-                    if kind == flat:
-                        common = kernels.paired_overlap(box[0][i] * flip, box[1][j] * flip)
-                        i, j, area = i[common > 0], j[common > 0], pa.array(common[common > 0])
-                    values = [x.column("_id" if n == ident else n).take(pa.array(at)) for x, at, ns, ident in ((s.a, i, columns[0], "gt_id"), (s.b, j, columns[1], "pred_id")) for n in ns]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(i), pa.string()), area, *values], schema.names)
+    The matches are those of :func:`quernstone.operators.evaluation.graded_precision` for image ("bbox"), "bev" and "3d" overlaps above ``least``: ``first``
+    are the true ones of its first pass, ``tp`` and ``used`` those of its second at the one threshold there is, ``counted`` the detections that
+    are not ignored. ``behind``: columns made behind the shuffle, the image box (u0, u1, v0, v1) and, as bits of the difficulties, where a row is
+    ignored as a label (``off_label``) and as a detection (``off_found``). Rows of a frame and class at one place are one label, of the least id.
 
-    return _passes(rows, work, schema)
+    Convex boxes with a centre, of circumradius r and s, have their centres at most max(r, s) (1 / overlap - 1) apart, as the moment about either
+    centre of what both share is that of what one lacks; so only few labels need their overlap with others. Most have none and match themselves.
+    """
+    names = ("bbox", "bev", "3d")
+    rows = labels.where("seq IS NOT NULL AND frame IS NOT NULL").repartition(*FRAME).withColumn("_frame", F.xxhash64(*FRAME))
+    numbers_of = [T.StructField(k, T.LongType()) for k in ("num_gt", "counted", "first", "tp", "used")]
+    schema = T.StructType([labels.schema["cls"], T.StructField("difficulty", T.IntegerType()), T.StructField("metric", T.StringType()), *numbers_of])
+
+    def work(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        new = Sides._changes(rows, [*FRAME, "cls"])
+        once = new | Sides._changes(rows, ["gt_id"])
+        rows, group = rows.filter(pa.array(once)), np.cumsum(new)[once]
+        alone = _first_at_place(rows, group)
+        rows, group = rows.filter(pa.array(alone)), group[alone]
+        every = np.arange(rows.num_rows)
+        line = numbers(rows, ["line_idx"])[:, 0]
+        rank = np.empty(len(every), dtype=np.int64)
+        rank[np.lexsort((np.nan_to_num(line, nan=-np.inf), group))] = every  # no line first, ties by id
+        cls = rows.column("cls").dictionary_encode()
+        code, classes = cls.indices.to_numpy(), len(cls.dictionary)
+        off_label, off_found = (rows.column(k).to_numpy() for k in ("off_label", "off_found"))
+        with np.errstate(all="ignore"):  # overlaps of boxes without number are told as Spark would
+            met = dict(zip(names, (_image_overlaps(rows, group, least), *_box_overlaps(rows, group, least))))
+        for metric, (own, value, i, j, overlap) in met.items():
+            rivalled = np.zeros(len(every), dtype=bool)
+            rivalled[i] = True
+            at = np.flatnonzero(own & rivalled)
+            i, j, overlap = np.concatenate([i, at]), np.concatenate([j, at]), np.concatenate([overlap, value[at]])
+
+            def taken(*preference: np.ndarray) -> np.ndarray:
+                """The row that each row takes as a label, or -1."""
+                order = np.lexsort((rank[j], *preference, rank[i]))
+                won = order[claims(i[order], j[order]) == 0]
+                of = np.where(own & ~rivalled, every, -1)
+                of[i[won]] = j[won]
+                return of
+
+            one, two = taken(), {}
+            for k in range(grades):
+                label, found = (off_label >> k) & 1 == 0, (off_found >> k) & 1 == 0
+                if (seen := found.tobytes()) not in two:
+                    two[seen] = taken(np.where(found[j], -overlap, 0.0), ~found[j])
+                of = two[seen]
+                used = (of >= 0) & found[of]
+                counts = [np.bincount(code[x], minlength=classes) for x in (label, found, (one >= 0) & label & found[one], used & label, used)]
+                some = np.flatnonzero(np.any(counts, axis=0))
+                what = [pa.array(np.full(len(some), k, dtype=np.int32)), pa.array([metric] * len(some), pa.string())]
+                yield pa.RecordBatch.from_arrays([cls.dictionary.take(pa.array(some)), *what, *[pa.array(n[some].astype(np.int64)) for n in counts]], schema.names)
+
+    shown = ["_frame", *labels.columns, *[v.alias(k) for k, v in behind.items()]]
+    parts = by_frame(rows, "_frame", [*FRAME, "cls", "gt_id", "line_idx", "loc_x", "loc_z"], work, schema, shown)
+    keys = ["cls", "difficulty", "metric"]
+    return parts.groupBy(*keys).agg(*[F.sum(f.name).alias(f.name) for f in numbers_of])
+
+
+def _first_at_place(rows: pa.RecordBatch, group: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its group at its place; nulls are one place, as are NaN."""
+    keys = [group]
+    for k in ("loc_x", "loc_z"):
+        at, known = numbers(rows, [k])[:, 0], rows.column(k).is_valid().to_numpy(zero_copy_only=False)
+        keys += [np.isnan(at) + ~known * 1, np.nan_to_num(at, nan=0.0, posinf=np.inf, neginf=-np.inf)]
+    order = np.lexsort(keys[::-1])
+    first = np.zeros(len(order), dtype=bool)
+    first[:1] = True
+    for v in keys:
+        first[1:] |= v[order[1:]] != v[order[:-1]]
+    out = np.empty(len(order), dtype=bool)
+    out[order] = first
+    return out
+
+
+def _above(common: np.ndarray, one: np.ndarray, two: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The intersection over union and whether it is above ``least``, as Spark compares: NaN is above, nothing over nothing is not."""
+    union = one + two - common
+    value = common / union
+    return (union != 0) & ((value > least) | np.isnan(value)), value
+
+
+def _within(group: np.ndarray, ok: np.ndarray, x: np.ndarray, half: np.ndarray, odd: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of the rows ``ok`` of one group that may overlap by more than ``least``; where a group has an ``odd`` row, that may touch."""
+    strange = np.zeros(int(group.max(initial=0)) + 1, dtype=bool)
+    strange[group[ok & odd]] = True
+    at = np.flatnonzero(ok)
+    reach = half[at] * np.where(strange[group[at]], 2.0, 1 / least - 1)
+    for i, j in kernels.reached_pairs(group[at], x[at], reach + 1e-9 * (np.abs(x[at]) + half[at])):
+        yield at[i], at[j]
+
+
+def _image_overlaps(rows: pa.RecordBatch, group: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """(own, value, i, j, overlap): whether and by how much rows overlap themselves, and the pairs of different rows, either way round, that do."""
+    e = numbers(rows, ["u0", "u1", "v0", "v1"])
+    ok = np.isfinite(e).all(axis=1) & (e[:, 1] >= e[:, 0]) & (e[:, 3] >= e[:, 2])
+    wide, tall = e[:, 1] - e[:, 0], e[:, 3] - e[:, 2]
+    size, some = wide * tall, []
+    hit, value = _above(size, size, size, least)
+    for i, j in _within(group, ok, (e[:, 0] + e[:, 1]) / 2, wide / 2, ~(np.maximum(wide, tall) < 1e100), least):
+        both = [np.minimum(e[i, k + 1], e[j, k + 1]) - np.maximum(e[i, k], e[j, k]) for k in (0, 2)]
+        touch = (both[0] >= 0) & (both[1] >= 0)
+        i, j, common = i[touch], j[touch], (both[0] * both[1])[touch]
+        above, overlap = _above(common, size[i], size[j], least)
+        some += [(i[above], j[above], overlap[above]), (j[above], i[above], overlap[above])]
+    return ok & hit, value, *_joined(some, (int, int, float))
+
+
+def _box_overlaps(rows: pa.RecordBatch, group: np.ndarray, least: float) -> list[tuple[np.ndarray, ...]]:
+    """As :func:`_image_overlaps`, of the BEV and of the 3D boxes."""
+    box, (h, y) = numbers(rows, _BOX), numbers(rows, ["h", "loc_y"]).T
+    flip, bare = np.array([1.0, 1.0, 1.0, 1.0, -1.0]), ~rows.column("loc_y").is_valid().to_numpy(zero_copy_only=False)
+    half, size = np.sqrt(box[:, 2] * box[:, 2] + box[:, 3] * box[:, 3]) / 2, box[:, 2] * box[:, 3]
+    ok = np.isfinite(np.column_stack([box[:, :2] - half[:, None], box[:, :2] + half[:, None], box[:, 4]])).all(axis=1) & (size > 0)
+    low, high = y - h, y + h * 0.0
+
+    def both(i: np.ndarray, j: np.ndarray, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield _above(common, size[i], size[j], least)
+        # a place that is null doesn't bound the common height, NaN is above all numbers
+        top = np.where(bare[i], high[j], np.where(bare[j], high[i], np.fmin(high[i], high[j])))
+        bottom = np.where(bare[i], low[j], np.where(bare[j], low[i], np.maximum(low[i], low[j])))
+        tall = np.where(bare[i] & bare[j], 0.0, np.maximum(top - bottom, 0.0))
+        yield _above(common * tall, size[i] * h[i], size[j] * h[j], least)
+
+    every, some = np.arange(len(box)), ([], [])
+    own = list(both(every, every, size))
+    for i, j in _within(group, ok, box[:, 0], half, ~((h < 1e100) & (np.abs(y) < 1e100)), least):
+        close = np.abs(box[i, 1] - box[j, 1]) <= 2 * half[i]  # i has the larger reach
+        i, j = np.concatenate([i[close], j[close]]), np.concatenate([j[close], i[close]])
+        common = kernels.paired_overlap(box[i] * flip, box[j] * flip)
+        i, j, common = i[common > 0], j[common > 0], common[common > 0]
+        for met, (above, overlap) in zip(some, both(i, j, common)):
+            met.append((i[above], j[above], overlap[above]))
+    return [(ok & hit, value, *_joined(met, (int, int, float))) for (hit, value), met in zip(own, some)]
 
 
 def rebuilt(labels: DataFrame, found: DataFrame, dims: Sequence[str], records: dict[str, Column], lines: dict[str, Column]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from quernstone.functions import geometry as g
+from quernstone.operators import kernels
+from quernstone.operators.evaluation import equal_scores_precision, recall_picks
 from quernstone.operators.matching import bev, bev_candidates, cheapest_pairs, greedy_pairs
 from quernstone.operators.spatial import within_radius
 from quernstone.plans import domain as d
@@ -141,3 +144,60 @@ def test_labels_as_predictions_are_judged_as_by_the_joins(spark, crowded):
     want = report(labels, found, {"bbox": (0.7,), "bev": (0.7,), "3d": (0.7,)}).select("cls", "difficulty", "metric", "num_gt", F.round("ap", 6).alias("ap"))
     rows = sorted(map(tuple, query.collect()))
     assert rows == sorted(map(tuple, want.collect())) and any(r[4] > 0 for r in rows)
+
+
+def test_labels_as_predictions_leave_the_frames_as_counts(spark, crowded):
+    query = queries()["x11_labels_as_predictions"](spark, crowded)
+    assert {f.rsplit("/", 2)[1].split("-")[0] for f in query.inputFiles()} == {"judged"}
+    assert not [n for n in nodes_of(query) if n.startswith(("Exchange", "Generate", "SortMergeJoin", "BroadcastHashJoin", "Window", "BroadcastExchange"))]
+
+
+@pytest.mark.parametrize("batch", ["5", "10000"])
+def test_labels_as_predictions_of_odd_labels(spark, tmp_path, batch):
+    rng, nan, far = random.Random(8), float("nan"), float("inf")
+    labels = []
+    for i in range(120):  # some groups so dense that labels take each other's place
+        x, z = round(rng.uniform(-3, 3), 1), round(rng.uniform(8, 12), 1)
+        labels.append((i, f"{i % 3}", "7", rng.choice([None, 1, 2]), rng.choice(["sed", "bus", "ped"]), rng.choice([1.2, 0.4]), 2.0, 4.0, x, 0.0, z, rng.choice([0.0, 0.1]), None, rng.choice([None, True, False])))
+    odd = [(nan, 0.0, 0.0), (1.5, nan, 0.1), (1.5, None, 0.2), (1.4, None, 3.0), (far, 0.0, 0.3), (1e200, 0.0, 0.4)]  # height, place, shift
+    labels += [(300 + i, "9", f"{rng.randrange(2)}", i, "odd", h, 2.0, 4.0, 1.0 + shift, y, 9.0, 0.0, None, False) for i, (h, y, shift) in enumerate(odd * 3) if not i % 7 == 6]
+    labels += [(400, "9", "8", 1, "sed", 1.5, 2.0, 4.0, 0.0, 0.0, 9.0, 0.0, None, False), (401, "9", "8", 1, "sed", 1.5, 2.0, 4.0, -0.0, 0.0, 9.0, 0.0, None, False)]  # one place
+    labels += [(i, "9", "9", 1, "sed", 1.5, 2.0, 4.0, x, 0.0, 9.0, 0.0, None, False) for i, x in ((410, None), (420, None), (430, nan), (440, nan))]
+    labels += [(450, "9", f, 1, c, 1.5, 2.0, 4.0, 0.0, 0.0, 9.0, 0.0, None, False) for f, c in (("10", "van"), ("11", "van"), ("10", "van"))]  # one id in two frames
+    labels += [(460, "9", "12", 1, "tree", 1.5, 2.0, 4.0, 0.0, 0.0, 9.0, nan, None, False), (470, "9", "12", 1, "tree", 1.5, far, 4.0, 5.0, 0.0, 9.0, 0.0, None, False)]
+    spark.createDataFrame(labels, GT).repartition(3).write.parquet(f"{tmp_path}/gt_lines.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted(map(tuple, queries()["x11_labels_as_predictions"](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    labels = d.gt(spark, str(tmp_path)).where(KNOWN).where("l > 0 AND w > 0 AND h > 0").dropDuplicates([*KEYS, "loc_x", "loc_z"])
+    found = labels.withColumns({"pred_id": F.col("gt_id"), "cond": F.lit("labels"), "score": F.lit(1.0)})
+    want = report(labels, found, {"bbox": (0.7,), "bev": (0.7,), "3d": (0.7,)}).select("cls", "difficulty", "metric", "num_gt", F.round("ap", 6).alias("ap"))
+    assert got == sorted(map(tuple, want.collect()))
+    assert {"sed", "odd", "van", "tree"} < {r[0] for r in got} and [r[3] for r in got if r[0] == "van"] == [1] * 9
+
+
+def test_a_label_as_prediction_meets_itself(spark, tmp_path):
+    # clipped by itself this box loses a fifth of its area
+    spark.createDataFrame([(10, "21", "1", 1, "bus", 3.0, 2.83, 8.35, 1.04, 0.0, 63.46, -0.83, None, False)], GT).write.parquet(f"{tmp_path}/gt_lines.parquet")
+    assert {r.metric: r.ap for r in queries()["x11_labels_as_predictions"](spark, str(tmp_path)).collect() if r.difficulty == 2} == dict.fromkeys(("bbox", "bev", "3d"), round(100 / 41, 6))
+
+
+def test_samples_of_equal_scores_are_those_of_recall(spark):
+    rows = [(n, tp) for n in (1, 2, 3, 19, 20, 21, 39, 40, 41, 42, 43, 80, 500, 5001) for tp in sorted({0, 1, 2, n // 3, n // 2, n - 1, n}) if tp <= n]
+    n = spark.createDataFrame(rows, "num_gt long, num_tp long")
+    counts = n.select("*", F.col("num_tp").alias("first"), F.lit(1).alias("tp"), F.lit(4).alias("counted"), F.lit(1).alias("used"))
+    got = {(r.num_gt, r.num_tp): round(r.ap * 41 * 4 / 100) for r in equal_scores_precision(counts).collect()}
+    want = {(r.num_gt, r.num_tp): r["count"] for r in recall_picks(n, ["num_gt", "num_tp"]).groupBy("num_gt", "num_tp").count().collect()}
+    assert got == {k: want.get(k, 0) for k in rows}
+
+
+@pytest.mark.parametrize("most", [3, 300_000])
+def test_reached_pairs_against_all_pairs(most):
+    rng = np.random.default_rng(2)
+    group, x, reach = np.sort(rng.integers(0, 6, 90)), rng.uniform(0, 9, 90), rng.choice([0.0, 0.3, 0.3, 5.0], 90)
+    got = [(a, b) for i, j in kernels.reached_pairs(group, x, reach, most) for a, b in zip(i.tolist(), j.tolist())]
+    want = {(a, b) for a in range(90) for b in range(a) if group[a] == group[b] and abs(x[a] - x[b]) <= max(reach[a], reach[b])}
+    assert len(got) == len(want) and {(max(p), min(p)) for p in got} == want
+    assert all(reach[a] >= reach[b] for a, b in got)
